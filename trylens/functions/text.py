@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .java import CATCH_PATTERN, PY_SPACE_CLASS
 
 _WS = PY_SPACE_CLASS
@@ -49,12 +50,16 @@ def rename_declared_variables(line: Column) -> Column:
     t = py_lstrip(line)
     for run in ("    ", "   ", "  "):
         t = F.replace(t, F.lit(run), F.lit(" "))
-    words = F.split(py_lstrip(t), " ", -1)
-    hit = (F.size(words) > 2) & words[2].isin("=", ";")
-    w0 = words[0]
-    renamed = F.concat(F.lower(F.substring(w0, 1, 1)), F.substring(w0, 2, 1 << 30))
-    new_words = F.transform(words, lambda w, i: F.when(i == 1, renamed).otherwise(w))
-    return F.when(hit, F.array_join(new_words, " ")).otherwise(t)
+
+    def body(tt):
+        def with_words(words):
+            hit = (F.size(words) > 2) & F.coalesce(F.try_element_at(words, F.lit(3)).isin("=", ";"), F.lit(False))
+            w0 = words[0]
+            renamed = F.concat(F.lower(F.substring(w0, 1, 1)), F.substring(w0, 2, 1 << 30))
+            new_words = F.transform(words, lambda w, i: F.when(i == 1, renamed).otherwise(w))
+            return F.when(hit, F.array_join(new_words, " ")).otherwise(tt)
+        return let(F.split(py_lstrip(tt), " ", -1), with_words)
+    return let(t, body)
 
 
 def wrap_full_method(src: Column, tgt: Column, tgt_newline: bool = True) -> Column:

@@ -45,12 +45,13 @@ LINE_KIND_RULES = (
 
 def line_kind(line: Column, idx: Column, n_lines: Column) -> Column:
     """A1: node kind of line ``idx`` (0-based) of an ``n_lines``-line method, or null."""
-    s = py_strip(F.regexp_replace(py_strip(line), r"^(\}\s*)+", ""))
-    out = F.when(idx == n_lines - 1, F.lit("MethodDeclaration END")) \
-           .when(idx == 0, F.lit("MethodDeclaration"))
-    for pattern, tag in LINE_KIND_RULES:
-        out = out.when(s.rlike(pattern), F.lit(tag))
-    return out
+    def body(s):
+        out = F.when(idx == n_lines - 1, F.lit("MethodDeclaration END")) \
+               .when(idx == 0, F.lit("MethodDeclaration"))
+        for pattern, tag in LINE_KIND_RULES:
+            out = out.when(s.rlike(pattern), F.lit(tag))
+        return out
+    return let(py_strip(F.regexp_replace(py_strip(line), r"^(\}\s*)+", "")), body)
 
 
 def tag_lines(lines: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 # A side is broadcast only when its row count is known to be at most this.
 BROADCAST_MAX_ROWS = 1_000_000
 
@@ -39,3 +41,13 @@ def with_position(df: DataFrame, order: list[Column | str], name: str = "pos") -
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return x.join(F.broadcast(offsets), "_pid").select(
         *[F.col(c) for c in df.columns], (F.col("_off") + local).cast("long").alias(name))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage when one intermediate feeds several consumers.
+
+    ``DataFrame.checkpoint`` writes to the shared ``spark.checkpoint.dir``
+    (reliable storage, survives executor loss), never to executor-local disk.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
