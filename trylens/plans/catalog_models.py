@@ -117,3 +117,53 @@ def score_lines(spark, sf_dir):
     best = M.argmax_scores(M.score_naive_bayes(test, model, key="line_key"), "line_key")
     return test.select("line_key", "method_id", "line_no").join(best, "line_key").select(
         "method_id", "line_no", F.col("class_id").cast("int").alias("pred"))
+
+
+def handler_inputs(spark, sf_dir):
+    """Fitted line and type models plus the test-split submissions."""
+    methods = materialize(fx.methods(spark, sf_dir))
+    lines = fx.code_lines(spark, sf_dir)
+    line_model, type_model = flows.fit_handler_models(methods, lines, fx.class_map(spark))
+    subs = methods.where(F.col("split") == "test").select("method_id", F.array_join("lines", "\n").alias("code"))
+    return subs, line_model, type_model
+
+
+@query("predict_handlers")
+def predict_handlers(spark, sf_dir):
+    subs, line_model, type_model = handler_inputs(spark, sf_dir)
+    replies = flows.predict_handlers(subs, line_model, type_model, fx.class_map(spark))
+    return replies.select("method_id", "exceptionLinesBegin", "exceptionLinesEnd", "exceptionType",
+                          "errorCode", "line_predict")
+
+
+@query("score_with_external_model")
+def score_with_external_model(spark, sf_dir):
+    from ..operators import encode as E
+    from ..operators.external import hashed_linear_model, score_with_external_model as score
+    corpus = materialize(flows.task2_corpus(fx.methods(spark, sf_dir), fx.class_map(spark)))
+    vocab = E.build_vocabulary(corpus.select(F.explode(F.concat("front", "back")).alias("token")), 5000)
+    f = E.encode_text(corpus, ["method_id"], "front", vocab, flows.TEXT_MAX, "front_")
+    b = E.encode_text(corpus, ["method_id"], "back", vocab, flows.TEXT_MAX, "back_")
+    ids = f.join(b, "method_id").select("method_id", F.concat("front_input_ids", "back_input_ids").alias("ids"))
+    out = score(ids, "ids", 2 * flows.TEXT_MAX, hashed_linear_model())
+    return out.select("method_id", "class_id")
+
+
+@query("fit_mllib_baseline")
+def fit_mllib_baseline(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    from ..operators import metrics as G
+    from ..operators.external import fit_mllib_baseline as fit
+    docs = materialize(type_docs(spark, sf_dir))
+    model = fit(docs.where(F.col("split") == "train"))
+    pred = model.transform(docs.where(F.col("split") == "test")).select(
+        "method_id", "label", F.col("prediction").cast("int").alias("pred"),
+        vector_to_array("probability").alias("p"))
+    acc = G.classification_accuracy(pred)
+    prf = G.weighted_precision_recall_f1(pred)
+    long = pred.select("method_id", "label", F.posexplode("p").alias("class_id", "logit")) \
+               .withColumnRenamed("method_id", "id")
+    from ..operators import ranking as K
+    top = G.topn_accuracy(K.true_class_rank(long))
+    one = F.lit(1)
+    return acc.withColumn("_k", one).join(prf.withColumn("_k", one), "_k").join(top.withColumn("_k", one), "_k").drop("_k")

@@ -55,3 +55,90 @@ def task2_sources(methods: DataFrame) -> DataFrame:
     """P2 + P4 + A5/A4: the full method text for the AST-style token stream."""
     func = wrap_full_method(clean_method_source(F.col("src")), F.col("tgt"))
     return methods.select("method_id", "split", A.repair_unclosed_method(func).alias("r"))
+
+
+# --- online prediction (L5) --------------------------------------------------
+
+def line_feature_docs(code_lines: DataFrame) -> DataFrame:
+    """Per line: line_key, method_id, line_no, tokens (line + previous/next context)."""
+    from ..functions.text import py_split
+    from ..operators import models as M
+    cl = code_lines.withColumn("tokens", py_split(F.col("line")))
+    x = M.context_tokens(cl, tokens="tokens")
+    return x.select((F.col("method_id") * 1000 + F.col("line_no")).alias("line_key"), "method_id", "line_no",
+                    *[c for c in ("split", "label") if c in code_lines.columns],
+                    F.col("features").alias("tokens"))
+
+
+def ast_type_docs(methods: DataFrame, label_map: DataFrame) -> DataFrame:
+    """Type-model training docs on the AST-style stream: P2 + P4 + A5/A4, then
+    the TRY/CatchClause split (A7, A8, A10); tokens prefixed f:/b:."""
+    from ..operators import models as M
+    r = task2_sources(methods).select("method_id", "split", "r.tokens")
+    s = r.select("method_id", "split", A.split_front_back_at_catch(F.col("tokens")).alias("s"))
+    docs = s.select("method_id", "split", M.prefixed_tokens(("f:", F.col("s.front")),
+                                                            ("b:", F.col("s.back"))).alias("tokens"))
+    lab = L.map_exception_label(L.exception_types(methods.select("method_id", "tgt")), label_map)
+    return docs.join(lab.select("method_id", "label"), "method_id")
+
+
+def fit_handler_models(methods: DataFrame, code_lines: DataFrame, label_map: DataFrame):
+    """Line model (L3) and type model (L1) from the training split."""
+    from ..operators import models as M
+    from ..operators.util import materialize
+    lines = line_feature_docs(code_lines).where(F.col("split") == "train")
+    line_model = materialize(M.fit_naive_bayes(lines))
+    types = ast_type_docs(methods, label_map).where(F.col("split") == "train")
+    type_model = materialize(M.fit_naive_bayes(types))
+    return line_model, type_model
+
+
+def predict_handlers(submissions: DataFrame, line_model: DataFrame, type_model: DataFrame,
+                     label_map: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
+    """(method_id, code) -> reply columns and the feedback record fields.
+
+    S13 split -> L4 line scores -> fixed 50 predictions -> A16 span -> P5 try
+    insertion -> P2 + A5/A4 tokens -> A7/A8/A10 split -> L2 type -> J3 decode.
+    The type defaults to ``Exception``.
+    """
+    from ..functions.arrays import comma_list
+    from ..functions.text import clean_method_source
+    from ..operators import models as M
+    from ..operators.spans import find_predicted_span, insert_try_block
+
+    sub = submissions.select("method_id", "code", F.split("code", "\n", -1).alias("lines"))
+    lines = sub.select("method_id", F.posexplode("lines").alias("i", "line")) \
+               .select("method_id", (F.col("i") + 1).cast("int").alias("line_no"), "line")
+    docs = line_feature_docs(lines)
+    best = M.argmax_scores(M.score_naive_bayes(docs, line_model, key="line_key"), "line_key")
+    per_line = docs.select("line_key", "method_id", "line_no").join(best, "line_key")
+    preds = per_line.groupBy("method_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "class_id"))),
+                    lambda s: s["class_id"].cast("int")).alias("preds"))
+    x = sub.join(preds, "method_id", "left").withColumn(
+        "preds", pad_to(F.coalesce(F.col("preds"), F.array().cast("array<int>")), line_limit, 0))
+    x = x.withColumn("span", find_predicted_span(F.col("preds")))
+    x = x.withColumn("with_try", insert_try_block(F.col("lines"), F.col("span.begin"), F.col("span.end")))
+    rep = A.repair_unclosed_method(clean_method_source(F.col("with_try")))
+    x = x.withColumn("fb", A.split_front_back_at_catch(rep["tokens"]))
+    tdocs = x.select("method_id", M.prefixed_tokens(("f:", F.col("fb.front")), ("b:", F.col("fb.back"))).alias("tokens"))
+    typ = M.argmax_scores(M.score_naive_bayes(tdocs, type_model, key="method_id"), "method_id")
+    named = L.decode_class(typ, label_map).select("method_id", F.col("exception").alias("_type"))
+    out = x.join(named, "method_id", "left")
+    return out.select(
+        "method_id",
+        F.col("span.begin").alias("exceptionLinesBegin"),
+        F.col("span.end").alias("exceptionLinesEnd"),
+        F.coalesce(F.col("_type"), F.lit("Exception")).alias("exceptionType"),
+        F.lit(0).alias("errorCode"),
+        F.col("code").alias("code_data"),
+        comma_list(F.col("preds")).alias("line_predict"))
+
+
+def feedback_records(replies: DataFrame) -> DataFrame:
+    """S11 rows for replies: evaluation starts at -1, human columns empty."""
+    return replies.select(
+        F.col("method_id").alias("record_id"), "code_data", "line_predict",
+        F.col("exceptionType").alias("exception_predict"),
+        F.lit(-1).alias("user_evaluation"), F.lit("").alias("line_artificial"),
+        F.lit("").alias("exception_artificial"))
