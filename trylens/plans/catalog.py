@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_clean, catalog_labels, catalog_metrics, catalog_slicing, catalog_structure, catalog_encode, catalog_sources, catalog_models  # noqa: F401
+from . import catalog_clean, catalog_labels, catalog_metrics, catalog_slicing, catalog_structure, catalog_encode, catalog_sources, catalog_models, catalog_streaming  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
