@@ -89,28 +89,35 @@ def slice_seeds(back: Column) -> Column:
 
     The last token never counts.  Distinct, in first-seen order.
     """
-    def keep(t, i):
-        nxt = F.try_element_at(back, i + 2)
-        return (is_identifier(t) & (i < F.size(back) - 1)
-                & (nxt != "(") & ~is_identifier(nxt))
+    def body(idf):
+        def keep(t, i):
+            nxt = F.try_element_at(back, i + 2)
+            nxt_id = F.coalesce(F.try_element_at(idf, i + 2), F.lit(False))
+            return F.element_at(idf, i + 1) & (i < F.size(back) - 1) & (nxt != "(") & ~nxt_id
+        return F.array_distinct(F.filter(back, keep))
+    return let(F.transform(back, is_identifier), body)
 
-    return F.array_distinct(F.filter(back, keep))
 
+def _kept_statements(front: Column, idf: Column, stmts: Column, seeds: Column) -> Column:
+    """The backward walk of A13: statements kept, seeds grown on the way.
 
-def _kept_statements(front: Column, stmts: Column, seeds: Column) -> Column:
-    """The backward walk of A13: statements kept, seeds grown on the way."""
+    ``idf`` holds the identifier flag of every token of ``front``.
+    """
     n_front = F.size(front)
     init = F.struct(seeds.alias("seeds"),
                     F.array().cast("array<struct<s:int,e:int>>").alias("kept"))
 
     def step(acc, st):
-        toks = F.slice(front, st["s"] + 1, st["e"] - st["s"] + 1)
+        s0, ln = st["s"], st["e"] - st["s"] + 1
+        toks = F.slice(front, s0 + 1, ln)
+        ids = F.slice(idf, s0 + 1, ln)
         eq = F.array_position(toks, "=").cast("int")          # 1-based, 0 = none
-        head = F.when(eq > 0, F.slice(toks, 1, F.greatest(eq - 1, F.lit(0)))).otherwise(toks)
-        depend = F.exists(head, lambda t: is_identifier(t) & F.array_contains(acc["seeds"], t))
+        head_n = F.when(eq > 0, eq - 1).otherwise(F.size(toks))
+        depend = F.exists(F.slice(F.arrays_zip(toks.alias("t"), ids.alias("d")), 1, head_n),
+                          lambda x: x["d"] & F.array_contains(acc["seeds"], x["t"]))
         # After the '=', identifiers at statement index i become seeds when
         # front[i + 1] (an index into the whole front) is not '('.
-        grown = F.filter(toks, lambda t, i: (i >= eq - 1) & is_identifier(t)
+        grown = F.filter(toks, lambda t, i: (i >= eq - 1) & F.element_at(ids, i + 1)
                          & (i < n_front - 1) & (F.try_element_at(front, i + 2) != "("))
         seeds2 = F.when(depend & (eq > 0), F.array_union(acc["seeds"], grown)).otherwise(acc["seeds"])
         kept2 = F.when(depend, F.concat(acc["kept"], F.array(st))).otherwise(acc["kept"])
@@ -125,13 +132,14 @@ def backward_slice_mask(front: Column, back: Column) -> Column:
     The first statement (the method header) is always kept; ``mask[s:e] = 1``
     is end-exclusive, so each terminator stays 0.
     """
-    def with_stmts(stmts):
+    def with_stmts(stmts, idf):
         def with_kept(kept):
-            first = stmts[0]
+            first = F.try_element_at(stmts, F.lit(1))
             all_kept = F.when((F.size(stmts) > 0) & ~F.array_contains(kept, first),
                               F.concat(kept, F.array(first))).otherwise(kept)
             return let(all_kept, lambda ks: F.transform(front, lambda _t, k: F.when(
                 F.exists(ks, lambda iv: (iv["s"] <= k) & (k < iv["e"])), 1).otherwise(0)))
-        return let(_kept_statements(front, stmts, slice_seeds(back)), with_kept)
+        return let(_kept_statements(front, idf, stmts, slice_seeds(back)), with_kept)
 
-    return let(segment_statements(front), with_stmts)
+    return let(F.transform(front, is_identifier), lambda idf: let(
+        segment_statements(front), lambda stmts: with_stmts(stmts, idf)))

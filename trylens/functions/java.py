@@ -50,10 +50,11 @@ PY_SPACE_CLASS = (
 def is_identifier(tok: Column) -> Column:
     """Starts with a word character, not with a digit, and is not reserved.
 
-    ASCII classes (``\\w``, ``\\d``) as in Spark and DuckDB by default.
-    A null token is not an identifier.
+    ASCII classes, as Spark's and DuckDB's ``\\w``/``\\d``: the first
+    character is a letter or ``_``.  Tested on the first character's code
+    (no regex), since this runs per token inside array lambdas.  A null token
+    is not an identifier.
     """
-    return F.coalesce(
-        tok.rlike(r"^\w") & ~tok.rlike(r"^\d") & ~tok.isin(*JAVA_RESERVED),
-        F.lit(False),
-    )
+    a = F.ascii(tok)
+    first = a.between(65, 90) | a.between(97, 122) | (a == 95)
+    return F.coalesce(first & ~tok.isin(*JAVA_RESERVED), F.lit(False))

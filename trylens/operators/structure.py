@@ -125,13 +125,15 @@ def structural_token_stream(code: Column) -> Column:
     and are split on spaces; brackets and other tokens are kept.
     """
     toks = F.regexp_extract_all(code, F.lit(_TOKEN_RE), 0)
+    none = F.lit(-(1 << 30))  # an index that is out of range, so try_element_at gives null
 
-    def body(t):
+    def body(t, idf):
         def one(tok, i):
-            prev = F.coalesce(F.try_element_at(t, F.when(i > 0, i).otherwise(F.lit(-10**6))), F.lit(""))
-            nxt = F.coalesce(F.try_element_at(t, i + 2), F.lit(""))
-            prev2 = F.coalesce(F.try_element_at(t, F.when(i > 1, i - 1).otherwise(F.lit(-10**6))), F.lit(""))
-            ident = is_identifier(tok)
+            def at(arr, k, default):
+                return F.coalesce(F.try_element_at(arr, F.when(k >= 1, k).otherwise(none)), default)
+            prev, nxt = at(t, i, F.lit("")), at(t, i + 2, F.lit(""))
+            ident, prev_id = F.element_at(idf, i + 1), at(idf, i, F.lit(False))
+            prev2_id, nxt_id = at(idf, i - 1, F.lit(False)), at(idf, i + 2, F.lit(False))
             kw = None
             for k, m in STRUCT_KEYWORDS.items():
                 kw = F.when(tok == k, F.array(F.lit(m))) if kw is None else kw.when(tok == k, F.array(F.lit(m)))
@@ -143,12 +145,11 @@ def structural_token_stream(code: Column) -> Column:
                           F.array(F.lit("METHOD"), F.lit("INVOCATION"), tok))
                     .when(ident & (nxt == "."), F.array(F.lit("qualifier"), tok))
                     .when(tok == ".", F.array().cast("array<string>"))
-                    .when(ident & is_identifier(nxt) & decl_start, F.array(F.lit("VarDec"), tok))
-                    .when((tok == "=") & is_identifier(prev) & is_identifier(prev2),
-                          F.array(F.lit("initializer")))
+                    .when(ident & nxt_id & decl_start, F.array(F.lit("VarDec"), tok))
+                    .when((tok == "=") & prev_id & prev2_id, F.array(F.lit("initializer")))
                     .otherwise(F.array(tok)))
         return resplit_tokens(F.flatten(F.transform(t, one)))
-    return let(toks, body)
+    return let(toks, lambda t: let(F.transform(t, is_identifier), lambda idf: body(t, idf)))
 
 
 def marker_tokens(src: Column, tgt: Column) -> Column:

@@ -86,9 +86,9 @@ def fit_handler_models(methods: DataFrame, code_lines: DataFrame, label_map: Dat
     """Line model (L3) and type model (L1) from the training split."""
     from ..operators import models as M
     from ..operators.util import materialize
-    lines = line_feature_docs(code_lines).where(F.col("split") == "train")
+    lines = materialize(line_feature_docs(code_lines).where(F.col("split") == "train"))
     line_model = materialize(M.fit_naive_bayes(lines))
-    types = ast_type_docs(methods, label_map).where(F.col("split") == "train")
+    types = materialize(ast_type_docs(methods, label_map).where(F.col("split") == "train"))
     type_model = materialize(M.fit_naive_bayes(types))
     return line_model, type_model
 
