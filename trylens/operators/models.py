@@ -35,60 +35,79 @@ def prefixed_tokens(*parts: tuple[str, Column]) -> Column:
 def fit_naive_bayes(docs: DataFrame, label: str = "label", tokens: str = "tokens",
                     alpha: float = ALPHA) -> DataFrame:
     """L1/L3 fit: one row per (class_id, token) seen in training, with the
-    class's prior and unseen log likelihood repeated on each row."""
+    class's prior and unseen log likelihood repeated on each row.
+
+    Two scalars (vocabulary size, document count) are computed as actions;
+    the per-class table has one row per class and is broadcast.
+    """
     tok = docs.select(F.col(label).alias("class_id"), F.explode(tokens).alias("token"))
     counts = tok.groupBy("class_id", "token").agg(F.count("*").alias("n"))
-    n_vocab = counts.select("token").distinct().agg(F.count("*").alias("v"))
+    v = counts.select("token").distinct().count()
     totals = counts.groupBy("class_id").agg(F.sum("n").alias("n_c"))
     docs_per = docs.groupBy(F.col(label).alias("class_id")).agg(F.count("*").alias("d_c"))
-    # The class table has one row per class (bounded by the label map), so a
-    # whole-table window and a join on a constant key only attach scalars.
-    all_docs = F.sum("d_c").over(Window.partitionBy())
-    classes = totals.join(docs_per, "class_id").withColumn("_one", F.lit(1)) \
-        .join(F.broadcast(n_vocab.withColumn("_one", F.lit(1))), "_one").select(
-            "class_id", "n_c", "v", F.log(F.col("d_c") / all_docs).alias("prior"))
-    classes = classes.withColumn("unseen", F.log(F.lit(alpha) / (F.col("n_c") + alpha * F.col("v"))))
+    n_docs = F.sum("d_c").over(Window.partitionBy(F.lit(0)))   # over the class table only
+    classes = totals.join(docs_per, "class_id").select(
+        "class_id", "n_c", F.log(F.col("d_c") / n_docs).alias("prior"),
+        F.log(F.lit(alpha) / (F.col("n_c") + F.lit(alpha * v))).alias("unseen"))
     return counts.join(F.broadcast(classes), "class_id").select(
         "class_id", "token",
-        F.log((F.col("n") + alpha) / (F.col("n_c") + alpha * F.col("v"))).alias("log_lik"),
+        F.log((F.col("n") + alpha) / (F.col("n_c") + F.lit(alpha * v))).alias("log_lik"),
         "prior", "unseen")
 
 
-def _token_join(doc_tokens: DataFrame, table: DataFrame, salts: int) -> DataFrame:
-    """Join exploded document tokens to a token-keyed table.
+def _token_join(occ: DataFrame, table: DataFrame, salts: int) -> DataFrame:
+    """Left join of token occurrences to a token-keyed table.
 
-    Broadcast when ``table`` has at most BROADCAST_MAX_ROWS rows; otherwise a
-    salted sort-merge join (each table row replicated ``salts`` times)."""
+    Broadcast when ``table`` has at most BROADCAST_MAX_ROWS rows (checked);
+    otherwise a salted sort-merge join: each table row is replicated
+    ``salts`` times and each occurrence picks one copy, so a token that occurs
+    in every document is spread over ``salts`` tasks."""
     n = table.limit(BROADCAST_MAX_ROWS + 1).count()
     if n <= BROADCAST_MAX_ROWS:
-        return doc_tokens.join(F.broadcast(table), "token")
-    d = doc_tokens.withColumn("_salt", F.pmod(F.xxhash64(*doc_tokens.columns), F.lit(salts)))
+        return occ.join(F.broadcast(table), "token", "left")
+    o = occ.withColumn("_salt", F.pmod(F.xxhash64(*occ.columns, F.rand(7)), F.lit(salts)))
     t = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return d.join(t, ["token", "_salt"]).drop("_salt")
+    return o.join(t, ["token", "_salt"], "left").drop("_salt")
+
+
+def class_scores(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str = "tokens",
+                 salts: int = 64) -> DataFrame:
+    """L2/L4 score: (key, scores array<struct<class_id, score>>, class_id = argmax).
+
+    One left join of token occurrences against the model (plus one
+    ``class_id = -1`` row per known token, which counts known tokens), then
+    partial sums per (key, class) and one row per key.  The class table is
+    bounded by the label map, so it is a literal array; every class score and
+    the argmax are computed inside the row (lower class id wins ties).
+    """
+    classes = model.select("class_id", "prior", "unseen").distinct().orderBy("class_id").collect()
+    ext = model.select("token", "class_id", (F.col("log_lik") - F.col("unseen")).alias("d")).unionByName(
+        model.select("token").distinct().select("token", F.lit(-1).alias("class_id"), F.lit(0.0).alias("d")))
+    occ = docs.select(key, F.explode_outer(tokens).alias("token"))
+    j = _token_join(occ, ext, salts)
+    per_class = j.groupBy(key, "class_id").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
+    per_key = per_class.groupBy(key).agg(
+        F.coalesce(F.max(F.when(F.col("class_id") == -1, F.col("n"))), F.lit(0)).alias("n_known"),
+        F.map_from_entries(F.collect_list(F.when(F.col("class_id") >= 0, F.struct("class_id", "s")))).alias("m"))
+    def one(cid, prior, unseen):
+        sc = F.lit(prior) + F.col("n_known") * F.lit(unseen) + F.coalesce(F.col("m")[cid], F.lit(0.0))
+        return F.struct(F.lit(cid).alias("class_id"), F.round(sc, 6).alias("score"))
+    scores = F.array(*[one(r["class_id"], r["prior"], r["unseen"]) for r in classes])
+    x = per_key.select(key, scores.alias("scores"))
+    best = F.array_max(F.transform("scores", lambda c: F.struct(
+        c["score"].alias("s"), (-c["class_id"]).alias("neg"), c["class_id"].alias("c"))))
+    return x.withColumn("class_id", best["c"])
 
 
 def score_naive_bayes(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str = "tokens",
                       salts: int = 64) -> DataFrame:
-    """L2/L4 score: (key, class_id, score) for every class, rounded to 6."""
-    tok = docs.select(key, F.explode(tokens).alias("token"))
-    tf = tok.groupBy(key, "token").agg(F.count("*").alias("tf"))
-    vocab = model.select("token").distinct()
-    classes = model.select("class_id", "prior", "unseen").distinct()
-    known = _token_join(tf, vocab, salts).groupBy(key).agg(F.sum("tf").alias("n_known"))
-    deltas = _token_join(tf, model.select("token", "class_id", (F.col("log_lik") - F.col("unseen")).alias("d")), salts)
-    seen = deltas.groupBy(key, "class_id").agg(F.sum(F.col("d") * F.col("tf")).alias("s"))
-    # Every document is scored for every class: one row per (document, class),
-    # linear in the documents since the class table is bounded by the label map.
-    base = docs.select(key, F.lit(1).alias("_one")).join(known, key, "left") \
-        .join(F.broadcast(classes.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    scored = base.join(seen, [key, "class_id"], "left")
-    score = (F.col("prior") + F.coalesce(F.col("n_known"), F.lit(0)) * F.col("unseen")
-             + F.coalesce(F.col("s"), F.lit(0.0)))
-    return scored.select(key, "class_id", F.round(score, 6).alias("score"))
+    """Long form (key, class_id, score) of ``class_scores``."""
+    x = class_scores(docs, model, key, tokens, salts).select(key, F.explode("scores").alias("c"))
+    return x.select(key, "c.class_id", "c.score")
 
 
 def argmax_scores(scores: DataFrame, key: str = "id") -> DataFrame:
-    """Best class per row; ties go to the lower class id."""
+    """Best class per row from long-form scores; ties go to the lower class id."""
     return scores.groupBy(key).agg(
         F.max_by("class_id", F.struct(F.col("score"), -F.col("class_id"))).alias("class_id"))
 

@@ -80,8 +80,7 @@ def fit_exception_classifier(spark, sf_dir):
 def score_exception_type(spark, sf_dir):
     docs = materialize(type_docs(spark, sf_dir))
     model = materialize(M.fit_naive_bayes(docs.where(F.col("split") == "train")))
-    scores = M.score_naive_bayes(docs.where(F.col("split") == "test"), model, key="method_id")
-    best = M.argmax_scores(scores, "method_id")
+    best = M.class_scores(docs.where(F.col("split") == "test"), model, key="method_id").select("method_id", "class_id")
     return L.decode_class(best, fx.class_map(spark)).select("method_id", "class_id", "exception")
 
 
@@ -114,7 +113,7 @@ def score_lines(spark, sf_dir):
     docs = materialize(line_docs(spark, sf_dir))
     model = materialize(M.fit_naive_bayes(docs.where(F.col("split") == "train")))
     test = docs.where(F.col("split") == "test")
-    best = M.argmax_scores(M.score_naive_bayes(test, model, key="line_key"), "line_key")
+    best = M.class_scores(test, model, key="line_key").select("line_key", "class_id")
     return test.select("line_key", "method_id", "line_no").join(best, "line_key").select(
         "method_id", "line_no", F.col("class_id").cast("int").alias("pred"))
 

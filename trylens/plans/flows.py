@@ -105,13 +105,14 @@ def predict_handlers(submissions: DataFrame, line_model: DataFrame, type_model:
     from ..functions.text import clean_method_source
     from ..operators import models as M
     from ..operators.spans import find_predicted_span, insert_try_block
+    from ..operators.util import materialize
 
     sub = submissions.select("method_id", "code", F.split("code", "\n", -1).alias("lines"))
     lines = sub.select("method_id", F.posexplode("lines").alias("i", "line")) \
                .select("method_id", (F.col("i") + 1).cast("int").alias("line_no"), "line")
     docs = line_feature_docs(lines)
-    best = M.argmax_scores(M.score_naive_bayes(docs, line_model, key="line_key"), "line_key")
-    per_line = docs.select("line_key", "method_id", "line_no").join(best, "line_key")
+    best = M.class_scores(docs.select("line_key", "tokens"), line_model, key="line_key")
+    per_line = docs.select("line_key", "method_id", "line_no").join(best.select("line_key", "class_id"), "line_key")
     preds = per_line.groupBy("method_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "class_id"))),
                     lambda s: s["class_id"].cast("int")).alias("preds"))
@@ -121,8 +122,9 @@ def predict_handlers(submissions: DataFrame, line_model: DataFrame, type_model:
     x = x.withColumn("with_try", insert_try_block(F.col("lines"), F.col("span.begin"), F.col("span.end")))
     rep = A.repair_unclosed_method(clean_method_source(F.col("with_try")))
     x = x.withColumn("fb", A.split_front_back_at_catch(rep["tokens"]))
-    tdocs = x.select("method_id", M.prefixed_tokens(("f:", F.col("fb.front")), ("b:", F.col("fb.back"))).alias("tokens"))
-    typ = M.argmax_scores(M.score_naive_bayes(tdocs, type_model, key="method_id"), "method_id")
+    x = materialize(x.select("method_id", "code", "preds", "span",
+                             M.prefixed_tokens(("f:", F.col("fb.front")), ("b:", F.col("fb.back"))).alias("tokens")))
+    typ = M.class_scores(x.select("method_id", "tokens"), type_model, key="method_id").select("method_id", "class_id")
     named = L.decode_class(typ, label_map).select("method_id", F.col("exception").alias("_type"))
     out = x.join(named, "method_id", "left")
     return out.select(
