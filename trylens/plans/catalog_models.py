@@ -121,7 +121,7 @@ def score_lines(spark, sf_dir):
 def handler_inputs(spark, sf_dir):
     """Fitted line and type models plus the test-split submissions."""
     methods = materialize(fx.methods(spark, sf_dir))
-    lines = fx.code_lines(spark, sf_dir)
+    lines = fx.code_lines(spark, sf_dir, methods)
     line_model, type_model = flows.fit_handler_models(methods, lines, fx.class_map(spark))
     subs = methods.where(F.col("split") == "test").select("method_id", F.array_join("lines", "\n").alias("code"))
     return subs, line_model, type_model

@@ -4,15 +4,14 @@ The driver tables hold no source code, so methods, catch clauses, scores and
 logs are derived from ``orders``, ``lineitem`` and ``events``.  Every function
 returns a lazy DataFrame whose size grows with the input tables.
 
-Plan notes: ``code_lines`` shuffles ``lineitem`` once by order key (line
-numbering) and ``orders`` once; header and footer lines get their numbers from
-a per-order line count (a partial aggregate), so no second window runs over
-the union.
+Plan notes: ``methods`` shuffles ``lineitem`` once (grouped by order key)
+and joins ``orders`` once; ``code_lines`` is exploded from it without a
+shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.java import EXCEPTION_CLASSES
@@ -43,41 +42,27 @@ _BODY_KINDS = {
 }
 
 
-def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per source line: method_id, line_no (1-based), line, label, pred, split."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    body = li.withColumn("rn", F.row_number().over(w))
-    kind = (F.col("l_partkey") % 9).cast("int")
-    parts = {"rn": F.col("rn").cast("string"),
-             "qty": F.col("l_quantity").cast("int").cast("string")}
+def code_lines(spark: SparkSession, sf_dir: str, methods_df: DataFrame | None = None) -> DataFrame:
+    """One row per source line: method_id, line_no (1-based), line, label, pred, split.
+
+    Exploded from ``methods`` (no shuffle); rows stay partitioned by
+    ``method_id``, so per-method windows downstream need no exchange.
+    """
+    m = methods_df if methods_df is not None else methods(spark, sf_dir)
+    z = m.select("method_id", "split", F.posexplode(F.arrays_zip("lines", "labels", "preds")).alias("i", "z"))
+    return z.select("method_id", (F.col("i") + 1).cast("int").alias("line_no"), F.col("z.lines").alias("line"),
+                    F.col("z.labels").alias("label"), F.col("z.preds").alias("pred"), "split")
+
+
+def _body_line(s, rn):
+    """Text of a body line from its lineitem struct ``s`` and 1-based number ``rn``."""
+    kind = (s["l_partkey"] % 9).cast("int")
+    parts = {"rn": rn.cast("string"), "qty": s["l_quantity"].cast("int").cast("string")}
     line = None
     for k, tpl in _BODY_KINDS.items():
         text = F.concat(*[parts.get(p, F.lit(p)) for p in tpl]) if len(tpl) > 1 else F.lit(tpl[0])
         line = F.when(kind == k, text) if line is None else line.when(kind == k, text)
-    body_rows = body.select(
-        F.col("l_orderkey").alias("method_id"),
-        (F.col("rn") + 1).cast("int").alias("line_no"),
-        line.alias("line"),
-        F.when((F.col("l_partkey") % 9).isin(0, 2, 4), 1).otherwise(0).alias("label"),
-        F.when((F.col("l_partkey") + F.col("l_suppkey")) % 5 < 2, 1).otherwise(0).alias("pred"),
-    )
-    counts = li.groupBy(F.col("l_orderkey").alias("method_id")).agg(F.count("*").alias("n_body"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("method_id"))
-    framed = orders.join(counts, "method_id", "left")
-    header = framed.select(
-        "method_id", F.lit(1).alias("line_no"),
-        F.concat(F.lit("public void m"), F.col("method_id").cast("string"),
-                 F.lit(" ( Arg arg ) {")).alias("line"),
-        F.lit(0).alias("label"),
-        F.when(F.col("method_id") % 11 == 0, 1).otherwise(0).alias("pred"))
-    footer = framed.select(
-        "method_id", (F.coalesce(F.col("n_body"), F.lit(0)) + 2).cast("int").alias("line_no"),
-        F.lit("}").alias("line"), F.lit(0).alias("label"), F.lit(0).alias("pred"))
-    out = header.unionByName(body_rows).unionByName(footer)
-    return out.withColumn("split", _split_of(F.col("method_id")))
+    return line
 
 
 _TARGETS = (
@@ -101,21 +86,34 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("method_id"), expr.alias("tgt"))
 
 
-def methods(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods as ordered arrays + joined source + catch target.
 
-    Columns: method_id, split, lines, labels, preds, src, tgt.
+    Columns: method_id, split, lines, labels, preds, src, tgt.  ``lineitem``
+    is shuffled once (grouped by order key); its lines are numbered by
+    sorting each order's array, so no window runs.  ``orders`` supplies the
+    header line, the catch target and methods with no body lines.
     """
-    cl = lines if lines is not None else code_lines(spark, sf_dir)
-    grouped = cl.groupBy("method_id").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "line", "label", "pred"))).alias("_l"))
-    m = grouped.select(
+    li = table(spark, sf_dir, "lineitem")
+    body = li.groupBy(F.col("l_orderkey").alias("method_id")).agg(F.array_sort(F.collect_list(F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))).alias("_b"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("method_id"), "o_custkey")
+    m = o.join(body, "method_id", "left").withColumn(
+        "_b", F.coalesce(F.col("_b"), F.array().cast(body.schema["_b"].dataType)))
+    header = F.concat(F.lit("public void m"), F.col("method_id").cast("string"), F.lit(" ( Arg arg ) {"))
+    body_lines = F.transform("_b", lambda s, i: _body_line(s, i + 1))
+    body_labels = F.transform("_b", lambda s: F.when((s["l_partkey"] % 9).isin(0, 2, 4), 1).otherwise(0))
+    body_preds = F.transform("_b", lambda s: F.when((s["l_partkey"] + s["l_suppkey"]) % 5 < 2, 1).otherwise(0))
+    k = (F.col("o_custkey") % 16).cast("int")
+    out = m.select(
         "method_id", _split_of(F.col("method_id")).alias("split"),
-        F.transform("_l", lambda s: s["line"]).alias("lines"),
-        F.transform("_l", lambda s: s["label"]).alias("labels"),
-        F.transform("_l", lambda s: s["pred"]).alias("preds"))
-    m = m.withColumn("src", F.array_join("lines", " "))
-    return m.join(targets(spark, sf_dir), "method_id")
+        F.concat(F.array(header), body_lines, F.array(F.lit("}"))).alias("lines"),
+        F.concat(F.array(F.lit(0)), body_labels, F.array(F.lit(0))).alias("labels"),
+        F.concat(F.array(F.when(F.col("method_id") % 11 == 0, 1).otherwise(0)), body_preds,
+                 F.array(F.lit(0))).alias("preds"),
+        F.element_at(F.array(*[F.lit(t) for t in _TARGETS]), k + 1).alias("tgt"))
+    return out.select("method_id", "split", "lines", "labels", "preds",
+                      F.array_join("lines", " ").alias("src"), "tgt")
 
 
 def class_map(spark: SparkSession) -> DataFrame:
