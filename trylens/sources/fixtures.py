@@ -94,26 +94,37 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     sorting each order's array, so no window runs.  ``orders`` supplies the
     header line, the catch target and methods with no body lines.
     """
-    li = table(spark, sf_dir, "lineitem")
-    body = li.groupBy(F.col("l_orderkey").alias("method_id")).agg(F.array_sort(F.collect_list(F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))).alias("_b"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("method_id"), "o_custkey")
-    m = o.join(body, "method_id", "left").withColumn(
-        "_b", F.coalesce(F.col("_b"), F.array().cast(body.schema["_b"].dataType)))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("method_id"), item.alias("item"), F.lit(None).cast("long").alias("o_custkey"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("method_id"), F.lit(None).cast(item_type(spark, sf_dir)).alias("item"),
+        "o_custkey")
+    # One shuffle for both tables: order rows and line-item rows meet in the
+    # same group, so no join is needed and the result is hash-partitioned by
+    # method_id for all per-method work downstream.
+    g = li.unionByName(o).groupBy("method_id").agg(
+        F.array_sort(F.collect_list("item")).alias("_b"), F.max("o_custkey").alias("o_custkey"))
     header = F.concat(F.lit("public void m"), F.col("method_id").cast("string"), F.lit(" ( Arg arg ) {"))
-    body_lines = F.transform("_b", lambda s, i: _body_line(s, i + 1))
-    body_labels = F.transform("_b", lambda s: F.when((s["l_partkey"] % 9).isin(0, 2, 4), 1).otherwise(0))
-    body_preds = F.transform("_b", lambda s: F.when((s["l_partkey"] + s["l_suppkey"]) % 5 < 2, 1).otherwise(0))
+    head_pred = F.when(F.col("method_id") % 11 == 0, 1).otherwise(0)
     k = (F.col("o_custkey") % 16).cast("int")
-    out = m.select(
+    full = g.select(
         "method_id", _split_of(F.col("method_id")).alias("split"),
-        F.concat(F.array(header), body_lines, F.array(F.lit("}"))).alias("lines"),
-        F.concat(F.array(F.lit(0)), body_labels, F.array(F.lit(0))).alias("labels"),
-        F.concat(F.array(F.when(F.col("method_id") % 11 == 0, 1).otherwise(0)), body_preds,
-                 F.array(F.lit(0))).alias("preds"),
+        F.concat(F.array(header), F.transform("_b", lambda s, i: _body_line(s, i + 1)),
+                 F.array(F.lit("}"))).alias("lines"),
+        F.concat(F.array(F.lit(0)), F.transform("_b", lambda s: F.when(
+            (s["l_partkey"] % 9).isin(0, 2, 4), 1).otherwise(0)), F.array(F.lit(0))).alias("labels"),
+        F.concat(F.array(head_pred), F.transform("_b", lambda s: F.when(
+            (s["l_partkey"] + s["l_suppkey"]) % 5 < 2, 1).otherwise(0)), F.array(F.lit(0))).alias("preds"),
         F.element_at(F.array(*[F.lit(t) for t in _TARGETS]), k + 1).alias("tgt"))
-    return out.select("method_id", "split", "lines", "labels", "preds",
-                      F.array_join("lines", " ").alias("src"), "tgt")
+    return full.select("method_id", "split", "lines", "labels", "preds",
+                       F.array_join("lines", " ").alias("src"), "tgt")
+
+
+def item_type(spark: SparkSession, sf_dir: str):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                              "l_extendedprice").alias("s")).schema["s"].dataType
 
 
 def class_map(spark: SparkSession) -> DataFrame:
