@@ -112,12 +112,16 @@ def argmax_scores(scores: DataFrame, key: str = "id") -> DataFrame:
         F.max_by("class_id", F.struct(F.col("score"), -F.col("class_id"))).alias("class_id"))
 
 
-def context_tokens(lines: DataFrame, method: str = "method_id", line_no: str = "line_no",
-                   tokens: str = "tokens") -> DataFrame:
-    """L3 features: a line's tokens plus those of the previous (``p:``) and
-    next (``n:``) line of the same method (window partitioned by method)."""
-    w = Window.partitionBy(method).orderBy(line_no)
+def context_tokens(lines: Column) -> Column:
+    """L3 features for every line of a method (an ordered array of lines):
+    the line's tokens plus those of the previous (``p:``) and next (``n:``)
+    line.  Computed inside the method's row: no window, no shuffle."""
+    from ..functions.arrays import let
+    from ..functions.text import py_split
     empty = F.array().cast("array<string>")
-    prev = F.coalesce(F.lag(tokens).over(w), empty)
-    nxt = F.coalesce(F.lead(tokens).over(w), empty)
-    return lines.withColumn("features", prefixed_tokens(("", F.col(tokens)), ("p:", prev), ("n:", nxt)))
+
+    def body(toks):
+        def at(k):
+            return F.coalesce(F.try_element_at(toks, F.when(k >= 1, k).otherwise(F.lit(-(1 << 30)))), empty)
+        return F.transform(toks, lambda t, i: prefixed_tokens(("", t), ("p:", at(i)), ("n:", at(i + 2))))
+    return let(F.transform(lines, py_split), body)

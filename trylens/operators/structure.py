@@ -181,15 +181,16 @@ def extract_methods(file_lines: DataFrame, file_col: str = "file_id", line_no: s
     """One row per method of a file: method_no, start_line, end_line, n_lines.
 
     The brace depth is a running sum of per-line net braces (outside quotes)
-    over ``Window.partitionBy(file).orderBy(line_no)``; a line that opens at
-    class depth 1 starts a method, which runs until the depth is back to 1.
+    per file in line order (``running_sum``: skew-safe two-level prefix sum);
+    a line that opens at class depth 1 starts a method, which runs until the
+    depth is back to 1.
     """
-    w = Window.partitionBy(file_col).orderBy(line_no)
+    from .util import running_sum
     x = file_lines.withColumn("_net", brace_depth(py_split(F.col(line))))
-    x = x.withColumn("_after", F.sum("_net").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = running_sum(x, file_col, line_no, "_net", "_after")
     x = x.withColumn("_before", F.col("_after") - F.col("_net"))
     start = (F.col("_before") == 1) & (F.col("_net") > 0)
-    x = x.withColumn("method_no", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = running_sum(x, file_col, line_no, start.cast("int"), "method_no")
     inside = (F.col("method_no") > 0) & ((F.col("_before") >= 2) | start)
     return x.where(inside).groupBy(file_col, "method_no").agg(
         F.min(line_no).alias("start_line"), F.max(line_no).alias("end_line"),

@@ -51,3 +51,24 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def running_sum(df: DataFrame, part: str, order: str, value: Column | str, out: str,
+                chunk: int = 4096) -> DataFrame:
+    """Inclusive running sum of ``value`` per ``part`` in ``order`` (an integer
+    position), safe when one ``part`` holds a large share of all rows.
+
+    Two levels: rows are cut into chunks of ``chunk`` positions; sums within a
+    chunk use a window partitioned by (part, chunk), so a hot part spreads over
+    many tasks; chunk totals (``chunk`` times fewer rows) get their prefix
+    offsets per part and are joined back.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    x = df.withColumn("_v", v).withColumn("_chunk", F.floor(F.col(order) / chunk))
+    totals = x.groupBy(part, "_chunk").agg(F.sum("_v").alias("_t"))
+    before = Window.partitionBy(part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(part, "_chunk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_in", F.sum("_v").over(inside))
+    return x.join(offsets, [part, "_chunk"]).withColumn(out, F.col("_off") + F.col("_in")) \
+            .drop("_v", "_chunk", "_in", "_off")

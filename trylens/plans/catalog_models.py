@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import py_split
 from ..operators import labels as L
 from ..operators import models as M
 from ..operators.util import materialize
@@ -91,10 +90,7 @@ _LINE_DOCS = ("d_ldocs", f"""SELECT method_id * 1000 + line_no AS line_key, meth
 
 
 def line_docs(spark, sf_dir):
-    cl = fx.code_lines(spark, sf_dir).withColumn("tokens", py_split(F.col("line")))
-    x = M.context_tokens(cl)
-    return x.select((F.col("method_id") * 1000 + F.col("line_no")).alias("line_key"), "method_id", "line_no",
-                    "split", "label", F.col("features").alias("tokens"))
+    return flows.line_feature_docs(fx.methods(spark, sf_dir))
 
 
 @query("fit_line_classifier", with_fixtures(
@@ -121,8 +117,7 @@ def score_lines(spark, sf_dir):
 def handler_inputs(spark, sf_dir):
     """Fitted line and type models plus the test-split submissions."""
     methods = materialize(fx.methods(spark, sf_dir))
-    lines = fx.code_lines(spark, sf_dir, methods)
-    line_model, type_model = flows.fit_handler_models(methods, lines, fx.class_map(spark))
+    line_model, type_model = flows.fit_handler_models(methods, fx.class_map(spark))
     subs = methods.where(F.col("split") == "test").select("method_id", F.array_join("lines", "\n").alias("code"))
     return subs, line_model, type_model
 

@@ -59,15 +59,19 @@ def task2_sources(methods: DataFrame) -> DataFrame:
 
 # --- online prediction (L5) --------------------------------------------------
 
-def line_feature_docs(code_lines: DataFrame) -> DataFrame:
-    """Per line: line_key, method_id, line_no, tokens (line + previous/next context)."""
-    from ..functions.text import py_split
+def line_feature_docs(methods: DataFrame, lines_col: str = "lines") -> DataFrame:
+    """Per line: line_key, method_id, line_no, tokens (line + previous/next
+    context), plus ``split`` and ``label`` when the input has them."""
     from ..operators import models as M
-    cl = code_lines.withColumn("tokens", py_split(F.col("line")))
-    x = M.context_tokens(cl, tokens="tokens")
-    return x.select((F.col("method_id") * 1000 + F.col("line_no")).alias("line_key"), "method_id", "line_no",
-                    *[c for c in ("split", "label") if c in code_lines.columns],
-                    F.col("features").alias("tokens"))
+    has_labels = "labels" in methods.columns
+    feats = M.context_tokens(F.col(lines_col))
+    zipped = F.arrays_zip(feats.alias("f"), F.col("labels").alias("l")) if has_labels else \
+        F.transform(feats, lambda f: F.struct(f.alias("f")))
+    keep = [c for c in ("split",) if c in methods.columns]
+    x = methods.select("method_id", *keep, F.posexplode(zipped).alias("i", "z"))
+    return x.select((F.col("method_id") * 1000 + F.col("i") + 1).alias("line_key"), "method_id",
+                    (F.col("i") + 1).cast("int").alias("line_no"), *keep,
+                    *([F.col("z.l").alias("label")] if has_labels else []), F.col("z.f").alias("tokens"))
 
 
 def ast_type_docs(methods: DataFrame, label_map: DataFrame) -> DataFrame:
@@ -82,11 +86,11 @@ def ast_type_docs(methods: DataFrame, label_map: DataFrame) -> DataFrame:
     return docs.join(lab.select("method_id", "label"), "method_id")
 
 
-def fit_handler_models(methods: DataFrame, code_lines: DataFrame, label_map: DataFrame):
+def fit_handler_models(methods: DataFrame, label_map: DataFrame):
     """Line model (L3) and type model (L1) from the training split."""
     from ..operators import models as M
     from ..operators.util import materialize
-    lines = materialize(line_feature_docs(code_lines).where(F.col("split") == "train"))
+    lines = materialize(line_feature_docs(methods.where(F.col("split") == "train")))
     line_model = materialize(M.fit_naive_bayes(lines))
     types = materialize(ast_type_docs(methods, label_map).where(F.col("split") == "train"))
     type_model = materialize(M.fit_naive_bayes(types))
@@ -108,9 +112,7 @@ def predict_handlers(submissions: DataFrame, line_model: DataFrame, type_model:
     from ..operators.util import materialize
 
     sub = submissions.select("method_id", "code", F.split("code", "\n", -1).alias("lines"))
-    lines = sub.select("method_id", F.posexplode("lines").alias("i", "line")) \
-               .select("method_id", (F.col("i") + 1).cast("int").alias("line_no"), "line")
-    docs = line_feature_docs(lines)
+    docs = line_feature_docs(sub)
     best = M.class_scores(docs.select("line_key", "tokens"), line_model, key="line_key")
     per_line = docs.select("line_key", "method_id", "line_no").join(best.select("line_key", "class_id"), "line_key")
     preds = per_line.groupBy("method_id").agg(
