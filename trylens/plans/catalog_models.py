@@ -21,32 +21,32 @@ _DOCS = ("d_docs", f"""SELECT d.method_id, m.split, CAST(coalesce(c.class_id, 0)
  LEFT JOIN class_map c ON c.name = ({P7_SQL.replace('tgt', 'm.tgt')})""")
 
 
-def _nb_model_ctes(docs: str, label: str, split_filter: str) -> tuple[tuple[str, str], ...]:
+def _nb_model_ctes(docs: str, label: str, split_filter: str, p: str = "d_") -> tuple[tuple[str, str], ...]:
     return (
-        ("d_cnt", f"SELECT {label} AS class_id, tk AS token, count(*) AS n FROM (SELECT {label}, unnest(toks) AS tk "
-                  f"FROM {docs} WHERE {split_filter}) GROUP BY ALL"),
-        ("d_v", "SELECT count(DISTINCT token) AS v FROM d_cnt"),
-        ("d_cls", f"SELECT c.class_id, c.n_c, d.d_c FROM (SELECT class_id, sum(n) AS n_c FROM d_cnt GROUP BY class_id) c "
-                  f"JOIN (SELECT {label} AS class_id, count(*) AS d_c FROM {docs} WHERE {split_filter} GROUP BY ALL) d "
-                  "ON c.class_id = d.class_id"),
-        ("d_model", "SELECT c.class_id, c.token, ln((c.n + 1.0) / (k.n_c + v.v)) AS log_lik, "
-                    "ln(k.d_c / (SELECT sum(d_c) FROM d_cls)) AS prior, ln(1.0 / (k.n_c + v.v)) AS unseen "
-                    "FROM d_cnt c JOIN d_cls k ON k.class_id = c.class_id, d_v v"),
+        (f"{p}cnt", f"SELECT {label} AS class_id, tk AS token, count(*) AS n FROM (SELECT {label}, unnest(toks) AS tk "
+                    f"FROM {docs} WHERE {split_filter}) GROUP BY ALL"),
+        (f"{p}v", f"SELECT count(DISTINCT token) AS v FROM {p}cnt"),
+        (f"{p}cls", f"SELECT c.class_id, c.n_c, d.d_c FROM (SELECT class_id, sum(n) AS n_c FROM {p}cnt GROUP BY class_id) c "
+                    f"JOIN (SELECT {label} AS class_id, count(*) AS d_c FROM {docs} WHERE {split_filter} GROUP BY ALL) d "
+                    "ON c.class_id = d.class_id"),
+        (f"{p}model", "SELECT c.class_id, c.token, ln((c.n + 1.0) / (k.n_c + v.v)) AS log_lik, "
+                      f"ln(k.d_c / (SELECT sum(d_c) FROM {p}cls)) AS prior, ln(1.0 / (k.n_c + v.v)) AS unseen "
+                      f"FROM {p}cnt c JOIN {p}cls k ON k.class_id = c.class_id, {p}v v"),
     )
 
 
-def _nb_score_ctes(docs: str, key: str, split_filter: str) -> tuple[tuple[str, str], ...]:
+def _nb_score_ctes(docs: str, key: str, split_filter: str, p: str = "d_") -> tuple[tuple[str, str], ...]:
     return (
-        ("d_tf", f"SELECT {key}, token, count(*) AS tf FROM (SELECT {key}, unnest(toks) AS token FROM {docs} "
-                 f"WHERE {split_filter}) GROUP BY ALL"),
-        ("d_known", f"SELECT {key}, sum(tf) AS n_known FROM d_tf WHERE token IN (SELECT token FROM d_model) GROUP BY ALL"),
-        ("d_seen", f"SELECT t.{key}, m.class_id, sum((m.log_lik - m.unseen) * t.tf) AS s FROM d_tf t "
-                   "JOIN d_model m ON m.token = t.token GROUP BY ALL"),
-        ("d_score", f"""SELECT d.{key}, c.class_id, round(c.prior + coalesce(k.n_known, 0) * c.unseen + coalesce(s.s, 0), 6) AS score
- FROM (SELECT {key} FROM {docs} WHERE {split_filter}) d CROSS JOIN (SELECT DISTINCT class_id, prior, unseen FROM d_model) c
- LEFT JOIN d_known k ON k.{key} = d.{key} LEFT JOIN d_seen s ON s.{key} = d.{key} AND s.class_id = c.class_id"""),
-        ("d_best", f"SELECT {key}, arg_max(class_id, struct_pack(s := score, c := -class_id)) AS class_id "
-                   f"FROM d_score GROUP BY {key}"),
+        (f"{p}tf", f"SELECT {key}, token, count(*) AS tf FROM (SELECT {key}, unnest(toks) AS token FROM {docs} "
+                   f"WHERE {split_filter}) GROUP BY ALL"),
+        (f"{p}known", f"SELECT {key}, sum(tf) AS n_known FROM {p}tf WHERE token IN (SELECT token FROM {p}model) GROUP BY ALL"),
+        (f"{p}seen", f"SELECT t.{key}, m.class_id, sum((m.log_lik - m.unseen) * t.tf) AS s FROM {p}tf t "
+                     f"JOIN {p}model m ON m.token = t.token GROUP BY ALL"),
+        (f"{p}score", f"""SELECT d.{key}, c.class_id, round(c.prior + coalesce(k.n_known, 0) * c.unseen + coalesce(s.s, 0), 6) AS score
+ FROM (SELECT {key} FROM {docs} WHERE {split_filter}) d CROSS JOIN (SELECT DISTINCT class_id, prior, unseen FROM {p}model) c
+ LEFT JOIN {p}known k ON k.{key} = d.{key} LEFT JOIN {p}seen s ON s.{key} = d.{key} AND s.class_id = c.class_id"""),
+        (f"{p}best", f"SELECT {key}, arg_max(class_id, struct_pack(s := score, c := -class_id)) AS class_id "
+                     f"FROM {p}score GROUP BY {key}"),
     )
 
 
@@ -83,6 +83,8 @@ def score_exception_type(spark, sf_dir):
     return L.decode_class(best, fx.class_map(spark)).select("method_id", "class_id", "exception")
 
 
+_FUNC_SQL = f"({X.clean_src('src')} || tgt || chr(10) || ' }}')"
+
 _LINE_DOCS = ("d_ldocs", f"""SELECT method_id * 1000 + line_no AS line_key, method_id, line_no, split, label,
  list_concat(t, list_transform(coalesce(lag(t) OVER w, []), lambda x: 'p:' || x),
   list_transform(coalesce(lead(t) OVER w, []), lambda x: 'n:' || x)) AS toks
@@ -122,7 +124,57 @@ def handler_inputs(spark, sf_dir):
     return subs, line_model, type_model
 
 
-@query("predict_handlers")
+def _ast_tokens_sql(func: str) -> str:
+    """A5 + A4 in DuckDB over ``func`` (depth computed inline)."""
+    from .catalog_structure import _depth_sql
+    d = _depth_sql(X.split_ws(func))
+    p1 = f"replace(replace(regexp_replace({func}, '{X.WS}*([().]){X.WS}*', '\\1', 'g'), chr(13), ' '), chr(9), ' ')"
+    repaired = func + " || repeat(' }', " + d + ")"
+    fallback = p1 + " || ' } } }'"
+    return (f"(CASE WHEN {d} BETWEEN 0 AND 2 THEN {X.structural_stream(repaired)} "
+            f"ELSE {X.split_ws(fallback)} END)")
+
+
+def _fb_docs(tokens: str) -> str:
+    ti, ci = X.last_marker(tokens, "TRY"), X.last_marker(tokens, "CatchClause")
+    front, back = X.py_slice(tokens, None, ti), X.py_slice(tokens, ti, ci)
+    return (f"list_concat(list_transform({front}, lambda t: 'f:' || t), "
+            f"list_transform({back}, lambda t: 'b:' || t))")
+
+
+_L5_CTES = (
+    _LINE_DOCS,
+    *_nb_model_ctes("d_ldocs", "label", "split = 'train'", "l_"),
+    *_nb_score_ctes("d_ldocs", "line_key", "split = 'test'", "l_"),
+    ("l5_preds", """SELECT d.method_id, list_slice(list_concat(list(CAST(b.class_id AS INTEGER) ORDER BY d.line_no),
+  list_transform(range(50), lambda z: 0)), 1, 50) AS preds FROM l_best b JOIN d_ldocs d ON d.line_key = b.line_key
+ GROUP BY d.method_id"""),
+    ("l5_span", """SELECT p.method_id, m.lines, p.preds, b AS bg,
+ CASE WHEN b > 0 AND coalesce(list_position(list_slice(p.preds, b + 2, len(p.preds)), 0), 0) > 0
+      THEN b + list_position(list_slice(p.preds, b + 2, len(p.preds)), 0) - 1 ELSE len(p.preds) END AS en
+ FROM (SELECT method_id, preds, coalesce(list_position(preds, 1), 0) - 1 AS b FROM l5_preds) p
+ JOIN methods m ON m.method_id = p.method_id"""),
+    ("l5_try", """SELECT method_id, preds, bg, en, """
+     + X.clean_src(
+         f"array_to_string({X.py_slice('lines', '0', 'bg')}, chr(10)) || chr(10) || 'try {{' || chr(10) || "
+         f"array_to_string({X.py_slice('lines', 'bg', 'en + 1')}, chr(10)) || chr(10) || "
+         f"'}} catch ( Exception e ) {{ }} ' || chr(10) || array_to_string({X.py_slice('lines', 'en + 1', None)}, chr(10))")
+     + " AS func FROM l5_span"),
+    ("l5_tok", f"SELECT method_id, preds, bg, en, {_ast_tokens_sql('func')} AS ast FROM l5_try"),
+    ("l5_tdocs", f"SELECT method_id, 'test' AS split, {_fb_docs('ast')} AS toks FROM l5_tok"),
+    ("t_train", f"""SELECT m.method_id, m.split, CAST(coalesce(c.class_id, 0) AS INTEGER) AS label,
+ {_fb_docs('ast')} AS toks FROM (SELECT method_id, split, tgt, {_ast_tokens_sql(_FUNC_SQL)} AS ast FROM methods) m
+ LEFT JOIN class_map c ON c.name = ({P7_SQL.replace('tgt', 'm.tgt')})"""),
+    *_nb_model_ctes("t_train", "label", "split = 'train'", "t_"),
+    *_nb_score_ctes("l5_tdocs", "method_id", "split = 'test'", "t_"),
+)
+
+
+@query("predict_handlers", with_fixtures(
+    """SELECT k.method_id, CAST(k.bg AS INTEGER) AS exceptionLinesBegin, CAST(k.en AS INTEGER) AS exceptionLinesEnd,
+ coalesce(c.name, 'Exception') AS exceptionType, 0 AS errorCode, array_to_string(k.preds, ',') AS line_predict
+ FROM l5_tok k LEFT JOIN t_best b ON b.method_id = k.method_id LEFT JOIN class_map c ON c.class_id = b.class_id""",
+    "methods", "class_map", ctes=_L5_CTES))
 def predict_handlers(spark, sf_dir):
     subs, line_model, type_model = handler_inputs(spark, sf_dir)
     replies = flows.predict_handlers(subs, line_model, type_model, fx.class_map(spark))

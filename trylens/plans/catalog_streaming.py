@@ -7,7 +7,7 @@ from ..sources.tables import FEEDBACK_SCHEMA
 from ..streaming import handlers as R
 from .catalog_models import handler_inputs
 from .oracle import with_fixtures
-from .registry import query
+from .registry import ORACLE, query
 
 
 @query("stream_feedback_sink", with_fixtures("SELECT * FROM feedback", "feedback"))
@@ -16,7 +16,7 @@ def stream_feedback_sink(spark, sf_dir):
     return R.read_sink(spark, sink, FEEDBACK_SCHEMA)
 
 
-@query("stream_predict_handlers")
+@query("stream_predict_handlers", ORACLE["predict_handlers"])
 def stream_predict_handlers(spark, sf_dir):
     subs, line_model, type_model = handler_inputs(spark, sf_dir)
     sink = R.stream_predict_handlers(spark, subs, line_model, type_model, fx.class_map(spark))

@@ -91,7 +91,11 @@ def repair_unclosed_method(spark, sf_dir):
     return r.select("method_id", "r.depth", "r.parse_ok", "r.code")
 
 
-@query("structural_token_stream")
+@query("structural_token_stream", with_fixtures(
+    f"""SELECT method_id, depth BETWEEN 0 AND 2 AS parse_ok, array_to_string(CASE WHEN depth BETWEEN 0 AND 2
+ THEN {X.structural_stream("func || repeat(' }', depth)")}
+ ELSE {X.split_ws(f"replace(replace(regexp_replace(func, '{X.WS}*([().]){X.WS}*', '\\1', 'g'), chr(13), ' '), chr(9), ' ') || ' }} }} }}'")} END, ' ') AS tokens
+ FROM d_rep""", "methods", ctes=(_D_REPAIR,)))
 def structural_token_stream(spark, sf_dir):
     m = fx.methods(spark, sf_dir)
     func = wrap_full_method(clean_method_source(F.col("src")), F.col("tgt"))

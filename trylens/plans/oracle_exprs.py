@@ -114,3 +114,26 @@ def join_sp(x: str) -> str:
 
 def iv_text(x: str) -> str:
     return f"array_to_string(list_transform({x}, lambda iv: iv.s || '-' || iv.e), ',')"
+
+
+def structural_stream(code: str) -> str:
+    """A4 in DuckDB: token regex, per-token rules with neighbours, flatten, P9."""
+    from ..operators.structure import STRUCT_KEYWORDS, _CONTROL, _TOKEN_RE
+    toks = f"regexp_extract_all({code}, '{_TOKEN_RE}')"
+    prev = "(CASE WHEN i > 1 THEN tl[i - 1] ELSE '' END)"
+    prev2 = "(CASE WHEN i > 2 THEN tl[i - 2] ELSE '' END)"
+    nxt = "coalesce(tl[i + 1], '')"
+    kw = " ".join(f"WHEN tk = '{k}' THEN ['{m}']" for k, m in STRUCT_KEYWORDS.items())
+    control = ", ".join(f"'{c}'" for c in _CONTROL)
+    rule = (f"CASE {kw} "
+            "WHEN starts_with(tk, '\"') THEN list_filter(string_split(replace(tk, '\"', ''), ' '), lambda w: w <> '') "
+            f"WHEN {is_ident('tk')} AND {nxt} = '(' AND tk NOT IN ({control}) THEN ['METHOD', 'INVOCATION', tk] "
+            f"WHEN {is_ident('tk')} AND {nxt} = '.' THEN ['qualifier', tk] "
+            "WHEN tk = '.' THEN []::VARCHAR[] "
+            f"WHEN {is_ident('tk')} AND {is_ident(nxt)} AND {prev} IN ('', '{{', '}}', ';', '(', ',', 'final') "
+            "THEN ['VarDec', tk] "
+            f"WHEN tk = '=' AND {is_ident(prev)} AND {is_ident(prev2)} THEN ['initializer'] "
+            "ELSE [tk] END")
+    flat = f"(SELECT flatten(list_transform(tl, lambda tk, i: {rule})) FROM (SELECT {toks} AS tl))"
+    return (f"flatten(list_transform({flat}, lambda t: CASE WHEN length(t) > 2 "
+            "THEN regexp_extract_all(t, '(\\w+|[.])') ELSE [t] END))")
