@@ -211,5 +211,10 @@ def fit_mllib_baseline(spark, sf_dir):
                .withColumnRenamed("method_id", "id")
     from ..operators import ranking as K
     top = G.topn_accuracy(K.true_class_rank(long))
-    one = F.lit(1)
-    return acc.withColumn("_k", one).join(prf.withColumn("_k", one), "_k").join(top.withColumn("_k", one), "_k").drop("_k")
+    # one row per metric (each source is a one-row aggregate)
+    parts = [d.select(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+             for d in (acc, prf, top) for c in d.columns]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_method_source, py_split, wrap_full_method
@@ -140,18 +139,17 @@ def split_front_back_at_catch(spark, sf_dir):
 
 def class_files(spark, sf_dir):
     """Files of up to three consecutive balanced methods (``method_id div 3``)
-    under a ``class C {`` header and a ``}`` footer: file_id, line_no, line."""
+    under a ``class C {`` header and a ``}`` footer: file_id, line_no, line.
+
+    One shuffle (group by file); lines are numbered by position in the file's
+    array, and the result stays partitioned by file_id."""
     m = fx.methods(spark, sf_dir).where(A.method_is_balanced(F.col("src")))
-    m = m.withColumn("file_id", F.floor(F.col("method_id") / 3).cast("long"))
-    body = m.select("file_id", "method_id", F.posexplode("lines").alias("ln", "line"))
-    ends = m.groupBy("file_id").agg(F.min("method_id").alias("lo"), F.max("method_id").alias("hi"))
-    head = ends.select("file_id", (F.col("lo") - 1).alias("method_id"), F.lit(0).alias("ln"),
-                       F.lit("class C {").alias("line"))
-    foot = ends.select("file_id", (F.col("hi") + 1).alias("method_id"), F.lit(0).alias("ln"),
-                       F.lit("}").alias("line"))
-    allx = body.unionByName(head).unionByName(foot)
-    w = Window.partitionBy("file_id").orderBy("method_id", "ln")
-    return allx.select("file_id", F.row_number().over(w).alias("line_no"), "line")
+    g = m.groupBy(F.floor(F.col("method_id") / 3).cast("long").alias("file_id")).agg(
+        F.array_sort(F.collect_list(F.struct("method_id", "lines"))).alias("ms"))
+    lines = F.concat(F.array(F.lit("class C {")), F.flatten(F.transform("ms", lambda x: x["lines"])),
+                     F.array(F.lit("}")))
+    x = g.select("file_id", F.posexplode(lines).alias("i", "line"))
+    return x.select("file_id", (F.col("i") + 1).cast("int").alias("line_no"), "line")
 
 
 _FILES = ("d_files", f"""SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY k1, k2) AS BIGINT) AS line_no, line FROM (
@@ -167,7 +165,8 @@ _FILE_M = ("d_fm", """SELECT *, sum(CASE WHEN before_d = 1 AND net > 0 THEN 1 EL
 
 
 @query("extract_methods", with_fixtures(
-    "SELECT file_id, method_no, min(line_no) AS start_line, max(line_no) AS end_line, count(*) AS n_lines "
+    "SELECT file_id, CAST(method_no AS BIGINT) AS method_no, CAST(min(line_no) AS INTEGER) AS start_line, "
+    "CAST(max(line_no) AS INTEGER) AS end_line, count(*) AS n_lines "
     "FROM d_fm WHERE method_no > 0 AND (before_d >= 2 OR (before_d = 1 AND net > 0)) GROUP BY file_id, method_no",
     "methods", ctes=(_FILES, _FILE_DEPTH, _FILE_M)))
 def extract_methods(spark, sf_dir):
