@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
-from tools.oracle_check import rows_of
+from tools.oracle_check import rows_of, type_mismatches
 
 ORACLE = entry.oracle_sql()
 
@@ -17,13 +17,14 @@ def test_matches_duckdb(spark, duck, name):
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
+    assert type_mismatches(df, res) == []
     assert rows_of(df.columns, s_rows) == rows_of(d_cols, d_rows)
 
 
 def test_every_query_registered_runs_or_has_oracle():
     qs = entry.queries()
     assert set(ORACLE) <= set(qs)
-    assert len(qs) >= 80
+    assert len(qs) >= 85 and len(ORACLE) >= 83
 
 
 def test_entry_smoke(spark):
