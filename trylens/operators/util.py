@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
 
 # A side is broadcast only when its row count is known to be at most this.
 BROADCAST_MAX_ROWS = 1_000_000
@@ -43,14 +42,19 @@ def with_position(df: DataFrame, order: list[Column | str], name: str = "pos") -
         *[F.col(c) for c in df.columns], (F.col("_off") + local).cast("long").alias(name))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage when one intermediate feeds several consumers.
 
-    ``DataFrame.checkpoint`` writes to the shared ``spark.checkpoint.dir``
-    (reliable storage, survives executor loss), never to executor-local disk.
+    Writes ``df`` once as a parquet table under the shared
+    ``spark.checkpoint.dir`` root (reliable storage, survives executor loss)
+    and reads it back.  One job computes the input; ``DataFrame.checkpoint``
+    would compute it twice (count, then the checkpoint write) unless cached.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from ..session import shared_path
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def running_sum(df: DataFrame, part: str, order: str, value: Column | str, out: str,

@@ -34,7 +34,9 @@ def task1_corpus(methods: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
     x = x.where(F.size("m") > 0)
     texts = pad_to(F.transform("m", lambda g: g["text"]), line_limit, PAD_LINE)
     labels = pad_to(F.transform("m", lambda g: g["label"]), line_limit, 0)
-    cleaned = F.transform(texts, lambda ln: rename_declared_variables(py_strip(ln)))
+    # strip + rename leave a [PAD] line unchanged, so filler lines skip the work
+    cleaned = F.transform(texts, lambda ln: F.when(ln == PAD_LINE, ln).otherwise(
+        rename_declared_variables(py_strip(ln))))
     return x.select("method_id", "split", F.size("m").alias("lines_count"),
                     cleaned.alias("lines"), labels.alias("labels"))
 
