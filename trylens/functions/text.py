@@ -80,11 +80,20 @@ def extract_exception_types(tgt: Column, unicode: bool = False) -> Column:
     return F.when(group == "", F.lit("Exception")).otherwise(joined)
 
 
+_WORD_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
+
+
 def resplit_tokens(tokens: Column) -> Column:
-    """A token longer than 2 characters becomes its ``\\w+`` / ``.`` pieces."""
-    return F.flatten(F.transform(tokens, lambda t: F.when(
-        F.length(t) > 2, F.regexp_extract_all(t, F.lit(r"(\w+|[.])"), 1)
-    ).otherwise(F.array(t))))
+    """A token longer than 2 characters becomes its ``\\w+`` / ``.`` pieces.
+
+    A token made only of ASCII word characters is its own single piece, so
+    it skips the regex (``translate`` deletes word characters; empty = pure).
+    """
+    def one(t):
+        pure = F.translate(t, _WORD_CHARS, "") == ""
+        return F.when((F.length(t) > 2) & ~pure, F.regexp_extract_all(t, F.lit(r"(\w+|[.])"), 1)) \
+                .otherwise(F.array(t))
+    return F.flatten(F.transform(tokens, one))
 
 
 def cut_chars(c: Column, max_len: int) -> Column:
