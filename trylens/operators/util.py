@@ -24,16 +24,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
 def with_position(df: DataFrame, order: list[Column | str], name: str = "pos") -> DataFrame:
     """Attach a 0-based global position in ``order`` without a one-partition window.
 
-    The sort range-partitions the rows; each row gets its partition id and its
-    index inside the partition (``monotonically_increasing_id`` keeps the
-    partition id in the upper bits); the per-partition row counts (one row per
-    partition, so their size is bounded by the partition count) give prefix
-    offsets that are broadcast back.  Both branches read the same sort
-    exchange, which Spark reuses.  ``order`` must be a total order.
+    The sort range-partitions the rows; each row records its partition id and
+    its index inside the partition (``monotonically_increasing_id`` keeps the
+    partition id in the upper bits) and the result is written once, so the
+    ids are fixed facts of the table, whatever later plans do.  Per-partition
+    row counts (one row per partition, bounded by the partition count) give
+    prefix offsets that are broadcast back.  ``order`` must be a total order.
     """
-    x = (df.orderBy(*order)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
+    x = materialize(df.orderBy(*order)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()), "positions")
     sizes = x.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
