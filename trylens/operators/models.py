@@ -55,15 +55,17 @@ def fit_naive_bayes(docs: DataFrame, label: str = "label", tokens: str = "tokens
         "prior", "unseen")
 
 
-def _token_join(occ: DataFrame, table: DataFrame, salts: int) -> DataFrame:
+def _token_join(occ: DataFrame, table: DataFrame, salts: int,
+                max_broadcast_rows: int | None = None) -> DataFrame:
     """Left join of token occurrences to a token-keyed table.
 
     Broadcast when ``table`` has at most BROADCAST_MAX_ROWS rows (checked);
     otherwise a salted sort-merge join: each table row is replicated
     ``salts`` times and each occurrence picks one copy, so a token that occurs
     in every document is spread over ``salts`` tasks."""
-    n = table.limit(BROADCAST_MAX_ROWS + 1).count()
-    if n <= BROADCAST_MAX_ROWS:
+    bound = BROADCAST_MAX_ROWS if max_broadcast_rows is None else max_broadcast_rows
+    n = table.limit(bound + 1).count()
+    if n <= bound:
         return occ.join(F.broadcast(table), "token", "left")
     o = occ.withColumn("_salt", F.pmod(F.xxhash64(*occ.columns, F.rand(7)), F.lit(salts)))
     t = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -71,7 +73,7 @@ def _token_join(occ: DataFrame, table: DataFrame, salts: int) -> DataFrame:
 
 
 def class_scores(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str = "tokens",
-                 salts: int = 64) -> DataFrame:
+                 salts: int = 64, max_broadcast_rows: int | None = None) -> DataFrame:
     """L2/L4 score: (key, scores array<struct<class_id, score>>, class_id = argmax).
 
     One left join of token occurrences against the model (plus one
@@ -84,7 +86,7 @@ def class_scores(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str
     ext = model.select("token", "class_id", (F.col("log_lik") - F.col("unseen")).alias("d")).unionByName(
         model.select("token").distinct().select("token", F.lit(-1).alias("class_id"), F.lit(0.0).alias("d")))
     occ = docs.select(key, F.explode_outer(tokens).alias("token"))
-    j = _token_join(occ, ext, salts)
+    j = _token_join(occ, ext, salts, max_broadcast_rows)
     per_class = j.groupBy(key, "class_id").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
     per_key = per_class.groupBy(key).agg(
         F.coalesce(F.max(F.when(F.col("class_id") == -1, F.col("n"))), F.lit(0)).alias("n_known"),
