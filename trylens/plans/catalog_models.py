@@ -182,7 +182,17 @@ def predict_handlers(spark, sf_dir):
                           "errorCode", "line_predict")
 
 
-@query("score_with_external_model")
+def _l6_sql() -> str:
+    from .catalog_encode import _T2_MARK, _T2_VOCAB, _framed, _t2_ids
+    body = f"""SELECT method_id, CAST(arg_max(c, struct_pack(s := s, nc := -c)) AS INTEGER) AS class_id FROM (
+ SELECT method_id, c, sum(CASE WHEN id % 4096 = 0 THEN 0 ELSE ((id % 4096) * 7919 + c * 104729) % 101 - 50 END) AS s
+ FROM (SELECT f.method_id, unnest(list_concat({_framed('f.ids', 256)}, {_framed('b.ids', 256)})) AS id
+       FROM d_t2front f JOIN d_t2back b USING (method_id)), range(10) r(c)
+ GROUP BY method_id, c) GROUP BY method_id"""
+    return with_fixtures(body, "methods", ctes=(_T2_MARK, _T2_VOCAB, _t2_ids("front"), _t2_ids("back")))
+
+
+@query("score_with_external_model", _l6_sql())
 def score_with_external_model(spark, sf_dir):
     from ..operators import encode as E
     from ..operators.external import hashed_linear_model, score_with_external_model as score
