@@ -137,8 +137,17 @@ def backward_slice_mask(front: Column, back: Column) -> Column:
             first = F.try_element_at(stmts, F.lit(1))
             all_kept = F.when((F.size(stmts) > 0) & ~F.array_contains(kept, first),
                               F.concat(kept, F.array(first))).otherwise(kept)
-            return let(all_kept, lambda ks: F.transform(front, lambda _t, k: F.when(
-                F.exists(ks, lambda iv: (iv["s"] <= k) & (k < iv["e"])), 1).otherwise(0)))
+            # Statements tile front from index 0 without gaps, so the mask is
+            # built statement by statement: a kept one gives 1s then a 0 for
+            # its terminator, others 0s; tokens after the last one are 0.
+            def piece(ks):
+                parts = F.transform(stmts, lambda st: F.when(
+                    F.array_contains(ks, st),
+                    F.concat(F.array_repeat(F.lit(1), st["e"] - st["s"]), F.array(F.lit(0))))
+                    .otherwise(F.array_repeat(F.lit(0), st["e"] - st["s"] + 1)))
+                covered = F.coalesce(F.try_element_at(stmts, F.lit(-1))["e"] + 1, F.lit(0))
+                return F.concat(F.flatten(parts), F.array_repeat(F.lit(0), F.size(front) - covered))
+            return let(all_kept, piece)
         return let(_kept_statements(front, idf, stmts, slice_seeds(back)), with_kept)
 
     return let(F.transform(front, is_identifier), lambda idf: let(

@@ -66,7 +66,7 @@ def true_class_rank(df: DataFrame, id_col: str = "id", score_col: str = "logit",
 def _rank_in(scores: Column, label: Column) -> Column:
     from ..functions.arrays import let
     own = F.filter(scores, lambda x: x["c"] == label)
-    return let(own[0]["s"], lambda t: F.size(F.filter(
+    return let(F.try_element_at(own, F.lit(1))["s"], lambda t: F.size(F.filter(
         scores, lambda x: (x["s"] > t) | ((x["s"] == t) & (x["c"] < label)))) + 1)
 
 
