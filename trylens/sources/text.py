@@ -1,18 +1,17 @@
 """Line-oriented text sources and sinks.
 
 The reference pairs files only by line position.  Positional reads list the
-part files of a path in name order and number lines with ``zipWithIndex``
-over a Hadoop text scan, whose splits keep file order; pairing is then an
-equi-join on the position (a sort-merge join, no broadcast).
+part files of a path in name order and number lines from the text scan's
+file/split metadata (no Python per line); pairing is then an equi-join on
+the position (a sort-merge join, no broadcast).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import py_strip
 from ..session import shared_path
@@ -40,16 +39,29 @@ def _part_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(names)
 
 
-POSITIONAL_SCHEMA = T.StructType([T.StructField("pos", T.LongType(), False),
-                                  T.StructField("value", T.StringType(), True)])
-
-
 def read_positional(spark: SparkSession, path: str, col: str = "value") -> DataFrame:
     """Lines of a text file (or of a directory's part files in name order)
-    with their 0-based position: ``pos``, ``col``."""
+    with their 0-based position: ``pos``, ``col``.
+
+    JVM only: the text scan's hidden ``_metadata`` columns give each line's
+    file and split; ``monotonically_increasing_id`` gives its order inside the
+    scan partition.  The scan is written once so these ids are fixed; then
+    per-split line counts (one row per split, bounded by input size / split
+    size) give prefix offsets in (file name, split start) order.
+    """
+    from ..operators.util import materialize
     files = _part_files(spark, path)
-    rdd = spark.sparkContext.textFile(",".join(files)).zipWithIndex().map(lambda lv: (lv[1], lv[0]))
-    return spark.createDataFrame(rdd, POSITIONAL_SCHEMA).withColumnRenamed("value", col)
+    scan = spark.read.text(files).select(
+        F.col("value").alias(col),
+        F.col("_metadata.file_path").alias("_f"),
+        F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_mid"))
+    x = materialize(scan, "lines")
+    blocks = x.groupBy("_f", "_b").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_f", "_b", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return x.join(F.broadcast(offsets), ["_f", "_b"]).select(
+        (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long").alias("pos"), col)
 
 
 def positional_join(frames: list[DataFrame], how: str = "inner") -> DataFrame:
