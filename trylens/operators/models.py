@@ -40,8 +40,10 @@ def fit_naive_bayes(docs: DataFrame, label: str = "label", tokens: str = "tokens
     Two scalars (vocabulary size, document count) are computed as actions;
     the per-class table has one row per class and is broadcast.
     """
+    from .util import materialize
     tok = docs.select(F.col(label).alias("class_id"), F.explode(tokens).alias("token"))
-    counts = tok.groupBy("class_id", "token").agg(F.count("*").alias("n"))
+    # written once: both the vocabulary size and the model read the counts
+    counts = materialize(tok.groupBy("class_id", "token").agg(F.count("*").alias("n")), "nb_counts")
     v = counts.select("token").distinct().count()
     totals = counts.groupBy("class_id").agg(F.sum("n").alias("n_c"))
     docs_per = docs.groupBy(F.col(label).alias("class_id")).agg(F.count("*").alias("d_c"))

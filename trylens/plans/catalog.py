@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import catalog_clean, catalog_labels, catalog_metrics, catalog_slicing, catalog_structure, catalog_encode, catalog_sources, catalog_models, catalog_streaming  # noqa: F401
+from . import (  # noqa: F401  (imported for their registrations)
+    catalog_clean,
+    catalog_encode,
+    catalog_labels,
+    catalog_metrics,
+    catalog_models,
+    catalog_slicing,
+    catalog_sources,
+    catalog_streaming,
+    catalog_structure,
+)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_method_source, py_split, wrap_full_method
+from ..functions.text import clean_method_source, wrap_full_method
 from ..operators import structure as A
 from ..sources import fixtures as fx
 from . import oracle_exprs as X
@@ -188,5 +188,3 @@ def drop_unparsed_methods(spark, sf_dir):
     return m.select("method_id", (ok & (n > 0)).alias("kept"),
                     F.when(~ok, "unbalanced").when(n == 0, "empty").otherwise("ok").alias("reason"))
 
-
-__all__ = ["py_split"]
