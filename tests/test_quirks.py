@@ -152,3 +152,20 @@ def test_insert_try_block_negative_begin(spark):
     c = SP.insert_try_block(F.col("l"), F.lit(-1), F.lit(3))
     r = one(spark, c, [(["a", "b", "c"],)], "l array<string>")[0]["r"]
     assert r == "a\nb\ntry {\nc\n} catch ( Exception e ) { } \n"
+
+
+def test_exception_types_unicode_option(spark):
+    tgt = "catch ( ÜberException e ) { }"
+    ascii_ = one(spark, text.extract_exception_types(F.col("t")), [(tgt,)], "t string")[0]["r"]
+    uni = one(spark, text.extract_exception_types(F.col("t"), unicode=True), [(tgt,)], "t string")[0]["r"]
+    assert (ascii_, uni) == ("Exception", "ÜberException")
+
+
+def test_exact_match_within_lines_count(spark):
+    # method 1 differs only after its lines_count (2), so it matches within but not overall
+    rows = [(1, 1, 0, 0, 2), (1, 2, 1, 1, 2), (1, 3, 0, 1, 2), (2, 1, 1, 0, 3)]
+    df = spark.createDataFrame(rows, "method_id long, line_no int, label int, pred int, lc int")
+    st = G.per_method_line_stats(df, lines_count="lc")
+    within = G.exact_match_rate(st, "match_within").collect()[0]
+    padded = G.exact_match_rate(st, "match_all").collect()[0]
+    assert (within["hits"], padded["hits"], within["total"]) == (1, 0, 2)
