@@ -34,6 +34,16 @@ def _per_class(df: DataFrame, label: str, pred: str, group: tuple[str, ...]) ->
         F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
 
 
+def _weighted_aggs() -> list[Column]:
+    prec = _ratio(F.col("tp"), F.col("predicted"), 1.0)
+    rec = _ratio(F.col("tp"), F.col("support"), 1.0)
+    f1 = _ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"), 1.0)
+    total = F.sum("support")
+    return [(F.sum(prec * F.col("support")) / total).alias("precision"),
+            (F.sum(rec * F.col("support")) / total).alias("recall"),
+            (F.sum(f1 * F.col("support")) / total).alias("f1")]
+
+
 def weighted_precision_recall_f1(df: DataFrame, label: str = "label", pred: str = "pred",
                                  group: tuple[str, ...] = ()) -> DataFrame:
     """Support-weighted precision, recall and F1, ``zero_division=1``.
@@ -41,23 +51,17 @@ def weighted_precision_recall_f1(df: DataFrame, label: str = "label", pred: str
     A class that is never predicted has precision 1; its F1 is 2tp/(support +
     predicted) = 0.  MLlib's evaluator uses 0 there, so this is plain SQL.
     """
-    pc = _per_class(df, label, pred, group)
-    prec = _ratio(F.col("tp"), F.col("predicted"), 1.0)
-    rec = _ratio(F.col("tp"), F.col("support"), 1.0)
-    f1 = _ratio(2 * F.col("tp"), F.col("support") + F.col("predicted"), 1.0)
-    total = F.sum("support")
-    return pc.groupBy(*group).agg(
-        (F.sum(prec * F.col("support")) / total).alias("precision"),
-        (F.sum(rec * F.col("support")) / total).alias("recall"),
-        (F.sum(f1 * F.col("support")) / total).alias("f1"))
+    return _per_class(df, label, pred, group).groupBy(*group).agg(*_weighted_aggs())
 
 
 def epoch_validation_report(df: DataFrame, label: str = "label", pred: str = "pred",
                             epoch: str = "epoch") -> DataFrame:
-    """Accuracy + weighted precision/recall/F1 per epoch, one row each."""
-    acc = classification_accuracy(df, label, pred, (epoch,))
-    prf = weighted_precision_recall_f1(df, label, pred, (epoch,))
-    return acc.join(prf, epoch)
+    """Accuracy + weighted precision/recall/F1 per epoch, one row each.
+
+    Accuracy is sum(tp) / sum(support) of the same per-class table, so one
+    aggregation chain serves all four metrics."""
+    pc = _per_class(df, label, pred, (epoch,))
+    return pc.groupBy(epoch).agg((F.sum("tp") / F.sum("support")).alias("accuracy"), *_weighted_aggs())
 
 
 def line_precision_recall_f1(lines: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
