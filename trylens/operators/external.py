@@ -50,7 +50,7 @@ def score_with_external_model(df: DataFrame, ids_col: str, length: int, make_pre
 
 
 def fit_mllib_baseline(train: DataFrame, tokens: str = "tokens", label: str = "label",
-                       num_features: int = 1 << 18, max_iter: int = 30):
+                       num_features: int = 1 << 16, max_iter: int = 20):
     """HashingTF then multinomial LogisticRegression, fitted as one MLlib ``Pipeline``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
