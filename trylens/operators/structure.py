@@ -125,15 +125,14 @@ def structural_token_stream(code: Column) -> Column:
     and are split on spaces; brackets and other tokens are kept.
     """
     toks = F.regexp_extract_all(code, F.lit(_TOKEN_RE), 0)
-    none = F.lit(-(1 << 30))  # an index that is out of range, so try_element_at gives null
 
-    def body(t, idf):
+    def body(t, tp, idp):
+        # tp = ['', *t, ''] and idp = [F, F, *identifier flags, F]: neighbours
+        # of token i are plain in-bounds lookups.
         def one(tok, i):
-            def at(arr, k, default):
-                return F.coalesce(F.try_element_at(arr, F.when(k >= 1, k).otherwise(none)), default)
-            prev, nxt = at(t, i, F.lit("")), at(t, i + 2, F.lit(""))
-            ident, prev_id = F.element_at(idf, i + 1), at(idf, i, F.lit(False))
-            prev2_id, nxt_id = at(idf, i - 1, F.lit(False)), at(idf, i + 2, F.lit(False))
+            prev, nxt = F.element_at(tp, i + 1), F.element_at(tp, i + 3)
+            prev2_id, prev_id = F.element_at(idp, i + 1), F.element_at(idp, i + 2)
+            ident, nxt_id = F.element_at(idp, i + 3), F.element_at(idp, i + 4)
             kw = None
             for k, m in STRUCT_KEYWORDS.items():
                 kw = F.when(tok == k, F.array(F.lit(m))) if kw is None else kw.when(tok == k, F.array(F.lit(m)))
@@ -149,7 +148,12 @@ def structural_token_stream(code: Column) -> Column:
                     .when((tok == "=") & prev_id & prev2_id, F.array(F.lit("initializer")))
                     .otherwise(F.array(tok)))
         return resplit_tokens(F.flatten(F.transform(t, one)))
-    return let(toks, lambda t: let(F.transform(t, is_identifier), lambda idf: body(t, idf)))
+
+    def padded(t):
+        tp = F.concat(F.array(F.lit("")), t, F.array(F.lit("")))
+        idp = F.concat(F.array(F.lit(False), F.lit(False)), F.transform(t, is_identifier), F.array(F.lit(False)))
+        return let(tp, lambda tp_: let(idp, lambda idp_: body(t, tp_, idp_)))
+    return let(toks, padded)
 
 
 def marker_tokens(src: Column, tgt: Column) -> Column:
