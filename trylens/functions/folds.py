@@ -109,19 +109,30 @@ def _kept_statements(front: Column, idf: Column, stmts: Column, seeds: Column) -
 
     def step(acc, st):
         s0, ln = st["s"], st["e"] - st["s"] + 1
-        toks = F.slice(front, s0 + 1, ln)
-        ids = F.slice(idf, s0 + 1, ln)
-        eq = F.array_position(toks, "=").cast("int")          # 1-based, 0 = none
-        head_n = F.when(eq > 0, eq - 1).otherwise(F.size(toks))
-        depend = F.exists(F.slice(F.arrays_zip(toks.alias("t"), ids.alias("d")), 1, head_n),
-                          lambda x: x["d"] & F.array_contains(acc["seeds"], x["t"]))
-        # After the '=', identifiers at statement index i become seeds when
-        # front[i + 1] (an index into the whole front) is not '('.
-        grown = F.filter(toks, lambda t, i: (i >= eq - 1) & F.element_at(ids, i + 1)
-                         & (i < n_front - 1) & (F.try_element_at(front, i + 2) != "("))
-        seeds2 = F.when(depend & (eq > 0), F.array_union(acc["seeds"], grown)).otherwise(acc["seeds"])
-        kept2 = F.when(depend, F.concat(acc["kept"], F.array(st))).otherwise(acc["kept"])
-        return F.struct(seeds2.alias("seeds"), kept2.alias("kept"))
+        # Lambdas get no common-subexpression elimination, so the statement
+        # slice, the '=' position and the dependency test are bound once.
+        sl = F.struct(F.slice(front, s0 + 1, ln).alias("t"), F.slice(idf, s0 + 1, ln).alias("d"))
+
+        def with_slice(x):
+            toks, ids = x["t"], x["d"]
+
+            def with_eq(eq):                       # 1-based, 0 = none
+                head_n = F.when(eq > 0, eq - 1).otherwise(F.size(toks))
+                depend = F.exists(F.slice(F.arrays_zip(toks.alias("t"), ids.alias("d")), 1, head_n),
+                                  lambda z: z["d"] & F.array_contains(acc["seeds"], z["t"]))
+
+                def with_depend(dep):
+                    # After the '=', identifiers at statement index i become
+                    # seeds when front[i + 1] (an index into the whole front)
+                    # is not '('.
+                    grown = F.filter(toks, lambda t, i: (i >= eq - 1) & F.element_at(ids, i + 1)
+                                     & (i < n_front - 1) & (F.try_element_at(front, i + 2) != "("))
+                    seeds2 = F.when(dep & (eq > 0), F.array_union(acc["seeds"], grown)).otherwise(acc["seeds"])
+                    kept2 = F.when(dep, F.concat(acc["kept"], F.array(st))).otherwise(acc["kept"])
+                    return F.struct(seeds2.alias("seeds"), kept2.alias("kept"))
+                return let(depend, with_depend)
+            return let(F.array_position(toks, "=").cast("int"), with_eq)
+        return let(sl, with_slice)
 
     return F.aggregate(F.reverse(stmts), init, step, lambda acc: acc["kept"])
 
