@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let, py_slice
 
 
-def find_predicted_span(preds: Column, fix_line0: bool = False) -> Column:
+def find_predicted_span(preds: Column, closed_runs: bool = False, fix_line0: bool | None = None) -> Column:
     """0/1 line predictions -> struct(begin, end).
 
     begin = index of the first 1 (-1 if none).  end = index before the first 0
     after begin, but only when begin > 0: a run that starts at line 0 never
     closes (the reference tests ``begin > 0``).  No closing 0 -> end = len.
-    ``fix_line0=True`` closes runs that start at line 0 as well.
+    ``closed_runs=True`` (alias ``fix_line0``) closes runs that start at
+    line 0 as well; off by default so results match the reference.
     """
+    if fix_line0 is not None:
+        closed_runs = fix_line0
     def body(p):
         begin = (F.array_position(p, 1) - 1).cast("int")
         rest = F.slice(p, begin + 2, F.greatest(F.size(p) - begin - 1, F.lit(0)))
         k = F.when(begin >= 0, F.array_position(rest, 0)).otherwise(F.lit(0)).cast("int")
-        opens = (begin >= 0) if fix_line0 else (begin > 0)
+        opens = (begin >= 0) if closed_runs else (begin > 0)
         end = F.when(opens & (k > 0), begin + k - 1).otherwise(F.size(p))
         return F.struct(begin.alias("begin"), end.cast("int").alias("end"))
     return let(preds, body)
