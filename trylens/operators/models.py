@@ -69,7 +69,9 @@ def _token_join(occ: DataFrame, table: DataFrame, salts: int,
     n = table.limit(bound + 1).count()
     if n <= bound:
         return occ.join(F.broadcast(table), "token", "left")
-    o = occ.withColumn("_salt", F.pmod(F.xxhash64(*occ.columns, F.rand(7)), F.lit(salts)))
+    # deterministic salt (hash of the occurrence's own columns): a retried task
+    # routes every row exactly as the first attempt did
+    o = occ.withColumn("_salt", F.pmod(F.xxhash64(*occ.columns), F.lit(salts)))
     t = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return o.join(t, ["token", "_salt"], "left").drop("_salt")
 
