@@ -17,10 +17,6 @@ from .arrays import let
 from .java import QUOTES, TERMINATORS, is_identifier
 
 
-def _indexed(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-
-
 def _next_quote(q: Column, t: Column) -> Column:
     """Quote state after token ``t`` ('' = outside quotes)."""
     return (F.when(~t.isin(*QUOTES), q)
@@ -30,16 +26,19 @@ def _next_quote(q: Column, t: Column) -> Column:
 
 
 def last_marker_index(tokens: Column, marker: str) -> Column:
-    """0-based index of the last ``marker`` outside quotes; -1 if none."""
-    init = F.struct(F.lit("").alias("q"), F.lit(-1).alias("idx"))
+    """0-based index of the last ``marker`` outside quotes; -1 if none.
+
+    The running index is part of the fold state (no indexed copy of the array)."""
+    init = F.struct(F.lit("").alias("q"), F.lit(-1).alias("idx"), F.lit(0).alias("i"))
 
-    def step(acc, x):
-        hit = (x["t"] == marker) & (acc["q"] == "")
+    def step(acc, t):
+        hit = (t == marker) & (acc["q"] == "")
         return F.struct(
-            F.when(hit, acc["q"]).otherwise(_next_quote(acc["q"], x["t"])).alias("q"),
-            F.when(hit, x["i"]).otherwise(acc["idx"]).alias("idx"))
+            F.when(hit, acc["q"]).otherwise(_next_quote(acc["q"], t)).alias("q"),
+            F.when(hit, acc["i"]).otherwise(acc["idx"]).alias("idx"),
+            (acc["i"] + 1).alias("i"))
 
-    return F.aggregate(_indexed(tokens), init, step, lambda acc: acc["idx"])
+    return F.aggregate(tokens, init, step, lambda acc: acc["idx"])
 
 
 def brace_depth(tokens: Column) -> Column:
@@ -62,18 +61,19 @@ def segment_statements(tokens: Column) -> Column:
     ``)`` clears it.  A trailing run with no terminator is not a statement.
     """
     init = F.struct(F.lit("").alias("q"), F.lit(False).alias("par"),
-                    F.array().cast("array<int>").alias("ends"))
+                    F.array().cast("array<int>").alias("ends"), F.lit(0).alias("i"))
 
-    def step(acc, x):
-        t, i, q = x["t"], x["i"], acc["q"]
-        is_quote = t.isin(*QUOTES)
-        free = (~is_quote) & (q == "")
+    def step(acc, t):
+        q = acc["q"]
+        free = (~t.isin(*QUOTES)) & (q == "")
         close = free & t.isin(*TERMINATORS) & ~acc["par"]
-        par = (F.when(free & ~close & (t == "("), F.lit(True))
-               .when(free & ~close & (t == ")"), F.lit(False))
+        par = (F.when(close, acc["par"])
+               .when(free & (t == "("), F.lit(True))
+               .when(free & (t == ")"), F.lit(False))
                .otherwise(acc["par"]))
-        ends = F.when(close, F.concat(acc["ends"], F.array(i))).otherwise(acc["ends"])
-        return F.struct(_next_quote(q, t).alias("q"), par.alias("par"), ends.alias("ends"))
+        ends = F.when(close, F.concat(acc["ends"], F.array(acc["i"]))).otherwise(acc["ends"])
+        return F.struct(_next_quote(q, t).alias("q"), par.alias("par"), ends.alias("ends"),
+                        (acc["i"] + 1).alias("i"))
 
     def finish(acc):
         ends = acc["ends"]
@@ -81,7 +81,7 @@ def segment_statements(tokens: Column) -> Column:
             F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, k) + 1).alias("s"),
             e.alias("e")))
 
-    return F.aggregate(_indexed(tokens), init, step, finish)
+    return F.aggregate(tokens, init, step, finish)
 
 
 def slice_seeds(back: Column) -> Column:
