@@ -19,39 +19,54 @@ from ..functions.folds import brace_depth, last_marker_index
 from ..functions.java import is_identifier
 from ..functions.text import normalize_code_whitespace, py_split, py_strip, resplit_tokens
 
-# Line-kind rules: (regex on the stripped line without leading '}', tag).
-# First match wins; the first and last line of a method are handled before.
+# Line-kind rules (ours), applied to the stripped line without leading '}'
+# tokens; first match wins, after "last line" and "first line".  ``word``
+# rules test the line's first word (its leading \w+ run); ``word{`` also
+# needs the line to end with '{'; ``regex`` and ``contains`` test the line.
 LINE_KIND_RULES = (
-    (r"^try\b", "TryStatement"),
-    (r"^catch\b", "CatchClause"),
-    (r"^(if|for|while|do|else)\b.*\{$", "BlockStatement"),
-    (r"^if\b", "IfStatement"),
-    (r"^for\b", "ForStatement"),
-    (r"^while\b", "WhileStatement"),
-    (r"^do\b", "DoStatement"),
-    (r"^switch\b", "SwitchStatement"),
-    (r"^(case|default)\b", "SwitchStatementCase"),
-    (r"^return\b", "ReturnStatement"),
-    (r"^throw\b", "ThrowStatement"),
-    (r"^break\b", "BreakStatement"),
-    (r"^continue\b", "ContinueStatement"),
-    (r"^synchronized\b", "SynchronizedStatement"),
-    (r"^(final\s+)?[A-Za-z_][\w.]*(\s*<[^=;]*>)?(\s*\[\s*\])*\s+[A-Za-z_]\w*\s*(=|;|,)",
+    ("word", ("try",), "TryStatement"),
+    ("word", ("catch",), "CatchClause"),
+    ("word{", ("if", "for", "while", "do", "else"), "BlockStatement"),
+    ("word", ("if",), "IfStatement"),
+    ("word", ("for",), "ForStatement"),
+    ("word", ("while",), "WhileStatement"),
+    ("word", ("do",), "DoStatement"),
+    ("word", ("switch",), "SwitchStatement"),
+    ("word", ("case", "default"), "SwitchStatementCase"),
+    ("word", ("return",), "ReturnStatement"),
+    ("word", ("throw",), "ThrowStatement"),
+    ("word", ("break",), "BreakStatement"),
+    ("word", ("continue",), "ContinueStatement"),
+    ("word", ("synchronized",), "SynchronizedStatement"),
+    ("regex", r"^(final\s+)?[A-Za-z_][\w.]*(\s*<[^=;]*>)?(\s*\[\s*\])*\s+[A-Za-z_]\w*\s*(=|;|,)",
      "LocalVariableDeclaration"),
-    (r"(^|[^=!<>])=($|[^=])", "Assignment"),
-    (r"\(", "MethodInvocation"),
+    ("regex", r"(^|[^=!<>])=($|[^=])", "Assignment"),
+    ("contains", "(", "MethodInvocation"),
 )
 
 
 def line_kind(line: Column, idx: Column, n_lines: Column) -> Column:
-    """A1: node kind of line ``idx`` (0-based) of an ``n_lines``-line method, or null."""
-    def body(s):
+    """A1: node kind of line ``idx`` (0-based) of an ``n_lines``-line method, or null.
+
+    One regex extracts the first word; keyword rules are set tests on it, so
+    most lines need no further regex."""
+    def body(sw):
+        s, w = sw["s"], sw["w"]
         out = F.when(idx == n_lines - 1, F.lit("MethodDeclaration END")) \
                .when(idx == 0, F.lit("MethodDeclaration"))
-        for pattern, tag in LINE_KIND_RULES:
-            out = out.when(s.rlike(pattern), F.lit(tag))
+        for kind, arg, tag in LINE_KIND_RULES:
+            if kind == "word":
+                test = w.isin(*arg)
+            elif kind == "word{":
+                test = w.isin(*arg) & s.endswith("{")
+            elif kind == "regex":
+                test = s.rlike(arg)
+            else:
+                test = s.contains(arg)
+            out = out.when(test, F.lit(tag))
         return out
-    return let(py_strip(F.regexp_replace(py_strip(line), r"^(\}\s*)+", "")), body)
+    stripped = py_strip(F.regexp_replace(py_strip(line), r"^(\}\s*)+", ""))
+    return let(stripped, lambda s: let(F.struct(s.alias("s"), F.regexp_extract(s, r"^(\w+)", 1).alias("w")), body))
 
 
 def tag_lines(lines: Column) -> Column:

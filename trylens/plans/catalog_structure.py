@@ -14,8 +14,16 @@ from .registry import query
 
 def _tag_case(line: str, line_no: str, n: str) -> str:
     s = X.strip(f"regexp_replace({X.strip(line)}, '^(\\}}\\s*)+', '')")
+    w = f"regexp_extract({s}, '^(\\w+)', 1)"
     parts = [f"WHEN {line_no} = {n} THEN 'MethodDeclaration END'", f"WHEN {line_no} = 1 THEN 'MethodDeclaration'"]
-    parts += [f"WHEN regexp_matches({s}, '{p}') THEN '{t}'" for p, t in A.LINE_KIND_RULES]
+    for kind, arg, tag in A.LINE_KIND_RULES:
+        if kind in ("word", "word{"):
+            test = f"{w} IN ({', '.join(repr(a) for a in arg)})" + (f" AND ends_with({s}, '{{')" if kind == "word{" else "")
+        elif kind == "regex":
+            test = f"regexp_matches({s}, '{arg}')"
+        else:
+            test = f"contains({s}, '{arg}')"
+        parts.append(f"WHEN {test} THEN '{tag}'")
     return "(CASE " + " ".join(parts) + " END)"
 
 
