@@ -189,3 +189,15 @@ def test_resplit_and_identifiers_random(spark):
                for tok in t] for (t,) in cases]
     assert [r["r"] for r in rows] == want_r
     assert [r["i"] for r in rows] == want_i
+
+
+def test_python_whitespace_strip_and_split(spark):
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    alphabet = spaces + list("ab{}();=") + ["é", "ß", "中"]
+    cases = [("".join(RNG.choice(alphabet) for _ in range(RNG.randint(0, 12))),) for _ in range(600)]
+    df = spark.createDataFrame(cases, "s string")
+    rows = df.select(text.py_strip(F.col("s")).alias("a"), text.py_split(F.col("s")).alias("b"),
+                     text.py_lstrip(F.col("s")).alias("c")).collect()
+    assert [r["a"] for r in rows] == [s.strip() for (s,) in cases]
+    assert [r["b"] for r in rows] == [s.split() for (s,) in cases]
+    assert [r["c"] for r in rows] == [s.lstrip() for (s,) in cases]
