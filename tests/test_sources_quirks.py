@@ -72,3 +72,15 @@ def test_positions_across_many_splits(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert rows == dict(enumerate(lines))
+
+
+def test_sliced_text_export_round_trip(spark):
+    from trylens.operators import slicing as S
+    from trylens.sources import fixtures as fx
+    from conftest import SF_SMALL
+    sliced = S.sliced_output(S.slice_methods(fx.methods(spark, SF_SMALL), keep=("method_id", "tgt")))
+    paths = TX.export_parallel_text(sliced, ["front", "back", "mask", "tgt"], ["method_id"], "sliced")
+    back = TX.positional_join([TX.read_positional(spark, p, c) for c, p in paths.items()])
+    want = sliced.orderBy("method_id").select("front", "back", "mask", "tgt").collect()
+    got = back.orderBy("pos").select("front", "back", "mask", "tgt").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]

@@ -114,3 +114,11 @@ def read_hash_records(spark: SparkSession, path: str) -> DataFrame:
     from ..operators.spans import parse_hash_record
     x = spark.read.text(path).select(parse_hash_record(F.col("value")).alias("r"))
     return x.where(F.col("r").isNotNull()).select("r.*")
+
+
+def export_parallel_text(df: DataFrame, columns: list[str], order: list, name: str) -> dict[str, str]:
+    """S8 text export: one text file set per column, line i of every file from
+    the same row (rows in ``order``, a total order).  Returns column -> path.
+    Read back with ``read_positional`` + ``positional_join``.  Values must not
+    contain line breaks (token text joined by spaces never does)."""
+    return {c: write_lines(df, c, order, f"{name}-{c}") for c in columns}
