@@ -78,16 +78,33 @@ def slice_quality_gate(spark, sf_dir):
                     S.quality_gate(F.col("mask"), F.col("front")).alias("valid"))
 
 
-@query("missing_marker_check", _oracle(
-    "SELECT split, count(*) AS n, count(*) FILTER (WHERE try_idx < 0) AS n_no_try, "
-    "count(*) FILTER (WHERE try_idx = 0) AS n_try_at_0 FROM d_try GROUP BY split", 2))
+_MARK_CATCH = ("d_catch", f"""SELECT method_id, {X.last_marker(
+    "list_concat(list_transform(" + X.split_ws('src') + ", lambda tk: CASE WHEN tk = 'try' THEN 'TRY' ELSE tk END), "
+    "list_transform(" + X.split_ws('tgt') + ", lambda tk: CASE WHEN tk = 'catch' THEN 'CatchClause' ELSE tk END))",
+    'CatchClause')} AS catch_idx FROM methods""")
+
+
+@query("missing_marker_check", with_fixtures(
+    "SELECT t.split, count(*) AS n, count(*) FILTER (WHERE t.try_idx < 0) AS n_no_try, "
+    "count(*) FILTER (WHERE t.try_idx = 0) AS n_try_at_0, count(*) FILTER (WHERE c.catch_idx < 0) AS n_no_catch, "
+    "count(*) FILTER (WHERE c.catch_idx = 0) AS n_catch_at_0 "
+    "FROM d_try t JOIN d_catch c ON c.method_id = t.method_id GROUP BY t.split",
+    "methods", ctes=(_MARK_CATCH, _D_TOKENS, _D_TRY)))
 def missing_marker_check(spark, sf_dir):
+    """per split, rows with no try (A6) or no catch marker (A8), and the
+    rows where the marker is at index 0 (the reference's ``if not idx`` test
+    fires there instead of at -1)."""
+    from ..operators.structure import marker_tokens
+    from ..functions.folds import last_marker_index
     m = fx.methods(spark, sf_dir)
-    x = m.select("split", S.split_at_try(S.source_tokens(F.col("src")))["try_idx"].alias("try_idx"))
+    x = m.select("split", S.split_at_try(S.source_tokens(F.col("src")))["try_idx"].alias("try_idx"),
+                 last_marker_index(marker_tokens(F.col("src"), F.col("tgt")), "CatchClause").alias("catch_idx"))
     return x.groupBy("split").agg(
         F.count("*").alias("n"),
         F.count(F.when(F.col("try_idx") < 0, 1)).alias("n_no_try"),
-        F.count(F.when(F.col("try_idx") == 0, 1)).alias("n_try_at_0"))
+        F.count(F.when(F.col("try_idx") == 0, 1)).alias("n_try_at_0"),
+        F.count(F.when(F.col("catch_idx") < 0, 1)).alias("n_no_catch"),
+        F.count(F.when(F.col("catch_idx") == 0, 1)).alias("n_catch_at_0"))
 
 
 @query("explode_method_statements", _oracle(
