@@ -169,3 +169,13 @@ def test_exact_match_within_lines_count(spark):
     within = G.exact_match_rate(st, "match_within").collect()[0]
     padded = G.exact_match_rate(st, "match_all").collect()[0]
     assert (within["hits"], padded["hits"], within["total"]) == (1, 0, 2)
+
+
+def test_slice_quality_split_and_observe(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"], [1, 1, 0]), (2, ["a"], [1]), (3, ["a", "b"], [1])],
+                               "id int, front array<string>, mask array<int>")
+    good, bad, obs = S.split_quality(df)
+    assert [r["id"] for r in good.collect()] == [1]
+    assert obs.get == {"good": 1, "quarantined": 2}
+    assert sorted((r["id"], r["reason"]) for r in bad.collect()) == [
+        (2, "at most one token kept"), (3, "mask length differs")]

@@ -70,3 +70,24 @@ def explode_statements(df: DataFrame, keep: tuple[str, ...] = ("method_id",)) ->
     return x.select(*keep, "stmt_no", F.col("iv.s").alias("start"), F.col("iv.e").alias("end"),
                     F.array_join(F.slice("front", F.col("iv.s") + 1, F.col("iv.e") - F.col("iv.s") + 1),
                                  " ").alias("text"))
+
+
+def split_quality(df: DataFrame, name: str = "slice_quality"):
+    """F4 as a split: (good, quarantined, observation).
+
+    The reference aborts the whole run on the first bad slice; here bad rows
+    go to a quarantine frame with a reason.  The returned
+    ``pyspark.sql.Observation`` collects the good/bad counts as a side effect
+    of the first action on ``observed`` rows, with no extra job.
+    """
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    valid = quality_gate(F.col("mask"), F.col("front"))
+    flagged = df.withColumn("_valid", valid).observe(
+        obs, F.sum(F.col("_valid").cast("long")).alias("good"),
+        F.sum((~F.col("_valid")).cast("long")).alias("quarantined"))
+    good = flagged.where("_valid").drop("_valid")
+    bad = flagged.where(~F.col("_valid")).drop("_valid").withColumn(
+        "reason", F.when(F.size("mask") != F.size("front"), "mask length differs")
+                   .otherwise("at most one token kept"))
+    return good, bad, obs
