@@ -179,3 +179,14 @@ def test_slice_quality_split_and_observe(spark):
     assert obs.get == {"good": 1, "quarantined": 2}
     assert sorted((r["id"], r["reason"]) for r in bad.collect()) == [
         (2, "at most one token kept"), (3, "mask length differs")]
+
+
+def test_split_parsed_quarantine(spark):
+    df = spark.createDataFrame(
+        [(1, ["void m ( ) {", "}"], [0, 0], "void m ( ) { }"),
+         (2, ["void m ( ) {", "if ( a ) {"], [0, 0], "void m ( ) { if ( a ) {"),
+         (3, [], [], "")],
+        "method_id long, lines array<string>, labels array<int>, src string")
+    kept, bad = A.split_parsed(df)
+    assert [r["method_id"] for r in kept.collect()] == [1]
+    assert sorted((r["method_id"], r["reason"]) for r in bad.collect()) == [(2, "unbalanced braces"), (3, "no lines")]

@@ -214,3 +214,15 @@ def extract_methods(file_lines: DataFrame, file_col: str = "file_id", line_no: s
     return x.where(inside).groupBy(file_col, "method_no").agg(
         F.min(line_no).alias("start_line"), F.max(line_no).alias("end_line"),
         F.count("*").alias("n_lines"))
+
+
+def split_parsed(methods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """F2 as a split: (kept, quarantined with ``reason``).
+
+    The reference silently skips a method whose parse fails or that merges to
+    no lines; here such methods go to a quarantine frame instead."""
+    ok = method_is_balanced(F.col("src"))
+    n = F.size(merge_statement_lines(F.col("lines"), F.col("labels"), tag_lines(F.col("lines"))))
+    flagged = methods.withColumn("reason", F.when(~ok, "unbalanced braces").when(n == 0, "no lines"))
+    return (flagged.where(F.col("reason").isNull()).drop("reason"),
+            flagged.where(F.col("reason").isNotNull()))
