@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, html_extract, langid, mixing, packing, quality, repetition, sharding
+from . import digest, html_extract, jaccard, langid, mixing, packing, quality, repetition, sharding
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_quality_classifier, op4_html_extraction, op5_quality_rules,
+    op1_best_fit_packing, op2_quality_classifier, op3_ngram_jaccard_join, op4_html_extraction, op5_quality_rules,
     op6_document_fingerprints, op8_sharding, op9_source_mixing, op10_language_id)}
 
 ORACLE = {"op9_source_mixing": mixing.ORACLE}
