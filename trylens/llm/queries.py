@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, html_extract, jaccard, langid, mixing, packing, quality, repetition, sharding
+from . import digest, html_extract, jaccard, langid, line_dedup, mixing, packing, quality, repetition, sharding
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.cleaned(docs).withColumnsRenamed({"__lines": "n_lines", "__gone": "n_deleted_lines"})
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_quality_classifier, op3_ngram_jaccard_join, op4_html_extraction, op5_quality_rules,
-    op6_document_fingerprints, op8_sharding, op9_source_mixing, op10_language_id)}
+    op6_document_fingerprints, op7_line_dedup, op8_sharding, op9_source_mixing, op10_language_id)}
 
 ORACLE = {"op9_source_mixing": mixing.ORACLE}
