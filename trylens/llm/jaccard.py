@@ -3,9 +3,9 @@
 Two documents link when their sets of 5-word shingles overlap by 80 % or more.
 Equal sets collapse to one class first.  The join then works in two steps.
 
-1. *Leaders.*  Classes that share a min-hash key are compared with the first
-   class of that key only.  This joins large groups of near copies into few
-   components without looking at their pairs.
+1. *Leaders.*  Classes that share a min-hash key are compared with one class
+   of that key only, another one for each key.  This joins large groups of near
+   copies into few components without looking at their pairs.
 2. *Tiles.*  Each class puts the rarest fifth of its shingles (its prefix
    under one global order) under their hashes; two sets that overlap by 80 %
    must share one.  Classes of one shingle form tiles, sorted and windowed by
@@ -44,7 +44,8 @@ from .graph import components
 
 WIDTH = 5
 NUM, DEN = 80, 100        # link when DEN * overlap >= NUM * union
-MIN_HASHES = 4
+MIN_HASHES = 8
+SIGNATURE_BITS = 512      # of the fixed-width bitmap compared inside a tile
 DF_BITS = 19
 TILE = 2048               # classes per block of a common shingle
 _SALTS = np.random.default_rng(11).integers(1, 1 << 63, MIN_HASHES, dtype=np.uint64)
@@ -77,9 +78,9 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * same >= NUM * (len(a) + len(b) - same)
 
 
-def parity_bitmap(s: np.ndarray) -> bytes:
+def parity_bitmap(s: np.ndarray, width: int | None = None) -> bytes:
     """One bit flip per shingle, in the next power of two >= len(s) bits (64 at least)."""
-    width = max(64, 1 << (len(s) - 1).bit_length())
+    width = width or max(64, 1 << (len(s) - 1).bit_length())
     slot = (s >> np.uint64(20)) & np.uint64(width - 1)
     return np.packbits((np.bincount(slot.astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
 
@@ -125,8 +126,8 @@ def class_features(reps: DataFrame) -> tuple[DataFrame, np.ndarray]:
     buckets, piece = 1 << DF_BITS, 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary())
-        names = ["cls", "n", "keys", "bitmap", "piece", "counts"]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+        names = ["cls", "n", "keys", "bitmap", "signature", "piece", "counts"]
         total = np.zeros(buckets, dtype=np.int64)
         for b in c.slices(batches, "text"):
             sets = shingle_sets(c.text_bytes(b))
@@ -137,14 +138,15 @@ def class_features(reps: DataFrame) -> tuple[DataFrame, np.ndarray]:
             nothing = [None] * len(sets)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip((ids, [len(s) for s in sets], keys, [parity_bitmap(s) for s in sets],
-                                                 nothing, nothing), kinds)], names=names)
+                                                 [parity_bitmap(s, SIGNATURE_BITS) for s in sets], nothing, nothing), kinds)], names=names)
         if total.any():
             parts = [total[i:i + piece].astype("<i8").tobytes() for i in range(0, buckets, piece)]
             none = [None] * len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip((none, none, none, none, range(len(parts)), parts), kinds)], names=names)
+                [pa.array(x, t) for x, t in zip((none, none, none, none, none, range(len(parts)), parts), kinds)], names=names)
 
-    rows = c.materialize(reps.mapInArrow(run, "cls long, n long, keys array<long>, bitmap binary, piece int, counts binary")
+    rows = c.materialize(reps.mapInArrow(run, "cls long, n long, keys array<long>, bitmap binary, signature binary, "
+                                  "piece int, counts binary")
                              .withColumn("task", F.spark_partition_id()), "jaccard-classes")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,7 +161,7 @@ def class_features(reps: DataFrame) -> tuple[DataFrame, np.ndarray]:
     df = np.zeros(buckets, dtype=np.int64)
     for r in counts.collect():                                   # 2**DF_BITS numbers
         df[r["piece"] * piece:(r["piece"] + 1) * piece] = np.frombuffer(r["counts"], dtype="<i8")
-    return rows.where("cls is not null").select("cls", "n", "keys", "bitmap"), df
+    return rows.where("cls is not null").select("cls", "n", "keys", "bitmap", "signature"), df
 
 
 def rarity_levels(df: np.ndarray) -> np.ndarray:
@@ -169,8 +171,13 @@ def rarity_levels(df: np.ndarray) -> np.ndarray:
     return np.where(df > usual, np.floor(np.log2(np.maximum(df, 1) / usual)) + 1, 0).astype(np.uint8)
 
 
+POSTING = ["token", "cls", "n", "place"]
+_POSTING_TYPE = "token long, cls long, n int, place int"
+
+
 def prefix_postings(reps: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(token, cls, n): the rarest shingles of every class."""
+    """(token, cls, n, place): the rarest shingles of every class and their
+    places in its order."""
     order = reps.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +199,10 @@ def prefix_postings(reps: DataFrame, levels: np.ndarray) -> DataFrame:
                 ids = c.columns(b, ["cls"])[0].to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(ids, counts)),
-                     pa.array(np.repeat(np.array(sizes, dtype=np.int64), counts))], names=["token", "cls", "n"])
+                     pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)),
+                     pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in counts]))], names=POSTING)
 
-    return reps.mapInArrow(run, "token long, cls long, n long")
+    return reps.mapInArrow(run, _POSTING_TYPE)
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
@@ -202,12 +210,16 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     come one after the other, so only the last row is held back."""
     rows = postings.repartition("token").sortWithinPartitions("token")
 
+    def batch(x: np.ndarray) -> pa.RecordBatch:
+        kinds = (np.int64, np.int64, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, j].astype(k)) for j, k in enumerate(kinds)], names=POSTING)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None                       # last row and whether it is shared so far
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.stack([a.to_numpy(zero_copy_only=False) for a in c.columns(b, ["token", "cls", "n"])], axis=1)
+            x = np.stack([a.to_numpy(zero_copy_only=False).astype(np.int64) for a in c.columns(b, POSTING)], axis=1)
             was = False
             if held is not None:
                 x, was = np.concatenate([held[0], x]), held[1]
@@ -216,65 +228,79 @@ def shared_postings(postings: DataFrame) -> DataFrame:
             held = (x[-1:], bool(shared[-1]))
             out = x[:-1][shared[:-1]]
             if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, j])) for j in range(3)],
-                                                 names=["token", "cls", "n"])
+                yield batch(out)
         if held is not None and held[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[0][:, j])) for j in range(3)],
-                                             names=["token", "cls", "n"])
+            yield batch(held[0])
 
-    return rows.mapInArrow(run, "token long, cls long, n long")
+    return rows.mapInArrow(run, _POSTING_TYPE)
 
 
-def tile_candidates(shared: DataFrame, comps: DataFrame) -> DataFrame:
+def tile_pairs(x: np.ndarray, signatures: np.ndarray) -> np.ndarray:
+    """Candidate pairs of one tile: rows (lo, hi, n, place, cls, comp, own),
+    ascending n, with the rows' bitmap signatures.
+
+    If the tile's shingle is the first one two linking sets share, what follows
+    it in both must hold the rest of the overlap they need."""
+    lo, hi, n, place, cls, comp, own = x.T
+    last = np.searchsorted(n, n * DEN // NUM, side="right")      # sizes up to n / 0.8
+    rest = n - place
+    out = []
+    for i in range(len(x) - 1):
+        j = np.arange(i + 1, last[i])
+        need = NUM * (n[i] + n[j])
+        ok = (comp[j] != comp[i]) & ((NUM + DEN) * np.minimum(rest[i], rest[j]) >= need)
+        if lo[0] != hi[0]:
+            ok &= own[j] != own[i]
+        j, need = j[ok], need[ok]
+        if len(j):
+            differ = np.bitwise_count(signatures[j] ^ signatures[i]).sum(axis=1)
+            j = j[(n[i] + n[j] - differ) * (NUM + DEN) >= 2 * need]
+        if len(j):
+            out.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+
+
+def tile_candidates(shared: DataFrame, comps: DataFrame, features: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of one tile, size window and different components.
 
     A shingle of more than ``TILE`` classes is dealt to pairs of blocks: each
     of its rows goes to every tile its block takes part in."""
     known = shared.join(comps, shared["cls"] == comps["node"], "left") \
-                  .select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+                  .select(*POSTING, F.coalesce("component", "cls").alias("comp"))
     known = c.materialize(known, "jaccard-shared")
+    # the smaller set of a pair has the shingle in its first ninth
     spans = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
-                                       F.ceil(F.count("*") / TILE).cast("int").alias("blocks")).where("x <> y")
+                                       F.min(F.col("place") * (NUM + DEN) - F.col("n") * (DEN - NUM)).alias("early"),
+                                       F.ceil(F.count("*") / TILE).cast("int").alias("blocks")) \
+                 .where("x <> y and early <= 0")
     rows = known.join(spans.select("token", "blocks"), "token") \
+                .join(features.select("cls", "signature"), "cls") \
                 .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int")) \
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
                 .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    tiles = rows.select("token", "lo", "hi", "n", "cls", "comp", "own").repartition("token", "lo", "hi") \
+    names = ["token", "lo", "hi", "n", "place", "cls", "comp", "own"]
+    tiles = rows.select(*names, "signature").repartition("token", "lo", "hi") \
                 .sortWithinPartitions("token", "lo", "hi", "n", "cls")
-    names = ["token", "lo", "hi", "n", "cls", "comp", "own"]
-
-    def pairs(x: np.ndarray) -> np.ndarray:
-        n, cls, comp, own = x[:, 3], x[:, 4], x[:, 5], x[:, 6]
-        last = np.searchsorted(n, n * DEN // NUM, side="right")      # sizes up to n / 0.8
-        out = []
-        for i in range(len(x) - 1):
-            j = np.arange(i + 1, last[i])
-            ok = comp[j] != comp[i]
-            if x[0, 1] != x[0, 2]:
-                ok &= own[j] != own[i]
-            j = j[ok]
-            if len(j):
-                out.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1))
-        return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+
+    def emit(x: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        p = tile_pairs(x[:, 1:], s)
+        if len(p):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, k])) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 7), dtype=np.int64)
+        words = SIGNATURE_BITS // 64
+        held, bits = np.zeros((0, 8), dtype=np.int64), np.zeros((0, words), dtype=np.uint64)
         for b in batches:
-            x = np.stack([a.to_numpy(zero_copy_only=False).astype(np.int64) for a in c.columns(b, names)], axis=1)
-            held = np.concatenate([held, x])
-            cuts = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1
-            edges = [0, *cuts.tolist()]
+            cols = c.columns(b, [*names, "signature"])
+            x = np.stack([a.to_numpy(zero_copy_only=False).astype(np.int64) for a in cols[:-1]], axis=1)
+            s = np.frombuffer(b"".join(cols[-1].to_pylist()), dtype=np.uint64).reshape(-1, words)
+            held, bits = np.concatenate([held, x]), np.concatenate([bits, s])
+            edges = [0, *(np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1).tolist()]
             for lo, hi in zip(edges[:-1], edges[1:]):
-                yield from emit(held[lo:hi])
-            held = held[edges[-1]:]
+                yield from emit(held[lo:hi], bits[lo:hi])
+            held, bits = held[edges[-1]:], bits[edges[-1]:]
         if len(held):
-            yield from emit(held)
-
-    def emit(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        p = pairs(x)
-        if len(p):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))],
-                                             names=["a", "b"])
+            yield from emit(held, bits)
 
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
@@ -317,10 +343,12 @@ def verified(pairs: DataFrame, features: DataFrame, reps: DataFrame) -> DataFram
 
 
 def leader_pairs(features: DataFrame) -> DataFrame:
-    """Each class with the first class of each of its min-hash keys."""
+    """Each class with one class (by hash) of each of its min-hash keys."""
     keys = features.select("cls", F.posexplode("keys").alias("i", "key"))
-    lead = keys.groupBy("i", "key").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").drop("z")
-    return keys.join(lead, ["i", "key"]).where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    lead = keys.groupBy("i", "key").agg(F.min(F.struct(F.xxhash64("cls", "i").alias("h"), "cls")).alias("lead"),
+                                        F.count("*").alias("n")).where("n > 1")
+    pairs = keys.join(lead.select("i", "key", F.col("lead.cls").alias("l")), ["i", "key"]).where("cls <> l")
+    return pairs.select(F.least("cls", "l").alias("a"), F.greatest("cls", "l").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -341,7 +369,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = c.materialize(verified(leader_pairs(features), features, reps), "jaccard-links")
     comps = c.materialize(components(first), "jaccard-comps")
     shared = shared_postings(prefix_postings(reps, rarity_levels(df)))
-    found = c.materialize(verified(tile_candidates(shared, comps), features, reps), "jaccard-links")
+    found = c.materialize(verified(tile_candidates(shared, comps, features), features, reps), "jaccard-links")
     comps = components(first.union(found))
 
     named = classes.join(comps, classes["cls"] == comps["node"], "left") \
