@@ -1,5 +1,5 @@
-"""Randomised differential tests: Spark expressions against plain-Python
-statements of the same semantics (Python slicing, ``str`` methods, ``re``)."""
+"""Python's own slicing, ``str`` methods and ``re`` against the Spark expressions
+that must agree with them, and written-out cases of the record parser."""
 
 import random
 import re
@@ -11,7 +11,6 @@ from trylens.functions.arrays import py_slice
 from trylens.operators import spans as SP
 
 RNG = random.Random(7)
-WORDS = ["int", "n1", "=", ";", "(", ")", "try", "{", "}", "Widget", "w2", ".", '"', "x", "  ", "\t"]
 
 
 def _collect(spark, rows, schema, col):
@@ -25,156 +24,6 @@ def test_py_slice_random(spark):
     assert got == [a[s:e] for a, s, e in cases]
 
 
-def _span(p):
-    begin = -1
-    for i, v in enumerate(p):
-        if v == 1 and begin < 0:
-            begin = i
-        if v == 0 and begin > 0:
-            return begin, i - 1
-    return begin, len(p)
-
-
-def test_predicted_span_random(spark):
-    cases = [([RNG.randint(0, 1) for _ in range(RNG.randint(0, 9))],) for _ in range(400)]
-    got = _collect(spark, cases, "p array<int>", SP.find_predicted_span(F.col("p")))
-    assert [(r["begin"], r["end"]) for r in got] == [_span(p) for (p,) in cases]
-
-
-def _insert(lines, b, e):
-    return ("\n".join(lines[0:b]) + "\n" + "try {" + "\n" + "\n".join(lines[b:e + 1]) + "\n"
-            + "} catch ( Exception e ) { } " + "\n" + "\n".join(lines[e + 1:]))
-
-
-def test_insert_try_block_random(spark):
-    cases = []
-    for _ in range(300):
-        lines = [f"l{i}" for i in range(RNG.randint(1, 7))]
-        cases.append((lines, *_span([RNG.randint(0, 1) for _ in lines])))
-    got = _collect(spark, cases, "l array<string>, b int, e int",
-                   SP.insert_try_block(F.col("l"), F.col("b"), F.col("e")))
-    assert got == [_insert(*c) for c in cases]
-
-
-def _rename(line):
-    t = line.lstrip().replace("    ", " ").replace("   ", " ").replace("  ", " ")
-    w = t.lstrip().split(" ")
-    if len(w) > 2 and w[2] in ("=", ";"):
-        w[1] = w[0][:1].lower() + w[0][1:]
-        t = " ".join(w)
-    return t
-
-
-def _rand_line():
-    return "".join(RNG.choice([" ", "  ", "   ", "    "]) + RNG.choice(WORDS) for _ in range(RNG.randint(0, 7)))
-
-
-def test_rename_random(spark):
-    cases = [(_rand_line(),) for _ in range(500)]
-    got = _collect(spark, cases, "l string", text.rename_declared_variables(F.col("l")))
-    assert got == [_rename(c) for (c,) in cases]
-
-
-def _clean(s):
-    s = s.strip()
-    if not re.match(r"\w+", s, re.ASCII):
-        s = re.sub(r"^.*?(\w+)", r" \1", s, flags=re.ASCII)
-    s = re.sub(r"\\\\", " ", s)
-    return re.sub(r'\\ "', ' \\\\"', s)
-
-
-def test_clean_source_random(spark):
-    pieces = ["a", "(", "\\\\", '\\ "', " ", "\t", "{", "x1", '"', "\\"]
-    cases = [("".join(RNG.choice(pieces) for _ in range(RNG.randint(0, 10))),) for _ in range(500)]
-    got = _collect(spark, cases, "s string", text.clean_method_source(F.col("s")))
-    assert got == [_clean(c) for (c,) in cases]
-
-
-PATTERN = r"catch\s*\(\s*(?:final\s+)?([\w.|s]+)\s+([\w]+)\s*\)"
-
-
-def _types(t):
-    m = re.search(PATTERN, t, re.ASCII)
-    return ", ".join(x.strip() for x in m.group(1).split("|")) if m else "Exception"
-
-
-def test_catch_types_random(spark):
-    parts = ["catch", " ", "(", ")", "final ", "IOException", "|", "A.B", "e", "  ", "x", "s"]
-    cases = [("".join(RNG.choice(parts) for _ in range(RNG.randint(0, 12))),) for _ in range(600)]
-    cases += [("catch ( A|B e )",), ("catch(final X.Y z)",), ("catch ( A | B e ) catch ( C d )",)]
-    got = _collect(spark, cases, "t string", text.extract_exception_types(F.col("t")))
-    assert got == [_types(c) for (c,) in cases]
-
-
-def _hash(v):
-    f = v.split("#")
-    if len(f) < 4:
-        return None
-    toks = f[1].split(",")
-    b, e = f[3].split(",")
-    b, e = int(b), int(e.replace("\n", ""))
-    return (f[0].replace(",", " ") + " " + " ".join(toks[0:b]), " ".join(toks[b:e + 1]), f[2].split(",")[0])
-
-
-def test_hash_records_random(spark):
-    cases = []
-    for _ in range(300):
-        toks = ",".join(RNG.choice("abcde") for _ in range(RNG.randint(1, 6)))
-        fields = [RNG.choice(["void,m", "m"]), toks, RNG.choice(["IOException,X", "Y"]),
-                  f"{RNG.randint(-2, 5)},{RNG.randint(-2, 7)}"]
-        cases.append(("#".join(fields[:RNG.choice([3, 4, 4, 4])]),))
-    got = _collect(spark, cases, "v string", SP.parse_hash_record(F.col("v")))
-    assert [None if r is None else (r["front"], r["back"], r["exception"]) for r in got] == [_hash(c) for (c,) in cases]
-
-
-def _last_try(toks):
-    start, stack = -1, []
-    for i, t in enumerate(toks):
-        if t == "try" and not stack:
-            start = i
-        elif t in ("'", '"'):
-            if stack:
-                if stack[-1] == t:
-                    stack.pop()
-            else:
-                stack.append(t)
-    return start
-
-
-def _statements(toks):
-    out, stack, start, flag = [], [], 0, False
-    for i, t in enumerate(toks):
-        if t in ('"', "'"):
-            if stack:
-                if stack[-1] == t:
-                    stack.pop()
-            else:
-                stack.append(t)
-            continue
-        if not stack:
-            if t in ("{", "}", ";") and not flag:
-                out.append((start, i))
-                start = i + 1
-            elif t == "(":
-                flag = True
-            elif t == ")":
-                flag = False
-    return out
-
-
-TOKS = ["try", "'", '"', "a", "{", "}", ";", "(", ")", "b"]
-
-
-def test_folds_random(spark):
-    from trylens.functions import folds
-    cases = [([RNG.choice(TOKS) for _ in range(RNG.randint(0, 14))],) for _ in range(500)]
-    df = spark.createDataFrame(cases, "t array<string>")
-    rows = df.select(folds.last_marker_index(F.col("t"), "try").alias("i"),
-                     folds.segment_statements(F.col("t")).alias("s")).collect()
-    assert [r["i"] for r in rows] == [_last_try(t) for (t,) in cases]
-    assert [[(x["s"], x["e"]) for x in r["s"]] for r in rows] == [_statements(t) for (t,) in cases]
-
-
 def test_resplit_and_identifiers_random(spark):
     from trylens.functions.java import JAVA_RESERVED, is_identifier
     alphabet = ["a", "Z", "_", "1", ".", ">", "=", "+", "try", "int", "x.y"]
@@ -201,3 +50,21 @@ def test_python_whitespace_strip_and_split(spark):
     assert [r["a"] for r in rows] == [s.strip() for (s,) in cases]
     assert [r["b"] for r in rows] == [s.split() for (s,) in cases]
     assert [r["c"] for r in rows] == [s.lstrip() for (s,) in cases]
+
+
+def test_hash_records_written_out(spark):
+    rows = [("m,n#a,b,c,d#X,Y#1,2", "X", "m n a", "b c"),
+            ("m#a,b#X#0,9", "X", "m ", "a b"),
+            ("a#b,c#X#1", None, None, None),           # span without an end
+            ("a#b,c#X#q,2", None, None, None),         # span that is no number
+            ("a#b#c", None, None, None)]               # three fields
+    df = spark.createDataFrame([(r[0],) for r in rows], "v string")
+    got = [r["r"] for r in df.select(SP.parse_hash_record(F.col("v")).alias("r")).collect()]
+    assert [(g and g["exception"], g and g["front"], g and g["back"]) for g in got] == [r[1:] for r in rows]
+
+
+def test_malformed_hash_records_are_set_aside(spark):
+    df = spark.createDataFrame([("m#a,b#X#0,1",), ("a#b,c#X#1",), ("a#b",), (None,)], "value string")
+    good, bad = SP.split_hash_records(df)
+    assert good.count() == 1
+    assert sorted(r["reason"] for r in bad.collect()) == ["bad span", "too few fields", "too few fields"]

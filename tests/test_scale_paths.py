@@ -4,20 +4,39 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from trylens.operators import models as M
+from trylens.operators import encode as E
 from trylens.operators.util import running_sum, with_position
-from trylens.plans import catalog_models as CM
-
-
-def test_salted_token_join_equals_broadcast(spark):
-    docs = CM.type_docs(spark, SF_SMALL)
-    model = M.fit_naive_bayes(docs.where(F.col("split") == "train"))
-    test = docs.where(F.col("split") == "test")
-    a = M.class_scores(test, model, key="method_id").select("method_id", "class_id", "scores")
-    b = M.class_scores(test, model, key="method_id", salts=7, max_broadcast_rows=10) \
-        .select("method_id", "class_id", "scores")
-    assert a.count() > 0
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+from trylens.plans import flows
+
+
+def test_line_keys_hold_for_long_methods_and_large_ids(spark):
+    """1,001 lines in one method do not meet the next method's lines."""
+    rows = [(1, [f"a{i}" for i in range(1001)]), (2, ["b0", "b1"]), (1 << 61, ["c"])]
+    docs = flows.line_feature_docs(spark.createDataFrame(rows, "method_id long, lines array<string>"))
+    assert docs.select("line_key").distinct().count() == 1004 == docs.count()
+
+
+def test_predictions_reach_past_the_padding_length(spark):
+    methods = spark.createDataFrame(
+        [(1, "train", ["x"] * 3, [0, 0, 0], "catch (IOException e) { }"),
+         (2, "train", ["open ( f ) ;"], [1], "catch (IOException e) { }")],
+        "method_id long, split string, lines array<string>, labels array<int>, tgt string") \
+        .withColumn("src", F.array_join("lines", "\n"))
+    label_map = spark.createDataFrame([(0, "Exception"), (1, "IOException")], "class_id int, name string")
+    line_model, type_model = flows.fit_handler_models(methods, label_map)
+    code = "\n".join(["x"] * 60 + ["open ( f ) ;"] * 2 + ["x"] * 3)
+    short = spark.createDataFrame([(7, code), (8, "x")], "method_id long, code string")
+    got = {r["method_id"]: r["line_predict"].split(",") for r in
+           flows.predict_handlers(short, line_model, type_model, label_map).collect()}
+    assert len(got[7]) == 65 and got[7][60:62] == ["1", "1"] and len(got[8]) == 50
+
+
+def test_empty_token_rows_do_not_meet_at_one_key(spark):
+    df = spark.createDataFrame([(1, ["a", "zz"]), (2, []), (3, [])], "k int, t array<string>")
+    vocab = E.build_vocabulary(spark.createDataFrame([("a",), ("a",), ("b",)], "token string"))
+    got = {r["k"]: r["ids"] for r in E.encode_token_arrays(df, ["k"], "t", vocab).collect()}
+    assert got == {1: [4, 1], 2: [], 3: []}
+    assert [r["id"] for r in E.build_vocabulary(df.selectExpr("explode(t) AS token"), 1).collect()] == [4]
 
 
 def test_running_sum_multi_chunk(spark):

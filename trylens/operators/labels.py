@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_exception_types
-from .util import broadcast_if_small
 
 
 def exception_types(df: DataFrame, tgt_col: str = "tgt", out: str = "exception") -> DataFrame:
@@ -21,7 +20,7 @@ def exception_types(df: DataFrame, tgt_col: str = "tgt", out: str = "exception")
 def map_exception_label(df: DataFrame, label_map: DataFrame, type_col: str = "exception",
                         out: str = "label") -> DataFrame:
     """Look the whole type string up in the map; unknown -> 0."""
-    m = broadcast_if_small(label_map.select(F.col("name").alias("_name"),
+    m = F.broadcast(label_map.select(F.col("name").alias("_name"),
                                             F.col("class_id").alias("_cid")))
     joined = df.join(m, F.col(type_col) == F.col("_name"), "left")
     return joined.withColumn(out, F.coalesce(F.col("_cid"), F.lit(0)).cast("int")).drop("_name", "_cid")
@@ -31,7 +30,7 @@ def decode_class(df: DataFrame, label_map: DataFrame, id_col: str = "class_id",
                  out: str = "exception") -> DataFrame:
     """Class id -> name.  An id missing from the map is an error, as in the
     reference (a ``KeyError``): the plan carries an ``assert_true`` on it."""
-    m = broadcast_if_small(label_map.select(F.col("class_id").alias("_cid"),
+    m = F.broadcast(label_map.select(F.col("class_id").alias("_cid"),
                                             F.col("name").alias("_name")))
     joined = df.join(m, F.col(id_col) == F.col("_cid"), "left")
     checked = F.when(F.assert_true(F.col("_name").isNotNull() | F.col(id_col).isNull(),

@@ -8,9 +8,7 @@ Multinomial naive Bayes with add-alpha smoothing:
 * model: ``(class_id, token, log_lik)`` for seen pairs, plus per class a
   ``prior`` and an ``unseen`` log likelihood.
 * score: ``prior + n_known * unseen + sum(log_lik - unseen)`` over the
-  document's known tokens.  The token-side join is broadcast when the model
-  is small enough (size checked); otherwise it is a salted shuffle join, so a
-  token that occurs in every document is spread over ``salts`` tasks.
+  document's known tokens.
 
 Scores are rounded to 6 digits before the argmax; ties go to the lower class.
 """
@@ -20,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import BROADCAST_MAX_ROWS
-
 ALPHA = 1.0
 
 
@@ -57,27 +53,17 @@ def fit_naive_bayes(docs: DataFrame, label: str = "label", tokens: str = "tokens
         "prior", "unseen")
 
 
-def _token_join(occ: DataFrame, table: DataFrame, salts: int,
-                max_broadcast_rows: int | None = None) -> DataFrame:
+def _token_join(occ: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Left join of token occurrences to a token-keyed table.
 
-    Broadcast when ``table`` has at most BROADCAST_MAX_ROWS rows (checked);
-    otherwise a salted sort-merge join: each table row is replicated
-    ``salts`` times and each occurrence picks one copy, so a token that occurs
-    in every document is spread over ``salts`` tasks."""
-    bound = BROADCAST_MAX_ROWS if max_broadcast_rows is None else max_broadcast_rows
-    n = table.limit(bound + 1).count()
-    if n <= bound:
-        return occ.join(F.broadcast(table), "token", "left")
-    # deterministic salt (hash of the occurrence's own columns): a retried task
-    # routes every row exactly as the first attempt did
-    o = occ.withColumn("_salt", F.pmod(F.xxhash64(*occ.columns), F.lit(salts)))
-    t = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return o.join(t, ["token", "_salt"], "left").drop("_salt")
-
-
-def class_scores(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str = "tokens",
-                 salts: int = 64, max_broadcast_rows: int | None = None) -> DataFrame:
+    The optimizer broadcasts a small table at run time and splits skewed
+    partitions of a shuffle join; documents without tokens are spread over many
+    join keys instead of meeting at null."""
+    o = occ.withColumn("_j", F.coalesce("token", F.concat(F.lit("\0"), F.xxhash64(key).cast("string"))))
+    return o.join(table.withColumnRenamed("token", "_tok"), F.col("_j") == F.col("_tok"), "left").drop("_j", "_tok")
+
+
+def class_scores(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str = "tokens") -> DataFrame:
     """L2/L4 score: (key, scores array<struct<class_id, score>>, class_id = argmax).
 
     One left join of token occurrences against the model (plus one
@@ -90,7 +76,7 @@ def class_scores(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str
     ext = model.select("token", "class_id", (F.col("log_lik") - F.col("unseen")).alias("d")).unionByName(
         model.select("token").distinct().select("token", F.lit(-1).alias("class_id"), F.lit(0.0).alias("d")))
     occ = docs.select(key, F.explode_outer(tokens).alias("token"))
-    j = _token_join(occ, ext, salts, max_broadcast_rows)
+    j = _token_join(occ, ext, key)
     per_class = j.groupBy(key, "class_id").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
     per_key = per_class.groupBy(key).agg(
         F.coalesce(F.max(F.when(F.col("class_id") == -1, F.col("n"))), F.lit(0)).alias("n_known"),
@@ -105,19 +91,6 @@ def class_scores(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str
     return x.withColumn("class_id", best["c"])
 
 
-def score_naive_bayes(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str = "tokens",
-                      salts: int = 64) -> DataFrame:
-    """Long form (key, class_id, score) of ``class_scores``."""
-    x = class_scores(docs, model, key, tokens, salts).select(key, F.explode("scores").alias("c"))
-    return x.select(key, "c.class_id", "c.score")
-
-
-def argmax_scores(scores: DataFrame, key: str = "id") -> DataFrame:
-    """Best class per row from long-form scores; ties go to the lower class id."""
-    return scores.groupBy(key).agg(
-        F.max_by("class_id", F.struct(F.col("score"), -F.col("class_id"))).alias("class_id"))
-
-
 def context_tokens(lines: Column) -> Column:
     """L3 features for every line of a method (an ordered array of lines):
     the line's tokens plus those of the previous (``p:``) and next (``n:``)

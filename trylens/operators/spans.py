@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, py_slice
@@ -47,21 +47,32 @@ def insert_try_block(lines: Column, begin: Column, end: Column) -> Column:
 def parse_hash_record(value: Column) -> Column:
     """S4 + P6 + P8: ``input#tok,...#exc,...#begin,end`` -> typed struct.
 
-    Null when the record has fewer than four fields (F3).  ``front`` is the
+    Null when the record is malformed: fewer than four fields (F3), or a span
+    that is not two integers.  ``front`` is the
     input with commas as spaces plus tokens ``[0, begin)``; ``back`` is tokens
     ``[begin, end]`` inclusive, with Python slice clamping.
     """
     def body(f):
-        toks = F.split(f[1], ",", -1)
-        span = F.split(f[3], ",", -1)
-        b = F.trim(span[0]).cast("int")
-        e = F.trim(F.regexp_replace(span[1], "\n", "")).cast("int")
-        return F.when(F.size(f) >= 4, F.struct(
+        toks = F.split(F.get(f, 1), ",", -1)
+        span = F.split(F.get(f, 3), ",", -1)
+        b = F.trim(span[0]).try_cast("int")
+        e = F.trim(F.regexp_replace(F.get(span, 1), "\n", "")).try_cast("int")
+        return F.when((F.size(f) >= 4) & b.isNotNull() & e.isNotNull(), F.struct(
             f[0].alias("method_input"),
             toks.alias("tokens"),
-            F.split(f[2], ",", -1)[0].alias("exception"),
+            F.split(F.get(f, 2), ",", -1)[0].alias("exception"),
             b.alias("begin"), e.alias("end"),
             F.concat(F.translate(f[0], ",", " "), F.lit(" "),
                      F.array_join(py_slice(toks, 0, b), " ")).alias("front"),
             F.array_join(py_slice(toks, b, e + 1), " ").alias("back")))
     return let(F.split(value, "#", -1), body)
+
+
+def split_hash_records(records: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(parsed rows with a ``record`` struct, set-aside rows with a ``reason``):
+    one malformed record costs one row, never the job."""
+    x = records.withColumn("record", parse_hash_record(F.col(value_col)))
+    fields = F.size(F.split(F.coalesce(F.col(value_col), F.lit("")), "#", -1))
+    bad = x.where(F.col("record").isNull()).drop("record")
+    return (x.where(F.col("record").isNotNull()),
+            bad.withColumn("reason", F.when(fields < 4, "too few fields").otherwise("bad span")))

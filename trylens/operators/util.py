@@ -1,4 +1,4 @@
-"""Shared plan utilities: checked broadcast, global positions."""
+"""Shared plan utilities: global positions, written intermediates, running sums."""
 
 from __future__ import annotations
 
@@ -6,21 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# A side is broadcast only when its row count is known to be at most this.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check is a bounded ``limit(max_rows + 1).count()``, so it never scans
-    more than ``max_rows + 1`` rows.  Beyond the bound the plain DataFrame is
-    returned and the optimizer (with AQE) picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def with_position(df: DataFrame, order: list[Column | str], name: str = "pos") -> DataFrame:
     """Attach a 0-based global position in ``order`` without a one-partition window.
 

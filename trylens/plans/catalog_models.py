@@ -85,7 +85,7 @@ def score_exception_type(spark, sf_dir):
 
 _FUNC_SQL = f"({X.clean_src('src')} || tgt || chr(10) || ' }}')"
 
-_LINE_DOCS = ("d_ldocs", f"""SELECT method_id * 1000 + line_no AS line_key, method_id, line_no, split, label,
+_LINE_DOCS = ("d_ldocs", f"""SELECT struct_pack(m := method_id, l := line_no) AS line_key, method_id, line_no, split, label,
  list_concat(t, list_transform(coalesce(lag(t) OVER w, []), lambda x: 'p:' || x),
   list_transform(coalesce(lead(t) OVER w, []), lambda x: 'n:' || x)) AS toks
  FROM (SELECT *, {X.split_ws('line')} AS t FROM code_lines) WINDOW w AS (PARTITION BY method_id ORDER BY line_no)""")
@@ -147,7 +147,7 @@ _L5_CTES = (
     *_nb_model_ctes("d_ldocs", "label", "split = 'train'", "l_"),
     *_nb_score_ctes("d_ldocs", "line_key", "split = 'test'", "l_"),
     ("l5_preds", """SELECT d.method_id, list_slice(list_concat(list(CAST(b.class_id AS INTEGER) ORDER BY d.line_no),
-  list_transform(range(50), lambda z: 0)), 1, 50) AS preds FROM l_best b JOIN d_ldocs d ON d.line_key = b.line_key
+  list_transform(range(50), lambda z: 0)), 1, greatest(50, count(*))) AS preds FROM l_best b JOIN d_ldocs d ON d.line_key = b.line_key
  GROUP BY d.method_id"""),
     ("l5_span", """SELECT p.method_id, m.lines, p.preds, b AS bg,
  CASE WHEN b > 0 AND coalesce(list_position(list_slice(p.preds, b + 2, len(p.preds)), 0), 0) > 0
@@ -197,9 +197,9 @@ def score_with_external_model(spark, sf_dir):
     from ..operators import encode as E
     from ..operators.external import hashed_linear_model, score_with_external_model as score
     corpus = materialize(flows.task2_corpus(fx.methods(spark, sf_dir), fx.class_map(spark)))
-    vocab = E.build_vocabulary(corpus.select(F.explode(F.concat("front", "back")).alias("token")), 5000)
-    f = E.encode_text(corpus, ["method_id"], "front", vocab, flows.TEXT_MAX, "front_", 5000)
-    b = E.encode_text(corpus, ["method_id"], "back", vocab, flows.TEXT_MAX, "back_", 5000)
+    vocab = materialize(E.build_vocabulary(corpus.select(F.explode(F.concat("front", "back")).alias("token"))))
+    f = E.encode_text(corpus, ["method_id"], "front", vocab, flows.TEXT_MAX, "front_")
+    b = E.encode_text(corpus, ["method_id"], "back", vocab, flows.TEXT_MAX, "back_")
     ids = f.join(b, "method_id").select("method_id", F.concat("front_input_ids", "back_input_ids").alias("ids"))
     out = score(ids, "ids", 2 * flows.TEXT_MAX, hashed_linear_model())
     return out.select("method_id", "class_id")

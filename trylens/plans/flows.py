@@ -62,8 +62,8 @@ def task2_sources(methods: DataFrame) -> DataFrame:
 # --- online prediction (L5) --------------------------------------------------
 
 def line_feature_docs(methods: DataFrame, lines_col: str = "lines") -> DataFrame:
-    """Per line: line_key, method_id, line_no, tokens (line + previous/next
-    context), plus ``split`` and ``label`` when the input has them."""
+    """Per line: line_key = (method_id, line_no), both columns, tokens (line +
+    previous/next context), plus ``split`` and ``label`` when the input has them."""
     from ..operators import models as M
     has_labels = "labels" in methods.columns
     feats = M.context_tokens(F.col(lines_col))
@@ -71,8 +71,9 @@ def line_feature_docs(methods: DataFrame, lines_col: str = "lines") -> DataFrame
         F.transform(feats, lambda f: F.struct(f.alias("f")))
     keep = [c for c in ("split",) if c in methods.columns]
     x = methods.select("method_id", *keep, F.posexplode(zipped).alias("i", "z"))
-    return x.select((F.col("method_id") * 1000 + F.col("i") + 1).alias("line_key"), "method_id",
-                    (F.col("i") + 1).cast("int").alias("line_no"), *keep,
+    line_no = (F.col("i") + 1).cast("int")
+    return x.select(F.struct("method_id", line_no.alias("line_no")).alias("line_key"), "method_id",
+                    line_no.alias("line_no"), *keep,
                     *([F.col("z.l").alias("label")] if has_labels else []), F.col("z.f").alias("tokens"))
 
 
@@ -103,7 +104,8 @@ def predict_handlers(submissions: DataFrame, line_model: DataFrame, type_model:
                      label_map: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
     """(method_id, code) -> reply columns and the feedback record fields.
 
-    S13 split -> L4 line scores -> fixed 50 predictions -> A16 span -> P5 try
+    S13 split -> L4 line scores of every line, padded to 50 predictions (longer
+    methods keep all of theirs) -> A16 span -> P5 try
     insertion -> P2 + A5/A4 tokens -> A7/A8/A10 split -> L2 type -> J3 decode.
     The type defaults to ``Exception``.
     """
@@ -121,7 +123,9 @@ def predict_handlers(submissions: DataFrame, line_model: DataFrame, type_model:
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "class_id"))),
                     lambda s: s["class_id"].cast("int")).alias("preds"))
     x = sub.join(preds, "method_id", "left").withColumn(
-        "preds", pad_to(F.coalesce(F.col("preds"), F.array().cast("array<int>")), line_limit, 0))
+        "preds", F.coalesce(F.col("preds"), F.array().cast("array<int>")))
+    x = x.withColumn("preds", F.concat("preds", F.array_repeat(
+        F.lit(0), F.greatest(F.lit(0), F.lit(line_limit) - F.size("preds")))))
     x = x.withColumn("span", find_predicted_span(F.col("preds")))
     x = x.withColumn("with_try", insert_try_block(F.col("lines"), F.col("span.begin"), F.col("span.end")))
     rep = A.repair_unclosed_method(clean_method_source(F.col("with_try")))

@@ -40,12 +40,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator and we only read it.  When it is
-    unset (tests, local runs) we set a fresh local folder once per session.
+    unset on a local master (tests) we set a fresh local folder once per session;
+    on a cluster that would be a folder of the driver alone, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trylens-ckpt-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")

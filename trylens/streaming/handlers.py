@@ -36,7 +36,7 @@ def read_sink(spark: SparkSession, sink: str, schema: T.StructType | None = None
 
 
 def stream_to_sink(spark: SparkSession, source: str, schema: T.StructType, sink: str,
-                   transform=None, max_files: int = 1, name: str = "stream") -> None:
+                   transform=None, max_files: int = 1000, name: str = "stream") -> None:
     """Drain ``source`` (parquet files) into ``sink`` with ``availableNow``."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
 
@@ -50,23 +50,23 @@ def stream_to_sink(spark: SparkSession, source: str, schema: T.StructType, sink:
     q.awaitTermination()
 
 
-def stream_feedback_sink(spark: SparkSession, records: DataFrame, files: int = 4) -> str:
-    """R2: stream feedback records (landed as ``files`` parquet files) into an
-    idempotent sink; returns the sink path."""
+def stream_feedback_sink(spark: SparkSession, records: DataFrame) -> str:
+    """R2: stream feedback records (landed as parquet files, partitioned as they
+    come) into an idempotent sink; returns the sink path."""
     from ..sources.tables import FEEDBACK_SCHEMA
     source = shared_path(spark, "feedback-in")
-    records.repartition(files, "record_id").write.parquet(source)
+    records.write.parquet(source)
     sink = shared_path(spark, "feedback-sink")
     stream_to_sink(spark, source, FEEDBACK_SCHEMA, sink, name="feedback")
     return sink
 
 
 def stream_predict_handlers(spark: SparkSession, submissions: DataFrame, line_model: DataFrame,
-                            type_model: DataFrame, label_map: DataFrame, files: int = 4) -> str:
+                            type_model: DataFrame, label_map: DataFrame) -> str:
     """Replies for submissions arriving as files; returns the sink path."""
     from ..plans.flows import predict_handlers
     source = shared_path(spark, "submissions-in")
-    submissions.repartition(files, "method_id").write.parquet(source)
+    submissions.write.parquet(source)
     sink = shared_path(spark, "replies-sink")
     stream_to_sink(spark, source, SUBMISSION_SCHEMA, sink,
                    transform=lambda b: predict_handlers(b, line_model, type_model, label_map),
