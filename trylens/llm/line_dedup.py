@@ -229,7 +229,8 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``__lines`` and ``__gone`` (lines with a word before, lines deleted)."""
     gone = c.materialize(deletions(docs, min_words), "lines-gone") \
         .select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__del"))
-    x = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
+    # the deletions grow with the corpus, so they are never broadcast
+    x = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
     x = x.select(*[docs[n] for n in docs.columns], "__del")
     names = docs.columns
     at = names.index("text")
