@@ -392,6 +392,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 .select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th")))
     keep = c.materialize(keep, "jaccard-keep")
     x = docs.withColumn("__h", F.xxhash64("text"))
-    x = x.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")))
+    x = x.join(keep.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")))
     one = Window.partitionBy("__id", "__th").orderBy(F.lit(1))
     return x.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[docs[n] for n in docs.columns])

@@ -117,7 +117,7 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat:
     take = mix(docs, weights, max_repeat).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__n")) \
         .dropDuplicates(["__id"])
     names = docs.columns
-    x = docs.join(take, docs["doc_id"].eqNullSafe(F.col("__id")))
+    x = docs.join(take.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")))
     return x.select(*[docs[c] for c in names], F.explode(F.expr("if(__n > 0, sequence(1L, __n), array())")).alias("__i")) \
         .select(*names)
 
