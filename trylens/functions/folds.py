@@ -99,13 +99,14 @@ def slice_seeds(back: Column) -> Column:
 
 
 def _kept_statements(front: Column, idf: Column, stmts: Column, seeds: Column) -> Column:
-    """The backward walk of A13: statements kept, seeds grown on the way.
+    """The backward walk of A13: one keep flag per statement, last statement
+    first; seeds grow on the way.
 
     ``idf`` holds the identifier flag of every token of ``front``.
     """
     n_front = F.size(front)
     init = F.struct(seeds.alias("seeds"),
-                    F.array().cast("array<struct<s:int,e:int>>").alias("kept"))
+                    F.array().cast("array<boolean>").alias("kept"))
 
     def step(acc, st):
         s0, ln = st["s"], st["e"] - st["s"] + 1
@@ -128,8 +129,7 @@ def _kept_statements(front: Column, idf: Column, stmts: Column, seeds: Column) -
                     grown = F.filter(toks, lambda t, i: (i >= eq - 1) & F.element_at(ids, i + 1)
                                      & (i < n_front - 1) & (F.try_element_at(front, i + 2) != "("))
                     seeds2 = F.when(dep & (eq > 0), F.array_union(acc["seeds"], grown)).otherwise(acc["seeds"])
-                    kept2 = F.when(dep, F.concat(acc["kept"], F.array(st))).otherwise(acc["kept"])
-                    return F.struct(seeds2.alias("seeds"), kept2.alias("kept"))
+                    return F.struct(seeds2.alias("seeds"), F.concat(acc["kept"], F.array(dep)).alias("kept"))
                 return let(depend, with_depend)
             return let(F.array_position(toks, "=").cast("int"), with_eq)
         return let(sl, with_slice)
@@ -137,29 +137,25 @@ def _kept_statements(front: Column, idf: Column, stmts: Column, seeds: Column) -
     return F.aggregate(F.reverse(stmts), init, step, lambda acc: acc["kept"])
 
 
-def backward_slice_mask(front: Column, back: Column) -> Column:
+def backward_slice_mask(front: Column, stmts: Column, seeds: Column) -> Column:
     """0/1 per token of ``front``: 1 inside a statement the try block depends on.
 
-    The first statement (the method header) is always kept; ``mask[s:e] = 1``
-    is end-exclusive, so each terminator stays 0.
+    ``stmts`` (A11 of ``front``) and ``seeds`` (A12 of the back part) are bound
+    by the caller.  The first statement (the method header) is always kept;
+    ``mask[s:e] = 1`` is end-exclusive, so each terminator stays 0.
     """
-    def with_stmts(stmts, idf):
-        def with_kept(kept):
-            first = F.try_element_at(stmts, F.lit(1))
-            all_kept = F.when((F.size(stmts) > 0) & ~F.array_contains(kept, first),
-                              F.concat(kept, F.array(first))).otherwise(kept)
-            # Statements tile front from index 0 without gaps, so the mask is
-            # built statement by statement: a kept one gives 1s then a 0 for
-            # its terminator, others 0s; tokens after the last one are 0.
-            def piece(ks):
-                parts = F.transform(stmts, lambda st: F.when(
-                    F.array_contains(ks, st),
-                    F.concat(F.array_repeat(F.lit(1), st["e"] - st["s"]), F.array(F.lit(0))))
-                    .otherwise(F.array_repeat(F.lit(0), st["e"] - st["s"] + 1)))
-                covered = F.coalesce(F.try_element_at(stmts, F.lit(-1))["e"] + 1, F.lit(0))
-                return F.concat(F.flatten(parts), F.array_repeat(F.lit(0), F.size(front) - covered))
-            return let(all_kept, piece)
-        return let(_kept_statements(front, idf, stmts, slice_seeds(back)), with_kept)
-
-    return let(F.transform(front, is_identifier), lambda idf: let(
-        segment_statements(front), lambda stmts: with_stmts(stmts, idf)))
+    # Statements tile front from index 0 without gaps, so the mask is built
+    # statement by statement: a kept one gives 1s then a 0 for its terminator,
+    # others 0s; tokens after the last one are 0.
+    def with_flags(flags):
+        n = F.size(flags)
+
+        def piece(st, k):
+            ones = F.when((k == 0) | F.element_at(flags, n - k), st["e"] - st["s"]).otherwise(F.lit(0))
+            return F.concat(F.array_repeat(F.lit(1), ones),
+                            F.array_repeat(F.lit(0), st["e"] - st["s"] + 1 - ones))
+        covered = F.coalesce(F.try_element_at(stmts, F.lit(-1))["e"] + 1, F.lit(0))
+        return F.concat(F.flatten(F.transform(stmts, piece)), F.array_repeat(F.lit(0), F.size(front) - covered))
+
+    return let(F.transform(front, is_identifier),
+               lambda idf: let(_kept_statements(front, idf, stmts, seeds), with_flags))

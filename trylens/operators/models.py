@@ -66,25 +66,25 @@ def _token_join(occ: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def class_scores(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str = "tokens") -> DataFrame:
     """L2/L4 score: (key, scores array<struct<class_id, score>>, class_id = argmax).
 
-    One left join of token occurrences against the model (plus one
-    ``class_id = -1`` row per known token, which counts known tokens), then
-    partial sums per (key, class) and one row per key.  The class table is
-    bounded by the label map, so it is a literal array; every class score and
-    the argmax are computed inside the row (lower class id wins ties).
+    The model is pivoted to one row per token with a column per class, so a
+    token occurrence stays one row through the join and one aggregation per key
+    sums all classes.  The class table is bounded by the label map, so it is a
+    literal array; every class score and the argmax are computed inside the row
+    (lower class id wins ties).
     """
     classes = model.select("class_id", "prior", "unseen").distinct().orderBy("class_id").collect()
-    ext = model.select("token", "class_id", (F.col("log_lik") - F.col("unseen")).alias("d")).unionByName(
-        model.select("token").distinct().select("token", F.lit(-1).alias("class_id"), F.lit(0.0).alias("d")))
+    wide = model.groupBy("token").agg(F.lit(1).alias("known"), *[
+        F.sum(F.when(F.col("class_id") == r["class_id"], F.col("log_lik") - F.col("unseen"))).alias(f"d{k}")
+        for k, r in enumerate(classes)])
     occ = docs.select(key, F.explode_outer(tokens).alias("token"))
-    j = _token_join(occ, ext, key)
-    per_class = j.groupBy(key, "class_id").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
-    per_key = per_class.groupBy(key).agg(
-        F.coalesce(F.max(F.when(F.col("class_id") == -1, F.col("n"))), F.lit(0)).alias("n_known"),
-        F.map_from_entries(F.collect_list(F.when(F.col("class_id") >= 0, F.struct("class_id", "s")))).alias("m"))
-    def one(cid, prior, unseen):
-        sc = F.lit(prior) + F.col("n_known") * F.lit(unseen) + F.coalesce(F.col("m")[cid], F.lit(0.0))
-        return F.struct(F.lit(cid).alias("class_id"), F.round(sc, 6).alias("score"))
-    scores = F.array(*[one(r["class_id"], r["prior"], r["unseen"]) for r in classes])
+    j = _token_join(occ, wide, key)
+    per_key = j.groupBy(key).agg(F.count("known").alias("n_known"), *[
+        F.coalesce(F.sum(f"d{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(len(classes))])
+
+    def one(k, r):
+        sc = F.lit(r["prior"]) + F.col("n_known") * F.lit(r["unseen"]) + F.col(f"s{k}")
+        return F.struct(F.lit(r["class_id"]).alias("class_id"), F.round(sc, 6).alias("score"))
+    scores = F.array(*[one(k, r) for k, r in enumerate(classes)])
     x = per_key.select(key, scores.alias("scores"))
     best = F.array_max(F.transform("scores", lambda c: F.struct(
         c["score"].alias("s"), (-c["class_id"]).alias("neg"), c["class_id"].alias("c"))))

@@ -36,18 +36,34 @@ def slice_methods(df: DataFrame, src_col: str = "src", keep: tuple[str, ...] = (
     """The full slicing stage: tokens, try split, statements, seeds and mask.
 
     Output columns: ``keep`` + try_idx, front, back, statements, seeds, mask.
+    Statements and seeds are folded once and handed to the backward walk.
     """
-    parts = split_at_try(source_tokens(F.col(src_col))).alias("_p")
-    x = df.select(*keep, parts)
-    sliced = x.select(*keep, "_p.try_idx", "_p.front", "_p.back").select(
+    sliced = split_methods(df, src_col, keep).select(
         *keep, "try_idx", "front", "back",
-        let(F.struct("front", "back"), lambda fb: F.struct(
-            segment_statements(fb["front"]).alias("statements"),
-            slice_seeds(fb["back"]).alias("seeds"),
-            backward_slice_mask(fb["front"], fb["back"]).alias("mask"))).alias("_s"))
+        let(F.struct("front", segment_statements(F.col("front")).alias("statements"),
+                     let(F.col("back"), slice_seeds).alias("seeds")),
+            lambda s: F.struct(s["statements"].alias("statements"), s["seeds"].alias("seeds"),
+                               backward_slice_mask(s["front"], s["statements"], s["seeds"]).alias("mask"))).alias("_s"))
     return sliced.select(*keep, "try_idx", "front", "back", "_s.statements", "_s.seeds", "_s.mask")
 
 
+def split_methods(df: DataFrame, src_col: str = "src", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` + try_idx, front, back (A6 + A9 on the cleaned tokens)."""
+    x = df.select(*keep, split_at_try(source_tokens(F.col(src_col))).alias("_p"))
+    return x.select(*keep, "_p.try_idx", "_p.front", "_p.back")
+
+
+def method_statements(df: DataFrame, src_col: str = "src", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A11 alone: ``keep`` + front, statements."""
+    return split_methods(df, src_col, keep).select(
+        *keep, "front", segment_statements(F.col("front")).alias("statements"))
+
+
+def method_seeds(df: DataFrame, src_col: str = "src", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A12 alone: ``keep`` + seeds."""
+    return split_methods(df, src_col, keep).select(*keep, let(F.col("back"), slice_seeds).alias("seeds"))
+
+
 def quality_gate(mask: F.Column, front: F.Column) -> F.Column:
     """a slice is valid when more than one token is kept and lengths agree."""
     return (F.aggregate(mask, F.lit(0), lambda a, m: a + m) > 1) & (F.size(mask) == F.size(front))

@@ -103,8 +103,8 @@ def method_is_balanced(src: Column) -> Column:
     return brace_depth(py_split(src)) == 0
 
 
-def repair_unclosed_method(func: Column) -> Column:
-    """A5: struct(depth, parse_ok, code, tokens).
+def repair_unclosed_method(func: Column, tokens: bool = True) -> Column:
+    """A5: struct(depth, parse_ok, code) and, unless switched off, the A4 ``tokens``.
 
     depth = open minus close braces outside quotes.  0-2 -> append that many
     ``" }"`` and parse; otherwise fall back to the whitespace split of the
@@ -116,9 +116,11 @@ def repair_unclosed_method(func: Column) -> Column:
             repaired = F.concat(f, F.repeat(F.lit(" }"), F.greatest(d, F.lit(0))))
             fallback = F.concat(normalize_code_whitespace(f), F.lit(" } } }"))
             code = F.when(ok, repaired).otherwise(fallback)
-            toks = F.when(ok, structural_token_stream(repaired)).otherwise(py_split(fallback))
-            return F.struct(d.alias("depth"), ok.alias("parse_ok"), code.alias("code"),
-                            toks.alias("tokens"))
+            out = [d.alias("depth"), ok.alias("parse_ok"), code.alias("code")]
+            if tokens:
+                toks = F.when(ok, structural_token_stream(repaired)).otherwise(py_split(fallback))
+                out.append(toks.alias("tokens"))
+            return F.struct(*out)
         return let(brace_depth(py_split(f)), with_depth)
     return let(func, body)
 
@@ -216,6 +218,38 @@ def extract_methods(file_lines: DataFrame, file_col: str = "file_id", line_no: s
         F.count("*").alias("n_lines"))
 
 
+def extract_methods_from_files(files: DataFrame, file_col: str = "file_id", lines: str = "lines") -> DataFrame:
+    """A14 for files held as one row of ordered lines: the rules of
+    ``extract_methods``, folded inside the row (no shuffle).
+
+    The fold carries the depth, the method being read and those closed; a method
+    without a further line at depth 2 or more ends on its first line.
+    """
+    span = "struct<start_line:int,end_line:int,n_lines:bigint>"
+    init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("i"), F.lit(None).cast(span).alias("cur"),
+                    F.array().cast(f"array<{span}>").alias("done"))
+
+    def closed(acc):
+        return F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
+
+    def step(acc, net):
+        i = acc["i"] + 1
+        start = (acc["d"] == 1) & (net > 0)
+        cur = acc["cur"]
+        first = F.struct(i.alias("start_line"), i.alias("end_line"), F.lit(1).cast("long").alias("n_lines"))
+        more = F.struct(cur["start_line"].alias("start_line"), i.alias("end_line"),
+                        (cur["n_lines"] + 1).alias("n_lines"))
+        return F.struct((acc["d"] + net).alias("d"), i.alias("i"),
+                        F.when(start, first).when(cur.isNotNull() & (acc["d"] >= 2), more).otherwise(cur)
+                         .cast(span).alias("cur"),
+                        F.when(start, closed(acc)).otherwise(acc["done"]).alias("done"))
+
+    nets = F.transform(lines, lambda ln: brace_depth(py_split(ln)))
+    spans = let(nets, lambda ns: F.aggregate(ns, init, step, closed))
+    x = files.select(file_col, F.posexplode(spans).alias("k", "m"))
+    return x.select(file_col, (F.col("k") + 1).cast("long").alias("method_no"), "m.start_line", "m.end_line", "m.n_lines")
+
+
 def split_parsed(methods: DataFrame) -> tuple[DataFrame, DataFrame]:
     """F2 as a split: (kept, quarantined with ``reason``).
 

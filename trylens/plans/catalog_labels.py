@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
-from ..operators.util import with_position
 from ..sources import fixtures as fx
 from .oracle import with_fixtures
 from .registry import query
@@ -42,8 +42,9 @@ _COUNTS_SQL = with_fixtures(
 
 def exception_counts(spark, sf_dir):
     counts = L.count_exception_types(typed_targets(spark, sf_dir))
-    ranked = with_position(counts, [F.desc("n"), F.asc("first_pos")], "rank0")
-    return ranked.select("exception", "n", (F.col("rank0") + 1).alias("rank"))
+    # ranks the aggregated classes only: one row per exception class name
+    order = Window.orderBy(F.desc("n"), F.asc("first_pos"))
+    return counts.select("exception", "n", F.row_number().over(order).cast("long").alias("rank"))
 
 
 @query("count_exception_types", _COUNTS_SQL)
@@ -78,5 +79,5 @@ def first_listed_exception(spark, sf_dir):
 @query("corpus_counts", with_fixtures(
     "SELECT split, count(DISTINCT method_id) AS n_methods FROM code_lines GROUP BY split", "code_lines"))
 def corpus_counts(spark, sf_dir):
-    cl = fx.code_lines(spark, sf_dir)
-    return cl.groupBy("split").agg(F.countDistinct("method_id").alias("n_methods"))
+    m = fx.methods(spark, sf_dir)
+    return m.groupBy("split").agg(F.count("*").alias("n_methods"))

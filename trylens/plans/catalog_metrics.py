@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as G
 from ..operators import ranking as K
+from ..operators.structure import merge_statement_lines, tag_lines
 from ..operators.util import with_position
 from ..sources import fixtures as fx
+from .catalog_structure import _D_GRP, _D_TAGGED
 from .oracle import with_fixtures
 from .registry import query
 
@@ -108,18 +110,42 @@ def mean_method_line_recall(spark, sf_dir):
     return _rounded(G.mean_method_line_recall(_stats(spark, sf_dir)), "mean_line_recall")
 
 
-_EXACT_SQL = ("SELECT round(avg(CASE WHEN match_all THEN 1.0 ELSE 0.0 END), 6) AS rate, "
-              "CAST(count(*) FILTER (WHERE match_all) AS BIGINT) AS hits, count(*) AS total FROM d_stats")
+# Merged labels (A2) by position; positions past the merged lines are padding
+# with label 0, where the model may still predict 1.
+_D_MERGED = ("d_merged", """SELECT method_id, grp, arg_min(label, line_no) AS label FROM d_grp WHERE grp > 0
+ GROUP BY method_id, grp""")
+_D_POS = ("d_pos", """SELECT c.method_id, c.line_no, c.pred, coalesce(m.label, 0) AS label, n.lines_count FROM code_lines c
+ JOIN (SELECT method_id, max(grp) AS lines_count FROM d_grp GROUP BY method_id) n ON n.method_id = c.method_id
+ LEFT JOIN d_merged m ON m.method_id = c.method_id AND m.grp = c.line_no WHERE c.line_no <= 50""")
 
 
-@query("exact_match_rate", with_fixtures(_EXACT_SQL, "code_lines", ctes=(_LINES50, _STATS)))
+def _exact_sql(cond: str) -> str:
+    return with_fixtures(
+        "SELECT round(avg(CASE WHEN bad = 0 THEN 1.0 ELSE 0.0 END), 6) AS rate, "
+        "CAST(count(*) FILTER (WHERE bad = 0) AS BIGINT) AS hits, count(*) AS total FROM "
+        f"(SELECT method_id, count(*) FILTER (WHERE label <> pred AND {cond}) AS bad FROM d_pos GROUP BY method_id)",
+        "code_lines", ctes=(_D_TAGGED, _D_GRP, _D_MERGED, _D_POS))
+
+
+def _merged_stats(spark, sf_dir):
+    m = fx.methods(spark, sf_dir)
+    merged = merge_statement_lines(F.col("lines"), F.col("labels"), tag_lines(F.col("lines")))
+    x = m.select("method_id", "preds", merged.alias("m"))
+    z = F.arrays_zip(F.transform("m", lambda g: g["label"]).alias("l"), F.col("preds").alias("p"))
+    x = x.select("method_id", F.size("m").alias("lines_count"), F.posexplode(z).alias("i", "z"))
+    lines = x.select("method_id", "lines_count", (F.col("i") + 1).alias("line_no"),
+                     F.coalesce("z.l", F.lit(0)).alias("label"), F.col("z.p").alias("pred"))
+    return G.per_method_line_stats(lines, lines_count="lines_count")
+
+
+@query("exact_match_rate", _exact_sql("line_no <= lines_count"))
 def exact_match_rate(spark, sf_dir):
-    return _rounded(G.exact_match_rate(_stats(spark, sf_dir), "match_within"), "rate")
+    return _rounded(G.exact_match_rate(_merged_stats(spark, sf_dir), "match_within"), "rate")
 
 
-@query("exact_match_rate_padded", with_fixtures(_EXACT_SQL, "code_lines", ctes=(_LINES50, _STATS)))
+@query("exact_match_rate_padded", _exact_sql("true"))
 def exact_match_rate_padded(spark, sf_dir):
-    return _rounded(G.exact_match_rate(_stats(spark, sf_dir), "match_all"), "rate")
+    return _rounded(G.exact_match_rate(_merged_stats(spark, sf_dir), "match_all"), "rate")
 
 
 _RANK_SQL = ("d_rank", """SELECT a.id, 1 + count(*) FILTER (WHERE greatest(b.logit, 0) > greatest(a.logit, 0)

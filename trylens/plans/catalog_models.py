@@ -111,9 +111,8 @@ def score_lines(spark, sf_dir):
     docs = materialize(line_docs(spark, sf_dir))
     model = materialize(M.fit_naive_bayes(docs.where(F.col("split") == "train")))
     test = docs.where(F.col("split") == "test")
-    best = M.class_scores(test, model, key="line_key").select("line_key", "class_id")
-    return test.select("line_key", "method_id", "line_no").join(best, "line_key").select(
-        "method_id", "line_no", F.col("class_id").cast("int").alias("pred"))
+    best = M.class_scores(test, model, key="line_key")
+    return best.select("line_key.method_id", "line_key.line_no", F.col("class_id").cast("int").alias("pred"))
 
 
 def handler_inputs(spark, sf_dir):

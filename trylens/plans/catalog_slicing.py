@@ -49,7 +49,7 @@ def split_front_back(spark, sf_dir):
 
 @query("segment_statements", _oracle(f"SELECT method_id, {X.iv_text('stmts')} AS statements FROM d_st", 4))
 def segment_statements(spark, sf_dir):
-    s = sliced(spark, sf_dir)
+    s = S.method_statements(fx.methods(spark, sf_dir), keep=("method_id",))
     return s.select("method_id", F.array_join(F.transform(
         "statements", lambda iv: F.concat_ws("-", iv["s"].cast("string"), iv["e"].cast("string"))),
         ",").alias("statements"))
@@ -58,7 +58,7 @@ def segment_statements(spark, sf_dir):
 @query("slice_seeds", _oracle(
     "SELECT method_id, array_to_string(list_sort(seeds0), ' ') AS seeds FROM d_st", 4))
 def slice_seeds(spark, sf_dir):
-    s = sliced(spark, sf_dir)
+    s = S.method_seeds(fx.methods(spark, sf_dir), keep=("method_id",))
     return s.select("method_id", F.array_join(F.array_sort("seeds"), " ").alias("seeds"))
 
 
@@ -112,7 +112,7 @@ def missing_marker_check(spark, sf_dir):
     "array_to_string(list_slice(front, stmts[k].s + 1, stmts[k].e + 1), ' ') AS text "
     "FROM d_st, range(1, len(stmts) + 1) r(k)", 4))
 def explode_method_statements(spark, sf_dir):
-    return S.explode_statements(sliced(spark, sf_dir))
+    return S.explode_statements(S.method_statements(fx.methods(spark, sf_dir), keep=("method_id",)))
 
 
 @query("write_sliced_corpus", with_fixtures(

@@ -94,7 +94,7 @@ _D_REPAIR = ("d_rep", f"SELECT method_id, func, {_depth_sql(X.split_ws('func'))}
 def repair_unclosed_method(spark, sf_dir):
     m = fx.methods(spark, sf_dir)
     func = wrap_full_method(clean_method_source(F.col("src")), F.col("tgt"))
-    r = m.select("method_id", A.repair_unclosed_method(func).alias("r"))
+    r = m.select("method_id", A.repair_unclosed_method(func, tokens=False).alias("r"))
     return r.select("method_id", "r.depth", "r.parse_ok", "r.code")
 
 
@@ -147,17 +147,13 @@ def split_front_back_at_catch(spark, sf_dir):
 
 def class_files(spark, sf_dir):
     """Files of up to three consecutive balanced methods (``method_id div 3``)
-    under a ``class C {`` header and a ``}`` footer: file_id, line_no, line.
-
-    One shuffle (group by file); lines are numbered by position in the file's
-    array, and the result stays partitioned by file_id."""
+    under a ``class C {`` header and a ``}`` footer: file_id and its ordered lines."""
     m = fx.methods(spark, sf_dir).where(A.method_is_balanced(F.col("src")))
     g = m.groupBy(F.floor(F.col("method_id") / 3).cast("long").alias("file_id")).agg(
         F.array_sort(F.collect_list(F.struct("method_id", "lines"))).alias("ms"))
     lines = F.concat(F.array(F.lit("class C {")), F.flatten(F.transform("ms", lambda x: x["lines"])),
                      F.array(F.lit("}")))
-    x = g.select("file_id", F.posexplode(lines).alias("i", "line"))
-    return x.select("file_id", (F.col("i") + 1).cast("int").alias("line_no"), "line")
+    return g.select("file_id", lines.alias("lines"))
 
 
 _FILES = ("d_files", f"""SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY k1, k2) AS BIGINT) AS line_no, line FROM (
@@ -178,21 +174,21 @@ _FILE_M = ("d_fm", """SELECT *, sum(CASE WHEN before_d = 1 AND net > 0 THEN 1 EL
     "FROM d_fm WHERE method_no > 0 AND (before_d >= 2 OR (before_d = 1 AND net > 0)) GROUP BY file_id, method_no",
     "methods", ctes=(_FILES, _FILE_DEPTH, _FILE_M)))
 def extract_methods(spark, sf_dir):
-    files = class_files(spark, sf_dir)
-    out = A.extract_methods(files)
-    return out.select("file_id", F.col("method_no").cast("long").alias("method_no"), "start_line", "end_line",
-                      "n_lines")
+    return A.extract_methods_from_files(class_files(spark, sf_dir))
+
+
+_PARSED = ("d_parsed", f"""SELECT m.method_id, m.split, {_depth_sql(X.split_ws('m.src'))} = 0 AS ok, t.n
+ FROM methods m JOIN (SELECT method_id, count(tag) AS n FROM d_tagged GROUP BY method_id) t ON t.method_id = m.method_id""")
 
 
 @query("drop_unparsed_methods", with_fixtures(
-    f"SELECT method_id, {_depth_sql(X.split_ws('src'))} = 0 AND len(lines) > 0 AS kept, "
-    f"CASE WHEN {_depth_sql(X.split_ws('src'))} <> 0 THEN 'unbalanced' WHEN len(lines) = 0 THEN 'empty' "
-    "ELSE 'ok' END AS reason FROM methods", "methods"))
+    "SELECT method_id, split FROM d_parsed WHERE ok AND n > 0", "methods", ctes=(_D_TAGGED, _PARSED)))
 def drop_unparsed_methods(spark, sf_dir):
-    m = fx.methods(spark, sf_dir)
-    ok = A.method_is_balanced(F.col("src"))
-    tags = A.tag_lines(F.col("lines"))
-    n = F.size(A.merge_statement_lines(F.col("lines"), F.col("labels"), tags))
-    return m.select("method_id", (ok & (n > 0)).alias("kept"),
-                    F.when(~ok, "unbalanced").when(n == 0, "empty").otherwise("ok").alias("reason"))
+    return A.split_parsed(fx.methods(spark, sf_dir))[0].select("method_id", "split")
+
 
+@query("quarantine_unparsed_methods", with_fixtures(
+    "SELECT method_id, CASE WHEN NOT ok THEN 'unbalanced braces' ELSE 'no lines' END AS reason "
+    "FROM d_parsed WHERE NOT (ok AND n > 0)", "methods", ctes=(_D_TAGGED, _PARSED)))
+def quarantine_unparsed_methods(spark, sf_dir):
+    return A.split_parsed(fx.methods(spark, sf_dir))[1].select("method_id", "reason")

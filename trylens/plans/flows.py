@@ -56,7 +56,7 @@ def task2_corpus(methods: DataFrame, label_map: DataFrame) -> DataFrame:
 def task2_sources(methods: DataFrame) -> DataFrame:
     """P2 + P4 + A5/A4: the full method text for the AST-style token stream."""
     func = wrap_full_method(clean_method_source(F.col("src")), F.col("tgt"))
-    return methods.select("method_id", "split", A.repair_unclosed_method(func).alias("r"))
+    return methods.select("method_id", "split", "tgt", A.repair_unclosed_method(func).alias("r"))
 
 
 # --- online prediction (L5) --------------------------------------------------
@@ -81,12 +81,11 @@ def ast_type_docs(methods: DataFrame, label_map: DataFrame) -> DataFrame:
     """Type-model training docs on the AST-style stream: P2 + P4 + A5/A4, then
     the TRY/CatchClause split (A7, A8, A10); tokens prefixed f:/b:."""
     from ..operators import models as M
-    r = task2_sources(methods).select("method_id", "split", "r.tokens")
-    s = r.select("method_id", "split", A.split_front_back_at_catch(F.col("tokens")).alias("s"))
-    docs = s.select("method_id", "split", M.prefixed_tokens(("f:", F.col("s.front")),
-                                                            ("b:", F.col("s.back"))).alias("tokens"))
-    lab = L.map_exception_label(L.exception_types(methods.select("method_id", "tgt")), label_map)
-    return docs.join(lab.select("method_id", "label"), "method_id")
+    r = task2_sources(methods).select("method_id", "split", "tgt", "r.tokens")
+    s = r.select("method_id", "split", "tgt", A.split_front_back_at_catch(F.col("tokens")).alias("s"))
+    docs = s.select("method_id", "split", "tgt", M.prefixed_tokens(("f:", F.col("s.front")),
+                                                                   ("b:", F.col("s.back"))).alias("tokens"))
+    return L.map_exception_label(L.exception_types(docs), label_map).select("method_id", "split", "tokens", "label")
 
 
 def fit_handler_models(methods: DataFrame, label_map: DataFrame):
@@ -118,7 +117,7 @@ def predict_handlers(submissions: DataFrame, line_model: DataFrame, type_model:
     sub = submissions.select("method_id", "code", F.split("code", "\n", -1).alias("lines"))
     docs = line_feature_docs(sub)
     best = M.class_scores(docs.select("line_key", "tokens"), line_model, key="line_key")
-    per_line = docs.select("line_key", "method_id", "line_no").join(best.select("line_key", "class_id"), "line_key")
+    per_line = best.select("line_key.method_id", "line_key.line_no", "class_id")
     preds = per_line.groupBy("method_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "class_id"))),
                     lambda s: s["class_id"].cast("int")).alias("preds"))
