@@ -95,7 +95,8 @@ def merge_statement_lines(lines: Column, labels: Column, tags: Column) -> Column
 
 def append_line_tags(lines: Column, tags: Column) -> Column:
     """A3: every line kept, its tag appended when it has one."""
-    return F.transform(lines, lambda ln, i: F.concat(ln, F.coalesce(F.element_at(tags, i + 1), F.lit(""))))
+    return let(tags, lambda tg: F.transform(
+        lines, lambda ln, i: F.concat(ln, F.coalesce(F.element_at(tg, i + 1), F.lit("")))))
 
 
 def method_is_balanced(src: Column) -> Column:
@@ -136,7 +137,7 @@ def structural_token_stream(code: Column) -> Column:
     """A4: method text -> flat marker stream, then P9 re-splitting.
 
     Rules: keywords of STRUCT_KEYWORDS become markers; ``name (`` becomes
-    ``METHOD INVOCATION name``; ``q .`` becomes ``qualifier q`` (the dot is
+    ``METHOD INVOCATION name arguments`` (the ``( ... )`` follows); ``q .`` becomes ``qualifier q`` (the dot is
     dropped); a declaration ``Type name`` becomes ``VarDec Type``; ``=`` after
     a declared name becomes ``initializer``; string literals lose their quotes
     and are split on spaces; brackets and other tokens are kept.
@@ -158,7 +159,7 @@ def structural_token_stream(code: Column) -> Column:
                     .when(tok.startswith('"'), F.filter(F.split(F.regexp_replace(tok, '"', ""), " ", -1),
                                                         lambda w: w != ""))
                     .when(ident & (nxt == "(") & ~tok.isin(*_CONTROL),
-                          F.array(F.lit("METHOD"), F.lit("INVOCATION"), tok))
+                          F.array(F.lit("METHOD"), F.lit("INVOCATION"), tok, F.lit("arguments")))
                     .when(ident & (nxt == "."), F.array(F.lit("qualifier"), tok))
                     .when(tok == ".", F.array().cast("array<string>"))
                     .when(ident & nxt_id & decl_start, F.array(F.lit("VarDec"), tok))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.java import CATCH_PATTERN
 from ..operators import labels as L
 from ..sources import fixtures as fx
 from .oracle import with_fixtures
 from .registry import query
 
 # DuckDB form of P7 (first match of the catch pattern, default Exception).
-P7_SQL = r"""CASE WHEN regexp_extract(tgt, 'catch\s*\(\s*(?:final\s+)?([\w.|s]+)\s+([\w]+)\s*\)', 1) = '' THEN 'Exception'
- ELSE array_to_string(string_split(regexp_extract(tgt, 'catch\s*\(\s*(?:final\s+)?([\w.|s]+)\s+([\w]+)\s*\)', 1), '|'), ', ') END"""
+_P7_MATCH = f"regexp_extract(tgt, '{CATCH_PATTERN}', 1)"
+P7_SQL = (f"CASE WHEN {_P7_MATCH} = '' THEN 'Exception' "
+          f"ELSE array_to_string(string_split({_P7_MATCH}, '|'), ', ') END")
 
 
 def typed_targets(spark, sf_dir):
@@ -76,6 +78,36 @@ def first_listed_exception(spark, sf_dir):
     return h.where(F.size("f") >= 4).select("id", L.first_listed_exception(F.col("f")).alias("exception"))
 
 
+_LISTED = ("d_listed", "SELECT id, string_split(string_split(value, '#')[3], ',')[1] AS exception "
+                       "FROM hash_records WHERE len(string_split(value, '#')) >= 4")
+
+
+def listed_types(spark, sf_dir):
+    h = fx.hash_records(spark, sf_dir).withColumn("f", F.split("value", "#"))
+    return h.where(F.size("f") >= 4).select("id", L.first_listed_exception(F.col("f")).alias("exception"))
+
+
+@query("map_listed_exception_label", with_fixtures(
+    "SELECT d.id, d.exception, CAST(coalesce(m.class_id, 0) AS INTEGER) AS label FROM d_listed d "
+    "LEFT JOIN class_map m ON m.name = d.exception", "hash_records", "class_map", ctes=(_LISTED,)))
+def map_listed_exception_label(spark, sf_dir):
+    """P8 + J2: label of the first listed type of a ``#`` record."""
+    return L.map_exception_label(listed_types(spark, sf_dir), fx.class_map(spark))
+
+
+@query("write_listed_count_report", with_fixtures(
+    "SELECT row_number() OVER (ORDER BY n DESC, first_pos) - 1 AS pos, exception || ':' || n AS line FROM "
+    "(SELECT exception, count(*) AS n, min(id) AS first_pos FROM d_listed GROUP BY exception)",
+    "hash_records", ctes=(_LISTED,)))
+def write_listed_count_report(spark, sf_dir):
+    """S10 over ``#`` records: ``type:count`` lines, most frequent first."""
+    from ..sources import text as TX
+    counts = L.count_exception_types(listed_types(spark, sf_dir), pos_col="id")
+    path = TX.write_lines(counts, F.concat_ws(":", "exception", F.col("n").cast("string")),
+                          [F.desc("n"), F.asc("first_pos")], "listed_count_report")
+    return TX.read_positional(spark, path, "line")
+
+
 @query("corpus_counts", with_fixtures(
     "SELECT split, count(DISTINCT method_id) AS n_methods FROM code_lines GROUP BY split", "code_lines"))
 def corpus_counts(spark, sf_dir):

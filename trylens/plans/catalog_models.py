@@ -10,8 +10,10 @@ from ..operators.util import materialize
 from ..sources import fixtures as fx
 from . import flows
 from . import oracle_exprs as X
+from .catalog_clean import _rename_sql
 from .catalog_encode import _T2_MARK
 from .catalog_labels import P7_SQL
+from .catalog_structure import _D_TAGGED
 from .oracle import with_fixtures
 from .registry import query
 
@@ -88,7 +90,8 @@ _FUNC_SQL = f"({X.clean_src('src')} || tgt || chr(10) || ' }}')"
 _LINE_DOCS = ("d_ldocs", f"""SELECT struct_pack(m := method_id, l := line_no) AS line_key, method_id, line_no, split, label,
  list_concat(t, list_transform(coalesce(lag(t) OVER w, []), lambda x: 'p:' || x),
   list_transform(coalesce(lead(t) OVER w, []), lambda x: 'n:' || x)) AS toks
- FROM (SELECT *, {X.split_ws('line')} AS t FROM code_lines) WINDOW w AS (PARTITION BY method_id ORDER BY line_no)""")
+ FROM (SELECT *, {X.split_ws(_rename_sql('mline'))} AS t
+  FROM (SELECT *, {X.strip("line || coalesce(tag, '')")} AS mline FROM d_tagged)) WINDOW w AS (PARTITION BY method_id ORDER BY line_no)""")
 
 
 def line_docs(spark, sf_dir):
@@ -97,7 +100,7 @@ def line_docs(spark, sf_dir):
 
 @query("fit_line_classifier", with_fixtures(
     "SELECT class_id, token, round(log_lik, 6) AS log_lik, round(prior, 6) AS prior, round(unseen, 6) AS unseen FROM d_model",
-    "code_lines", ctes=(_LINE_DOCS,) + _nb_model_ctes("d_ldocs", "label", "split = 'train'")))
+    "code_lines", ctes=(_D_TAGGED, _LINE_DOCS) + _nb_model_ctes("d_ldocs", "label", "split = 'train'")))
 def fit_line_classifier(spark, sf_dir):
     docs = line_docs(spark, sf_dir)
     return _r6(M.fit_naive_bayes(docs.where(F.col("split") == "train")), "log_lik", "prior", "unseen")
@@ -105,7 +108,7 @@ def fit_line_classifier(spark, sf_dir):
 
 @query("score_lines", with_fixtures(
     "SELECT d.method_id, d.line_no, CAST(b.class_id AS INTEGER) AS pred FROM d_best b JOIN d_ldocs d ON d.line_key = b.line_key",
-    "code_lines", ctes=(_LINE_DOCS,) + _nb_model_ctes("d_ldocs", "label", "split = 'train'")
+    "code_lines", ctes=(_D_TAGGED, _LINE_DOCS) + _nb_model_ctes("d_ldocs", "label", "split = 'train'")
     + _nb_score_ctes("d_ldocs", "line_key", "split = 'test'")))
 def score_lines(spark, sf_dir):
     docs = materialize(line_docs(spark, sf_dir))
@@ -142,6 +145,7 @@ def _fb_docs(tokens: str) -> str:
 
 
 _L5_CTES = (
+    _D_TAGGED,
     _LINE_DOCS,
     *_nb_model_ctes("d_ldocs", "label", "split = 'train'", "l_"),
     *_nb_score_ctes("d_ldocs", "line_key", "split = 'test'", "l_"),
@@ -181,6 +185,38 @@ def predict_handlers(spark, sf_dir):
                           "errorCode", "line_predict")
 
 
+_FEEDBACK_SQL = with_fixtures(
+    """SELECT k.method_id AS record_id, array_to_string(m.lines, chr(10)) AS code_data, array_to_string(k.preds, ',') AS line_predict,
+ coalesce(c.name, 'Exception') AS exception_predict, -1 AS user_evaluation, '' AS line_artificial, '' AS exception_artificial
+ FROM l5_tok k JOIN methods m ON m.method_id = k.method_id LEFT JOIN t_best b ON b.method_id = k.method_id
+ LEFT JOIN class_map c ON c.class_id = b.class_id""", "methods", "class_map", ctes=_L5_CTES)
+
+
+@query("record_reply_feedback", _FEEDBACK_SQL)
+def record_reply_feedback(spark, sf_dir):
+    """S11 fed by L5: one feedback row per reply, appended and read back."""
+    from ..sources import tables
+    subs, line_model, type_model = handler_inputs(spark, sf_dir)
+    replies = flows.predict_handlers(subs, line_model, type_model, fx.class_map(spark))
+    path = tables.shared_path(spark, "reply-feedback")
+    tables.append_feedback(flows.feedback_records(replies), path)
+    return tables.read_feedback(spark, path)
+
+
+@query("write_ast_corpus", with_fixtures(
+    f"""SELECT a.method_id, a.split, {X.join_sp(X.py_slice('ast', None, X.last_marker('ast', 'TRY')))} AS front,
+ {X.join_sp(X.py_slice('ast', X.last_marker('ast', 'TRY'), X.last_marker('ast', 'CatchClause')))} AS back,
+ array_to_string({X.split_ws(X.clean_src('src'))}, ' ') AS source, a.tgt, CAST(coalesce(c.class_id, 0) AS INTEGER) AS label
+ FROM (SELECT method_id, split, src, tgt, {_ast_tokens_sql(_FUNC_SQL)} AS ast FROM methods) a
+ LEFT JOIN class_map c ON c.name = ({P7_SQL.replace('tgt', 'a.tgt')})""", "methods", "class_map"))
+def write_ast_corpus(spark, sf_dir):
+    """S8 on the marker stream: P2 + P4 + A5/A4, the TRY/CatchClause split, the
+    source tokens, the target and its label."""
+    from ..sources import tables
+    out = flows.ast_corpus(fx.methods(spark, sf_dir), fx.class_map(spark))
+    return tables.write_and_read(spark, out, "ast_corpus", partition_by=("split",))
+
+
 def _l6_sql() -> str:
     from .catalog_encode import _T2_MARK, _T2_VOCAB, _framed, _t2_ids
     body = f"""SELECT method_id, CAST(arg_max(c, struct_pack(s := s, nc := -c)) AS INTEGER) AS class_id FROM (

@@ -8,6 +8,7 @@ from ..operators import slicing as S
 from ..sources import fixtures as fx
 from ..sources import tables
 from . import oracle_exprs as X
+from .catalog_labels import P7_SQL
 from .oracle import with_fixtures
 from .registry import query
 
@@ -117,14 +118,13 @@ def explode_method_statements(spark, sf_dir):
 
 @query("write_sliced_corpus", with_fixtures(
     f"SELECT d.method_id, d.split, {X.join_sp('front')} AS front, {X.join_sp('back')} AS back, "
-    f"{X.json_list('mask')} AS mask, d.tgt, CAST(coalesce(c.class_id, 0) AS INTEGER) AS label "
-    f"FROM d_mask d LEFT JOIN class_map c ON c.name = (CASE WHEN regexp_extract(d.tgt, "
-    r"'catch\s*\(\s*(?:final\s+)?([\w.|s]+)\s+([\w]+)\s*\)', 1) = '' THEN 'Exception' ELSE "
-    r"array_to_string(string_split(regexp_extract(d.tgt, 'catch\s*\(\s*(?:final\s+)?([\w.|s]+)\s+([\w]+)\s*\)', 1), '|'), ', ') END)",
+    f"{X.json_list('mask')} AS mask, {X.join_sp('toks')} AS source, d.tgt, CAST(coalesce(c.class_id, 0) AS INTEGER) AS label "
+    f"FROM d_mask d LEFT JOIN class_map c ON c.name = ({P7_SQL.replace('tgt', 'd.tgt')})",
     "methods", "class_map", ctes=_CHAIN))
 def write_sliced_corpus(spark, sf_dir):
     from ..operators import labels as L
-    s = S.sliced_output(sliced(spark, sf_dir))
+    x = sliced(spark, sf_dir).withColumn("source", F.array_join(F.concat("front", "back"), " "))
+    s = S.sliced_output(x)
     s = L.map_exception_label(L.exception_types(s), fx.class_map(spark))
-    out = s.select("method_id", "split", "front", "back", "mask", "tgt", "label")
+    out = s.select("method_id", "split", "front", "back", "mask", "source", "tgt", "label")
     return tables.write_and_read(spark, out, "sliced_corpus", partition_by=("split",))

@@ -27,7 +27,7 @@ def _tag_case(line: str, line_no: str, n: str) -> str:
     return "(CASE " + " ".join(parts) + " END)"
 
 
-_D_TAGGED = ("d_tagged", f"SELECT method_id, line_no, line, label, "
+_D_TAGGED = ("d_tagged", f"SELECT method_id, line_no, split, line, label, "
                          f"{_tag_case('line', 'line_no', 'max(line_no) OVER (PARTITION BY method_id)')} AS tag "
                          "FROM code_lines")
 _D_GRP = ("d_grp", "SELECT *, count(tag) OVER (PARTITION BY method_id ORDER BY line_no "

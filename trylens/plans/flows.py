@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import pad_to
+from ..functions.arrays import let, pad_to
 from ..functions.text import clean_method_source, py_strip, rename_declared_variables, wrap_full_method
 from ..operators import labels as L
 from ..operators import structure as A
@@ -61,12 +61,20 @@ def task2_sources(methods: DataFrame) -> DataFrame:
 
 # --- online prediction (L5) --------------------------------------------------
 
+def model_lines(lines: F.Column) -> F.Column:
+    """The line model's view of a method: every line with its tag (A1, A3),
+    stripped and renamed (P3)."""
+    tagged = let(lines, lambda ls: A.append_line_tags(ls, A.tag_lines(ls)))
+    return F.transform(tagged, lambda ln: rename_declared_variables(py_strip(ln)))
+
+
 def line_feature_docs(methods: DataFrame, lines_col: str = "lines") -> DataFrame:
-    """Per line: line_key = (method_id, line_no), both columns, tokens (line +
-    previous/next context), plus ``split`` and ``label`` when the input has them."""
+    """Per line: line_key = (method_id, line_no), both columns, tokens (the tagged
+    and renamed line + previous/next context), plus ``split`` and ``label`` when
+    the input has them."""
     from ..operators import models as M
     has_labels = "labels" in methods.columns
-    feats = M.context_tokens(F.col(lines_col))
+    feats = M.context_tokens(model_lines(F.col(lines_col)))
     zipped = F.arrays_zip(feats.alias("f"), F.col("labels").alias("l")) if has_labels else \
         F.transform(feats, lambda f: F.struct(f.alias("f")))
     keep = [c for c in ("split",) if c in methods.columns]
@@ -88,6 +96,19 @@ def ast_type_docs(methods: DataFrame, label_map: DataFrame) -> DataFrame:
     return L.map_exception_label(L.exception_types(docs), label_map).select("method_id", "split", "tokens", "label")
 
 
+def ast_corpus(methods: DataFrame, label_map: DataFrame) -> DataFrame:
+    """The front/back corpus on the AST-style stream (S8): method_id, split,
+    front, back, source (cleaned source tokens), tgt, label."""
+    from ..functions.text import py_split
+    func = wrap_full_method(clean_method_source(F.col("src")), F.col("tgt"))
+    x = methods.select("method_id", "split", "tgt",
+                       F.array_join(py_split(clean_method_source(F.col("src"))), " ").alias("source"),
+                       A.split_front_back_at_catch(A.repair_unclosed_method(func)["tokens"]).alias("s"))
+    x = x.select("method_id", "split", F.array_join("s.front", " ").alias("front"),
+                 F.array_join("s.back", " ").alias("back"), "source", "tgt")
+    return L.map_exception_label(L.exception_types(x), label_map).drop("exception")
+
+
 def fit_handler_models(methods: DataFrame, label_map: DataFrame):
     """Line model (L3) and type model (L1) from the training split."""
     from ..operators import models as M
@@ -103,8 +124,8 @@ def predict_handlers(submissions: DataFrame, line_model: DataFrame, type_model:
                      label_map: DataFrame, line_limit: int = LINE_LIMIT) -> DataFrame:
     """(method_id, code) -> reply columns and the feedback record fields.
 
-    S13 split -> L4 line scores of every line, padded to 50 predictions (longer
-    methods keep all of theirs) -> A16 span -> P5 try
+    S13 split -> A3 tags -> P3 renaming -> L4 line scores of every line, padded
+    to 50 predictions (E1; longer methods keep all of theirs) -> A16 span -> P5 try
     insertion -> P2 + A5/A4 tokens -> A7/A8/A10 split -> L2 type -> J3 decode.
     The type defaults to ``Exception``.
     """

@@ -127,7 +127,7 @@ def structural_stream(code: str) -> str:
     control = ", ".join(f"'{c}'" for c in _CONTROL)
     rule = (f"CASE {kw} "
             "WHEN starts_with(tk, '\"') THEN list_filter(string_split(replace(tk, '\"', ''), ' '), lambda w: w <> '') "
-            f"WHEN {is_ident('tk')} AND {nxt} = '(' AND tk NOT IN ({control}) THEN ['METHOD', 'INVOCATION', tk] "
+            f"WHEN {is_ident('tk')} AND {nxt} = '(' AND tk NOT IN ({control}) THEN ['METHOD', 'INVOCATION', tk, 'arguments'] "
             f"WHEN {is_ident('tk')} AND {nxt} = '.' THEN ['qualifier', tk] "
             "WHEN tk = '.' THEN []::VARCHAR[] "
             f"WHEN {is_ident('tk')} AND {is_ident(nxt)} AND {prev} IN ('', '{{', '}}', ';', '(', ',', 'final') "

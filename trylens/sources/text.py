@@ -8,6 +8,8 @@ the position (a sort-merge join, no broadcast).
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,7 +38,12 @@ def _part_files(spark: SparkSession, path: str) -> list[str]:
         return [path]
     names = [s.getPath().toString() for s in fs.listStatus(p)
              if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
-    return sorted(names)
+
+    def place(name: str) -> tuple:
+        # part numbers past 99999 have a digit more, so they compare as numbers
+        part = re.search(r"/part-(\d+)[^/]*$", name)
+        return (0, int(part.group(1)), name) if part else (1, 0, name)
+    return sorted(names, key=place)
 
 
 def read_positional(spark: SparkSession, path: str, col: str = "value") -> DataFrame:
