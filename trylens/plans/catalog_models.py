@@ -247,9 +247,10 @@ def fit_mllib_baseline(spark, sf_dir):
     from ..operators.external import fit_mllib_baseline as fit
     docs = materialize(type_docs(spark, sf_dir))
     model = fit(docs.where(F.col("split") == "train"))
-    pred = model.transform(docs.where(F.col("split") == "test")).select(
+    # scored once and written: every metric below reads the written rows
+    pred = materialize(model.transform(docs.where(F.col("split") == "test")).select(
         "method_id", "label", F.col("prediction").cast("int").alias("pred"),
-        vector_to_array("probability").alias("p"))
+        vector_to_array("probability").alias("p")))
     acc = G.classification_accuracy(pred)
     prf = G.weighted_precision_recall_f1(pred)
     long = pred.select("method_id", "label", F.posexplode("p").alias("class_id", "logit")) \
