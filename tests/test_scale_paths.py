@@ -53,3 +53,17 @@ def test_positions_over_many_partitions(spark):
     pos = with_position(df, [F.col("k")], "pos")
     bad = pos.where(F.col("pos") != F.col("k"))
     assert pos.count() == 5000 and bad.count() == 0
+
+
+def test_methods_by_row_and_by_line_agree(spark):
+    from trylens.operators import structure as A
+    files = spark.createDataFrame([
+        (1, ["class C {", "void a ( ) {", "x ( ) ;", "}", "int f ;", "void b ( ) {", "if ( y ) {", "}", "}", "}"]),
+        (2, ["class D {", "}"]), (3, []), (4, ["class E {", "void c ( ) {"]),
+    ], "file_id long, lines array<string>")
+    by_row = A.extract_methods_from_files(files)
+    lines = files.select("file_id", F.posexplode("lines").alias("line_no", "line")) \
+                 .withColumn("line_no", F.col("line_no") + 1)
+    want = [(1, 1, 2, 4, 3), (1, 2, 6, 9, 4), (4, 1, 2, 2, 1)]
+    for got in (by_row, A.extract_methods(lines)):
+        assert sorted(tuple(r) for r in got.select("file_id", "method_no", "start_line", "end_line", "n_lines").collect()) == want
