@@ -278,6 +278,16 @@ def test_line_dedup_long_runs(spark, monkeypatch):
     assert {r["doc_id"]: r["__gone"] for r in got} == {i: len(cuts.get((i, t), ())) for i, t in rows}
 
 
+def test_line_dedup_random_sequences(spark):
+    # few different lines: long ambiguous prefixes, runs that overlap their copies
+    rng = np.random.default_rng(5)
+    lines = [sentence(8) for _ in range(3)]
+    rows = [(i, "\n".join(lines[rng.integers(1 + i % 3)] for _ in range(rng.integers(1, 30)))) for i in range(24)]
+    cuts = brute_line_cuts([(i, t, 0) for i, t in rows], 50)
+    got = line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: r["__gone"] for r in got} == {i: len(cuts.get((i, t), ())) for i, t in rows}
+
+
 def test_sharding_law(spark, docs):
     rows = sharding.assign(sharding.document_nodes(docs), shards=4).collect()
     counts = Counter(r["shard"] for r in rows)

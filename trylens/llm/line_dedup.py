@@ -3,9 +3,10 @@
 Every document is the sequence of its lines with a word (line IDs are 64-bit
 hashes).  Stretches of lines that all occur more than once hold every repeated
 run; only their positions enter the suffix array.  It is built by prefix
-doubling: ranks of the first 2**k lines of each suffix are joined with the
-ranks 2**k lines further on, and the distinct pairs are sorted and numbered by
-Spark.  Longest common prefixes of neighbours in suffix order then give, for
+doubling, two doublings a round: ranks of the first 4**k lines of each suffix
+are put beside the ranks 4**k, 2 * 4**k and 3 * 4**k lines further on, and the
+distinct rows of ranks are sorted and numbered by Spark, until a round tells no
+more suffixes apart.  Longest common prefixes of neighbours in suffix order then give, for
 each position, the longest run of lines that also occurs earlier in the corpus
 (order: doc_id, text hash, line).  Runs of at least ``min_words`` words are
 deleted at every place but the first.
@@ -20,20 +21,42 @@ own copy inside one document (the first copy stays).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.util import with_position
 from . import common as c
 
 MIN_WORDS = 50
+_FAN = 4              # a round makes ranks of so many times as many lines
 _STEP = 64            # lines compared at a time when measuring common prefixes
 
 
+def ordered_ids(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number the rows in ``order`` (a total order); ids ascend but leave gaps
+    between partitions.  Written once, so the ids are fixed."""
+    return c.materialize(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), f"lines-{name}")
+
+
+def gapless(rows: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the values of ``column``, which ``ordered_ids`` gave as
+    ``name`` of ``ids``, closed up to 0, 1, 2, ...
+
+    The upper bits of such an id are its partition, the lower 33 its place
+    there; the offsets are one row per partition."""
+    sizes = ids.groupBy(F.shiftright(name, 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.col(column).bitwiseAND((1 << 33) - 1)
+    return (rows.join(F.broadcast(offsets), F.shiftright(column, 33) == F.col("_part"))
+                .withColumn(column, F.col("_off") + place).drop("_part", "_off"))
+
+
 def line_sequences(docs: DataFrame) -> DataFrame:
     """(doc_id, th, at, ids, words): original index, hash and word count of each
     line with a word; one row per document with such a line."""
@@ -62,8 +85,8 @@ def line_sequences(docs: DataFrame) -> DataFrame:
 
 def repeated_stretches(seqs: DataFrame, min_words: int) -> DataFrame:
     """(seg, doc_id, th, start, ids, words): maximal stretches of lines that all
-    occur more than once and hold ``min_words`` words; ``seg`` numbers them in
-    document order."""
+    occur more than once and hold ``min_words`` words; ``seg`` ascends in
+    document order, with gaps."""
     lines = seqs.select("doc_id", "th", F.posexplode("ids").alias("i", "h"))
     often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     hits = lines.join(often, "h").groupBy("doc_id", "th").agg(F.collect_list("i").alias("hits"))
@@ -87,28 +110,32 @@ def repeated_stretches(seqs: DataFrame, min_words: int) -> DataFrame:
     same = (F.col("s.doc_id").eqNullSafe(F.col("q.doc_id"))) & (F.col("s.th") == F.col("q.th"))
     joined = seqs.alias("s").join(hits.alias("q"), same).select("s.doc_id", "s.th", "s.ids", "s.words", "q.hits")
     parts = joined.mapInArrow(run, "doc_id long, th long, start int, ids array<long>, words array<int>")
-    return with_position(parts, [F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("start")], "seg")
+    return ordered_ids(parts, [F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("start")], "seg")
 
 
 def suffix_array(segs: DataFrame) -> DataFrame:
     """(seg, i, rank): the rank of each position's suffix among the distinct
     suffixes of the stretches; equal suffixes share a rank."""
     longest = segs.agg(F.max(F.size("ids"))).first()[0] or 0
-    ranks = segs.select("seg", F.posexplode("ids").alias("i", "rank"))     # any order of line IDs will do
-    ranks = c.materialize(ranks, "lines-rank")
-    width = 1
+    parts = [f"r{k}" for k in range(_FAN)]
+    # any order of line IDs will do; null: the stretch ends, sorts first
+    ahead = [F.slice("ids", k + 1, F.size("ids")) for k in range(_FAN)]
+    lines = F.posexplode(F.arrays_zip(*[x.alias(r) for x, r in zip(ahead, parts)])).alias("i", "x")
+    blocks = segs.select("seg", lines).select("seg", "i", "x.*")
+    width, known = 1, 0
     while True:
-        after = ranks.select("seg", (F.col("i") - width).alias("i"), F.col("rank").alias("then"))
-        pairs = ranks.join(after, ["seg", "i"], "left")        # null: the stretch ends, sorts first
-        pairs = c.materialize(pairs, "lines-pairs")
-        named = with_position(pairs.select("rank", "then").distinct(),
-                              [F.col("rank"), F.col("then").asc_nulls_first()], "name")
-        same = (F.col("p.rank") == F.col("q.rank")) & F.col("p.then").eqNullSafe(F.col("q.then"))
-        ranks = c.materialize(pairs.alias("p").join(named.alias("q"), same)
-                                   .select("p.seg", "p.i", F.col("q.name").alias("rank")), "lines-rank")
-        width *= 2
-        if width >= longest:
-            return ranks
+        blocks = c.materialize(blocks, "lines-blocks")
+        named = ordered_ids(blocks.select(*parts).distinct(), [F.col(r).asc_nulls_first() for r in parts], "name")
+        same = reduce(and_, (blocks[r].eqNullSafe(named[r]) for r in parts))
+        ranks = blocks.join(named, same).select("seg", "i", F.col("name").alias("rank"))
+        width *= _FAN
+        told = named.count()
+        # a round that splits no class leaves every later one nothing to split
+        if width >= longest or told == known:
+            return c.materialize(gapless(ranks, "rank", named, "name"), "lines-rank")
+        known = told
+        further = Window.partitionBy("seg").orderBy("i")           # the lines of one stretch
+        blocks = ranks.select("seg", "i", *[F.lead("rank", k * width).over(further).alias(r) for k, r in enumerate(parts)])
 
 
 def neighbour_prefixes(suffixes: DataFrame, segs: DataFrame) -> DataFrame:
@@ -197,7 +224,6 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, gone): original indexes of the lines to delete."""
     seqs = c.materialize(line_sequences(docs), "lines-seqs")
     segs = repeated_stretches(seqs, min_words)
-    segs = c.materialize(segs, "lines-segs")
     runs = c.materialize(earlier_runs(segs, min_words), "lines-runs")
     words = F.aggregate(F.slice("words", F.col("i") + 1, F.col("run")), F.lit(0), lambda s, x: s + x)
     good = (runs.join(segs.select("seg", "words"), "seg").where(words >= min_words)
