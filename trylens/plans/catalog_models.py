@@ -240,27 +240,61 @@ def score_with_external_model(spark, sf_dir):
     return out.select("method_id", "class_id")
 
 
-@query("fit_mllib_baseline")
-def fit_mllib_baseline(spark, sf_dir):
+def _mllib_predictions(spark, sf_dir):
+    """Test methods scored once by the MLlib baseline and written."""
     from pyspark.ml.functions import vector_to_array
-    from ..operators import metrics as G
     from ..operators.external import fit_mllib_baseline as fit
     docs = materialize(type_docs(spark, sf_dir))
     model = fit(docs.where(F.col("split") == "train"))
-    # scored once and written: every metric below reads the written rows
-    pred = materialize(model.transform(docs.where(F.col("split") == "test")).select(
+    return materialize(model.transform(docs.where(F.col("split") == "test")).select(
         "method_id", "label", F.col("prediction").cast("int").alias("pred"),
         vector_to_array("probability").alias("p")))
-    acc = G.classification_accuracy(pred)
-    prf = G.weighted_precision_recall_f1(pred)
-    long = pred.select("method_id", "label", F.posexplode("p").alias("class_id", "logit")) \
-               .withColumnRenamed("method_id", "id")
+
+
+def _as_rows(row, key: str):
+    """A one-row table as (key, value) rows."""
+    pairs = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in row.columns)
+    return row.selectExpr(f"stack({len(row.columns)}, {pairs}) AS ({key}, value)")
+
+
+def _mllib_metrics(pred):
+    from ..operators import metrics as G
     from ..operators import ranking as K
-    top = G.topn_accuracy(K.true_class_rank(long))
-    # one row per metric (each source is a one-row aggregate)
-    parts = [d.select(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-             for d in (acc, prf, top) for c in d.columns]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    long = pred.select(F.col("method_id").alias("id"), "label", F.posexplode("p").alias("class_id", "logit"))
+    parts = (G.classification_accuracy(pred), G.weighted_precision_recall_f1(pred), G.topn_accuracy(K.true_class_rank(long)))
+    acc, prf, top = (_as_rows(d, "metric") for d in parts)
+    return acc.unionByName(prf).unionByName(top)
+
+
+@query("fit_mllib_baseline")
+def fit_mllib_baseline(spark, sf_dir):
+    return _mllib_metrics(_mllib_predictions(spark, sf_dir))
+
+
+@query("mllib_baseline_facts", with_fixtures(
+    """SELECT 'scored' AS fact, CAST(count(*) AS DOUBLE) AS value FROM d_docs WHERE split = 'test'
+ UNION ALL SELECT 'methods', CAST(count(DISTINCT method_id) AS DOUBLE) FROM d_docs WHERE split = 'test'
+ UNION ALL SELECT 'classes', CAST(max(label) + 1 AS DOUBLE) FROM d_docs WHERE split = 'train'
+ UNION ALL SELECT unnest(['distributions', 'best_class', 'rates_in_bounds', 'topn_monotone']), CAST(1 AS DOUBLE)""",
+    "methods", "class_map", ctes=(_T2_MARK, _DOCS)))
+def mllib_baseline_facts(spark, sf_dir):
+    """What is exact about L7 whatever the optimiser finds: rows scored, class
+    count, probabilities that sum to one, the prediction as their argmax, rates
+    within 0 and 1, top-n growing with n."""
+    pred = _mllib_predictions(spark, sf_dir)
+    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
+    rows = pred.agg(
+        F.count("*").alias("scored"), F.countDistinct("method_id").alias("methods"), F.max(F.size("p")).alias("classes"),
+        F.min((F.abs(total - 1) < 1e-6) & (F.array_min("p") >= 0)).cast("int").alias("distributions"),
+        F.min(F.get("p", F.col("pred")) == F.array_max("p")).cast("int").alias("best_class"))
+    value = {c: F.max(F.when(F.col("metric") == c, F.col("value"))) for c in
+             ("accuracy", "precision", "recall", "f1", "top1", "top2", "top3", "top5", "top10")}
+    x = _mllib_metrics(pred).agg(*[v.alias(c) for c, v in value.items()])
+    tops = [F.col(f"top{n}") for n in (1, 2, 3, 5, 10)]
+    inside = F.least(*value) >= 0
+    grows = F.lit(True)
+    for lo, hi in zip(tops, tops[1:]):
+        grows = grows & (lo <= hi)
+    rates = x.select((inside & (F.greatest(*value) <= 1)).cast("int").alias("rates_in_bounds"),
+                     grows.cast("int").alias("topn_monotone"))
+    return _as_rows(rows, "fact").unionByName(_as_rows(rates, "fact"))
