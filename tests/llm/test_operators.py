@@ -194,6 +194,35 @@ def brute_repeats(words, k):
     return len(covered), longest
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_html_classes_choose_the_text(spark):
+    # names say the opposite of what varies; the host's own lines come back on every page
+    page = ("<body><article><p>About this site, its owners and its long history since the first day</p></article>"
+            "<div class=widget><h1>Title {0}</h1><p>Story {0} a</p><p>Story {0} b</p><p>Share this story</p></div></body>")
+    assert texts_of(spark, [page.format(i) for i in range(6)]) == [
+        f"Title {i}\nStory {i} a\nStory {i} b" for i in range(6)]
+
+
+def test_html_classes_nest_by_order(spark):
+    # two once-a-page elements that change places on one page are no valid class; their text stays with the slot around
+    a, b = "<div class=a>First {0} of the text</div>", "<div class=b>Then {0} of the text</div>"
+    pages = ["<body><div class=c><h1>T{0}</h1>" + (a + b if i else b + a) + "</div><div class=d>x</div></body>" for i in range(3)]
+    got = texts_of(spark, [p.format(i) for i, p in enumerate(pages)])
+    assert got[0] == "T0\nThen 0 of the text\nFirst 0 of the text"
+    assert got[1] == "T1\nFirst 1 of the text\nThen 1 of the text"
+    t = html_extract.Template([{"token": html_extract._key(f"#/{x}"), "vector": v, "is_text": False, "fixed": False}
+                               for x, v in (("h1", 1), ("div", 2), ("div/i-x", 2), ("h2", 1))])
+    slots = [(e[0], e[1]) for e in t.run("<h1>a</h1>b<div>c<i-x>d</i-x>e</div>f<h2>g</h2>")]
+    named = {2 * html_extract._key(f"#/{x}") + end: f"{'/' * end}{x}" for x in ("h1", "div", "div/i-x", "h2") for end in (0, 1)}
+    assert [named[s] for kind, s in slots if kind == "text"] == [
+        "h1", "/h1", "div", "div/i-x", "/div/i-x", "/h1", "h2"]
+
+
 def test_repetition_equals_brute_force():
     texts = []
     for _ in range(30):

@@ -1,30 +1,40 @@
 """Operator 4: main text of web pages by equivalence-class template deduction.
 
-A token of a page is the path of an element (its block ancestors with class
-and id).  Tokens of one host whose occurrence vectors over the host's pages
-are equal form an equivalence class; equality is tested on a 64-bit sum of
-per-page hashes times counts, so vectors are never collected.  The class that
-occurs exactly once on the host's pages nests into the host's template; its
-elements cut each page into slots, and the slots whose place in the template
-is the article are extracted.  A host whose template has no article takes the
-slots with the most text outside links.
+The tokens of a page are its block elements, each as the path of its block
+ancestors with class and id, and its blocks of text.  Elements of one host
+whose occurrence vectors over the host's pages are equal form an equivalence
+class; equality is tested on a 44-bit sum of per-page hashes times counts, so
+vectors are never collected.  Of the classes that occur at most once a page
+the tokens are valid whose tags have one place in the order of the class on
+every page, when the class starts in one slot of the class around it; so they
+nest into the host's template, whose slots are the stretches between two tags
+of a class.  All text up to the next tag belongs to
+the slot, text of repeated elements included.  Texts that come back on the
+host's pages are template too.  The element around the slot with the most
+varying text outside links is extracted, and slots elsewhere with a fifth of
+that text.  Names of tags and classes do not choose among slots: they strike
+asides (navigation, notices, comments) unless that leaves next to nothing, and
+article and main stand in on a page that has no slot of its host's template.
 
 Plan: one scan counts tokens per host with map-side sums (a hot host is one
-row per task and token), a second scan joins each page with its host's
-template (bounded by one page's structure) and extracts.
+row per task and token), a second one nests the classes of each page and sums
+places and amounts of text per slot, a third extracts.  A host's template is
+bounded by a few pages' structure.
 
 Defined cases: null or empty html has empty text; a null url is host "";
 repeated pages each get their row; unclosed, crossed and unknown elements
-close with their parent; texts are never cut.
+close with their parent;
+texts are never cut.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,6 +47,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg math select option button".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var br wbr img".split())
+HIDDEN: frozenset[str] = frozenset()
 ASIDE = frozenset("nav header footer aside form menu dialog figcaption".split())
 _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|sidebar|"
@@ -48,13 +59,18 @@ _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
               "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 MIN_SHARE = 0.5        # a template token is on at least this share of its host's pages
+MIN_TEXT_PAGES = 5     # pages of different content that show a text to be the host's own
 
 
 class Node:
-    __slots__ = ("tag", "path", "aside", "main")
+    __slots__ = ("tag", "path", "aside", "main", "hidden", "block", "parent")
 
     def __init__(self, tag: str, parent: "Node | None", names: str):
         self.tag = tag
+        self.parent = parent
+        self.hidden = bool(parent and parent.hidden) or tag in HIDDEN or tag == "head"
+        # elements inside a hidden one are no blocks: they do not end a paragraph
+        self.block = parent.block if parent and (tag in HIDDEN or parent.block is not parent) else self
         label = f"{tag}.{names}" if names else tag
         self.path = f"{parent.path}/{label}" if parent else label
         self.aside = bool(parent and parent.aside) or tag in ASIDE or tag == "head" \
@@ -110,107 +126,309 @@ def walk(page: str) -> Iterator[tuple[str, Node, str, bool]]:
             stack.append(node)
 
 
+@lru_cache(maxsize=1 << 16)
 def _key(path: str) -> int:
-    return xxhash.xxh64_intdigest(path) >> 1
+    return xxhash.xxh64_intdigest(path) >> 2
 
 
-def page_tokens(page: str) -> dict[str, list]:
-    """path -> [occurrences, text outside links, text in links, main?, aside?]"""
-    out: dict[str, list] = {}
+def _text_key(node: Node, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{node.path}\n{text}") >> 2
+
+
+def events(page: str) -> Iterator[tuple[str, Node, str, int, int]]:
+    """('open' | 'close', element, '', 0, 0) for every block element, in page
+    order, and ('text', its element, text, characters outside links, in links)
+    for every block of text that is not hidden."""
+    stack: list[Node] = []
+    parts: list[str] = []
+    plain = linked = 0
+    at: Node | None = None
+
+    def back_to(node):
+        while stack and stack[-1] is not node:
+            yield "close", stack.pop(), "", 0, 0
+
+    def block():
+        text = " ".join(entities.unescape("".join(parts)).split())
+        if text:
+            yield from back_to(at)
+            yield "text", at, text, plain, linked
+
     for kind, node, text, in_link in walk(page):
+        if kind == "text":
+            if not node.hidden:
+                parts.append(text)
+                n = len("".join(text.split()))
+                plain, linked, at = plain + (0 if in_link else n), linked + (n if in_link else 0), node.block
+            continue
+        if parts:
+            yield from block()
+            parts.clear()
+            plain = linked = 0
         if kind == "open":
-            out.setdefault(node.path, [0, 0, 0, node.main, node.aside])[0] += 1
+            yield from back_to(node.parent.block)
+            stack.append(node)
+            yield "open", node, "", 0, 0
+    if parts:
+        yield from block()
+    yield from back_to(None)
+
+
+def page_tokens(page: str) -> dict[int, list]:
+    """token -> [is a text block?, occurrences]"""
+    out: dict[int, list] = {}
+    for kind, node, text, _, _ in events(page):
+        if kind == "open":
+            out.setdefault(_key(node.path), [False, 0])[1] += 1
         elif kind == "text":
-            n = len("".join(text.split()))
-            if n and node.path in out:
-                out[node.path][2 if in_link else 1] += n
+            out.setdefault(_text_key(node, text), [True, 0])[1] += 1
     return out
 
 
 def host_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, vector, n, pages, plain, linked, main, aside) per host."""
+    """(host, token, is_text, vector, n, pages, seen) per host; ``seen`` has a
+    bit per hash class of the contents of the token's pages, so that copies of
+    one page do not count as several."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in c.slices(batches, "html"):
             hosts, ids, texts = (x.to_pylist() for x in c.columns(b, ["host", "page_id", "html"]))
             sums: dict[tuple, list] = {}
             for host, page_id, text in zip(hosts, ids, texts):
-                salt = xxhash.xxh64_intdigest(f"{page_id}|{len(text or '')}")
-                for path, (n, plain, linked, main, aside) in page_tokens(text or "").items():
-                    s = sums.setdefault((host, _key(path)), [0, 0, 0, 0, 0, main, aside])
-                    s[0] = (s[0] + salt * n) % (1 << 44)
-                    s[1] += n
-                    s[2] += 1
-                    s[3] += plain
-                    s[4] += linked
-            cols = list(zip(*[(h, k, *v) for (h, k), v in sums.items()])) or [[]] * 9
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-                     pa.bool_(), pa.bool_())
+                text = text or ""
+                salt = xxhash.xxh64_intdigest(f"{page_id}|{len(text)}")
+                bit = 1 << (xxhash.xxh64_intdigest(text) % 62)
+                for token, (is_text, n) in page_tokens(text).items():
+                    s = sums.setdefault((host, token), [is_text, 0, 0, 0, 0])
+                    s[1] = (s[1] + salt * n) % (1 << 44)
+                    s[2] += n
+                    s[3] += 1
+                    s[4] |= bit
+            cols = list(zip(*[(h, k, *v) for (h, k), v in sums.items()])) or [[]] * 7
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(cols, kinds)],
-                names=["host", "token", "vector", "n", "pages", "plain", "linked", "main", "aside"])
+                names=["host", "token", "is_text", "vector", "n", "pages", "seen"])
 
-    parts = pages.mapInArrow(run, "host string, token long, vector long, n long, pages long, plain long, "
-                                  "linked long, main boolean, aside boolean")
-    return parts.groupBy("host", "token").agg(
+    parts = pages.mapInArrow(run, "host string, token long, is_text boolean, vector long, n long, pages long, seen long")
+    return parts.groupBy("host", "token", "is_text").agg(
         F.pmod(F.sum("vector"), F.lit(1 << 44)).alias("vector"), F.sum("n").alias("n"), F.sum("pages").alias("pages"),
-        F.sum("plain").alias("plain"), F.sum("linked").alias("linked"),
-        F.max("main").alias("main"), F.max("aside").alias("aside"))
-
-
-def templates(tokens: DataFrame, hosts: DataFrame) -> DataFrame:
-    """One row per host: its template's slots as (token, extract?).
-
-    A class (equal vectors) is valid for the template when its tokens occur
-    once on each page that has them and on at least ``MIN_SHARE`` of the host's
-    pages; at most a page's worth of tokens passes, so the list is bounded."""
-    x = tokens.join(hosts, "host").where((F.col("n") == F.col("pages"))
-                                         & (F.col("pages") >= F.col("host_pages") * MIN_SHARE))
-    classes = x.groupBy("host", "vector").agg(
-        F.collect_list(F.struct("token", "main", "aside", (F.col("plain") - F.col("linked")).alias("weight"))).alias("members"))
-    per = classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("slots"))
-    good = F.expr("filter(slots, s -> not s.aside)")
-    article = F.expr("exists(slots, s -> s.main and not s.aside)")
-    heaviest = F.array_max(F.transform(good, lambda s: s["weight"]))
-    return per.select("host", F.transform("slots", lambda s: F.struct(
-        s["token"].alias("token"),
-        (~s["aside"] & F.when(article, s["main"]).otherwise(s["weight"] * 5 >= heaviest)).alias("take"))).alias("slots"))
-
-
-def main_text(page: str, slots: dict[int, bool]) -> str:
-    """Text blocks of the page's extracted slots, one per line.
-
-    An element that is no template slot belongs to the slot of its parent;
-    asides inside a slot (notices, forms, comments) are left out.  A page
-    without any template slot falls back on its own article, then its body."""
-    blocks: list[str] = []
-    wider: list[str] = []
-    buf: list[str] = []
-    wide: list[str] = []
-    take: dict[str, bool | None] = {"#": None}
+        F.bit_or("seen").alias("seen"))
+
+
+def candidates(tokens: DataFrame, hosts: DataFrame) -> DataFrame:
+    """One row per host: the tokens that may be in its template.
+
+    Elements occur once on each page that has them and, as texts, on at least
+    ``MIN_SHARE`` of the host's pages; at most a few pages' worth of tokens
+    passes, so the list is bounded.  ``fixed`` texts are known as the host's
+    own from ``MIN_TEXT_PAGES`` pages of different content."""
+    seen = F.bit_count("seen")
+    x = tokens.join(hosts, "host").where(
+        (F.col("pages") >= F.col("host_pages") * MIN_SHARE)
+        & F.when(F.col("is_text"), seen >= 2).otherwise(F.col("n") == F.col("pages")))
+    return x.groupBy("host").agg(F.collect_list(F.struct(
+        "token", "vector", "is_text", (seen >= MIN_TEXT_PAGES).alias("fixed"))).alias("members"))
+
+
+class Template:
+    """Classes of element tokens, nested by their order on a page.
+
+    A slot is the stretch after one start or end tag of a class up to the next
+    tag of that class (``slot`` = 2 * token, + 1 after its end tag; 0 before
+    any).  A class that starts inside a slot is nested in it until the last of
+    its elements has ended; then the outer slot goes on."""
+
+    def __init__(self, members: list[dict]):
+        self.cls = {m["token"]: m["vector"] for m in members if not m["is_text"]}
+        self.size = Counter(self.cls.values())
+        self.texts = {m["token"]: m["fixed"] for m in members if m["is_text"]}
+
+    def run(self, page: str) -> Iterator[tuple]:
+        """('tag', slot it starts, class, slot around a class that starts here
+        or None, innermost template element) and ('text', slot, element, text,
+        plain, linked)."""
+        nest: list[list] = []              # class, slot, elements ended
+        around = [0]                       # template elements that are open
+        for kind, node, text, plain, linked in events(page):
+            slot = nest[-1][1] if nest else 0
+            if kind == "text":
+                yield "text", slot, node, text, plain, linked
+                continue
+            token = _key(node.path)
+            cls = self.cls.get(token)
+            if cls is None:
+                continue
+            outer = None
+            if any(x[0] == cls for x in nest):
+                while nest[-1][0] != cls:
+                    nest.pop()
+            else:
+                outer = slot
+                nest.append([cls, 0, 0])
+            if kind == "open":
+                nest[-1][1] = 2 * token
+                around.append(token)
+            else:
+                nest[-1][1] = 2 * token + 1
+                nest[-1][2] += 1
+                if len(around) > 1:
+                    around.pop()
+            yield "tag", nest[-1][1], cls, outer, around[-1]
+            if nest[-1][2] >= self.size[cls]:
+                nest.pop()
+
+
+AMOUNTS = ("varied", "plain", "linked", "varied_all", "plain_all", "linked_all")
+MEASURES = "host string, kind int, id long, cls long, within long, low long, high long, " \
+           + ", ".join(f"{x} long" for x in AMOUNTS)
+
+
+def slot_measures(pages: DataFrame, plan: DataFrame) -> DataFrame:
+    """Per host: one row per slot (kind 0: its class, innermost element, least
+    and greatest place of its tag in the class, amounts of text without and
+    with asides) and per class (kind 1: least and greatest slot around it)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Template] = {}
+        for b in c.slices(batches, "html"):
+            hosts, texts, members = (x.to_pylist() for x in c.columns(b, ["host", "html", "members"]))
+            if len(known) > 1000:
+                known.clear()
+            sums: dict[tuple, list] = {}
 
-    def flush(parts, into):
-        text = " ".join(entities.unescape("".join(parts)).split())
-        if text:
-            into.append(text)
-        parts.clear()
+            def add(key, cls, within, at):
+                s = sums.get(key)
+                if s is None:
+                    sums[key] = [cls, within, at, at, 0, 0, 0, 0, 0, 0]
+                else:
+                    s[2], s[3] = min(s[2], at), max(s[3], at)
 
-    for kind, node, text, _ in walk(page):
-        if kind == "open":
-            own = slots.get(_key(node.path))
-            parent = take.get(node.path.rpartition("/")[0])
-            take[node.path] = own if own is not None else parent
-        if kind == "text":
-            got = take.get(node.path)
-            if not node.aside:
-                if got or (got is None and node.main):
-                    buf.append(text)
-                wide.append(text)
-        else:
-            flush(buf, blocks)
-            flush(wide, wider)
-    flush(buf, blocks)
-    flush(wide, wider)
-    return "\n".join(blocks or wider)
+            for host, page, m in zip(hosts, texts, members):
+                if host not in known:
+                    known[host] = Template(m or [])
+                t = known[host]
+                place: Counter = Counter()
+                add((host, 0, 0), 0, 0, 0)
+                for e in t.run(page or ""):
+                    if e[0] == "tag":
+                        _, slot, cls, outer, within = e
+                        add((host, 0, slot), cls, within, place[cls])
+                        place[cls] += 1
+                        if outer is not None:
+                            add((host, 1, cls), cls, 0, outer)
+                        continue
+                    _, slot, node, text, plain, linked = e
+                    varied = plain if _text_key(node, text) not in t.texts else 0
+                    s = sums[(host, 0, slot)]
+                    for k, n in enumerate((varied, plain, linked)):
+                        s[7 + k] += n
+                        if not node.aside:
+                            s[4 + k] += n
+            cols = list(zip(*[(*k, *v) for k, v in sums.items()])) or [[]] * 13
+            kinds = (pa.string(), pa.int32(), *[pa.int64()] * 11)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)],
+                                             names=[x.split()[0] for x in MEASURES.split(", ")])
+
+    x = pages.join(plan, "host", "left").select("host", "html", "members").mapInArrow(run, MEASURES)
+    return x.groupBy("host", "kind", "id").agg(
+        *[F.max(k).alias(k) for k in ("cls", "within", "high")], F.min("low").alias("low"),
+        *[F.sum(k).alias(k) for k in AMOUNTS])
+
+
+def choose(members: list[dict], measures: list[dict]) -> tuple[list[int], list[int], bool]:
+    """(valid element tokens, slots to extract, asides too?) of a host.
+
+    A token is valid when its tags have one place in their class on all pages
+    and the class always starts in one slot; the text of an invalid one goes
+    to the element around.  The element around the slot with the most text that
+    varies between pages and is not in links is the article: its slots are
+    extracted, and slots elsewhere with at least a fifth of that text.  Asides
+    are struck unless that leaves less than a fifth of the heaviest slot."""
+    nested = {x["cls"] for x in measures if x["kind"] == 1 and x["low"] == x["high"]}
+    slots = {x["id"]: x for x in measures if x["kind"] == 0}
+    above = {s // 2: x["within"] for s, x in slots.items() if s % 2}
+    valid = {s // 2 for s, x in slots.items() if s} - {
+        s // 2 for s, x in slots.items() if x["low"] != x["high"] or x["cls"] not in nested}
+    tokens = [m["token"] for m in members if not m["is_text"] and m["token"] in valid]
+
+    def chain(slot):                       # the valid elements around a slot
+        e = slots[slot]["within"] if slot else 0
+        while e:
+            if e in valid:
+                yield e
+            e = above.get(e, 0)
+
+    total: dict[int, dict] = {}
+    for slot, x in slots.items():
+        home = slot if slot // 2 in valid else 2 * next(chain(slot), 0)
+        t = total.setdefault(home, dict.fromkeys(AMOUNTS, 0))
+        for k in AMOUNTS:
+            t[k] += x[k]
+    for amount in ("varied", "plain"):
+        weight = {s: x[amount] - x["linked"] for s, x in total.items()}
+        most = max(weight.values(), default=0)
+        wider = {s: x[f"{amount}_all"] - x["linked_all"] for s, x in total.items()}
+        asides = max(wider.values(), default=0) > 5 * max(most, 0)
+        if asides:
+            weight, most = wider, max(wider.values())
+        if most > 0:
+            break
+    else:
+        return tokens, [], False
+    # of equal slots the first by number, so that a run can be repeated
+    article = next(chain(min(s for s, w in weight.items() if w == most)), 0)
+    linked, plain = ("linked_all", "plain_all") if asides else ("linked", "plain")
+    take = [s for s in weight if weight[s] * 5 >= most
+            or (article and article in chain(s) and total[s][linked] <= total[s][plain])]
+    return tokens, take, asides
+
+
+def templates(plan: DataFrame, measures: DataFrame) -> DataFrame:
+    """One row per host: its template as (tokens with class, slots, texts)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for host, members, rows in zip(*(x.to_pylist() for x in c.columns(b, ["host", "members", "rows"]))):
+                tokens, take, asides = choose(members or [], rows)
+                keep = set(tokens)
+                left = [m for m in members or [] if m["token"] in keep or (m["is_text"] and m["fixed"])]
+                out.append((host, left, take, asides))
+            hosts, left, take, asides = list(zip(*out)) or [[]] * 4
+            member = pa.struct([("token", pa.int64()), ("vector", pa.int64()), ("is_text", pa.bool_()), ("fixed", pa.bool_())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(left, pa.list_(member)),
+                 pa.array(take, pa.list_(pa.int64())), pa.array(asides, pa.bool_())],
+                names=["host", "members", "take", "asides"])
+
+    rows = measures.groupBy("host").agg(F.collect_list(F.struct(*[x for x in measures.columns if x != "host"])).alias("rows"))
+    return rows.join(plan, "host", "left").select("host", "members", "rows").mapInArrow(
+        run, "host string, members array<struct<token:long,vector:long,is_text:boolean,fixed:boolean>>, "
+             "take array<long>, asides boolean")
+
+
+def main_text(page: str, template: Template, take: set[int], asides: bool) -> str:
+    """Text blocks of the page's extracted slots, one per line, without the
+    asides in them (notices, forms, comments) and the host's own texts.
+
+    A page whose extracted slots hold nothing else gives the host's own texts
+    in them; one that has no such slot its own article, then its body."""
+    blocks: list[str] = []
+    fixed: list[str] = []
+    main: list[str] = []
+    wider: list[str] = []
+    for e in template.run(page):
+        if e[0] != "text":
+            continue
+        _, slot, node, text, _, _ = e
+        if node.aside and not asides:
+            continue
+        wider.append(text)
+        if node.main:
+            main.append(text)
+        if slot in take:
+            fixed.append(text)
+            if _text_key(node, text) not in template.texts:
+                blocks.append(text)
+    return "\n".join(blocks or fixed or main or wider)
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -222,23 +440,26 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page of ``pages`` (page_id, url, html)."""
     pages = with_host(pages)
     hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    plan = c.materialize(templates(host_tokens(pages.select("host", "page_id", "html")), hosts), "html-templates")
+    plan = c.materialize(candidates(host_tokens(pages.select("host", "page_id", "html")), hosts), "html-tokens")
+    measures = slot_measures(pages.select("host", "html"), plan)
+    chosen = c.materialize(templates(plan, measures), "html-templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[int, bool]] = {}
+        known: dict[str, tuple] = {}
         for b in c.slices(batches, "html"):
             ids, urls = c.columns(b, ["page_id", "url"])
-            hosts_, texts, slots = (x.to_pylist() for x in c.columns(b, ["host", "html", "slots"]))
+            hosts_, texts, members, take, asides = (
+                x.to_pylist() for x in c.columns(b, ["host", "html", "members", "take", "asides"]))
             if len(known) > 1000:
                 known.clear()
             out = []
-            for host, text, s in zip(hosts_, texts, slots):
+            for host, text, *t in zip(hosts_, texts, members, take, asides):
                 if host not in known:
-                    known[host] = {x["token"]: x["take"] for x in s or ()}
-                out.append(main_text(text or "", known[host]))
+                    known[host] = Template(t[0] or []), set(t[1] or ()), bool(t[2])
+                out.append(main_text(text or "", *known[host]))
             yield pa.RecordBatch.from_arrays(
                 [ids, urls, pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    return (pages.join(plan, "host", "left").select("page_id", "url", "host", "html", "slots")
+    return (pages.join(chosen, "host", "left").select("page_id", "url", "host", "html", "members", "take", "asides")
                  .mapInArrow(run, "page_id long, url string, text string, n_chars long"))
