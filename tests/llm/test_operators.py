@@ -223,6 +223,19 @@ def test_html_classes_nest_by_order(spark):
         "h1", "/h1", "div", "div/i-x", "/div/i-x", "/h1", "h2"]
 
 
+def test_html_repeated_children_count_for_their_slot(spark):
+    page = "<body><div class=top>Site</div><div class=content><h1>T{0}</h1><p>a{0}</p><p>b{0}</p></div></body>"
+    assert texts_of(spark, [page.format(i) for i in range(2)]) == [f"T{i}\na{i}\nb{i}" for i in range(2)]
+    same = "<body><div class=top>Site</div><div class=content><h1>T</h1><p>a</p><p>b</p></div></body>"
+    assert all(t.endswith("T\na\nb") for t in texts_of(spark, [same, same]))
+
+
+def test_html_single_paragraph_keeps_its_heading(spark):
+    page = "<body><div class=x>Ad {0}</div><div class=content><h1>T{0}</h1><p>" + "long text " * 9 + "{0}</p></div></body>"
+    assert texts_of(spark, [page.format(i) for i in range(2)]) == [
+        f"T{i}\n" + "long text " * 9 + str(i) for i in range(2)]
+
+
 def test_repetition_equals_brute_force():
     texts = []
     for _ in range(30):

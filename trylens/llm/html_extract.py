@@ -49,6 +49,8 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
                    "small span strike strong sub sup time tt u var br wbr img".split())
 HIDDEN: frozenset[str] = frozenset()
 ASIDE = frozenset("nav header footer aside form menu dialog figcaption".split())
+# Elements that are lines of a text, never all of it.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl li dt dd".split())
 _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|sidebar|"
     r"side-?bar|cookies?\w*|notice|consent|popup|modal|newsletter|subscribe|share|social|related|widget|comments?|"
@@ -245,7 +247,7 @@ class Template:
 
     def run(self, page: str) -> Iterator[tuple]:
         """('tag', slot it starts, class, slot around a class that starts here
-        or None, innermost template element) and ('text', slot, element, text,
+        or None, innermost template element but ``LINES``) and ('text', slot, element, text,
         plain, linked)."""
         nest: list[list] = []              # class, slot, elements ended
         around = [0]                       # template elements that are open
@@ -267,11 +269,12 @@ class Template:
                 nest.append([cls, 0, 0])
             if kind == "open":
                 nest[-1][1] = 2 * token
-                around.append(token)
+                if node.tag not in LINES:
+                    around.append(token)
             else:
                 nest[-1][1] = 2 * token + 1
                 nest[-1][2] += 1
-                if len(around) > 1:
+                if node.tag not in LINES:
                     around.pop()
             yield "tag", nest[-1][1], cls, outer, around[-1]
             if nest[-1][2] >= self.size[cls]:
