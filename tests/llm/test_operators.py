@@ -236,6 +236,14 @@ def test_html_single_paragraph_keeps_its_heading(spark):
         f"T{i}\n" + "long text " * 9 + str(i) for i in range(2)]
 
 
+@pytest.mark.parametrize("head, lost", [
+    ("<datalist><option value=x></datalist>", ""), ("<select><option>1<option>2</select>", ""), ("<button>go", ""),
+    ("<svg><path d=m>", ""), ("<noscript><p>", ""), ("<textarea>", ""), ("<script>", "all")])
+def test_html_unclosed_elements_end_with_their_parent(spark, head, lost):
+    page = f"<body><header>{head}</header><article><h1>T</h1><p>Text <math><mi>x</mi>=1</math> end</p></article></body>"
+    assert html_extract.main_text(page, html_extract.Template([]), set(), False) == ("" if lost else "T\nText x=1 end")
+
+
 def test_repetition_equals_brute_force():
     texts = []
     for _ in range(30):

@@ -23,7 +23,7 @@ bounded by a few pages' structure.
 
 Defined cases: null or empty html has empty text; a null url is host "";
 repeated pages each get their row; unclosed, crossed and unknown elements
-close with their parent;
+close with their parent, only an unclosed script or style runs to the end;
 texts are never cut.
 """
 
@@ -44,10 +44,14 @@ from . import common as c
 
 # Element classes of HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option button".split())
+RAW = frozenset("script style textarea title iframe".split())
+HIDDEN = frozenset("noscript template svg select datalist optgroup option button annotation annotation-xml".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var br wbr img".split())
-HIDDEN: frozenset[str] = frozenset()
+                   "small span strike strong sub sup time tt u var br wbr img math semantics mi mn mo ms mtext mrow "
+                   "mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mspace "
+                   "mstyle mpadded mphantom menclose mtable mtr mtd".split())
+# A hidden control or drawing that is still open ends where one of these starts.
+ENDS_HIDDEN = frozenset("article main section header footer nav p h1 h2 h3 h4 h5 h6".split())
 ASIDE = frozenset("nav header footer aside form menu dialog figcaption".split())
 # Elements that are lines of a text, never all of it.
 LINES = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl li dt dd".split())
@@ -85,6 +89,7 @@ def walk(page: str) -> Iterator[tuple[str, Node, str, bool]]:
     raw text, inside a link?) for text; ('br', ...) at block bounds."""
     root = Node("#", None, "")
     stack, links, at = [root], 0, 0
+    ends: dict[str, int] = {}                # last place of an end tag, for elements that need one
     while True:
         m = _PIECE.search(page, at)
         if m is None:
@@ -100,15 +105,44 @@ def walk(page: str) -> Iterator[tuple[str, Node, str, bool]]:
         closing = bool(m[1])
         if tag in RAW and not closing:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = None
+                if ends.get(tag) != -1:
+                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    ends[tag] = -1
             continue
+        if tag in ("noscript", "template") and not closing:
+            if tag not in ends:
+                ends[tag] = max((e.start() for e in re.finditer(rf"</{tag}\s*>", page, re.I)), default=-1)
+            if ends[tag] < at:               # never closed: the tag alone is left out
+                continue
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else 1
             elif tag == "br":
                 yield "text", stack[-1], " ", False
             continue
+        if not closing and stack[-1].tag == "head" and tag not in VOID and tag not in HIDDEN:
+            stack.pop()                      # the end tag of head may be left out
+        if not closing and tag in ENDS_HIDDEN:
+            while stack[-1].block is not stack[-1] and not any(x.tag in ("noscript", "template") for x in stack):
+                stack.pop()
+        if tag in HIDDEN or stack[-1].block is not stack[-1]:
+            if not closing:
+                while tag in ("option", "optgroup") and stack[-1].tag == "option":
+                    stack.pop()
+                if tag not in VOID and not m[3].endswith("/"):
+                    stack.append(Node(tag, stack[-1], ""))
+                continue
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            if not k or stack[k].block is not stack[k]:
+                if k:
+                    del stack[k:]
+                continue
         yield "br", stack[-1], "", False
         if closing:
             for k in range(len(stack) - 1, 0, -1):
