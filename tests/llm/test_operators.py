@@ -261,6 +261,21 @@ def test_repetition_equals_brute_force():
         assert m["n_repeat_words"][k] == len(rep) and m["n_words"][k] == len(w)
 
 
+def test_repetition_limits_reject_what_the_base_rule_keeps():
+    words = [f"u{i}" for i in range(3000)]
+    pasted = words[:760] + words[100:340]                               # 48 % of 1,000 words
+    scattered = words[:900] + [w for k in range(0, 100, 10) for w in words[8 * k:8 * k + 10]]
+    passage = words[:2880] + words[500:620]                             # 8 % of 3,000 words
+    short = words[:2900] + words[500:590] + words[:10]                  # under both limits
+    m = repetition.measure([" ".join(x).encode() for x in (pasted, scattered, passage, short)])
+    n = m["n_words"]
+    covered = m["n_covered_words"] > repetition.MAX_COVERED * n
+    longest = (m["longest_repeat"] > repetition.MAX_LONGEST * n) & (m["longest_repeat"] >= repetition.LONGEST_FLOOR)
+    assert covered.tolist() == [True, True, False, False] and longest.tolist() == [True, False, True, False]
+    failed, kept = repetition.verdict(m)
+    assert not failed.any() and kept.tolist() == [False, False, False, True]
+
+
 def test_quality_rules_rows_and_filter(spark, docs, empty):
     rows = repetition.quality_rules(docs).collect()
     assert len(rows) == docs.count()

@@ -29,8 +29,11 @@ from . import common as c
 
 MIN_WORDS = 50            # base rule: shorter texts fail
 MIN_REPEAT = 8            # words: shorter repeats are ordinary language
-MAX_COVERED = 0.5         # of the words may lie in repeats
-MAX_LONGEST = 0.3         # longest repeat as a share of the words ...
+# A covered word is also a repeated word of the base rule, so both limits lie
+# well below its half: scattered copied sentences by the usual share of repeated
+# 8-word windows, one copied passage (twice its length is covered) by its own.
+MAX_COVERED = 0.12        # of the words may lie in repeats
+MAX_LONGEST = 0.03        # longest repeat as a share of the words ...
 LONGEST_FLOOR = 100       # ... once it has this many words
 _SYMBOLS = [s.encode() for s in "#*$%&|<>"]
 _SPACES = [bytes([b]) for b in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)]
