@@ -1,10 +1,13 @@
 """Code paths that only large inputs take, forced on small data."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from trylens.operators import encode as E
+from trylens.operators import models as M
 from trylens.operators.util import running_sum, with_position
 from trylens.plans import flows
 
@@ -16,6 +19,19 @@ def test_line_keys_hold_for_long_methods_and_large_ids(spark):
     assert docs.select("line_key").distinct().count() == 1004 == docs.count()
 
 
+def test_class_without_tokens_keeps_its_prior(spark):
+    docs = spark.createDataFrame(
+        [(1, 0, ["a", "b"]), (2, 1, ["a"]), (3, 2, []), (4, 2, []), (5, 2, [])],
+        "id long, label int, tokens array<string>")
+    model = M.fit_naive_bayes(docs)
+    prior = {r["class_id"]: round(math.exp(r["prior"]), 6) for r in model.collect()}
+    assert prior == {0: 0.2, 1: 0.2, 2: 0.6}
+    assert [(r["token"], r["log_lik"], round(math.exp(r["unseen"]), 6)) for r in model.where("class_id = 2").collect()] \
+        == [(None, None, 0.5)]
+    got = {r["id"]: (r["class_id"], len(r["scores"])) for r in M.class_scores(docs.select("id", "tokens"), model).collect()}
+    assert got[3] == (2, 3) and len(got) == 5
+
+
 def test_predictions_reach_past_the_padding_length(spark):
     methods = spark.createDataFrame(
         [(1, "train", ["x"] * 3, [0, 0, 0], "catch (IOException e) { }"),

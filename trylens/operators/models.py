@@ -31,7 +31,8 @@ def prefixed_tokens(*parts: tuple[str, Column]) -> Column:
 def fit_naive_bayes(docs: DataFrame, label: str = "label", tokens: str = "tokens",
                     alpha: float = ALPHA) -> DataFrame:
     """L1/L3 fit: one row per (class_id, token) seen in training, with the
-    class's prior and unseen log likelihood repeated on each row.
+    class's prior and unseen log likelihood repeated on each row.  A class
+    whose documents hold no tokens has one row, without token, for its prior.
 
     Two scalars (vocabulary size, document count) are computed as actions;
     the per-class table has one row per class and is broadcast.
@@ -44,13 +45,16 @@ def fit_naive_bayes(docs: DataFrame, label: str = "label", tokens: str = "tokens
     totals = counts.groupBy("class_id").agg(F.sum("n").alias("n_c"))
     docs_per = docs.groupBy(F.col(label).alias("class_id")).agg(F.count("*").alias("d_c"))
     n_docs = F.sum("d_c").over(Window.partitionBy(F.lit(0)))   # over the class table only
-    classes = totals.join(docs_per, "class_id").select(
-        "class_id", "n_c", F.log(F.col("d_c") / n_docs).alias("prior"),
-        F.log(F.lit(alpha) / (F.col("n_c") + F.lit(alpha * v))).alias("unseen"))
+    n_c = F.coalesce("n_c", F.lit(0))
+    classes = materialize(docs_per.join(totals, "class_id", "left").select(
+        "class_id", n_c.alias("n_c"), F.log(F.col("d_c") / n_docs).alias("prior"),
+        F.log(F.lit(alpha) / (n_c + F.lit(alpha * v))).alias("unseen")), "nb_classes")
+    bare = classes.where("n_c = 0").select("class_id", F.lit(None).cast("string").alias("token"),
+                                           F.lit(None).cast("double").alias("log_lik"), "prior", "unseen")
     return counts.join(F.broadcast(classes), "class_id").select(
         "class_id", "token",
         F.log((F.col("n") + alpha) / (F.col("n_c") + F.lit(alpha * v))).alias("log_lik"),
-        "prior", "unseen")
+        "prior", "unseen").unionByName(bare)
 
 
 def _token_join(occ: DataFrame, table: DataFrame, key: str) -> DataFrame:
