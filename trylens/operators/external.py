@@ -24,6 +24,9 @@ def weight_of(bucket, cls):
 def hashed_linear_model(n_classes: int = 10, n_buckets: int = 4096) -> Callable:
     """A NumPy example model: class scores = sum of per-id weight rows.
 
+    ``n_buckets`` is a parameter of the model: ids from ``n_buckets`` on share
+    the weights of ``id % n_buckets``, and its multiples weigh nothing, like
+    padding.  A caller who wants a weight per id passes more than the largest id.
     Returns ``make_predict_fn`` for ``predict_batch_udf``; the weight matrix
     is built inside each Python worker, once.
     """
@@ -51,7 +54,10 @@ def score_with_external_model(df: DataFrame, ids_col: str, length: int, make_pre
 
 def fit_mllib_baseline(train: DataFrame, tokens: str = "tokens", label: str = "label",
                        num_features: int = 1 << 16, max_iter: int = 20):
-    """HashingTF then multinomial LogisticRegression, fitted as one MLlib ``Pipeline``."""
+    """HashingTF then multinomial LogisticRegression, fitted as one MLlib ``Pipeline``.
+
+    ``num_features`` is a parameter of the model: tokens are hashed to so many
+    features, and those that meet share a weight."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
