@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, html_extract, jaccard, langid, line_dedup, mixing, packing, quality, repetition, sharding
+from . import (digest, hard_negatives, html_extract, jaccard, langid, line_dedup, mixing, packing, quality, repetition,
+               sharding, simhash, spelling)
 from .common import table
 
 
@@ -56,8 +57,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_quality_classifier, op3_ngram_jaccard_join, op4_html_extraction, op5_quality_rules,
-    op6_document_fingerprints, op7_line_dedup, op8_sharding, op9_source_mixing, op10_language_id)}
+    op6_document_fingerprints, op7_line_dedup, op8_sharding, op9_source_mixing, op10_language_id, op11_simhash_near_dedup, op12_spelling_variants,
+    op13_hard_negatives)}
 
-ORACLE = {"op9_source_mixing": mixing.ORACLE}
+ORACLE = {"op9_source_mixing": mixing.ORACLE, "op12_spelling_variants": spelling.ORACLE,
+          "op13_hard_negatives": hard_negatives.ORACLE}
