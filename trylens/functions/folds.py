@@ -17,6 +17,28 @@ from .arrays import let
 from .java import QUOTES, TERMINATORS, is_identifier
 
 
+def scan(items: Column, init: Column, step, out_type: str, block: int = 256) -> Column:
+    """A running fold with one output per item: struct(o: outputs, s: last state).
+
+    ``step(state, item)`` gives struct(s: next state, o: output).  Outputs are
+    gathered block by block, so appending copies a block and not all that went
+    before.
+    """
+    def one(acc, x):
+        return let(step(acc["s"], x), lambda r: F.struct(
+            r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"].cast(out_type))).alias("o")))
+
+    def part(acc, lo):
+        own = F.aggregate(F.slice(items, lo + 1, block),
+                          F.struct(acc["s"].alias("s"), F.array().cast(f"array<{out_type}>").alias("o")), one)
+        return let(own, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o")))
+
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(block))) \
+              .otherwise(F.array().cast("array<int>"))
+    zero = F.struct(init.alias("s"), F.array().cast(f"array<array<{out_type}>>").alias("o"))
+    return F.aggregate(starts, zero, part, lambda a: F.struct(F.flatten(a["o"]).alias("o"), a["s"].alias("s")))
+
+
 def _next_quote(q: Column, t: Column) -> Column:
     """Quote state after token ``t`` ('' = outside quotes)."""
     return (F.when(~t.isin(*QUOTES), q)

@@ -9,6 +9,7 @@ from . import (  # noqa: F401  (imported for their registrations)
     catalog_metrics,
     catalog_models,
     catalog_slicing,
+    catalog_source_tree,
     catalog_sources,
     catalog_streaming,
     catalog_structure,

@@ -178,3 +178,62 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).alias("user_evaluation"),
         F.lit("").alias("line_artificial"),
         F.lit("").alias("exception_artificial"))
+
+
+# Members of a Java class by ``l_partkey % 10``, one text per line; ``#`` is the
+# line item's number within its order.
+JAVA_MEMBERS = (
+    ("  int f#(int a){ return a+1; } // }",),
+    ('  private String s# = "{ try";',),
+    ("  void g#() throws Exception{", "    try{", '      a.b("}");', "    }catch(IOException e){ throw e; }",
+     "    int[] x = {1,2};", "    x[0]=3;", "  }"),
+    ("  static class I#{", "    int h#(){ if(a) return 1; else return 2; }", "  }"),
+    ("  enum E#{A{int k#(){return 0;}},B(1),C;void l#(){}}",),
+    ("  Runnable r#(){", "    return new Runnable(){", "      public void run(){ for(int i=0;i<3;i++){ x(i); } }",
+     "    };", "  }"),
+    ("  void t#(){", '    String q = """', '      { " \\""" try }', '    """;', "    l.forEach(v -> {", "      if(v > 1){ y(v); }",
+     "    });", "  }"),
+    ("  /* abstract { */", "  abstract int z#(Map<String,List<X>> m);"),
+    ("  int w#(int c){", "    switch(c){", "      case 1: c++;", "        break;", "      default: return '}';", "    }",
+     "    do {", "      c--;", "    } while(c>0);", "    outer: while(true)", "      break;", "    int total = c", "      + 1;",
+     "    return c;", "  }"),
+    ("  @Test(expected = A.class)", "  C# m#(final int a){", "    if (a > 0)", "      go(a);", "    else {",
+     "      b = 'x'; }", "    synchronized (this){ n++; }", "    throw new E(\"try\");", "  }"),
+)
+
+
+def _java_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, members): the member lines of each order, one array per line item."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file_id")).agg(
+        F.array_sort(F.collect_list(item)).alias("b"))
+    texts = F.array(*[F.array(*[F.lit(x) for x in m]) for m in JAVA_MEMBERS])
+
+    def member(s, i):
+        rn = (i + 1).cast("string")
+        k = (s["l_partkey"] % len(JAVA_MEMBERS)).cast("int")
+        return F.struct(k.alias("k"), (i + 1).alias("rn"),
+                        F.transform(F.element_at(texts, k + 1), lambda x: F.replace(x, F.lit("#"), rn)).alias("lines"))
+    return li.select("file_id", F.transform("b", member).alias("members"))
+
+
+def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Java file per order with unspaced source: file_id, src.
+
+    Every 13th file lacks its last brace, the next one has one too many, the
+    one after that has two types left open."""
+    x = _java_items(spark, sf_dir)
+    r = F.col("file_id") % 13
+    lines = F.concat(F.array(F.lit("package p; // {"), F.concat(F.lit("public class C"), F.col("file_id").cast("string"), F.lit(" {"))),
+                     F.flatten(F.transform("members", lambda m: m["lines"])),
+                     F.array(F.when(r == 0, F.lit("")).when(r == 1, F.lit("}}")).when(r == 2, F.lit("class X{class Y{"))
+                             .otherwise(F.lit("}"))))
+    return x.select("file_id", F.array_join(lines, "\n").alias("src"))
+
+
+def java_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members that are methods, one row each: file_id, rn, lines, src."""
+    x = _java_items(spark, sf_dir).select("file_id", F.explode("members").alias("m"))
+    x = x.where(F.col("m.k").isin(0, 2, 5, 6, 8, 9))
+    return x.select("file_id", F.col("m.rn").alias("rn"), F.col("m.lines").alias("lines"),
+                    F.array_join("m.lines", "\n").alias("src"))
