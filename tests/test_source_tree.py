@@ -49,7 +49,7 @@ def test_pieces_tile_the_text(spark):
 
 def test_very_long_literals_and_texts(spark):
     src = '"' + "a\\n" * 60000 + '" /*' + "*x" * 60000 + '*/ """' + '\\" " ' * 30000 + '"""' + " f ( ) ;" * 20000
-    assert one(spark, src, lambda c: F.size(lexer.code_tokens(c))) == 2 + 4 * 20000
+    assert one(spark, src, lambda c: F.size(lexer.code_words(c))) == 2 + 4 * 20000
 
 
 def test_whitespace_tokens_give_the_same_words(spark):

@@ -17,16 +17,16 @@ from .arrays import let
 from .java import QUOTES, TERMINATORS, is_identifier
 
 
-def scan(items: Column, init: Column, step, out_type: str, block: int = 256) -> Column:
+def scan(items: Column, init: Column, step, out_type: str, block: int = 16) -> Column:
     """A running fold with one output per item: struct(o: outputs, s: last state).
 
-    ``step(state, item)`` gives struct(s: next state, o: output).  Outputs are
+    ``step(state, item)`` gives struct(s: next state, o: an ``out_type``).  Outputs are
     gathered block by block, so appending copies a block and not all that went
     before.
     """
     def one(acc, x):
         return let(step(acc["s"], x), lambda r: F.struct(
-            r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"].cast(out_type))).alias("o")))
+            r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o")))
 
     def part(acc, lo):
         own = F.aggregate(F.slice(items, lo + 1, block),

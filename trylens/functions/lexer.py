@@ -34,9 +34,10 @@ _BRANCHES = (
 )
 JAVA_TOKEN = "|".join(_BRANCHES)
 _BLANKS = " \t\n\x0b\f\r"
-_TOKEN = "struct<kind:string,text:string,at:int,line:int>"
 # ----------------------------------------------------------------------------
 
+BLOCK = 32          # pieces between two known places
+
 
 def _kind(t: Column) -> Column:
     a = F.ascii(t)
@@ -53,28 +54,61 @@ def _kind(t: Column) -> Column:
             .otherwise(F.lit("op")))
 
 
+def pieces(src: Column) -> Column:
+    """array<string>: the pieces of ``src``, which tile it; none for a null text."""
+    return F.coalesce(F.regexp_extract_all(src, F.lit(JAVA_TOKEN), 0), F.array().cast("array<string>"))
+
+
+def is_code(t: Column) -> Column:
+    return (F.translate(t, _BLANKS, "") != "") & ~t.startswith("//") & ~t.startswith("/*")
+
+
+def _newlines(t: Column) -> Column:
+    return F.length(t) - F.length(F.translate(t, "\n", ""))
+
+
+def blocks(p: Column) -> Column:
+    """array<struct<lo, at, line>>: where every ``BLOCK``-th piece begins.
+
+    Places of other pieces are measured from here, so a long text costs no
+    running sum over all of its pieces."""
+    def step(s, lo):
+        def own(text):
+            nxt = F.struct((s["at"] + F.length(text)).alias("at"), (s["line"] + _newlines(text)).alias("line"))
+            return F.struct(nxt.alias("s"), F.struct(lo.alias("lo"), s["at"].alias("at"), s["line"].alias("line")).alias("o"))
+        return let(F.array_join(F.slice(p, lo + 1, BLOCK), ""), own)
+
+    starts = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return scan(starts, F.struct(F.lit(0).alias("at"), F.lit(1).alias("line")), step, "struct<lo:int,at:int,line:int>")["o"]
+
+
+def place(p: Column, b: Column, i: Column) -> Column:
+    """struct(at, line) of piece ``i`` (0-based) of ``p``, whose ``blocks`` are ``b``."""
+    block = F.element_at(b, F.floor(i / BLOCK).cast("int") + 1)
+    return let(F.array_join(F.slice(p, block["lo"] + 1, i - block["lo"]), ""), lambda before: F.struct(
+        (block["at"] + F.length(before)).alias("at"), (block["line"] + _newlines(before)).alias("line")))
+
+
 def lex(src: Column) -> Column:
     """array<struct<kind, text, at, line>>: all pieces of ``src`` in order.
 
     ``at`` is the 0-based character offset, ``line`` the 1-based line of the
     piece's first character; a null text has no pieces."""
-    pieces = F.coalesce(F.regexp_extract_all(src, F.lit(JAVA_TOKEN), 0), F.array().cast("array<string>"))
-
-    def step(s, t):
-        out = F.struct(_kind(t).alias("kind"), t.alias("text"), s["at"].alias("at"), s["line"].alias("line"))
-        lines = F.length(t) - F.length(F.translate(t, "\n", ""))
-        return F.struct(F.struct((s["at"] + F.length(t)).alias("at"), (s["line"] + lines).alias("line")).alias("s"),
-                        out.alias("o"))
-
-    return let(pieces, lambda p: scan(p, F.struct(F.lit(0).alias("at"), F.lit(1).alias("line")), step, _TOKEN)["o"])
+    def body(p):
+        def block(b):
+            return let(F.slice(p, b["lo"] + 1, BLOCK), lambda own: F.transform(own, lambda t, k: let(
+                F.array_join(F.slice(own, 1, k), ""), lambda before: F.struct(
+                    _kind(t).alias("kind"), t.alias("text"), (b["at"] + F.length(before)).alias("at"),
+                    (b["line"] + _newlines(before)).alias("line")))))
+        return F.flatten(F.transform(blocks(p), block))
+    return let(pieces(src), body)
 
 
-def code_tokens(src: Column) -> Column:
-    """The pieces of ``lex`` that are code."""
-    return F.filter(lex(src), lambda t: ~t["kind"].isin("space", "comment"))
+def code_indexes(p: Column) -> Column:
+    """array<int>: which of the pieces ``p`` are code."""
+    return F.filter(F.transform(p, lambda t, i: F.when(is_code(t), i)), lambda i: i.isNotNull())
 
 
 def code_words(src: Column) -> Column:
     """array<string>: the texts of the code tokens, for the token folds."""
-    pieces = F.coalesce(F.regexp_extract_all(src, F.lit(JAVA_TOKEN), 0), F.array().cast("array<string>"))
-    return F.filter(pieces, lambda t: (F.translate(t, _BLANKS, "") != "") & ~t.startswith("//") & ~t.startswith("/*"))
+    return F.filter(pieces(src), is_code)

@@ -123,7 +123,7 @@ def _nodes(t: Column) -> Column:
     none = F.lit(None).cast("int")
 
     def frame(i, head, start, kind, mode):
-        return F.struct(i.alias("open"), head.alias("head"), start.alias("start"), kind.alias("kind"), mode.alias("mode")).cast(_FRAME)
+        return F.struct(i.alias("open"), head.alias("head"), start.alias("start"), kind.alias("kind"), mode.alias("mode"))
 
     def state(stack, head, paren):
         return F.struct(stack.alias("stack"), head.cast("int").alias("head"), paren.cast("int").alias("paren"))
@@ -137,7 +137,7 @@ def _nodes(t: Column) -> Column:
             F.lit(role).alias("role"), kind.alias("kind"), start.cast("int").alias("start"), opened.cast("int").alias("open"),
             end.cast("int").alias("end"), F.size(around).alias("level"),
             F.coalesce(F.try_element_at(around, F.lit(-1))["open"], F.lit(-1)).alias("parent"),
-            F.coalesce(F.try_element_at(around, F.lit(-1))["kind"], F.lit("")).alias("parent_kind")).cast(_NODE))
+            F.coalesce(F.try_element_at(around, F.lit(-1))["kind"], F.lit("")).alias("parent_kind")))
 
     nothing = F.array().cast(f"array<{_NODE}>")
     drop_last = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))

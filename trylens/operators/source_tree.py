@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.folds import brace_depth, last_marker_index, segment_statements
-from ..functions.lexer import code_tokens, code_words
+from ..functions.lexer import blocks, code_indexes, code_words, pieces, place
 from ..functions.text import normalize_code_whitespace, py_split
 from ..functions.tree import nodes
 
@@ -64,9 +64,16 @@ def split_parsed_sources(df: DataFrame, src: str = "src") -> tuple[DataFrame, Da
 
 
 def parsed(src: Column) -> Column:
-    """struct(c: code tokens, n: tree nodes) of a source."""
-    return let(code_tokens(src), lambda c: F.struct(
-        c.alias("c"), nodes(F.transform(c, lambda x: x["text"])).alias("n")))
+    """struct(p: pieces, b: their blocks, i: pieces that are code, n: tree nodes)."""
+    def body(p):
+        return let(code_indexes(p), lambda i: F.struct(
+            p.alias("p"), blocks(p).alias("b"), i.alias("i"), nodes(F.transform(i, lambda k: F.element_at(p, k + 1))).alias("n")))
+    return let(pieces(src), body)
+
+
+def _place(x: Column, j: Column) -> Column:
+    """struct(at, line) of code token ``j`` of a parsed source."""
+    return place(x["p"], x["b"], F.element_at(x["i"], j + 1))
 
 
 def _tag(n: Column) -> Column:
@@ -88,7 +95,7 @@ def tag_source_lines(lines: Column) -> Column:
     def body(p):
         marks = F.filter(F.transform(p["n"], _tag), lambda m: m["tag"].isNotNull())
         placed = F.transform(marks, lambda m: F.struct(
-            F.element_at(p["c"], m["at"] + 1)["line"].alias("line"), m["at"].alias("at"), m["level"].alias("level"),
+            _place(p, m["at"])["line"].alias("line"), m["at"].alias("at"), m["level"].alias("level"),
             m["tag"].alias("tag")))
         # ascending by line and depth: of equal lines the map keeps the last
         last = F.aggregate(F.array_sort(placed), F.array().cast("array<struct<line:int,tag:string>>"), _keep_last)
@@ -104,10 +111,31 @@ def _keep_last(acc: Column, x: Column) -> Column:
     return F.concat(F.when(same, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc), F.array(own))
 
 
-def _text_of(src: Column, c: Column, start: Column, end: Column) -> Column:
-    """The source from token ``start`` to token ``end``."""
-    first, last = F.element_at(c, start + 1), F.element_at(c, end + 1)
-    return F.substring(src, first["at"] + 1, last["at"] + F.length(last["text"]) - first["at"])
+def _spans(src: Column, x: Column, picked: Column) -> Column:
+    """``picked`` nodes with their place: array<struct<n, start_line, end_line, text>>;
+    a node that the text leaves open ends with the text."""
+    def span(n):
+        last = F.coalesce(n["end"], F.size(x["i"]) - 1)
+
+        def placed(z):
+            return F.struct(n.alias("n"), z["a"]["line"].alias("start_line"), z["z"]["line"].alias("end_line"),
+                            F.substring(src, z["a"]["at"] + 1, z["z"]["at"] + F.length(z["t"]) - z["a"]["at"]).alias("text"))
+        return let(F.struct(_place(x, n["start"]).alias("a"), _place(x, last).alias("z"),
+                            F.element_at(x["p"], F.element_at(x["i"], last + 1) + 1).alias("t")), placed)
+    return F.transform(picked, span)
+
+
+def _method_name(x: Column, n: Column) -> Column:
+    """The first name before a parenthesis of the head that is no annotation's."""
+    head = F.transform(F.slice(x["i"], n["start"] + 1, F.coalesce(n["open"], n["end"]) - n["start"]),
+                       lambda i: F.element_at(x["p"], i + 1))
+
+    def named(h):
+        text = lambda k: F.coalesce(F.try_element_at(h, k), F.lit(""))
+        k = F.filter(F.sequence(F.lit(2), F.greatest(F.size(h), F.lit(2))), lambda j: (text(j) == "(")
+                     & text(j - 1).rlike(r"^[\p{L}_$]") & ~F.when(j > 2, text(j - 2)).otherwise("").isin("@", "."))
+        return F.try_element_at(h, F.try_element_at(k, F.lit(1)) - 1)
+    return let(head, named)
 
 
 def extract_nested_methods(files: DataFrame, file_col: str = "file_id", src: str = "src") -> DataFrame:
@@ -115,37 +143,22 @@ def extract_nested_methods(files: DataFrame, file_col: str = "file_id", src: str
     record types too: method_no, name, has_body, start_line, end_line, n_lines, text.
 
     A method that the text leaves open ends with the text."""
-    x = files.select(file_col, F.col(src).alias("_s"), parsed(F.col(src)).alias("_p"))
-    own = F.filter(F.col("_p.n"), lambda n: (n["kind"] == "method") & n["role"].isin("scope", "member"))
-    x = x.select(file_col, "_s", F.col("_p.c").alias("_c"), F.posexplode(own).alias("_i", "_n"))
-    end = F.coalesce("_n.end", F.size("_c") - 1)
-    head = F.slice("_c", F.col("_n.start") + 1, F.coalesce("_n.open", "_n.end") - F.col("_n.start"))
-
-    def name(h):
-        # the first name before a parenthesis that is no annotation's
-        text = lambda k: F.coalesce(F.try_element_at(h, k)["text"], F.lit(""))
-        k = F.filter(F.sequence(F.lit(2), F.greatest(F.size(h), F.lit(2))), lambda j: (text(j) == "(") & (
-            F.try_element_at(h, j - 1)["kind"] == "name") & ~F.when(j > 2, text(j - 2)).otherwise("").isin("@", "."))
-        return F.try_element_at(h, F.try_element_at(k, F.lit(1)) - 1)["text"]
-    return x.select(
-        file_col, (F.col("_i") + 1).cast("long").alias("method_no"), let(head, name).alias("name"),
-        F.col("_n.open").isNotNull().alias("has_body"),
-        F.element_at("_c", F.col("_n.start") + 1)["line"].alias("start_line"),
-        F.element_at("_c", end + 1)["line"].alias("end_line"),
-        _text_of(F.col("_s"), F.col("_c"), F.col("_n.start"), end).alias("text")) \
-        .withColumn("n_lines", (F.col("end_line") - F.col("start_line") + 1).cast("long"))
+    def found(x):
+        own = F.filter(x["n"], lambda n: (n["kind"] == "method") & n["role"].isin("scope", "member"))
+        return F.transform(_spans(F.col(src), x, own), lambda m: F.struct(
+            _method_name(x, m["n"]).alias("name"), m["n"]["open"].isNotNull().alias("has_body"),
+            m["start_line"].alias("start_line"), m["end_line"].alias("end_line"), m["text"].alias("text")))
+    x = files.select(file_col, F.posexplode(let(parsed(F.col(src)), found)).alias("_i", "_m"))
+    return x.select(file_col, (F.col("_i") + 1).cast("long").alias("method_no"), "_m.*") \
+            .withColumn("n_lines", (F.col("end_line") - F.col("start_line") + 1).cast("long"))
 
 
 def explode_body_statements(methods: DataFrame, keep: tuple[str, ...], src: str = "src") -> DataFrame:
     """One row per statement directly in the body of the row's first method:
     stmt_no, kind, start_line, end_line, text; code before, in and after a try."""
-    x = methods.select(*keep, F.col(src).alias("_s"), parsed(F.col(src)).alias("_p"))
-    body = F.try_element_at(F.filter(F.col("_p.n"), lambda n: (n["role"] == "scope") & (n["kind"] == "method")), F.lit(1))["open"]
-    x = x.select(*keep, "_s", F.col("_p.c").alias("_c"), let(F.struct(F.col("_p.n").alias("n"), body.alias("b")), lambda z: F.filter(
-        z["n"], lambda n: (n["role"] == "statement") & (n["parent"] == z["b"]))).alias("_own"))
-    x = x.select(*keep, "_s", "_c", F.posexplode("_own").alias("stmt_no", "_n"))
-    end = F.coalesce("_n.end", F.size("_c") - 1)
-    return x.select(*keep, "stmt_no", F.col("_n.kind").alias("kind"),
-                    F.element_at("_c", F.col("_n.start") + 1)["line"].alias("start_line"),
-                    F.element_at("_c", end + 1)["line"].alias("end_line"),
-                    _text_of(F.col("_s"), F.col("_c"), F.col("_n.start"), end).alias("text"))
+    def found(x):
+        body = F.try_element_at(F.filter(x["n"], lambda n: (n["role"] == "scope") & (n["kind"] == "method")), F.lit(1))["open"]
+        own = let(body, lambda b: F.filter(x["n"], lambda n: (n["role"] == "statement") & (n["parent"] == b)))
+        return _spans(F.col(src), x, own)
+    x = methods.select(*keep, F.posexplode(let(parsed(F.col(src)), found)).alias("stmt_no", "_m"))
+    return x.select(*keep, "stmt_no", F.col("_m.n.kind").alias("kind"), "_m.start_line", "_m.end_line", "_m.text")
