@@ -39,6 +39,7 @@ NEGATIVES = 3
 LOW, HIGH = 50, 95        # percent of the positive's score
 ANCHORS = 8192            # anchors of a cell
 ROWS = 1 << 18            # rows of a cell, about
+LEAST = 1 << 11           # rows that are worth a cell of their own
 _SCORES = 1 << 22         # scores held at a time
 _END = 1 << 62
 
@@ -140,7 +141,7 @@ def top_per_slot(anchors: DataFrame, rows: DataFrame, k: int, same: bool) -> Dat
     n, a = rows.count(), anchors.count()
     parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     g = max(1, -(-a // ANCHORS))
-    r = max(1, -(-n // ROWS), -(-parallel // g))
+    r = max(1, -(-n // ROWS), min(-(-parallel // g), -(-n // LEAST)))
     here = lambda many, salt: F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(many)).cast("long")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     left = anchors.select((here(g, 1) * r).alias("own"), every(r).alias("other"), F.lit(0).alias("kind"),
