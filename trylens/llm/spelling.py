@@ -36,7 +36,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import itemgetter
 
 import pyarrow as pa
@@ -49,20 +49,27 @@ MIN_LENGTH = 7
 MIN_COUNT = 2
 RATIO = 10
 NOISE = 31                # one of so many runs loses a code point
-# [A-Za-zÀ-ÿ] in UTF-8, after A-Z became a-z
-_RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
+# [A-Za-zÀ-ÿ] after A-Z became a-z; greedy from a run's first letter on, so
+# shorter runs never match and longer ones match whole
+_RUN = re.compile("[a-z\u00c0-\u00ff]{%d,}" % MIN_LENGTH)
+_LONG = 1 << 22           # from so many characters on, runs are not listed at once
 _FLUSH = 1 << 17          # distinct words a task holds before it hands them on
 FIRST = 2                 # characters of a trie's first edges
 
 
-def noisy_word(doc_id: bytes, run: bytes) -> str:
+def noisy_word(doc_id: bytes, word: str) -> str:
     """The run, without the code point the noise rule deletes if it does."""
-    word = run.decode("utf-8")
-    h = zlib.crc32(run, zlib.crc32(doc_id + b":"))
+    h = zlib.crc32(word.encode("utf-8"), zlib.crc32(doc_id + b":"))
     at = h % len(word)
     return word if h % NOISE else word[:at] + word[at + 1:]
 
 
+def runs(text: bytes) -> Iterable[str]:
+    """The lower-cased runs of a text that are long enough."""
+    t = text.lower().decode("utf-8")                 # bytes: lower() changes A-Z only
+    return _RUN.findall(t) if len(t) < _LONG else map(itemgetter(0), _RUN.finditer(t))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): words of enough code points and occurrences."""
     def emit(counts: Counter) -> pa.RecordBatch:
@@ -74,11 +81,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in c.slices(batches):
             for i, text in zip(c.columns(b, ["doc_id"])[0].to_pylist(), c.text_bytes(b)):
                 doc = b"" if i is None else str(i).encode()
-                for found, n in Counter(map(itemgetter(0), _RUN.finditer(text.lower()))).items():
-                    if len(found) >= MIN_LENGTH:
-                        word = noisy_word(doc, found)
-                        if len(word) >= MIN_LENGTH:
-                            counts[word] += n
+                for found, n in Counter(runs(text)).items():
+                    word = noisy_word(doc, found)
+                    if len(word) >= MIN_LENGTH:
+                        counts[word] += n
             if len(counts) >= _FLUSH:
                 yield emit(counts)
                 counts.clear()
@@ -110,22 +116,25 @@ def _node(length: Column, depth: Column) -> Column:
     return F.xxhash64("delete", "back", length, F.substring("path", F.lit(1), depth))
 
 
-def _depth(j: Column) -> Column:
-    """Depth of level ``j``: the entry and FIRST * (2**j - 1) characters more."""
-    return F.col("entry") + (F.lit(FIRST) * (F.pow(F.lit(2), j).cast("int") - 1))
+def levels(longest: int) -> int:
+    """Levels of the tries of words up to ``longest``: edges of FIRST, 2 * FIRST, ...
+    characters behind the entry, which stands at the middle of a word."""
+    n = 0
+    while FIRST * ((1 << n) - 1) < (longest + 1) // 2:
+        n += 1
+    return n
 
 
-def edges(words: DataFrame) -> DataFrame:
-    """(node, label, child, near): the edges of all tries; ``near`` is the word
-    that ends with the edge."""
-    x = _tries(words)
+def edges(words: DataFrame, longest: int) -> DataFrame:
+    """(level, node, label, child, near): the edges of all tries; ``near`` is the
+    word that ends with the edge."""
     # in a delete trie the walkers are one longer than the word
-    x = x.withColumn("entry", _entry(F.col("m") + F.col("delete")))
-    levels = F.sequence(F.lit(0), F.length(F.bin("m")) - 1)
-    x = x.withColumn("depths", F.filter(F.transform(levels, lambda j: F.struct(
-        _depth(j).alias("at"), _depth(j + 1).alias("to"))), lambda d: d["at"] < F.col("m")))
-    x = x.select("*", F.explode("depths").alias("d")).select("*", "d.at", F.least("d.to", "m").alias("to"))
-    return x.select(_node(F.col("m"), F.col("at")).alias("node"),
+    x = _tries(words).withColumn("entry", _entry(F.col("m") + F.col("delete")))
+    bounds = F.array(*[F.struct(F.lit(j).alias("level"), F.lit(FIRST * ((1 << j) - 1)).alias("lo"),
+                                F.lit(FIRST * ((2 << j) - 1)).alias("hi")) for j in range(levels(longest))])
+    x = x.select("*", F.explode(bounds).alias("b")).where(F.col("entry") + F.col("b.lo") < F.col("m"))
+    x = x.withColumn("at", F.col("entry") + F.col("b.lo")).withColumn("to", F.least(F.col("entry") + F.col("b.hi"), "m"))
+    return x.select(F.col("b.level").alias("level"), _node(F.col("m"), F.col("at")).alias("node"),
                     F.substring("path", F.col("at") + 1, F.col("to") - F.col("at")).alias("label"),
                     _node(F.col("m"), F.col("to")).alias("child"),
                     F.when(F.col("to") == F.col("m"), F.col("word")).alias("near")).distinct()
@@ -134,30 +143,36 @@ def edges(words: DataFrame) -> DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near): both directions of every pair of near words."""
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    trie = c.materialize(edges(words), "spelling-edges")
+    trie = c.materialize(edges(words, longest), "spelling-edges") if longest else None
     x = _tries(words).withColumn("position", _entry(F.col("m")))
-    frontier = x.select("word", "path", "delete", "position",
+    frontier = x.select("word", "path", "m", "delete", "position",
                         _node(F.col("m") - F.col("delete"), F.col("position")).alias("node"), F.lit(0).alias("edits"))
-    found, reach = None, 0
-    while reach < (longest + 1) // 2:           # characters behind the entry, at most
-        reach = FIRST if not reach else 2 * reach + FIRST
-        x = frontier.join(trie, "node")
-        size = F.length("label")
-        piece = F.substring("path", F.col("position") + 1, size)
-        longer = F.substring("path", F.col("position") + 1, size + 1)
-        unchanged = piece == F.col("label")
-        replaced = (F.col("delete") == 0) & (F.col("label") > piece) & (F.levenshtein("label", piece, 1) == 1)
-        deleted = (F.col("delete") == 1) & (F.length(longer) > size) & (F.levenshtein("label", longer, 1) == 1)
-        step = lambda ok, further, edits: F.when(ok, F.struct((F.col("position") + further).alias("position"), edits.alias("edits")))
-        nexts = F.array(step(unchanged, size, F.col("edits")),
-                        step((F.col("edits") == 0) & replaced, size, F.lit(1)),
-                        step((F.col("edits") == 0) & deleted, size + 1, F.lit(1)))
-        x = x.select("word", "path", "delete", "child", "near", F.explode(F.array_compact(nexts)).alias("s"))
-        x = c.materialize(x.select("word", "path", "delete", "s.position", F.col("child").alias("node"), "s.edits", "near"),
-                          "spelling-frontier")
+    found = None
+    for level in range(levels(longest)):
+        step = trie.where(F.col("level") == level).drop("level")
+        # characters of the edges a walker may take here, from its depth in the trie
+        depth = F.col("position") - F.col("edits") * F.col("delete")
+        x = frontier.withColumn("size", F.least(F.lit(FIRST << level), F.col("m") - F.col("delete") - depth))
+        piece = F.substring("path", F.col("position") + 1, F.col("size"))
+        longer = F.substring("path", F.col("position") + 1, F.col("size") + 1)
+        # edges that equal the word's own characters; a word's way to itself is left out
+        own = x.where("not (delete = 0 and edits = 0 and position + size = m)").withColumn("label", piece)
+        same = own.join(step, ["node", "label"]).withColumn("further", F.col("size"))
+        # edges one edit away, for walkers that have none yet.  An edit leaves the
+        # first or the last character (a lone one is replaced)
+        ends = lambda a, b: (F.left(a, F.lit(1)) == F.left(b, F.lit(1))) | (F.right(a, F.lit(1)) == F.right(b, F.lit(1)))
+        replaced = (F.col("delete") == 0) & (F.col("label") > F.col("piece")) & (ends(F.col("label"), F.col("piece")) | (F.col("size") == 1)) \
+            & (F.levenshtein("label", "piece", 1) == 1)
+        deleted = (F.col("delete") == 1) & ends(F.col("label"), F.col("longer")) & (F.levenshtein("label", "longer", 1) == 1)
+        free = x.where("edits = 0").withColumn("piece", piece).withColumn("longer", longer)
+        other = free.join(step, "node").where(replaced | deleted) \
+                    .withColumn("further", F.col("size") + F.col("delete")).withColumn("edits", F.lit(1))
+        kept = ["word", "path", "m", "delete", (F.col("position") + F.col("further")).alias("position"), F.col("child").alias("node"),
+                "edits", "near"]
+        x = c.materialize(same.select(*kept).unionByName(other.select(*kept)), "spelling-frontier")
         # the end of a word: one edit spent, or the walker's last character left over
-        ends = x.where("near is not null and (edits = 1 or delete = 1)").select("word", "near")
-        found = ends if found is None else found.unionByName(ends)
+        reached = x.where("near is not null").select("word", "near")
+        found = reached if found is None else found.unionByName(reached)
         frontier = x.where("near is null").drop("near")
     if found is None:
         return words.select("word", F.col("word").alias("near")).limit(0)
