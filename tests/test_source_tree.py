@@ -81,14 +81,6 @@ def test_repair_closes_behind_a_comment(spark):
     assert not one(spark, "}", S.repair_unclosed_source)["parse_ok"]
 
 
-def shown(spark, src):
-    """(role, kind, text) of every node."""
-    p = one(spark, src, lambda c: S.parsed(c))
-    t = [x["text"] for x in p["c"]]
-    return [(n["role"], n["kind"], " ".join(t[n["start"]:(len(t) if n["end"] is None else n["end"] + 1)]), n["parent_kind"])
-            for n in p["n"]]
-
-
 def methods(spark, src):
     df = spark.createDataFrame([(1, src)], "file_id int, src string")
     return [(r["name"], r["start_line"], r["end_line"], r["has_body"])
@@ -155,7 +147,7 @@ def test_statements_of_the_whole_body(spark):
 
 
 def tags(spark, src):
-    return spark.createDataFrame([(src.split("\n"),)], "l array<string>").select(S.tag_source_lines(F.col("l"))).first()[0]
+    return spark.createDataFrame([(src.split("\n"),)], "l array<string>").select(S.tag_source_lines("l")).first()[0]
 
 
 def test_tags_of_nested_and_continued_lines(spark):
@@ -214,3 +206,69 @@ def test_nodes_do_not_shuffle(spark):
     assert "Exchange" not in plan
 
 
+
+
+@pytest.mark.parametrize("src,want", [
+    ("int x = 1;", "VarDec int x initializer 1 ;"),
+    ("a = b + c * d - e;", "Assignment a = value BinaryOperation BinaryOperation b + operandr BinaryOperation c * operandr d - operandr e ;"),
+    ("if (a > 0 && !b) x = f(1, -y);", "if ( BinaryOperation BinaryOperation a > operandr 0 && operandr ! b ) "
+                                       "Assignment x = value METHOD INVOCATION f arguments ( 1 , - y ) ;"),
+    ("List<String> l = new ArrayList<>(3), m = null;", "VarDec List < String > l initializer ClassCreator ArrayList < > ( 3 ) , "
+                                                       "m initializer null ;"),
+    ('a.b.c(d.e, "x y").g();', "METHOD INVOCATION qualifier a . b c arguments ( qualifier d e , x y ) . METHOD INVOCATION g arguments ( ) ;"),
+    ("return a ? b + 1 : c;", "RETURN TernaryExpression a ? BinaryOperation b + operandr 1 : c ;"),
+    ("x += i >> 2;", "Assignment x += value BinaryOperation i > > operandr 2 ;"),
+    ("x = (int) -y + (a + b) * c;", "Assignment x = value BinaryOperation ( int ) - y + operandr BinaryOperation "
+                                    "( BinaryOperation a + operandr b ) * operandr c ;"),
+    ("java.util.List<Map<A,B>> q = p;", "VarDec java . util . List < Map < A , B > > q initializer p ;"),
+    ("int a = 1, b = 2, y[] = {1, 2};", "VarDec int a initializer 1 , b initializer 2 , y [ ] initializer { 1 , 2 } ;"),
+    ("this.x = y instanceof Z || w == null;", "Assignment qualifier this x = value BinaryOperation BinaryOperation y instanceof "
+                                              "operandr Z || operandr BinaryOperation w == operandr null ;"),
+    ("a = b = c;", "Assignment a = value Assignment b = value c ;"),
+    ("try { go(); } catch (java.io.IOException e) { throw e; }",
+     "TRY { METHOD INVOCATION go arguments ( ) ; } CatchClause parameter ( java . io . IOException e ) { throw e ; }"),
+    ("a || b && c | d ^ e & f;", "BinaryOperation a || operandr BinaryOperation b && operandr BinaryOperation c | operandr "
+                                 "BinaryOperation d ^ operandr BinaryOperation e & operandr f ;"),
+    ("a - b - c;", "BinaryOperation BinaryOperation a - operandr b - operandr c ;"),
+])
+def test_expression_markers(spark, src, want):
+    r = one(spark, "void m() { " + src + " }", lambda c: S.source_marker_stream("s"))
+    assert r["parse_ok"] and " ".join(r["tokens"]) == f"MethodDeclaration void m parameters ( ) {{ {want} }}"
+
+
+def test_expression_markers_of_broken_code(spark):
+    for src in ("", "f(a)(b", ") ;", "a + ) * ( ]"):
+        one(spark, src, lambda c: S.source_marker_stream("s"))
+    r = one(spark, "} a ( b ) ;", lambda c: S.source_marker_stream("s"))
+    assert not r["parse_ok"] and r["tokens"][0] == "}"
+    assert one(spark, None, lambda c: S.source_marker_stream("s"))["tokens"] == []
+
+
+def precedence_brute(tokens):
+    """Fully bracketed reading of a flat expression by climbing."""
+    from trylens.functions.expressions import PRECEDENCE
+    level = {o: k for k, g in enumerate(PRECEDENCE) for o in g}
+
+    def parse(i, least):
+        left, i = [tokens[i]], i + 1
+        while i < len(tokens) and level[tokens[i]] >= least:
+            op = tokens[i]
+            right, i2 = parse(i + 1, level[op] + 1)
+            left, i = ["BinaryOperation", *left, op, "operandr", *right], i2
+        return left, i
+    return parse(0, 0)[0]
+
+
+def test_precedence_against_climbing(spark):
+    rng = random.Random(4)
+    ops = ["||", "&&", "|", "^", "&", "==", "!=", "<=", "<<", "+", "-", "*", "/", "%", "instanceof"]
+    exprs = []
+    for _ in range(60):
+        e = ["v0"]
+        for k in range(rng.randint(0, 9)):
+            e += [rng.choice(ops), f"v{k + 1}"]
+        exprs.append(e)
+    from trylens.functions.expressions import marker_stream
+    df = spark.createDataFrame([(e,) for e in exprs], "e array<string>").select("e", marker_stream(F.col("e")).alias("m"))
+    for e, m in df.collect():
+        assert m == precedence_brute(e)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from typing import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +20,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def built_once(make: Callable[[Column], Column]) -> Callable[[str], Column]:
+    """``make`` of a column by name, built once per application: a large fold
+    takes seconds to put together, whatever it is applied to."""
+    built: dict[tuple[str, str], Column] = {}
+
+    @wraps(make)
+    def of(name: str) -> Column:
+        key = (SparkSession.active().sparkContext.applicationId, name)
+        if key not in built:
+            built[key] = make(F.col(name))
+        return built[key]
+    return of
+
+
 def _norm_index(i: Column, n: Column) -> Column:
     """Python slice bound normalisation to ``[0, n]``."""
     return F.when(i < 0, F.greatest(n + i, F.lit(0))).otherwise(F.least(i, n))

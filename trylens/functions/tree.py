@@ -121,6 +121,7 @@ def _nodes(t: Column) -> Column:
     n = F.size(t)
     at = lambda j: F.coalesce(F.try_element_at(t, F.when(j >= 0, j + 1).otherwise(n + 1)), F.lit(""))
     none = F.lit(None).cast("int")
+    named = F.lit(None).cast("string")          # statements get their kind at the end, from their tokens
 
     def frame(i, head, start, kind, mode):
         return F.struct(i.alias("open"), head.alias("head"), start.alias("start"), kind.alias("kind"), mode.alias("mode"))
@@ -159,7 +160,7 @@ def _nodes(t: Column) -> Column:
                 below = drop_last(stack)
                 sub = at(top["open"] - 1).isin("if", "for", "while") & ~nxt.isin("{", ";", "") & code(F.try_element_at(below, F.lit(-1)))
                 return result(state(below, top["head"], top["open"]),
-                              F.when(sub, F.array(node("sub", statement_kind(t, i + 1), i + 1, none, none, below))).otherwise(nothing))
+                              F.when(sub, F.array(node("sub", named, i + 1, none, none, below))).otherwise(nothing))
 
             def opened_brace():
                 return let(_brace_kind(t, i, s, k), lambda b: result(
@@ -178,7 +179,7 @@ def _nodes(t: Column) -> Column:
                     more = goes_on(f["head"], nxt) | ((f["mode"] == "code") & nxt.isin("catch", "finally"))
                     ends = ~inner & ~more & code(outer)
                     kind = F.when(f["kind"].isin(*TYPE_WORDS, "record"), F.lit("TypeDeclaration")) \
-                            .when(f["kind"] == "block", F.lit("BlockStatement")).otherwise(statement_kind(t, f["head"]))
+                            .when(f["kind"] == "block", F.lit("BlockStatement"))
                     # what stands in parentheses or goes on keeps its head
                     return result(state(below, F.when(inner | more, f["head"]).otherwise(i + 1), paren),
                                   F.when(ends, F.array(scope, node("statement", kind, f["head"], f["open"], i, below)))
@@ -193,7 +194,7 @@ def _nodes(t: Column) -> Column:
                 own = F.slice(t, head + 1, F.greatest(i - head, F.lit(0)))
                 abstract = (paren > head) & ~F.array_contains(own, "=") & (F.coalesce(top["mode"], F.lit("")) == "type")
                 out = F.when(member, node("member", F.when(abstract, F.lit("method")).otherwise(F.lit("field")), head, none, i, stack)) \
-                       .otherwise(node("statement", statement_kind(t, head), head, none, i, stack))
+                       .otherwise(node("statement", named, head, none, i, stack))
                 # an enum's constants end here; the rest of it is a class body
                 body = F.transform(stack, lambda f, j: F.when((j == F.size(stack) - 1) & (f["mode"] == "enum"),
                                                               frame(f["open"], f["head"], f["start"], f["kind"], F.lit("type")))
@@ -204,7 +205,7 @@ def _nodes(t: Column) -> Column:
                     F.when(empty | constants, nothing).otherwise(F.array(out))))
 
             label = (at(head) == "case") | (at(head) == "default") & (head == i - 1)
-            named = (c == ":") & (head == i - 1) & ~at(head).isin("case", "default") & code(top)
+            labelled = (c == ":") & (head == i - 1) & ~at(head).isin("case", "default") & code(top)
             sub_else = ~nxt.isin("{", ";", "")
             return (F.when(c == "(", opened_paren)
                     .when(c == ")", F.when(F.coalesce(top["mode"] == "paren", F.lit(False)), closed_paren()).otherwise(keep))
@@ -215,9 +216,9 @@ def _nodes(t: Column) -> Column:
                     .when(c.isin(":", "->"),
                           F.when(label, result(state(stack, i + 1, paren),
                                                F.array(node("case", F.lit("SwitchStatementCase"), head, none, i, stack))))
-                          .when(named, result(state(stack, i + 1, paren), nothing)).otherwise(keep))
+                          .when(labelled, result(state(stack, i + 1, paren), nothing)).otherwise(keep))
                     .when(sub_else, result(state(stack, head, paren),
-                                           F.array(node("sub", statement_kind(t, i + 1), i + 1, none, none, stack))))
+                                           F.array(node("sub", named, i + 1, none, none, stack))))
                     .otherwise(keep))
         return let(F.struct(at(i).alias("c"), at(i - 1).alias("p"), at(i + 1).alias("n"),
                             F.try_element_at(s["stack"], F.lit(-1)).alias("top")), known)
@@ -233,11 +234,12 @@ def _nodes(t: Column) -> Column:
             below = F.slice(left, 1, j)
             scope = node("scope", f["kind"], f["start"], f["open"], none, below)
             return F.when(code(F.try_element_at(below, F.lit(-1))) & ~f["kind"].isin("init", "lambda", "anonymous"),
-                          F.array(scope, node("statement", statement_kind(t, f["head"]), f["head"], f["open"], none, below))) \
+                          F.array(scope, node("statement", named, f["head"], f["open"], none, below))) \
                     .otherwise(F.array(scope))
         return F.concat(F.flatten(d["o"]), F.flatten(F.transform(left, unclosed)))
 
     begin = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1) \
                           .when(a["level"] < b["level"], -1).when(a["level"] > b["level"], 1).otherwise(0)
-    return F.array_sort(let(done, finish), begin)
+    kinds = lambda n: n.withField("kind", F.coalesce(n["kind"], statement_kind(t, n["start"])))
+    return F.transform(F.array_sort(let(done, finish), begin), kinds)
 

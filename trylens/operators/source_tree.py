@@ -3,7 +3,8 @@ tokens and the statement tree.
 
 The operators of ``structure`` and ``slicing`` take text whose tokens are set
 apart by white space; these take source as it is written.  All of them are
-projections of one row; nothing is shuffled.
+projections of one row; nothing is shuffled.  ``parsed``, ``tag_source_lines`` and
+``source_marker_stream`` take the name of a column (``built_once``).
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import built_once, let
+from ..functions.expressions import marker_stream
 from ..functions.folds import brace_depth, last_marker_index, segment_statements
 from ..functions.lexer import blocks, code_indexes, code_words, pieces, place
 from ..functions.text import normalize_code_whitespace, py_split
@@ -42,6 +44,15 @@ def repair_unclosed_source(src: Column) -> Column:
     return let(src, body)
 
 
+@built_once
+def source_marker_stream(src: Column) -> Column:
+    """A4 with expression markers: struct(parse_ok, tokens) of the repaired
+    source; what cannot be repaired is split on white space (A5)."""
+    return let(repair_unclosed_source(src), lambda r: F.struct(
+        r["parse_ok"].alias("parse_ok"),
+        F.when(r["parse_ok"], marker_stream(code_words(r["code"]))).otherwise(py_split(r["code"])).alias("tokens")))
+
+
 def source_markers(src: Column) -> Column:
     """struct(n_words, try_idx, catch_idx) in code words; -1 if none."""
     return let(code_words(src), lambda w: F.struct(
@@ -63,7 +74,7 @@ def split_parsed_sources(df: DataFrame, src: str = "src") -> tuple[DataFrame, Da
     return d.where("reason is null").drop("reason"), d.where("reason is not null")
 
 
-def parsed(src: Column) -> Column:
+def _parsed(src: Column) -> Column:
     """struct(p: pieces, b: their blocks, i: pieces that are code, n: tree nodes)."""
     def body(p):
         return let(code_indexes(p), lambda i: F.struct(
@@ -71,6 +82,9 @@ def parsed(src: Column) -> Column:
     return let(pieces(src), body)
 
 
+parsed = built_once(_parsed)
+
+
 def _place(x: Column, j: Column) -> Column:
     """struct(at, line) of code token ``j`` of a parsed source."""
     return place(x["p"], x["b"], F.element_at(x["i"], j + 1))
@@ -88,6 +102,7 @@ def _tag(n: Column) -> Column:
     return F.struct(at.alias("at"), n["level"].alias("level"), tag.alias("tag"))
 
 
+@built_once
 def tag_source_lines(lines: Column) -> Column:
     """A1 by the tree: per line of a method the kind of the deepest node that
     begins on it, null for a line that goes on with an earlier one; the last
@@ -102,7 +117,7 @@ def tag_source_lines(lines: Column) -> Column:
         return let(F.map_from_entries(last), lambda m: F.transform(
             lines, lambda ln, i: F.when(i == F.size(lines) - 1, F.lit("MethodDeclaration END"))
                                   .otherwise(F.try_element_at(m, i + 1))))
-    return let(parsed(F.array_join(lines, "\n")), body)
+    return let(_parsed(F.array_join(lines, "\n")), body)
 
 
 def _keep_last(acc: Column, x: Column) -> Column:
@@ -148,7 +163,7 @@ def extract_nested_methods(files: DataFrame, file_col: str = "file_id", src: str
         return F.transform(_spans(F.col(src), x, own), lambda m: F.struct(
             _method_name(x, m["n"]).alias("name"), m["n"]["open"].isNotNull().alias("has_body"),
             m["start_line"].alias("start_line"), m["end_line"].alias("end_line"), m["text"].alias("text")))
-    x = files.select(file_col, F.posexplode(let(parsed(F.col(src)), found)).alias("_i", "_m"))
+    x = files.select(file_col, F.posexplode(let(parsed(src), found)).alias("_i", "_m"))
     return x.select(file_col, (F.col("_i") + 1).cast("long").alias("method_no"), "_m.*") \
             .withColumn("n_lines", (F.col("end_line") - F.col("start_line") + 1).cast("long"))
 
@@ -160,5 +175,5 @@ def explode_body_statements(methods: DataFrame, keep: tuple[str, ...], src: str
         body = F.try_element_at(F.filter(x["n"], lambda n: (n["role"] == "scope") & (n["kind"] == "method")), F.lit(1))["open"]
         own = let(body, lambda b: F.filter(x["n"], lambda n: (n["role"] == "statement") & (n["parent"] == b)))
         return _spans(F.col(src), x, own)
-    x = methods.select(*keep, F.posexplode(let(parsed(F.col(src)), found)).alias("stmt_no", "_m"))
+    x = methods.select(*keep, F.posexplode(let(parsed(src), found)).alias("stmt_no", "_m"))
     return x.select(*keep, "stmt_no", F.col("_m.n.kind").alias("kind"), "_m.start_line", "_m.end_line", "_m.text")

@@ -136,7 +136,7 @@ _TAGS = (
 @query("tag_source_lines", _with(
     f"SELECT file_id, rn, off + 1 AS line_no, tag FROM j_items JOIN ({_values(_TAGS)}) t(tk, off, tag) ON tk = k"))
 def tag_source_lines(spark, sf_dir):
-    x = fx.java_methods(spark, sf_dir).select("file_id", "rn", F.posexplode(S.tag_source_lines(F.col("lines"))).alias("i", "tag"))
+    x = fx.java_methods(spark, sf_dir).select("file_id", "rn", F.posexplode(S.tag_source_lines("lines")).alias("i", "tag"))
     return x.select("file_id", "rn", (F.col("i") + 1).cast("int").alias("line_no"), "tag")
 
 
@@ -178,3 +178,29 @@ _BODY = (
  FROM j_items j JOIN ({_values(_BODY)}) t(tk, no, kind, a, z, own) ON tk = k"""))
 def explode_body_statements(spark, sf_dir):
     return S.explode_body_statements(fx.java_methods(spark, sf_dir), ("file_id", "rn"))
+
+
+# The marker stream of the members that are methods, as read from their text.
+_STREAMS = (
+    (0, "MethodDeclaration int f# parameters ( int a ) { RETURN BinaryOperation a + operandr 1 ; }"),
+    (2, "MethodDeclaration void g# parameters ( ) throws Exception { TRY { METHOD INVOCATION qualifier a b arguments ( } ) ; } "
+        "CatchClause parameter ( IOException e ) { throw e ; } VarDec int [ ] x initializer { 1 , 2 } ; Assignment x [ 0 ] = value 3 ; }"),
+    (5, "MethodDeclaration Runnable r# parameters ( ) { RETURN ClassCreator Runnable arguments ( ) { MethodDeclaration public void run "
+        "parameters ( ) { for ( int i initializer 0 ; BinaryOperation i < operandr 3 ; i ++ ) { METHOD INVOCATION x arguments ( i ) ; } } } ; }"),
+    (6, "MethodDeclaration void t# parameters ( ) { VarDec String q initializer { \\ try } ; METHOD INVOCATION qualifier l forEach "
+        "arguments ( v -> { if ( BinaryOperation v > operandr 1 ) { METHOD INVOCATION y arguments ( v ) ; } } ) ; }"),
+    (8, "MethodDeclaration int w# parameters ( int c ) { switch ( c ) { case 1 : c ++ ; break ; default : RETURN ; } do { c -- ; } "
+        "while ( BinaryOperation c > operandr 0 ) ; outer : while ( true ) break ; VarDec int total initializer BinaryOperation c + "
+        "operandr 1 ; RETURN c ; }"),
+    (9, "MethodDeclaration @ Test ( Assignment expected = value A . class ) C# m# parameters ( final int a ) { if ( BinaryOperation a > "
+        "operandr 0 ) METHOD INVOCATION go arguments ( a ) ; ELSE { Assignment b = value x ; } synchronized ( this ) { n ++ ; } "
+        "throw ClassCreator E arguments ( try ) ; }"),
+)
+
+
+@query("expression_marker_stream", _with(
+    f"""SELECT file_id, rn, true AS parse_ok, replace(stream, '#', CAST(rn AS VARCHAR)) AS tokens
+ FROM j_items JOIN ({_values(_STREAMS)}) t(tk, stream) ON tk = k"""))
+def expression_marker_stream(spark, sf_dir):
+    x = fx.java_methods(spark, sf_dir).select("file_id", "rn", S.source_marker_stream("src").alias("m"))
+    return x.select("file_id", "rn", "m.parse_ok", F.array_join("m.tokens", " ").alias("tokens"))
