@@ -233,9 +233,7 @@ def score_with_external_model(spark, sf_dir):
     from ..operators.external import hashed_linear_model, score_with_external_model as score
     corpus = materialize(flows.task2_corpus(fx.methods(spark, sf_dir), fx.class_map(spark)))
     vocab = materialize(E.build_vocabulary(corpus.select(F.explode(F.concat("front", "back")).alias("token"))))
-    f = E.encode_text(corpus, ["method_id"], "front", vocab, flows.TEXT_MAX, "front_")
-    b = E.encode_text(corpus, ["method_id"], "back", vocab, flows.TEXT_MAX, "back_")
-    ids = f.join(b, "method_id").select("method_id", F.concat("front_input_ids", "back_input_ids").alias("ids"))
+    ids = E.encode_text(corpus, ["method_id"], ["front", "back"], vocab, flows.TEXT_MAX).select("method_id", F.concat("front_input_ids", "back_input_ids").alias("ids"))
     out = score(ids, "ids", 2 * flows.TEXT_MAX, hashed_linear_model())
     return out.select("method_id", "class_id")
 
