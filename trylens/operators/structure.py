@@ -11,7 +11,7 @@ equal a full parser's output.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, py_slice
@@ -45,7 +45,28 @@ LINE_KIND_RULES = (
 )
 
 
-def line_kind(line: Column, idx: Column, n_lines: Column) -> Column:
+MAX_RULES = 1000        # rules are data of bounded size, checked before they are collected
+
+
+def rules_frame(spark: SparkSession, rules=LINE_KIND_RULES) -> DataFrame:
+    """Line-kind rules as a table: priority, kind, args, tag."""
+    rows = [(i, kind, list(arg) if isinstance(arg, tuple) else [arg], tag) for i, (kind, arg, tag) in enumerate(rules)]
+    return spark.createDataFrame(rows, "priority int, kind string, args array<string>, tag string")
+
+
+def rules_from(frame: DataFrame) -> tuple:
+    """A table of rules (see ``rules_frame``) as ``line_kind`` takes them, first
+    match by priority; at most ``MAX_RULES``."""
+    rows = frame.select("priority", "kind", "args", "tag").orderBy("priority", "kind", "tag").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} line-kind rules")
+    unknown = {r["kind"] for r in rows} - {"word", "word{", "regex", "contains"}
+    if unknown:
+        raise ValueError(f"unknown rule kinds: {sorted(map(str, unknown))}")
+    return tuple((r["kind"], tuple(r["args"]) if r["kind"].startswith("word") else r["args"][0], r["tag"]) for r in rows)
+
+
+def line_kind(line: Column, idx: Column, n_lines: Column, rules=LINE_KIND_RULES) -> Column:
     """A1: node kind of line ``idx`` (0-based) of an ``n_lines``-line method, or null.
 
     One regex extracts the first word; keyword rules are set tests on it, so
@@ -54,7 +75,7 @@ def line_kind(line: Column, idx: Column, n_lines: Column) -> Column:
         s, w = sw["s"], sw["w"]
         out = F.when(idx == n_lines - 1, F.lit("MethodDeclaration END")) \
                .when(idx == 0, F.lit("MethodDeclaration"))
-        for kind, arg, tag in LINE_KIND_RULES:
+        for kind, arg, tag in rules:
             if kind == "word":
                 test = w.isin(*arg)
             elif kind == "word{":
@@ -69,9 +90,9 @@ def line_kind(line: Column, idx: Column, n_lines: Column) -> Column:
     return let(stripped, lambda s: let(F.struct(s.alias("s"), F.regexp_extract(s, r"^(\w+)", 1).alias("w")), body))
 
 
-def tag_lines(lines: Column) -> Column:
+def tag_lines(lines: Column, rules=LINE_KIND_RULES) -> Column:
     """A1 over a method: one tag (or null) per line."""
-    return let(lines, lambda ls: F.transform(ls, lambda ln, i: line_kind(ln, i, F.size(ls))))
+    return let(lines, lambda ls: F.transform(ls, lambda ln, i: line_kind(ln, i, F.size(ls), rules)))
 
 
 def merge_statement_lines(lines: Column, labels: Column, tags: Column) -> Column:

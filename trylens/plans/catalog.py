@@ -8,6 +8,7 @@ from . import (  # noqa: F401  (imported for their registrations)
     catalog_labels,
     catalog_metrics,
     catalog_models,
+    catalog_quarantine,
     catalog_slicing,
     catalog_source_tree,
     catalog_sources,

@@ -47,6 +47,24 @@ def tag_line_kind(spark, sf_dir):
     return x.select("method_id", (F.col("i") + 1).cast("int").alias("line_no"), "tag")
 
 
+# The rules of the second tagging, written out again: by hand, not from the module.
+_CUSTOM = (("word", ("try", "catch"), "Guard"), ("regex", r"^int\s", "Int"), ("word{", ("for", "if"), "Head"),
+           ("contains", " . ", "Call"))
+
+
+@query("tag_line_kind_by_rules", with_fixtures(
+    f"""SELECT method_id, line_no, CASE WHEN line_no = n THEN 'MethodDeclaration END' WHEN line_no = 1 THEN 'MethodDeclaration'
+ WHEN w IN ('try', 'catch') THEN 'Guard' WHEN starts_with(s, 'int ') THEN 'Int' WHEN w IN ('for', 'if') AND s[-1] = '{{' THEN 'Head'
+ WHEN contains(s, ' . ') THEN 'Call' END AS tag FROM (
+ SELECT method_id, line_no, max(line_no) OVER (PARTITION BY method_id) AS n, s, regexp_extract(s, '^(\w+)', 1) AS w FROM (
+  SELECT method_id, line_no, {X.strip("ltrim(trim(line), '} ')")} AS s FROM code_lines))""", "code_lines"))
+def tag_line_kind_by_rules(spark, sf_dir):
+    """A1 with a rule table given as a DataFrame."""
+    rules = A.rules_from(A.rules_frame(spark, _CUSTOM))
+    t = fx.methods(spark, sf_dir).select("method_id", F.posexplode(A.tag_lines(F.col("lines"), rules)).alias("i", "tag"))
+    return t.select("method_id", (F.col("i") + 1).cast("int").alias("line_no"), "tag")
+
+
 @query("merge_statement_lines", with_fixtures(
     "SELECT method_id, CAST(grp - 1 AS INTEGER) AS group_no, string_agg(line, '' ORDER BY line_no) || max(tag) AS text, "
     "arg_min(label, line_no) AS label FROM d_grp WHERE grp > 0 GROUP BY method_id, grp",

@@ -53,8 +53,9 @@ def read_positional(spark: SparkSession, path: str, col: str = "value") -> DataF
     JVM only: the text scan's hidden ``_metadata`` columns give each line's
     file and split; ``monotonically_increasing_id`` gives its order inside the
     scan partition.  The scan is written once so these ids are fixed; then
-    per-split line counts (one row per split, bounded by input size / split
-    size) give prefix offsets in (file name, split start) order.
+    per-split line counts (one row per split) give prefix offsets in (file name,
+    split start) order: splits are sorted into ranges, summed inside a range and
+    over the ranges, so no task holds all splits.
     """
     from ..operators.util import materialize
     files = _part_files(spark, path)
@@ -65,9 +66,14 @@ def read_positional(spark: SparkSession, path: str, col: str = "value") -> DataF
         F.monotonically_increasing_id().alias("_mid"))
     x = materialize(scan, "lines")
     blocks = x.groupBy("_f", "_b").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
-    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_f", "_b", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return x.join(F.broadcast(offsets), ["_f", "_b"]).select(
+    ranged = materialize(blocks.orderBy("_f", "_b").withColumn("_r", F.spark_partition_id()), "splits")
+    sizes = ranged.groupBy("_r").agg(F.sum("_n").alias("_t"))            # one row per range
+    ahead = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_r", F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_r").orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(bases, "_r")
+    # the optimizer broadcasts the offsets while they are small
+    return x.join(offsets.select("_f", "_b", "_first", (F.col("_base") + F.col("_in")).alias("_off")), ["_f", "_b"]).select(
         (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long").alias("pos"), col)
 
 
