@@ -118,6 +118,81 @@ def score_lines(spark, sf_dir):
     return best.select("line_key.method_id", "line_key.line_no", F.col("class_id").cast("int").alias("pred"))
 
 
+# --- L3/L4 with a chain over the lines ---------------------------------------
+
+_OWN_DOCS = ("d_own", f"""SELECT struct_pack(m := method_id, l := line_no) AS line_key, method_id, line_no, split, label,
+ {X.split_ws(_rename_sql('mline'))} AS toks FROM (SELECT *, {X.strip("line || coalesce(tag, '')")} AS mline FROM d_tagged)""")
+# Log weights of the chain and, per line, what the words alone say of class 0 and 1.
+_CHAIN = (
+    ("d_tr", """SELECT prev, next, count(*) AS n FROM (SELECT label AS next, lag(label) OVER (PARTITION BY method_id ORDER BY line_no) AS prev
+ FROM d_own WHERE split = 'train') GROUP BY ALL"""),
+    ("d_w", """SELECT p.prev, c.next, round(ln((coalesce(n, 0) + 1.0) / (sum(coalesce(n, 0)) OVER (PARTITION BY p.prev) + 2.0)), 6) AS w
+ FROM (VALUES (NULL), (0), (1)) p(prev) CROSS JOIN (VALUES (0), (1)) c(next) LEFT JOIN d_tr t ON t.prev IS NOT DISTINCT FROM p.prev AND t.next = c.next"""),
+    ("d_ww", """SELECT max(w) FILTER (prev IS NULL AND next = 0) AS i0, max(w) FILTER (prev IS NULL AND next = 1) AS i1,
+ max(w) FILTER (prev = 0 AND next = 0) AS t00, max(w) FILTER (prev = 0 AND next = 1) AS t01,
+ max(w) FILTER (prev = 1 AND next = 0) AS t10, max(w) FILTER (prev = 1 AND next = 1) AS t11 FROM d_w"""),
+    ("d_em", """SELECT line_key.m AS method_id, line_key.l AS line_no, max(e) FILTER (class_id = 0) AS e0, max(e) FILTER (class_id = 1) AS e1
+ FROM (SELECT s.line_key, s.class_id, round(s.score - p.prior, 6) AS e FROM d_score s
+       JOIN (SELECT DISTINCT class_id, prior FROM d_model) p ON p.class_id = s.class_id) GROUP BY ALL"""),
+    ("d_fwd", """SELECT method_id, line_no, e0 + i0 AS s0, e1 + i1 AS s1, 0 AS b0, 0 AS b1 FROM d_em, d_ww WHERE line_no = 1
+ UNION ALL
+ SELECT e.method_id, e.line_no, greatest(f.s0 + t00, f.s1 + t10) + e0, greatest(f.s0 + t01, f.s1 + t11) + e1,
+  CASE WHEN f.s1 + t10 > f.s0 + t00 THEN 1 ELSE 0 END, CASE WHEN f.s1 + t11 > f.s0 + t01 THEN 1 ELSE 0 END
+ FROM d_fwd f JOIN d_em e ON e.method_id = f.method_id AND e.line_no = f.line_no + 1, d_ww"""),
+    ("d_path", """SELECT method_id, line_no, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS pred,
+  CASE WHEN s1 > s0 THEN b1 ELSE b0 END AS came FROM (SELECT *, max(line_no) OVER (PARTITION BY method_id) AS n FROM d_fwd) WHERE line_no = n
+ UNION ALL
+ SELECT f.method_id, f.line_no, p.came, CASE WHEN p.came = 1 THEN f.b1 ELSE f.b0 END
+ FROM d_path p JOIN d_fwd f ON f.method_id = p.method_id AND f.line_no = p.line_no - 1"""),
+)
+_CHAIN_CTES = (_D_TAGGED, _OWN_DOCS, *_nb_model_ctes("d_own", "label", "split = 'train'"),
+               *_nb_score_ctes("d_own", "line_key", "split = 'test'"), *_CHAIN)
+
+
+def _recursive(body: str, ctes) -> str:
+    return "WITH RECURSIVE" + with_fixtures(body, "code_lines", ctes=ctes)[len("WITH"):]
+
+
+def _line_sequences(spark, sf_dir):
+    """(method_id, line_no, label, pred): test lines labelled by the chain."""
+    from ..operators import chain
+    from ..functions.text import py_split
+    methods = materialize(fx.methods(spark, sf_dir).select("method_id", "split", "lines", "labels"), "methods")
+    zipped = F.arrays_zip(F.transform(flows.model_lines(F.col("lines")), py_split).alias("t"), F.col("labels").alias("l"))
+    docs = methods.select("method_id", "split", F.posexplode(zipped).alias("i", "z"))
+    docs = materialize(docs.select(F.struct("method_id", (F.col("i") + 1).cast("int").alias("line_no")).alias("line_key"), "split",
+                                   F.col("z.l").alias("label"), F.col("z.t").alias("tokens")), "line_docs")
+    model = materialize(M.fit_naive_bayes(docs.where(F.col("split") == "train")))
+    test = docs.where(F.col("split") == "test")
+    # the chain has its own view of how frequent a label is: the prior is taken out
+    priors = {r["class_id"]: r["prior"] for r in model.select("class_id", "prior").distinct().limit(chain.MAX_CLASSES + 1).collect()}
+    known = F.create_map(*[F.lit(x) for c, p in priors.items() for x in (c, p)])
+    scored = M.class_scores(test, model, key="line_key").select("line_key.*", F.transform("scores", lambda s: F.struct(
+        s["class_id"].alias("class_id"), F.round(s["score"] - F.element_at(known, s["class_id"]), 6).alias("score"))).alias("scores"))
+    out = chain.score_sequences(materialize(scored, "line_scores"),
+                                chain.fit_transitions(methods.where(F.col("split") == "train")))
+    labels = test.select("line_key.*", "label")
+    return out.join(labels, ["method_id", "line_no"]).select("method_id", "line_no", "label", F.col("class_id").cast("int").alias("pred"))
+
+
+@query("score_line_sequences", _recursive(
+    "SELECT p.method_id, p.line_no, o.label, CAST(p.pred AS INTEGER) AS pred FROM d_path p "
+    "JOIN d_own o ON o.method_id = p.method_id AND o.line_no = p.line_no", _CHAIN_CTES))
+def score_line_sequences(spark, sf_dir):
+    return _line_sequences(spark, sf_dir)
+
+
+@query("line_sequence_metrics", _recursive(
+    """SELECT tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM (
+ SELECT CAST(count(*) FILTER (label = 1 AND pred = 1) AS DOUBLE) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp,
+  count(*) FILTER (label = 1 AND pred = 0) AS fn FROM d_path p JOIN d_own o ON o.method_id = p.method_id AND o.line_no = p.line_no)""",
+    _CHAIN_CTES))
+def line_sequence_metrics(spark, sf_dir):
+    """G6 of the chain's labels."""
+    from ..operators import metrics
+    return metrics.line_precision_recall_f1(_line_sequences(spark, sf_dir))
+
+
 def handler_inputs(spark, sf_dir):
     """Fitted line and type models plus the test-split submissions."""
     methods = materialize(fx.methods(spark, sf_dir))
