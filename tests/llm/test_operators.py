@@ -72,7 +72,7 @@ def test_packing_places_every_token(spark, docs):
 def test_packing_plan_is_near_the_bound():
     lengths = RNG.integers(1, 600, 4000)
     hist = dict(Counter(lengths.tolist()))
-    groups = packing.plan_groups(hist, 1000, grid=4)
+    groups = packing.plan_groups(hist, 1000)
     got = Counter()
     for many, slots in groups:
         assert sum(n * k for n, k in slots) <= 1000

@@ -5,17 +5,22 @@ piece lengths (at most ``capacity`` numbers) reaches the driver.  There the
 configuration program (fewest sequences, each filled by one multiset of
 lengths) is solved by multiplicative weights: lengths still short of their
 demand get a high price and a knapsack dynamic program finds the best filled
-sequence at these prices.  The fractional solution is rounded down to whole
-sequences; what is left is placed best-fit decreasing into the gaps and into
-new sequences.  All of this works on groups of equal sequences, so its cost
-depends on the number of different lengths, never on the number of documents.
+sequence at these prices.  Lengths are exact while there are at most ``CLASSES``
+of them; beyond that, neighbouring lengths share a price and count as their
+longest.  The fractional solution is rounded down to whole sequences; what is
+left is placed best-fit decreasing into the gaps and into new sequences, and the
+program's plan is used unless best-fit decreasing alone needs fewer sequences.
+All of this works on groups of equal sequences, so its cost depends on the
+number of different lengths, never on the number of documents.
 
 Spark then ranks the pieces of each length (rank inside the tokenising task
 plus an offset per task) and every piece looks up its place in the plan, a
 table of a few thousand rows.
 
 Defined cases: null text is empty and gives one piece with the end token;
-repeated rows are packed separately; an empty table gives no rows.
+repeated rows are packed separately; pieces of one length take their places in
+the order of tasks, any order being as good; very long texts are cut into pieces
+like others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from . import common as c
 
 CAPACITY = 4096
 END_ID = 1
-GRID = 8              # lengths are priced in steps of this many tokens
+CLASSES = 512         # different prices; up to so many lengths are priced one by one
 ITERATIONS = 1500     # of the multiplicative-weights loop, at most
 _CACHE_RUNS = 800_000    # runs whose ids a worker remembers; full: forgotten and refilled
 
@@ -49,24 +54,18 @@ PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, part
 def best_configuration(price: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
     """Copies of each class (ascending ``size``) in the dearest filling of ``room``."""
     best = np.zeros(room + 1)
-    pick = np.full(room + 1, -1, dtype=np.int64)
-    fits = np.searchsorted(size, np.arange(room + 1), side="right")
-    for u in range(1, room + 1):
-        best[u] = best[u - 1]
-        k = fits[u]
-        if k:
-            value = best[u - size[:k]] + price[:k]
-            j = int(value.argmax())
-            if value[j] > best[u]:
-                best[u], pick[u] = value[j], j
+    for s, p in zip(size.tolist(), price.tolist()):
+        # 1, 2, 4, ... copies on top of each other: any number of them
+        while p > 0 and s <= room:
+            np.maximum(best[s:], best[:-s] + p, out=best[s:])
+            s, p = 2 * s, 2 * p
     copies = np.zeros(len(size), dtype=np.int64)
-    u = room
-    while u > 0:
-        if pick[u] < 0:
-            u -= 1
-        else:
-            copies[pick[u]] += 1
-            u -= size[pick[u]]
+    u = int(np.searchsorted(best, best[room] * (1 - 1e-12)))
+    while u > 0 and best[u] > 0:
+        k = int(np.searchsorted(size, u, side="right"))
+        j = int((best[u - size[:k]] + price[:k]).argmax())
+        copies[j] += 1
+        u -= int(size[j])
     return copies
 
 
@@ -91,19 +90,27 @@ def fractional_solution(size: np.ndarray, demand: np.ndarray, room: int,
     return sorted(((w, x) for w, x in out.values()), key=lambda t: (-t[0], t[1].tobytes()))
 
 
-def plan_groups(hist: dict[int, int], capacity: int, grid: int = GRID,
+def plan_groups(hist: dict[int, int], capacity: int, most_classes: int = CLASSES,
                 iterations: int = ITERATIONS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Groups of equal sequences: (how many, [(length, copies), ...])."""
+    """Groups of equal sequences: (how many, [(length, copies), ...]).
+
+    The plan of the configuration program, or that of best-fit decreasing alone
+    where it has fewer sequences."""
+    plan = _program(dict(hist), capacity, most_classes, iterations)
+    plain = [(m, slots) for m, _, slots in groups_best_fit([], {n: k for n, k in hist.items() if k > 0}, capacity)]
+    return min(plan, plain, key=lambda groups: sum(m for m, _ in groups))
+
+
+def _program(hist: dict[int, int], capacity: int, most_classes: int, iterations: int) -> list[tuple[int, list[tuple[int, int]]]]:
     left = {n: k for n, k in hist.items() if k > 0}
     groups: list[tuple[int, int, list[tuple[int, int]]]] = []        # (how many, gap, slots)
     if capacity in left:
         groups.append((left.pop(capacity), 0, [(capacity, 1)]))
     if left:
-        room = capacity // grid
-        classes: dict[int, list[int]] = {}
-        for n in sorted(left, reverse=True):
-            classes.setdefault(-(-n // grid), []).append(n)
-        classes = {k: v for k, v in classes.items() if k <= room}
+        room = capacity
+        # neighbouring lengths share a class, which counts as its longest
+        parts = np.array_split(np.array(sorted(left)), min(len(left), most_classes))
+        classes = {int(x[-1]): x[::-1].tolist() for x in parts}
         size = np.array(sorted(classes), dtype=np.int64)
         demand = np.array([sum(left[n] for n in classes[k]) for k in size], dtype=float)
         most = min(iterations, 50 + 4 * int(sum(demand)))
@@ -256,10 +263,11 @@ class RunIds:
         later, new = [], set()
         for i, t in enumerate(texts):
             s = t.decode("utf-8")
-            if self._OTHER.search(s):
+            low = s.lower()
+            if self._OTHER.search(low):         # of some letters only the small form lies beyond the blocks
                 out[i] = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
                 continue
-            runs = self._RUNS.findall(s.lower())
+            runs = self._RUNS.findall(low)
             ids = list(map(self.known.get, runs))
             if None in ids:
                 later.append((i, runs))
@@ -314,13 +322,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-         grid: int = GRID, keep_ids: bool = False) -> DataFrame:
+         keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset (and ids when asked for)."""
     rows = c.materialize(pieces(docs, tokenizer_path, capacity, end_id, keep_ids), "pack-pieces")
     per_task = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     hist = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    place = docs.sparkSession.sparkContext.broadcast(place_table(plan_groups(hist, capacity, grid)))
+    place = docs.sparkSession.sparkContext.broadcast(place_table(plan_groups(hist, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = rows.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
