@@ -201,11 +201,38 @@ def texts_of(spark, pages):
 
 
 def test_html_classes_choose_the_text(spark):
-    # names say the opposite of what varies; the host's own lines come back on every page
+    # names say the opposite of what varies; lines inside the extracted element stay, on any number of pages
     page = ("<body><article><p>About this site, its owners and its long history since the first day</p></article>"
             "<div class=widget><h1>Title {0}</h1><p>Story {0} a</p><p>Story {0} b</p><p>Share this story</p></div></body>")
-    assert texts_of(spark, [page.format(i) for i in range(6)]) == [
-        f"Title {i}\nStory {i} a\nStory {i} b" for i in range(6)]
+    for n in (2, 4, 5, 6):
+        assert texts_of(spark, [page.format(i) for i in range(n)]) == [
+            f"Title {i}\nStory {i} a\nStory {i} b\nShare this story" for i in range(n)]
+
+
+def test_html_recurring_headings_stay_on_hosts_of_any_size(spark):
+    page = ("<body><div class=top>Site</div><div class=content><h1>Cake {0}</h1><h2>Ingredients</h2><p>flour {0}</p>"
+            "<h2>Method</h2><p>stir {0}</p></div></body>")
+    for n in (4, 5):
+        assert texts_of(spark, [page.format(i) for i in range(n)]) == [
+            f"Cake {i}\nIngredients\nflour {i}\nMethod\nstir {i}" for i in range(n)]
+
+
+def test_html_pages_of_open_tags_take_one_pass():
+    import time
+    begun = time.time()
+    for page in ("<a " * 300000, "<div>" * 150000, '<a "x>" ' * 100000, "<div>" * 80000 + "</x>" * 80000):
+        for _ in html_extract.events(page):
+            pass
+    assert time.time() - begun < 60
+    assert [t for k, _, t, *_ in html_extract.events('<p title="a>b">x</p><i q=">y<p>z') if k == "text"] == ["x", "y", "z"]
+
+
+def test_html_empty_table_and_clashing_columns(spark):
+    rows = [(i, "http://h/", f"<body><div><h1>T{i}</h1><p>a{i}</p></div></body>") for i in range(2)]
+    schema = "page_id long, url string, html string"
+    assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
+    wide = spark.createDataFrame(rows, schema).selectExpr("*", "'x' AS host", "1 AS members", "2 AS take", "3 AS token", "'y' AS text")
+    assert sorted(r["text"] for r in html_extract.extract(wide).collect()) == ["T0\na0", "T1\na1"]
 
 
 def test_html_classes_nest_by_order(spark):

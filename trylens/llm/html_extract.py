@@ -10,8 +10,8 @@ every page, when the class starts in one slot of the class around it; so they
 nest into the host's template, whose slots are the stretches between two tags
 of a class.  All text up to the next tag belongs to
 the slot, text of repeated elements included.  Texts that come back on the
-host's pages are template too.  The element around the slot with the most
-varying text outside links is extracted, and slots elsewhere with a fifth of
+host's pages do not count as varying.  The element around the slot with the most
+varying text outside links is extracted, with all of its text, and slots elsewhere with a fifth of
 that text.  Names of tags and classes do not choose among slots: they strike
 asides (navigation, notices, comments) unless that leaves next to nothing, and
 article and main stand in on a page that has no slot of its host's template.
@@ -23,8 +23,10 @@ bounded by a few pages' structure.
 
 Defined cases: null or empty html has empty text; a null url is host "";
 repeated pages each get their row; unclosed, crossed and unknown elements
-close with their parent, only an unclosed script or style runs to the end;
-texts are never cut.
+close with their parent, only an unclosed script or style runs to the end; from
+a tag on whose quotes do not close, tags end at the next ``>``; texts are never
+cut, and pages of any length take one pass; of equal slots the first by number
+is the article; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,13 +61,14 @@ _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|sidebar|"
     r"side-?bar|cookies?\w*|notice|consent|popup|modal|newsletter|subscribe|share|social|related|widget|comments?|"
     r"disqus|respond|login|search)(?:$|[\s_-])", re.I)
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _NAME = re.compile(r"\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
               "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+_PATH = 256            # characters of a path that is kept as it is
 MIN_SHARE = 0.5        # a template token is on at least this share of its host's pages
-MIN_TEXT_PAGES = 5     # pages of different content that show a text to be the host's own
 
 
 class Node:
@@ -78,40 +81,111 @@ class Node:
         # elements inside a hidden one are no blocks: they do not end a paragraph
         self.block = parent.block if parent and (tag in HIDDEN or parent.block is not parent) else self
         label = f"{tag}.{names}" if names else tag
-        self.path = f"{parent.path}/{label}" if parent else label
+        path = f"{parent.path}/{label}" if parent else label
+        # a deep element's path is a hash, so that paths stay short at any depth
+        self.path = path if len(path) <= _PATH else xxhash.xxh64_hexdigest(path)
         self.aside = bool(parent and parent.aside) or tag in ASIDE or tag == "head" \
             or bool(names and tag not in ("body", "html", "article", "main") and _ASIDE_NAME.search(names))
         self.main = bool(parent and parent.main) or tag in ("article", "main")
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing?, name, attributes) of every tag, in one pass; the
+    name is empty for comments and declarations.
+
+    A quoted value may hold ``>``.  From the first tag on whose quotes do not
+    close, tags end at the next ``>``, so no stretch is read again and again."""
+    at, loose = 0, False
+    while True:
+        i = page.find("<", at)
+        if i < 0:
+            return
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            at = len(page) if j < 0 else j + 3
+            yield i, at, False, "", ""
+            continue
+        if page.startswith(("<!", "<?"), i):
+            j = page.find(">", i + 2)
+            if j < 0:
+                return
+            at = j + 1
+            yield i, at, False, "", ""
+            continue
+        m = _OPEN.match(page, i)
+        if m is None:
+            at = i + 1
+            continue
+        j = -1 if loose else _end_of_tag(page, m.end())
+        if j < 0:
+            loose, j = True, page.find(">", m.end())
+            if j < 0:
+                return
+        at = j + 1
+        # what follows a skipped element is looked for behind it
+        skip = yield i, at, bool(m[1]), m[2].lower(), page[m.end():j]
+        if skip is not None:
+            at = skip
+            yield i, at, False, "", ""
+
+
+def _end_of_tag(page: str, at: int) -> int:
+    """Place of the ``>`` outside quotes from ``at`` on, -1 if there is none."""
+    while True:
+        m = _STOP.search(page, at)
+        if m is None or m[0] == ">":
+            return m.start() if m else -1
+        q = page.find(m[0], m.end())
+        if q < 0:
+            return -1
+        at = q + 1
+
+
+class Stack(list):
+    """Open elements, with a count by tag: whether one is open is one look."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.count: Counter = Counter([root.tag])
+
+    def append(self, node: Node) -> None:
+        super().append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, k: int) -> None:
+        """Close the elements from place ``k`` on."""
+        while len(self) > k:
+            self.count[super().pop().tag] -= 1
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open ``tag``, 0 if there is none."""
+        if not self.count[tag]:
+            return 0
+        return next((k for k in range(len(self) - 1, 0, -1) if self[k].tag == tag), 0)
+
+
 def walk(page: str) -> Iterator[tuple[str, Node, str, bool]]:
     """('open', node, '', False) for every block element and ('text', node,
     raw text, inside a link?) for text; ('br', ...) at block bounds."""
-    root = Node("#", None, "")
-    stack, links, at = [root], 0, 0
+    stack, links, at = Stack(Node("#", None, "")), 0, 0
     ends: dict[str, int] = {}                # last place of an end tag, for elements that need one
-    while True:
-        m = _PIECE.search(page, at)
-        if m is None:
-            if page[at:]:
-                yield "text", stack[-1], page[at:], links > 0
-            return
-        if m.start() > at:
-            yield "text", stack[-1], page[at:m.start()], links > 0
-        at = m.end()
-        tag = (m[2] or "").lower()
+    found = tags(page)
+    for start, stop, closing, tag, attributes in found:
+        if start > at:
+            yield "text", stack[-1], page[at:start], links > 0
+        at = stop
         if not tag:
             continue
-        closing = bool(m[1])
         if tag in RAW and not closing:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 end = None
                 if ends.get(tag) != -1:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if end:
                     at = end.end()
+                    found.send(at)
                 elif tag in ("script", "style"):
-                    at = len(page)
+                    return
                 else:
                     ends[tag] = -1
             continue
@@ -127,39 +201,40 @@ def walk(page: str) -> Iterator[tuple[str, Node, str, bool]]:
                 yield "text", stack[-1], " ", False
             continue
         if not closing and stack[-1].tag == "head" and tag not in VOID and tag not in HIDDEN:
-            stack.pop()                      # the end tag of head may be left out
-        if not closing and tag in ENDS_HIDDEN:
-            while stack[-1].block is not stack[-1] and not any(x.tag in ("noscript", "template") for x in stack):
-                stack.pop()
+            stack.cut(len(stack) - 1)        # the end tag of head may be left out
+        if not closing and tag in ENDS_HIDDEN and not stack.count["noscript"] and not stack.count["template"]:
+            while stack[-1].block is not stack[-1]:
+                stack.cut(len(stack) - 1)
         if tag in HIDDEN or stack[-1].block is not stack[-1]:
             if not closing:
                 while tag in ("option", "optgroup") and stack[-1].tag == "option":
-                    stack.pop()
-                if tag not in VOID and not m[3].endswith("/"):
+                    stack.cut(len(stack) - 1)
+                if tag not in VOID and not attributes.endswith("/"):
                     stack.append(Node(tag, stack[-1], ""))
                 continue
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            k = stack.last(tag)
             if not k or stack[k].block is not stack[k]:
                 if k:
-                    del stack[k:]
+                    stack.cut(k)
                 continue
         yield "br", stack[-1], "", False
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    links = 0
-                    break
+            k = stack.last(tag)
+            if k:
+                stack.cut(k)
+                links = 0
             continue
         if stack[-1].tag == "p":                      # a block element ends an open paragraph
-            stack.pop()
+            stack.cut(len(stack) - 1)
         while len(stack) > 1 and stack[-1].tag in _CLOSED_BY.get(tag, ()):
-            stack.pop()
-        names = " ".join(sorted({w for x in _NAME.findall(m[3]) for w in (x[1] or x[2] or x[3]).split()}))
+            stack.cut(len(stack) - 1)
+        names = " ".join(sorted({w for x in _NAME.findall(attributes) for w in (x[1] or x[2] or x[3]).split()}))
         node = Node(tag, stack[-1], names)
         yield "open", node, "", False
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+    if page[at:]:
+        yield "text", stack[-1], page[at:], links > 0
 
 
 @lru_cache(maxsize=1 << 16)
@@ -256,14 +331,12 @@ def candidates(tokens: DataFrame, hosts: DataFrame) -> DataFrame:
 
     Elements occur once on each page that has them and, as texts, on at least
     ``MIN_SHARE`` of the host's pages; at most a few pages' worth of tokens
-    passes, so the list is bounded.  ``fixed`` texts are known as the host's
-    own from ``MIN_TEXT_PAGES`` pages of different content."""
+    passes, so the list is bounded."""
     seen = F.bit_count("seen")
     x = tokens.join(hosts, "host").where(
         (F.col("pages") >= F.col("host_pages") * MIN_SHARE)
         & F.when(F.col("is_text"), seen >= 2).otherwise(F.col("n") == F.col("pages")))
-    return x.groupBy("host").agg(F.collect_list(F.struct(
-        "token", "vector", "is_text", (seen >= MIN_TEXT_PAGES).alias("fixed"))).alias("members"))
+    return x.groupBy("host").agg(F.collect_list(F.struct("token", "vector", "is_text")).alias("members"))
 
 
 class Template:
@@ -277,7 +350,7 @@ class Template:
     def __init__(self, members: list[dict]):
         self.cls = {m["token"]: m["vector"] for m in members if not m["is_text"]}
         self.size = Counter(self.cls.values())
-        self.texts = {m["token"]: m["fixed"] for m in members if m["is_text"]}
+        self.texts = {m["token"] for m in members if m["is_text"]}
 
     def run(self, page: str) -> Iterator[tuple]:
         """('tag', slot it starts, class, slot around a class that starts here
@@ -427,10 +500,10 @@ def templates(plan: DataFrame, measures: DataFrame) -> DataFrame:
             for host, members, rows in zip(*(x.to_pylist() for x in c.columns(b, ["host", "members", "rows"]))):
                 tokens, take, asides = choose(members or [], rows)
                 keep = set(tokens)
-                left = [m for m in members or [] if m["token"] in keep or (m["is_text"] and m["fixed"])]
+                left = [m for m in members or [] if m["token"] in keep]
                 out.append((host, left, take, asides))
             hosts, left, take, asides = list(zip(*out)) or [[]] * 4
-            member = pa.struct([("token", pa.int64()), ("vector", pa.int64()), ("is_text", pa.bool_()), ("fixed", pa.bool_())])
+            member = pa.struct([("token", pa.int64()), ("vector", pa.int64()), ("is_text", pa.bool_())])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(left, pa.list_(member)),
                  pa.array(take, pa.list_(pa.int64())), pa.array(asides, pa.bool_())],
@@ -438,18 +511,16 @@ def templates(plan: DataFrame, measures: DataFrame) -> DataFrame:
 
     rows = measures.groupBy("host").agg(F.collect_list(F.struct(*[x for x in measures.columns if x != "host"])).alias("rows"))
     return rows.join(plan, "host", "left").select("host", "members", "rows").mapInArrow(
-        run, "host string, members array<struct<token:long,vector:long,is_text:boolean,fixed:boolean>>, "
+        run, "host string, members array<struct<token:long,vector:long,is_text:boolean>>, "
              "take array<long>, asides boolean")
 
 
 def main_text(page: str, template: Template, take: set[int], asides: bool) -> str:
     """Text blocks of the page's extracted slots, one per line, without the
-    asides in them (notices, forms, comments) and the host's own texts.
+    asides in them (notices, forms, comments).
 
-    A page whose extracted slots hold nothing else gives the host's own texts
-    in them; one that has no such slot its own article, then its body."""
+    A page that has no such text gives its own article, else its body."""
     blocks: list[str] = []
-    fixed: list[str] = []
     main: list[str] = []
     wider: list[str] = []
     for e in template.run(page):
@@ -462,10 +533,8 @@ def main_text(page: str, template: Template, take: set[int], asides: bool) -> st
         if node.main:
             main.append(text)
         if slot in take:
-            fixed.append(text)
-            if _text_key(node, text) not in template.texts:
-                blocks.append(text)
-    return "\n".join(blocks or fixed or main or wider)
+            blocks.append(text)
+    return "\n".join(blocks or main or wider)
 
 
 def with_host(pages: DataFrame) -> DataFrame:
