@@ -62,3 +62,38 @@ def test_filters_reach_the_scan(spark):
     df = tables.read_feedback(spark, path).where(F.col("exception_predict") == "IOException").select("record_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(exception_predict), EqualTo(exception_predict,IOException)]" in plan
+
+
+def test_stream_leaves_no_stage_tables(spark, tmp_path):
+    """Tables that micro-batches write on their way are removed with the batch."""
+    import os
+    from trylens.operators.util import materialize, stage_scope
+    source, sink = shared_path(spark, "scoped-in"), shared_path(spark, "scoped-sink")
+    spark.range(90).repartition(3).write.parquet(source)
+    root = os.path.dirname(sink).removeprefix("file:")
+
+    def staged():
+        return {d for d in os.listdir(root) if d.startswith("leftover-")}
+    R.stream_to_sink(spark, source, spark.read.parquet(source).schema, sink, max_files=1,
+                     transform=lambda b: materialize(materialize(b, "leftover-a").where("id % 2 = 0"), "leftover-b"))
+    assert spark.read.parquet(sink).count() == 45 and not staged()
+    with stage_scope(spark):
+        materialize(spark.range(3), "leftover-c")
+        assert len(staged()) == 1
+    assert not staged()
+    materialize(spark.range(3), "leftover-d")
+    assert len(staged()) == 1
+
+
+def test_prepared_model_scores_alike(spark):
+    import pytest
+    from trylens.operators import models as M
+    docs = spark.createDataFrame([(1, 0, ["a", "b", "a"]), (2, 1, ["b", "c"]), (3, 1, []), (4, 0, None), (5, 2, None)],
+                                 "id int, label int, tokens array<string>")
+    model = M.fit_naive_bayes(docs)
+    a = M.class_scores(docs, model).collect()
+    assert sorted(map(str, a)) == sorted(map(str, M.class_scores(docs, M.prepare_model(model, write=True)).collect()))
+    assert {r["class_id"] for r in model.collect()} == {0, 1, 2}
+    many = spark.range(M.MAX_CLASSES + 1).selectExpr("cast(id AS int) AS label", "array('x') AS tokens")
+    with pytest.raises(ValueError):
+        M.fit_naive_bayes(many)

@@ -63,10 +63,5 @@ def comma_list(arr: Column) -> Column:
     return F.array_join(arr.cast("array<string>"), ",")
 
 
-def sorted_by_position(collected: Column, field: str) -> Column:
-    """Values of ``field`` from a ``collect_list(struct(pos, ...))`` in pos order."""
-    return F.transform(F.array_sort(collected), lambda s: s[field])
-
-
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)

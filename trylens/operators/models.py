@@ -15,10 +15,13 @@ Scores are rounded to 6 digits before the argmax; ties go to the lower class.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHA = 1.0
+MAX_CLASSES = 1000        # a class table beyond this is refused, not broadcast
 
 
 def prefixed_tokens(*parts: tuple[str, Column]) -> Column:
@@ -34,21 +37,26 @@ def fit_naive_bayes(docs: DataFrame, label: str = "label", tokens: str = "tokens
     class's prior and unseen log likelihood repeated on each row.  A class
     whose documents hold no tokens has one row, without token, for its prior.
 
-    Two scalars (vocabulary size, document count) are computed as actions;
-    the per-class table has one row per class and is broadcast.
+    One pass over ``docs``: every document counts as one marker row beside its
+    tokens.  The vocabulary size is computed as an action; the per-class table
+    has one row per class and is broadcast after a check of its rows.
     """
     from .util import materialize
-    tok = docs.select(F.col(label).alias("class_id"), F.explode(tokens).alias("token"))
-    # written once: both the vocabulary size and the model read the counts
-    counts = materialize(tok.groupBy("class_id", "token").agg(F.count("*").alias("n")), "nb_counts")
+    one = lambda is_doc, t: F.struct(F.lit(is_doc).alias("doc"), t.alias("token"))
+    marked = F.concat(F.array(one(True, F.lit(None).cast("string"))),
+                      F.coalesce(F.transform(tokens, lambda t: one(False, t)), F.array().cast("array<struct<doc:boolean,token:string>>")))
+    rows = docs.select(F.col(label).alias("class_id"), F.explode(marked).alias("z")).select("class_id", "z.doc", "z.token")
+    seen = materialize(rows.groupBy("class_id", "doc", "token").agg(F.count("*").alias("n")), "nb_counts")
+    counts = seen.where("not doc").select("class_id", "token", "n")
     v = counts.select("token").distinct().count()
     totals = counts.groupBy("class_id").agg(F.sum("n").alias("n_c"))
-    docs_per = docs.groupBy(F.col(label).alias("class_id")).agg(F.count("*").alias("d_c"))
+    docs_per = seen.where("doc").select("class_id", F.col("n").alias("d_c"))
     n_docs = F.sum("d_c").over(Window.partitionBy(F.lit(0)))   # over the class table only
     n_c = F.coalesce("n_c", F.lit(0))
     classes = materialize(docs_per.join(totals, "class_id", "left").select(
         "class_id", n_c.alias("n_c"), F.log(F.col("d_c") / n_docs).alias("prior"),
         F.log(F.lit(alpha) / (n_c + F.lit(alpha * v))).alias("unseen")), "nb_classes")
+    _check_classes(classes.limit(MAX_CLASSES + 1).count())
     bare = classes.where("n_c = 0").select("class_id", F.lit(None).cast("string").alias("token"),
                                            F.lit(None).cast("double").alias("log_lik"), "prior", "unseen")
     return counts.join(F.broadcast(classes), "class_id").select(
@@ -67,19 +75,42 @@ def _token_join(occ: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return o.join(table.withColumnRenamed("token", "_tok"), F.col("_j") == F.col("_tok"), "left").drop("_j", "_tok")
 
 
-def class_scores(docs: DataFrame, model: DataFrame, key: str = "id", tokens: str = "tokens") -> DataFrame:
-    """L2/L4 score: (key, scores array<struct<class_id, score>>, class_id = argmax).
+def _check_classes(n: int) -> None:
+    if n > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
 
-    The model is pivoted to one row per token with a column per class, so a
-    token occurrence stays one row through the join and one aggregation per key
-    sums all classes.  The class table is bounded by the label map, so it is a
-    literal array; every class score and the argmax are computed inside the row
-    (lower class id wins ties).
-    """
-    classes = model.select("class_id", "prior", "unseen").distinct().orderBy("class_id").collect()
+
+@dataclass(frozen=True)
+class PreparedModel:
+    """A model ready to score: its classes, and one row per token with a column
+    per class.  Prepared once, it serves any number of batches."""
+    classes: tuple
+    wide: DataFrame
+
+
+def prepare_model(model: DataFrame, write: bool = False) -> PreparedModel:
+    """The pivoted form of a fitted model; ``write``: kept as a table, for use in
+    several jobs.  At most ``MAX_CLASSES`` rows of classes reach the driver."""
+    from .util import materialize
+    classes = model.select("class_id", "prior", "unseen").distinct().orderBy("class_id").limit(MAX_CLASSES + 1).collect()
+    _check_classes(len(classes))
     wide = model.groupBy("token").agg(F.lit(1).alias("known"), *[
         F.sum(F.when(F.col("class_id") == r["class_id"], F.col("log_lik") - F.col("unseen"))).alias(f"d{k}")
         for k, r in enumerate(classes)])
+    return PreparedModel(tuple(classes), materialize(wide, "nb_wide") if write else wide)
+
+
+def class_scores(docs: DataFrame, model: DataFrame | PreparedModel, key: str = "id", tokens: str = "tokens") -> DataFrame:
+    """L2/L4 score: (key, scores array<struct<class_id, score>>, class_id = argmax).
+
+    The model is pivoted to one row per token with a column per class
+    (``prepare_model``), so a token occurrence stays one row through the join and
+    one aggregation per key sums all classes.  The classes are a literal array;
+    every class score and the argmax are computed inside the row (lower class id
+    wins ties).
+    """
+    prepared = model if isinstance(model, PreparedModel) else prepare_model(model)
+    classes, wide = prepared.classes, prepared.wide
     occ = docs.select(key, F.explode_outer(tokens).alias("token"))
     j = _token_join(occ, wide, key)
     per_key = j.groupBy(key).agg(F.count("known").alias("n_known"), *[

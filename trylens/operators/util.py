@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_scopes = threading.local()         # a stack of lists of written paths
+
 
 def with_position(df: DataFrame, order: list[Column | str], name: str = "pos") -> DataFrame:
     """Attach a 0-based global position in ``order`` without a one-partition window.
@@ -38,10 +44,29 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     from ..session import shared_path
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``materialize`` writes inside the block (in this
+    thread) when it ends.  Results must be written elsewhere before that."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.open.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def running_sum(df: DataFrame, part: str, order: str, value: Column | str, out: str,
                 chunk: int = 4096) -> DataFrame:
     """Inclusive running sum of ``value`` per ``part`` in ``order`` (an integer

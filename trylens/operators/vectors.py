@@ -16,12 +16,6 @@ def mean_pool_vectors(df: DataFrame, group: str, vec: str) -> DataFrame:
     return x.groupBy(group, "dim").agg(F.avg(F.col("_v").cast("double")).alias("value"))
 
 
-def as_vectors(long_df: DataFrame, group: str) -> DataFrame:
-    """Long ``(group, dim, value)`` back to one ordered array per group."""
-    return long_df.groupBy(group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("vector"))
-
-
 def concat_feature_vectors(df: DataFrame, first: str, second: str, out: str = "features") -> DataFrame:
     """M3: one feature vector from two (before-try and in-try)."""
     return df.withColumn(out, F.concat(F.col(first), F.col(second)))

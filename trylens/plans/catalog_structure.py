@@ -56,7 +56,7 @@ _CUSTOM = (("word", ("try", "catch"), "Guard"), ("regex", r"^int\s", "Int"), ("w
     f"""SELECT method_id, line_no, CASE WHEN line_no = n THEN 'MethodDeclaration END' WHEN line_no = 1 THEN 'MethodDeclaration'
  WHEN w IN ('try', 'catch') THEN 'Guard' WHEN starts_with(s, 'int ') THEN 'Int' WHEN w IN ('for', 'if') AND s[-1] = '{{' THEN 'Head'
  WHEN contains(s, ' . ') THEN 'Call' END AS tag FROM (
- SELECT method_id, line_no, max(line_no) OVER (PARTITION BY method_id) AS n, s, regexp_extract(s, '^(\w+)', 1) AS w FROM (
+ SELECT method_id, line_no, max(line_no) OVER (PARTITION BY method_id) AS n, s, regexp_extract(s, '^(\\w+)', 1) AS w FROM (
   SELECT method_id, line_no, {X.strip("ltrim(trim(line), '} ')")} AS s FROM code_lines))""", "code_lines"))
 def tag_line_kind_by_rules(spark, sf_dir):
     """A1 with a rule table given as a DataFrame."""

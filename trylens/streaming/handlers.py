@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..operators.util import stage_scope
 from ..session import shared_path
 
 SUBMISSION_SCHEMA = T.StructType([
@@ -41,8 +42,10 @@ def stream_to_sink(spark: SparkSession, source: str, schema: T.StructType, sink:
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch) if transform is not None else batch
-        write_batch_idempotent(out, batch_id, sink)
+        # the tables a batch writes on its way are gone when the batch is
+        with stage_scope(spark):
+            out = transform(batch) if transform is not None else batch
+            write_batch_idempotent(out, batch_id, sink)
 
     q = (stream.writeStream.foreachBatch(each)
          .option("checkpointLocation", shared_path(spark, f"{name}-checkpoint"))
@@ -63,12 +66,16 @@ def stream_feedback_sink(spark: SparkSession, records: DataFrame) -> str:
 
 def stream_predict_handlers(spark: SparkSession, submissions: DataFrame, line_model: DataFrame,
                             type_model: DataFrame, label_map: DataFrame) -> str:
-    """Replies for submissions arriving as files; returns the sink path."""
+    """Replies for submissions arriving as files; returns the sink path.
+
+    The models are pivoted and written once, before the first batch."""
+    from ..operators.models import prepare_model
     from ..plans.flows import predict_handlers
+    lines, types = prepare_model(line_model, write=True), prepare_model(type_model, write=True)
     source = shared_path(spark, "submissions-in")
     submissions.write.parquet(source)
     sink = shared_path(spark, "replies-sink")
     stream_to_sink(spark, source, SUBMISSION_SCHEMA, sink,
-                   transform=lambda b: predict_handlers(b, line_model, type_model, label_map),
+                   transform=lambda b: predict_handlers(b, lines, types, label_map),
                    name="replies")
     return sink
