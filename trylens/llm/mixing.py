@@ -4,7 +4,8 @@ Everything is DataFrame expressions.  Every document gets a 60-bit hash of its
 id; a source takes the documents below a threshold.  The threshold is found
 from a histogram of words per (source, 12-bit hash prefix): whole buckets are
 taken while they fit the budget, and only the rows of the one boundary bucket
-per source are looked at again with the next 12 bits.  No rows are sorted.
+per source are looked at again with the next 12 bits, and of that bucket with
+the rest.  No rows are sorted.
 
 The document at a threshold does not fit what is left of the budget.  It is left
 out and the search goes on behind it, among the documents no larger than what is
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, materialize
 
-BITS = 12      # of the hash per histogram level
-LEVELS = 5     # 60 bits in all
-PASSES = 4     # thresholds of a source, each for what the one before it left over
+# Hash bits below a bucket of each histogram: buckets of 12 bits, of 24 bits, and
+# of all 60 for the few documents of one 24-bit bucket.
+SHIFTS = (48, 36, 0)
+PASSES = 3     # thresholds of a source, each for what the one before it left over
 
 
 def _same_source(a: DataFrame, b: DataFrame, extra=None):
@@ -74,7 +76,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: i
 def _boundary(rows: DataFrame, goals: DataFrame, level: int) -> DataFrame:
     """Per source, the bucket of this level whose words cross the budget:
     (source, cut = its first hash, left = budget that remains inside it, words)."""
-    shift = BITS * (LEVELS - 1 - level)
+    shift = SHIFTS[level]
     hist = (rows.withColumn("bucket", F.shiftright(F.col("u"), shift))
                 .groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -90,12 +92,11 @@ def _threshold(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """Per source whose ``rows`` exceed its budget ``left``: the hash at which they
     do, the budget that remains before it, and the words at it."""
     inside, need = rows, goals
-    for level in range(LEVELS):
+    for level, shift in enumerate(SHIFTS):
         need = materialize(_boundary(inside, need, level), "mix-cut")
-        if level == LEVELS - 1:
+        if not shift:
             return need
         edge = need.select(F.col("source").alias("c_source"), "cut")
-        shift = BITS * (LEVELS - 1 - level)
         inside = materialize(
             inside.join(edge, F.col("source").eqNullSafe(F.col("c_source"))
                         & (F.shiftright(F.col("u"), shift) == F.shiftright(F.col("cut"), shift)))
