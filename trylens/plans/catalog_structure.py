@@ -12,19 +12,26 @@ from .oracle import with_fixtures
 from .registry import query
 
 
+# The line kinds written out for SQL: first word, words in front of a brace, and
+# what a declaration and an assignment look like.
+_FIRST_WORD = {"if": "IfStatement", "for": "ForStatement", "while": "WhileStatement", "do": "DoStatement",
+               "switch": "SwitchStatement", "case": "SwitchStatementCase", "default": "SwitchStatementCase",
+               "return": "ReturnStatement", "throw": "ThrowStatement", "break": "BreakStatement",
+               "continue": "ContinueStatement", "synchronized": "SynchronizedStatement"}
+
+
 def _tag_case(line: str, line_no: str, n: str) -> str:
     s = X.strip(f"regexp_replace({X.strip(line)}, '^(\\}}\\s*)+', '')")
-    w = f"regexp_extract({s}, '^(\\w+)', 1)"
-    parts = [f"WHEN {line_no} = {n} THEN 'MethodDeclaration END'", f"WHEN {line_no} = 1 THEN 'MethodDeclaration'"]
-    for kind, arg, tag in A.LINE_KIND_RULES:
-        if kind in ("word", "word{"):
-            test = f"{w} IN ({', '.join(repr(a) for a in arg)})" + (f" AND ends_with({s}, '{{')" if kind == "word{" else "")
-        elif kind == "regex":
-            test = f"regexp_matches({s}, '{arg}')"
-        else:
-            test = f"contains({s}, '{arg}')"
-        parts.append(f"WHEN {test} THEN '{tag}'")
-    return "(CASE " + " ".join(parts) + " END)"
+    w = f"regexp_extract({s}, '^[0-9A-Za-z_]+')"
+    words = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FIRST_WORD.items())
+    return (f"(CASE WHEN {line_no} = {n} THEN 'MethodDeclaration END' WHEN {line_no} = 1 THEN 'MethodDeclaration' "
+            f"WHEN {w} = 'try' THEN 'TryStatement' WHEN {w} = 'catch' THEN 'CatchClause' "
+            f"WHEN right({s}, 1) = '{{' AND {w} IN ('else', 'if', 'for', 'while', 'do') THEN 'BlockStatement' "
+            f"WHEN {w} IN ({', '.join(repr(k) for k in _FIRST_WORD)}) THEN CASE {w} {words} END "
+            f"WHEN regexp_matches({s}, '^(?:final\\s+)?[A-Za-z_][0-9A-Za-z_.]*(?:\\s*<[^=;]*>)?(?:\\s*\\[\\s*\\])*\\s+[A-Za-z_][0-9A-Za-z_]*\\s*[=;,]') "
+            "THEN 'LocalVariableDeclaration' "
+            f"WHEN regexp_matches(replace(replace(replace(replace(replace({s}, '===', 'ee'), '==', 'ee'), '!=', 'ne'), '<=', 'le'), '>=', 'ge'), '=') "
+            f"THEN 'Assignment' WHEN strpos({s}, '(') > 0 THEN 'MethodInvocation' END)")
 
 
 _D_TAGGED = ("d_tagged", f"SELECT method_id, line_no, split, line, label, "

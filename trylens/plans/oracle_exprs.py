@@ -118,13 +118,14 @@ def iv_text(x: str) -> str:
 
 def structural_stream(code: str) -> str:
     """A4 in DuckDB: token regex, per-token rules with neighbours, flatten, P9."""
-    from ..operators.structure import STRUCT_KEYWORDS, _CONTROL, _TOKEN_RE
-    toks = f"regexp_extract_all({code}, '{_TOKEN_RE}')"
+    keywords = {"try": "TRY", "catch": "CatchClause", "return": "RETURN", "else": "ELSE", "throws": "throws"}
+    control = "'if', 'for', 'while', 'switch', 'catch', 'synchronized', 'return', 'new', 'throw'"
+    single = r"\]\[{}();,.="
+    toks = f"regexp_extract_all({code}, '\"[^\"]*\"|[0-9A-Za-z_]+|[{single}]|[^\\s0-9A-Za-z_\"{single}]+')"
     prev = "(CASE WHEN i > 1 THEN tl[i - 1] ELSE '' END)"
     prev2 = "(CASE WHEN i > 2 THEN tl[i - 2] ELSE '' END)"
     nxt = "coalesce(tl[i + 1], '')"
-    kw = " ".join(f"WHEN tk = '{k}' THEN ['{m}']" for k, m in STRUCT_KEYWORDS.items())
-    control = ", ".join(f"'{c}'" for c in _CONTROL)
+    kw = " ".join(f"WHEN tk = '{k}' THEN ['{m}']" for k, m in keywords.items())
     rule = (f"CASE {kw} "
             "WHEN starts_with(tk, '\"') THEN list_filter(string_split(replace(tk, '\"', ''), ' '), lambda w: w <> '') "
             f"WHEN {is_ident('tk')} AND {nxt} = '(' AND tk NOT IN ({control}) THEN ['METHOD', 'INVOCATION', tk, 'arguments'] "

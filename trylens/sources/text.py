@@ -112,14 +112,19 @@ def read_nonblank_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_label_map(spark: SparkSession, path: str, int_values: bool = True) -> DataFrame:
     """``key:value`` lines -> (name, value); blanks skipped; a repeated key
-    keeps its last value; a line without exactly one ``:`` is an error."""
-    x = read_nonblank_lines(spark, path).withColumn("_kv", F.split("line", ":", -1))
-    checked = x.select("pos", F.when(F.assert_true(F.size("_kv") == 2, F.lit("label map line needs key:value"))
-                                     .isNull(), F.col("_kv")).alias("_kv"))
+    keeps its last value; a line without exactly one ``:`` is an error.
+
+    A label map is a small file, so each file is read as one row and its lines
+    are numbered there; several files follow each other by name."""
+    whole = spark.read.option("wholetext", True).text(path)
+    lines = whole.select(F.col("_metadata.file_path").alias("_f"), F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("_i", "_l"))
+    x = lines.withColumn("_l", py_strip(F.col("_l"))).where("_l <> ''").withColumn("_kv", F.split("_l", ":", -1))
+    whole_key = F.assert_true(F.size("_kv") == 2, F.lit("label map line needs key:value"))
+    x = x.select(F.struct("_f", "_i").alias("pos"), F.when(whole_key.isNull(), F.col("_kv")).alias("_kv"))
     value = F.col("_kv")[1]
     value = F.trim(value).cast("int") if int_values else value
-    kv = checked.select("pos", F.col("_kv")[0].alias("name"), value.alias("value"))
-    return kv.groupBy("name").agg(F.max_by("value", "pos").alias("value"))
+    return x.select("pos", F.col("_kv")[0].alias("name"), value.alias("value")) \
+            .groupBy("name").agg(F.max_by("value", "pos").alias("value"))
 
 
 def read_hash_records(spark: SparkSession, path: str) -> DataFrame:
