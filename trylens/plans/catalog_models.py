@@ -79,7 +79,7 @@ def fit_exception_classifier(spark, sf_dir):
     "methods", "class_map", ctes=(_T2_MARK, _DOCS) + _nb_model_ctes("d_docs", "label", "split = 'train'")
     + _nb_score_ctes("d_docs", "method_id", "split = 'test'")))
 def score_exception_type(spark, sf_dir):
-    docs = materialize(type_docs(spark, sf_dir))
+    docs = type_docs(spark, sf_dir)          # each split is parsed once: the fit reads its documents once
     model = materialize(M.fit_naive_bayes(docs.where(F.col("split") == "train")))
     best = M.class_scores(docs.where(F.col("split") == "test"), model, key="method_id").select("method_id", "class_id")
     return L.decode_class(best, fx.class_map(spark)).select("method_id", "class_id", "exception")
@@ -111,7 +111,7 @@ def fit_line_classifier(spark, sf_dir):
     "code_lines", ctes=(_D_TAGGED, _LINE_DOCS) + _nb_model_ctes("d_ldocs", "label", "split = 'train'")
     + _nb_score_ctes("d_ldocs", "line_key", "split = 'test'")))
 def score_lines(spark, sf_dir):
-    docs = materialize(line_docs(spark, sf_dir))
+    docs = line_docs(spark, sf_dir)
     model = materialize(M.fit_naive_bayes(docs.where(F.col("split") == "train")))
     test = docs.where(F.col("split") == "test")
     best = M.class_scores(test, model, key="line_key")

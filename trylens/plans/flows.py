@@ -113,10 +113,10 @@ def fit_handler_models(methods: DataFrame, label_map: DataFrame):
     """Line model (L3) and type model (L1) from the training split."""
     from ..operators import models as M
     from ..operators.util import materialize
-    lines = materialize(line_feature_docs(methods.where(F.col("split") == "train")))
-    line_model = materialize(M.fit_naive_bayes(lines))
-    types = materialize(ast_type_docs(methods, label_map).where(F.col("split") == "train"))
-    type_model = materialize(M.fit_naive_bayes(types))
+    train = methods.where(F.col("split") == "train")
+    # a fit reads its documents once, so they are not written
+    line_model = materialize(M.fit_naive_bayes(line_feature_docs(train)))
+    type_model = materialize(M.fit_naive_bayes(ast_type_docs(train, label_map)))
     return line_model, type_model
 
 
