@@ -67,21 +67,23 @@ def test_filters_reach_the_scan(spark):
 def test_stream_leaves_no_stage_tables(spark, tmp_path):
     """Tables that micro-batches write on their way are removed with the batch."""
     import os
+    import uuid
     from trylens.operators.util import materialize, stage_scope
     source, sink = shared_path(spark, "scoped-in"), shared_path(spark, "scoped-sink")
     spark.range(90).repartition(3).write.parquet(source)
     root = os.path.dirname(sink).removeprefix("file:")
+    own = f"leftover-{uuid.uuid4().hex}"            # the root may hold tables of earlier runs
 
     def staged():
-        return {d for d in os.listdir(root) if d.startswith("leftover-")}
+        return {d for d in os.listdir(root) if d.startswith(own)}
     R.stream_to_sink(spark, source, spark.read.parquet(source).schema, sink, max_files=1,
-                     transform=lambda b: materialize(materialize(b, "leftover-a").where("id % 2 = 0"), "leftover-b"))
+                     transform=lambda b: materialize(materialize(b, own).where("id % 2 = 0"), own))
     assert spark.read.parquet(sink).count() == 45 and not staged()
     with stage_scope(spark):
-        materialize(spark.range(3), "leftover-c")
+        materialize(spark.range(3), own)
         assert len(staged()) == 1
     assert not staged()
-    materialize(spark.range(3), "leftover-d")
+    materialize(spark.range(3), own)
     assert len(staged()) == 1
 
 
