@@ -83,3 +83,37 @@ def test_methods_by_row_and_by_line_agree(spark):
     want = [(1, 1, 2, 4, 3), (1, 2, 6, 9, 4), (4, 1, 2, 2, 1)]
     for got in (by_row, A.extract_methods(lines)):
         assert sorted(tuple(r) for r in got.select("file_id", "method_no", "start_line", "end_line", "n_lines").collect()) == want
+
+
+def test_depth_of_a_source_is_worked_out_once_per_side(spark):
+    """The filter moves below the text's projection; it must not multiply the lexer."""
+    from trylens.operators import source_tree as S
+    files = spark.createDataFrame([(1, ["a {", "}"]), (2, ["a {"]), (3, ["}"]), (4, [" "]), (5, None)], "k int, x array<string>") \
+        .select("k", F.array_join("x", "\n").alias("src"))
+    kept, aside = S.split_parsed_sources(files)
+    assert [r["k"] for r in kept.select("k").collect()] == [1]
+    assert {r["k"]: r["reason"] for r in aside.collect()} == {
+        2: "unclosed braces", 3: "closing braces without an opening one", 4: "empty", 5: "empty"}
+    plan = kept.select("k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") == 1 and plan.count("regexp_extract_all") == 1
+
+
+def test_folds_go_through_their_own_tokens_alone(spark):
+    """Depth, markers and statements as of a fold over all tokens."""
+    from trylens.functions import folds
+    rows = [("a", ["x", "{", '"', "}", "'", '"', "try", "}", "(", ";", ")", ";", "}"]), ("b", []), ("c", ["try", '"', "try", ";"])]
+    df = spark.createDataFrame(rows, "k string, t array<string>")
+    got = {r["k"]: (r["d"], r["m"], [(z["s"], z["e"]) for z in r["s"]]) for r in df.select(
+        "k", folds.brace_depth(F.col("t")).alias("d"), folds.last_marker_index(F.col("t"), "try").alias("m"),
+        folds.segment_statements(F.col("t")).alias("s")).collect()}
+    assert got == {"a": (-1, 6, [(0, 1), (2, 7), (8, 11), (12, 12)]), "b": (0, -1, []), "c": (0, 0, [])}
+
+
+def test_white_space_and_newlines_cost_no_regex_or_table_per_character(spark):
+    from trylens.functions.lexer import _newlines
+    from trylens.functions.text import py_split, py_strip
+    df = spark.createDataFrame([(" 　a\n bé \x1f",)], "t string")
+    x = df.select(py_strip(F.col("t")).alias("s"), py_split(F.col("t")).alias("w"), _newlines(F.col("t")).alias("n"))
+    assert tuple(x.first()) == ("a\n bé", ["a", "bé"], 1)
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "translate" not in plan and "split(" not in plan

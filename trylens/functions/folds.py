@@ -47,20 +47,25 @@ def _next_quote(q: Column, t: Column) -> Column:
             .otherwise(q))
 
 
-def last_marker_index(tokens: Column, marker: str) -> Column:
-    """0-based index of the last ``marker`` outside quotes; -1 if none.
+def _events(tokens: Column, words: tuple[str, ...]) -> Column:
+    """array<struct<t, i>>: the tokens among ``words`` with their 0-based index.
 
-    The running index is part of the fold state (no indexed copy of the array)."""
-    init = F.struct(F.lit("").alias("q"), F.lit(-1).alias("idx"), F.lit(0).alias("i"))
+    A fold whose state only these change goes through them alone."""
+    return F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(*words), F.struct(t.alias("t"), i.alias("i")))),
+                    lambda z: z.isNotNull())
 
-    def step(acc, t):
-        hit = (t == marker) & (acc["q"] == "")
+
+def last_marker_index(tokens: Column, marker: str) -> Column:
+    """0-based index of the last ``marker`` outside quotes; -1 if none."""
+    init = F.struct(F.lit("").alias("q"), F.lit(-1).alias("idx"))
+
+    def step(acc, z):
+        hit = (z["t"] == marker) & (acc["q"] == "")
         return F.struct(
-            F.when(hit, acc["q"]).otherwise(_next_quote(acc["q"], t)).alias("q"),
-            F.when(hit, acc["i"]).otherwise(acc["idx"]).alias("idx"),
-            (acc["i"] + 1).alias("i"))
+            F.when(hit, acc["q"]).otherwise(_next_quote(acc["q"], z["t"])).alias("q"),
+            F.when(hit, z["i"]).otherwise(acc["idx"]).alias("idx"))
 
-    return F.aggregate(tokens, init, step, lambda acc: acc["idx"])
+    return F.aggregate(_events(tokens, (marker, *QUOTES)), init, step, lambda acc: acc["idx"])
 
 
 def brace_depth(tokens: Column) -> Column:
@@ -72,7 +77,7 @@ def brace_depth(tokens: Column) -> Column:
         delta = (F.when(inside, 0).when(t == "{", 1).when(t == "}", -1).otherwise(0))
         return F.struct(_next_quote(acc["q"], t).alias("q"), (acc["d"] + delta).alias("d"))
 
-    return F.aggregate(tokens, init, step, lambda acc: acc["d"])
+    return F.aggregate(F.filter(tokens, lambda t: t.isin("{", "}", *QUOTES)), init, step, lambda acc: acc["d"])
 
 
 def segment_statements(tokens: Column) -> Column:
@@ -83,19 +88,18 @@ def segment_statements(tokens: Column) -> Column:
     ``)`` clears it.  A trailing run with no terminator is not a statement.
     """
     init = F.struct(F.lit("").alias("q"), F.lit(False).alias("par"),
-                    F.array().cast("array<int>").alias("ends"), F.lit(0).alias("i"))
+                    F.array().cast("array<int>").alias("ends"))
 
-    def step(acc, t):
-        q = acc["q"]
+    def step(acc, z):
+        q, t = acc["q"], z["t"]
         free = (~t.isin(*QUOTES)) & (q == "")
         close = free & t.isin(*TERMINATORS) & ~acc["par"]
         par = (F.when(close, acc["par"])
                .when(free & (t == "("), F.lit(True))
                .when(free & (t == ")"), F.lit(False))
                .otherwise(acc["par"]))
-        ends = F.when(close, F.concat(acc["ends"], F.array(acc["i"]))).otherwise(acc["ends"])
-        return F.struct(_next_quote(q, t).alias("q"), par.alias("par"), ends.alias("ends"),
-                        (acc["i"] + 1).alias("i"))
+        ends = F.when(close, F.concat(acc["ends"], F.array(z["i"]))).otherwise(acc["ends"])
+        return F.struct(_next_quote(q, t).alias("q"), par.alias("par"), ends.alias("ends"))
 
     def finish(acc):
         ends = acc["ends"]
@@ -103,7 +107,7 @@ def segment_statements(tokens: Column) -> Column:
             F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, k) + 1).alias("s"),
             e.alias("e")))
 
-    return F.aggregate(tokens, init, step, finish)
+    return F.aggregate(_events(tokens, (*QUOTES, *TERMINATORS, "(", ")")), init, step, finish)
 
 
 def slice_seeds(back: Column) -> Column:
