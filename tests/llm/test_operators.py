@@ -227,6 +227,31 @@ def test_html_pages_of_open_tags_take_one_pass():
     assert [t for k, _, t, *_ in html_extract.events('<p title="a>b">x</p><i q=">y<p>z') if k == "text"] == ["x", "y", "z"]
 
 
+def test_names_of_equal_tags_are_read_once(monkeypatch):
+    """Attributes and asides are looked up by their text, and a name with quotes stays one name."""
+    reads = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def findall(self, text):
+            reads.append(text)
+            return self.pattern.findall(text)
+
+        def search(self, text):
+            reads.append(text)
+            return self.pattern.search(text)
+    monkeypatch.setattr(html_extract, "_NAME", Counted(html_extract._NAME))
+    monkeypatch.setattr(html_extract, "_ASIDE_NAME", Counted(html_extract._ASIDE_NAME))
+    page = "<div class='once-only side'>a</div>\n" * 500 + "<div class='sidebar once-only'>b</div>"
+    got = [(e[2], e[1].path, e[1].aside) for e in html_extract.events(page) if e[0] == "text"]
+    assert got == [("a", "#/div.once-only side", False)] * 500 + [("b", "#/div.once-only sidebar", True)]
+    assert len(reads) <= 4
+    # a quote in a tag's name belongs to the name; its tags then end at the next >
+    assert [e[2] for e in html_extract.events("<p'x>a</p>") if e[0] == "text"] == ["a"]
+
+
 def test_html_empty_table_and_clashing_columns(spark):
     rows = [(i, "http://h/", f"<body><div><h1>T{i}</h1><p>a{i}</p></div></body>") for i in range(2)]
     schema = "page_id long, url string, html string"

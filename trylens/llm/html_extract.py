@@ -61,8 +61,9 @@ _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|sidebar|"
     r"side-?bar|cookies?\w*|notice|consent|popup|modal|newsletter|subscribe|share|social|related|widget|comments?|"
     r"disqus|respond|login|search)(?:$|[\s_-])", re.I)
-_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_STOP = re.compile("[>\"']")
+_OPEN = re.compile(r"<(/?+)([a-zA-Z][^\s/>]*+)")
+# a whole tag whose quotes close; possessive, so it is read once
+_TAG = re.compile(_OPEN.pattern + r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _NAME = re.compile(r"\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
               "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -71,6 +72,35 @@ _PATH = 256            # characters of a path that is kept as it is
 MIN_SHARE = 0.5        # a template token is on at least this share of its host's pages
 
 
+_SHORT = 256           # characters of attributes whose names are remembered
+
+
+@lru_cache(maxsize=1 << 14)
+def _short_names(attributes: str) -> str:
+    return " ".join(sorted({w for x in _NAME.findall(attributes) for w in (x[1] or x[2] or x[3]).split()}))
+
+
+def _names(attributes: str) -> str:
+    """The words of class and id, in order."""
+    if not attributes:
+        return ""
+    return (_short_names if len(attributes) <= _SHORT else _short_names.__wrapped__)(attributes)
+
+
+@lru_cache(maxsize=1 << 14)
+def _short_aside(names: str) -> bool:
+    return _ASIDE_NAME.search(names) is not None
+
+
+def _is_aside(names: str) -> bool:
+    return (_short_aside if len(names) <= _SHORT else _short_aside.__wrapped__)(names)
+
+
+@lru_cache(maxsize=64)
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 class Node:
     __slots__ = ("tag", "path", "aside", "main", "hidden", "block", "parent")
 
@@ -85,7 +115,7 @@ class Node:
         # a deep element's path is a hash, so that paths stay short at any depth
         self.path = path if len(path) <= _PATH else xxhash.xxh64_hexdigest(path)
         self.aside = bool(parent and parent.aside) or tag in ASIDE or tag == "head" \
-            or bool(names and tag not in ("body", "html", "article", "main") and _ASIDE_NAME.search(names))
+            or bool(names and tag not in ("body", "html", "article", "main") and _is_aside(names))
         self.main = bool(parent and parent.main) or tag in ("article", "main")
 
 
@@ -100,6 +130,14 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
         i = page.find("<", at)
         if i < 0:
             return
+        m = None if loose else _TAG.match(page, i)
+        if m is not None:
+            at = m.end()
+            skip = yield i, at, bool(m[1]), m[2].lower(), m[3]
+            if skip is not None:
+                at = skip
+                yield i, at, False, "", ""
+            continue
         if page.startswith("<!--", i):
             j = page.find("-->", i + 4)
             at = len(page) if j < 0 else j + 3
@@ -116,11 +154,9 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
         if m is None:
             at = i + 1
             continue
-        j = -1 if loose else _end_of_tag(page, m.end())
+        loose, j = True, page.find(">", m.end())
         if j < 0:
-            loose, j = True, page.find(">", m.end())
-            if j < 0:
-                return
+            return
         at = j + 1
         # what follows a skipped element is looked for behind it
         skip = yield i, at, bool(m[1]), m[2].lower(), page[m.end():j]
@@ -129,18 +165,6 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
             yield i, at, False, "", ""
 
 
-def _end_of_tag(page: str, at: int) -> int:
-    """Place of the ``>`` outside quotes from ``at`` on, -1 if there is none."""
-    while True:
-        m = _STOP.search(page, at)
-        if m is None or m[0] == ">":
-            return m.start() if m else -1
-        q = page.find(m[0], m.end())
-        if q < 0:
-            return -1
-        at = q + 1
-
-
 class Stack(list):
     """Open elements, with a count by tag: whether one is open is one look."""
 
@@ -166,7 +190,7 @@ class Stack(list):
 
 def walk(page: str) -> Iterator[tuple[str, Node, str, bool]]:
     """('open', node, '', False) for every block element and ('text', node,
-    raw text, inside a link?) for text; ('br', ...) at block bounds."""
+    raw text, inside a link?) for text; ('br', ...) where an end tag ends a block."""
     stack, links, at = Stack(Node("#", None, "")), 0, 0
     ends: dict[str, int] = {}                # last place of an end tag, for elements that need one
     found = tags(page)
@@ -176,11 +200,17 @@ def walk(page: str) -> Iterator[tuple[str, Node, str, bool]]:
         at = stop
         if not tag:
             continue
+        if tag in INLINE:
+            if tag == "a":
+                links = max(0, links - 1) if closing else 1
+            elif tag == "br":
+                yield "text", stack[-1], " ", False
+            continue
         if tag in RAW and not closing:
             if not attributes.endswith("/"):
                 end = None
                 if ends.get(tag) != -1:
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                    end = _end_tag(tag).search(page, at)
                 if end:
                     at = end.end()
                     found.send(at)
@@ -194,12 +224,6 @@ def walk(page: str) -> Iterator[tuple[str, Node, str, bool]]:
                 ends[tag] = max((e.start() for e in re.finditer(rf"</{tag}\s*>", page, re.I)), default=-1)
             if ends[tag] < at:               # never closed: the tag alone is left out
                 continue
-        if tag in INLINE:
-            if tag == "a":
-                links = max(0, links - 1) if closing else 1
-            elif tag == "br":
-                yield "text", stack[-1], " ", False
-            continue
         if not closing and stack[-1].tag == "head" and tag not in VOID and tag not in HIDDEN:
             stack.cut(len(stack) - 1)        # the end tag of head may be left out
         if not closing and tag in ENDS_HIDDEN and not stack.count["noscript"] and not stack.count["template"]:
@@ -217,8 +241,8 @@ def walk(page: str) -> Iterator[tuple[str, Node, str, bool]]:
                 if k:
                     stack.cut(k)
                 continue
-        yield "br", stack[-1], "", False
         if closing:
+            yield "br", stack[-1], "", False
             k = stack.last(tag)
             if k:
                 stack.cut(k)
@@ -228,8 +252,7 @@ def walk(page: str) -> Iterator[tuple[str, Node, str, bool]]:
             stack.cut(len(stack) - 1)
         while len(stack) > 1 and stack[-1].tag in _CLOSED_BY.get(tag, ()):
             stack.cut(len(stack) - 1)
-        names = " ".join(sorted({w for x in _NAME.findall(attributes) for w in (x[1] or x[2] or x[3]).split()}))
-        node = Node(tag, stack[-1], names)
+        node = Node(tag, stack[-1], _names(attributes))
         yield "open", node, "", False
         if tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
@@ -255,34 +278,43 @@ def events(page: str) -> Iterator[tuple[str, Node, str, int, int]]:
     plain = linked = 0
     at: Node | None = None
 
-    def back_to(node):
-        while stack and stack[-1] is not node:
-            yield "close", stack.pop(), "", 0, 0
-
     def block():
-        text = " ".join(entities.unescape("".join(parts)).split())
-        if text:
-            yield from back_to(at)
-            yield "text", at, text, plain, linked
+        return " ".join(entities.unescape("".join(parts)).split())
 
     for kind, node, text, in_link in walk(page):
         if kind == "text":
-            if not node.hidden:
+            # white space before a block's text is no part of it
+            if not node.hidden and (parts or not text.isspace()):
                 parts.append(text)
                 n = len("".join(text.split()))
-                plain, linked, at = plain + (0 if in_link else n), linked + (n if in_link else 0), node.block
+                if in_link:
+                    linked += n
+                else:
+                    plain += n
+                at = node.block
             continue
         if parts:
-            yield from block()
+            text = block()
+            if text:
+                while stack and stack[-1] is not at:
+                    yield "close", stack.pop(), "", 0, 0
+                yield "text", at, text, plain, linked
             parts.clear()
             plain = linked = 0
         if kind == "open":
-            yield from back_to(node.parent.block)
+            around = node.parent.block
+            while stack and stack[-1] is not around:
+                yield "close", stack.pop(), "", 0, 0
             stack.append(node)
             yield "open", node, "", 0, 0
     if parts:
-        yield from block()
-    yield from back_to(None)
+        text = block()
+        if text:
+            while stack and stack[-1] is not at:
+                yield "close", stack.pop(), "", 0, 0
+            yield "text", at, text, plain, linked
+    while stack:
+        yield "close", stack.pop(), "", 0, 0
 
 
 def page_tokens(page: str) -> dict[int, list]:
@@ -400,7 +432,8 @@ def slot_measures(pages: DataFrame, plan: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template] = {}
         for b in c.slices(batches, "html"):
-            hosts, texts, members = (x.to_pylist() for x in c.columns(b, ["host", "html", "members"]))
+            hosts, texts = (x.to_pylist() for x in c.columns(b, ["host", "html"]))
+            members, = c.columns(b, ["members"])
             if len(known) > 1000:
                 known.clear()
             sums: dict[tuple, list] = {}
@@ -412,9 +445,9 @@ def slot_measures(pages: DataFrame, plan: DataFrame) -> DataFrame:
                 else:
                     s[2], s[3] = min(s[2], at), max(s[3], at)
 
-            for host, page, m in zip(hosts, texts, members):
-                if host not in known:
-                    known[host] = Template(m or [])
+            for i, (host, page) in enumerate(zip(hosts, texts)):
+                if host not in known:            # the same on every page of a host
+                    known[host] = Template(members[i].as_py() or [])
                 t = known[host]
                 place: Counter = Counter()
                 add((host, 0, 0), 0, 0, 0)
@@ -554,13 +587,14 @@ def extract(pages: DataFrame) -> DataFrame:
         known: dict[str, tuple] = {}
         for b in c.slices(batches, "html"):
             ids, urls = c.columns(b, ["page_id", "url"])
-            hosts_, texts, members, take, asides = (
-                x.to_pylist() for x in c.columns(b, ["host", "html", "members", "take", "asides"]))
+            hosts_, texts = (x.to_pylist() for x in c.columns(b, ["host", "html"]))
+            template = c.columns(b, ["members", "take", "asides"])
             if len(known) > 1000:
                 known.clear()
             out = []
-            for host, text, *t in zip(hosts_, texts, members, take, asides):
-                if host not in known:
+            for i, (host, text) in enumerate(zip(hosts_, texts)):
+                if host not in known:            # the same on every page of a host
+                    t = [x[i].as_py() for x in template]
                     known[host] = Template(t[0] or []), set(t[1] or ()), bool(t[2])
                 out.append(main_text(text or "", *known[host]))
             yield pa.RecordBatch.from_arrays(
