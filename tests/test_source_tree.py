@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trylens.functions import lexer
+from trylens.functions.tree import nodes
 from trylens.functions.arrays import let
 from trylens.functions.folds import brace_depth, last_marker_index, scan, segment_statements
 from trylens.functions.text import py_split
@@ -272,3 +273,36 @@ def test_precedence_against_climbing(spark):
     df = spark.createDataFrame([(e,) for e in exprs], "e array<string>").select("e", marker_stream(F.col("e")).alias("m"))
     for e, m in df.collect():
         assert m == precedence_brute(e)
+
+
+def test_places_and_tree_are_taken_over_batches(spark):
+    """Pieces get their places and tokens their nodes a batch at a time, not by a
+    running fold over every row's array."""
+    texts = ["é1 = \"a\";\n// x\n½.5", None, "", "\n\n漢 /* {\n */ '{'"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(1).select(
+        "i", lexer.lex(F.col("s")).alias("p"), S.parsed("s").alias("x"))
+    for plan in (df.select("p"), df.select(F.size("x.n"))):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in text and "aggregate(" not in text
+    rows = {r["i"]: r for r in df.collect()}
+    assert [(p["kind"], p["at"], p["line"]) for p in rows[0]["p"] if p["kind"] != "space"] == [
+        ("name", 0, 1), ("op", 3, 1), ("string", 5, 1), ("op", 8, 1), ("comment", 10, 2), ("op", 15, 3), ("number", 16, 3)]
+    assert rows[1]["p"] == [] and rows[2]["p"] == []
+    assert [(p["kind"], p["at"], p["line"]) for p in rows[3]["p"]] == [
+        ("space", 0, 1), ("name", 2, 3), ("space", 3, 3), ("comment", 4, 3), ("space", 12, 4), ("char", 13, 4)]
+    assert [rows[i]["x"]["line"] for i in range(4)] == [[1, 1, 1, 1, 3, 3], [], [], [3, 4]]
+
+
+def test_nodes_of_null_and_empty_token_lists(spark):
+    rows = [(0, None), (1, []), (2, ["{", "a", ";", "}"]), (3, ["}", "}"])]
+    got = {r["i"]: r["n"] for r in spark.createDataFrame(rows, "i int, t array<string>").repartition(1).select(
+        "i", nodes(F.col("t")).alias("n")).collect()}
+    assert got[0] == [] and got[1] == [] and got[3] == []
+    assert [(n["role"], n["start"], n["end"]) for n in got[2]] == [("scope", 0, 3), ("statement", 1, 2)]
+
+
+def test_a_source_is_parsed_once_for_its_methods(spark):
+    files = spark.createDataFrame([(1, "class A { void f() { g(); } }"), (2, ""), (3, None)], "file_id int, src string")
+    for found in (S.extract_nested_methods(files), S.explode_body_statements(files, ("file_id",))):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        assert [r["file_id"] for r in found.collect()] == [1]

@@ -2,7 +2,8 @@
 
 One ``regexp_extract_all`` pass cuts a text into comments, literals, names,
 numbers, operators, separators and white space.  Every character belongs to a
-token, so offsets and line numbers are running sums over the pieces.  Code
+token, so offsets and line numbers are running sums over the pieces, taken over
+a whole Arrow batch at once.  Code
 tokens are the pieces that are neither white space nor comments; a string,
 character or text block is one token, so nothing inside it can be mistaken for
 code.  The token folds of ``folds`` (depth, markers, statements) work on code
@@ -11,11 +12,12 @@ tokens as they do on a white-space split.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from .arrays import let
-from .folds import scan
+from pyspark.sql import types as T
 
 # --- fixed values: the lexical grammar of Java ------------------------------
 # Possessive loops: a long literal or comment is matched without recursion.
@@ -36,22 +38,10 @@ JAVA_TOKEN = "|".join(_BRANCHES)
 _BLANKS = (9, 10, 11, 12, 13, 32)
 # ----------------------------------------------------------------------------
 
-BLOCK = 32          # pieces between two known places
-
-
-def _kind(t: Column) -> Column:
-    a = F.ascii(t)
-    digit = a.between(48, 57) | ((a == 46) & F.ascii(F.substring(t, 2, 1)).between(48, 57))
-    ascii_name = a.between(65, 90) | a.between(97, 122) | a.isin(95, 36)
-    return (F.when(ascii_name, F.lit("name"))
-            .when(a.isin(*_BLANKS), F.lit("space"))
-            .when(t.startswith("//") | t.startswith("/*"), F.lit("comment"))
-            .when(t.startswith('"""'), F.lit("text"))
-            .when(a == 34, F.lit("string"))
-            .when(a == 39, F.lit("char"))
-            .when(digit, F.lit("number"))
-            .when((a > 127) & t.rlike(r"^\p{L}"), F.lit("name"))
-            .otherwise(F.lit("op")))
+_KINDS = ("name", "space", "comment", "text", "string", "char", "number", "op")
+_NAME, _SPACE, _COMMENT, _TEXT, _STRING, _CHAR, _NUMBER, _OP = range(len(_KINDS))
+_PIECE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()),
+                       T.StructField("at", T.IntegerType()), T.StructField("line", T.IntegerType())])
 
 
 def pieces(src: Column) -> Column:
@@ -64,31 +54,49 @@ def is_code(t: Column) -> Column:
     return ~F.ascii(t).isin(*_BLANKS) & ~t.startswith("//") & ~t.startswith("/*")
 
 
-def _newlines(t: Column) -> Column:
-    # not translate: it takes every character through a hash table
-    return F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-
-
-def blocks(p: Column) -> Column:
-    """array<struct<lo, at, line>>: where every ``BLOCK``-th piece begins.
-
-    Places of other pieces are measured from here, so a long text costs no
-    running sum over all of its pieces."""
-    def step(s, lo):
-        def own(text):
-            nxt = F.struct((s["at"] + F.length(text)).alias("at"), (s["line"] + _newlines(text)).alias("line"))
-            return F.struct(nxt.alias("s"), F.struct(lo.alias("lo"), s["at"].alias("at"), s["line"].alias("line")).alias("o"))
-        return let(F.array_join(F.slice(p, lo + 1, BLOCK), ""), own)
-
-    starts = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
-    return scan(starts, F.struct(F.lit(0).alias("at"), F.lit(1).alias("line")), step, "struct<lo:int,at:int,line:int>")["o"]
-
-
-def place(p: Column, b: Column, i: Column) -> Column:
-    """struct(at, line) of piece ``i`` (0-based) of ``p``, whose ``blocks`` are ``b``."""
-    block = F.element_at(b, F.floor(i / BLOCK).cast("int") + 1)
-    return let(F.array_join(F.slice(p, block["lo"] + 1, i - block["lo"]), ""), lambda before: F.struct(
-        (block["at"] + F.length(before)).alias("at"), (block["line"] + _newlines(before)).alias("line")))
+class Spread:
+    """The pieces of a batch of texts (``lists``), end to end: ``texts``, the first
+    piece of every text in ``offsets``, and per piece its place and kind."""
+
+    def __init__(self, lists: pa.ListArray, letters: frozenset = frozenset()):
+        self.texts = lists.flatten()
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.offsets = np.concatenate(([0], np.cumsum(counts)))
+        self._counts = counts
+        self.at = self._before(pc.utf8_length(self.texts))
+        self.line = self._before(pc.count_substring(self.texts, "\n")) + 1
+        self.kind = _kinds(self.texts, letters)
+
+    def _before(self, sizes: pa.Array) -> np.ndarray:
+        """The sum of ``sizes`` over the pieces before each one of its text."""
+        total = np.concatenate(([0], np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))))
+        return total[:-1] - np.repeat(total[self.offsets[:-1]], self._counts)
+
+
+def _kinds(texts: pa.Array, letters: frozenset) -> np.ndarray:
+    """The place in ``_KINDS`` of each piece, by its first characters; ``letters``
+    are the letters beyond ASCII."""
+    def by_first(c):
+        if c in letters or c in "_$" or (c.isascii() and c.isalpha()):
+            return _NAME
+        if ord(c) in _BLANKS:
+            return _SPACE
+        return {'"': _STRING, "'": _CHAR}.get(c, _NUMBER if "0" <= c <= "9" else _OP)
+    first = pc.utf8_slice_codeunits(texts, 0, 1).dictionary_encode()
+    kinds = np.array([by_first(c) for c in first.dictionary.to_pylist()], dtype=np.int8)
+    out = kinds[first.indices.to_numpy(zero_copy_only=False)]
+    for kind, pattern in ((_COMMENT, r"^/[/*]"), (_TEXT, '^"""'), (_NUMBER, r"^\.[0-9]")):
+        out[pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)] = kind
+    return out
+
+
+@F.arrow_udf(T.ArrayType(_PIECE))
+def _lexed(p: pa.Array, letters: pa.Array) -> pa.Array:
+    x = Spread(p, frozenset(letters.flatten().to_pylist()))
+    kind = pa.array(_KINDS).take(pa.array(x.kind))
+    rows = pa.StructArray.from_arrays([kind, x.texts, pa.array(x.at, pa.int32()), pa.array(x.line, pa.int32())],
+                                      names=["kind", "text", "at", "line"])
+    return pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), rows)
 
 
 def lex(src: Column) -> Column:
@@ -96,19 +104,8 @@ def lex(src: Column) -> Column:
 
     ``at`` is the 0-based character offset, ``line`` the 1-based line of the
     piece's first character; a null text has no pieces."""
-    def body(p):
-        def block(b):
-            return let(F.slice(p, b["lo"] + 1, BLOCK), lambda own: F.transform(own, lambda t, k: let(
-                F.array_join(F.slice(own, 1, k), ""), lambda before: F.struct(
-                    _kind(t).alias("kind"), t.alias("text"), (b["at"] + F.length(before)).alias("at"),
-                    (b["line"] + _newlines(before)).alias("line")))))
-        return F.flatten(F.transform(blocks(p), block))
-    return let(pieces(src), body)
-
-
-def code_indexes(p: Column) -> Column:
-    """array<int>: which of the pieces ``p`` are code."""
-    return F.filter(F.transform(p, lambda t, i: F.when(is_code(t), i)), lambda i: i.isNotNull())
+    # which characters are letters is for the engine of the token pattern to say
+    return _lexed(pieces(src), F.regexp_extract_all(src, F.lit(r"[\p{L}&&[^\x00-\x7F]]"), 0))
 
 
 def code_words(src: Column) -> Column:

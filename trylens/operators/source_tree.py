@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.arrays import built_once, let
 from ..functions.expressions import marker_stream
 from ..functions.folds import brace_depth, last_marker_index, segment_statements
-from ..functions.lexer import blocks, code_indexes, code_words, pieces, place
+from ..functions.lexer import code_words
 from ..functions.text import normalize_code_whitespace, py_split
-from ..functions.tree import nodes
+from ..functions.tree import parse
 
 # Scopes that are a block of their own, at their brace.
 _BLOCKS = ("if", "for", "while", "else", "do", "block")
@@ -33,24 +33,26 @@ def source_depth(src: Column) -> Column:
 def repair_unclosed_source(src: Column) -> Column:
     """A5: struct(depth, parse_ok, code): up to two missing braces are added, any
     other text falls back to its normalised form and three braces."""
-    def body(f):
-        def with_depth(d):
-            ok = (d >= 0) & (d <= 2)
-            # on a line of its own: a comment may end the text
-            repaired = F.concat(f, F.when(d > 0, F.concat(F.lit("\n"), F.array_join(F.array_repeat(F.lit("}"), d), " "))).otherwise(F.lit("")))
-            return F.struct(d.alias("depth"), ok.alias("parse_ok"),
-                            F.when(ok, repaired).otherwise(F.concat(normalize_code_whitespace(f), F.lit(" } } }"))).alias("code"))
-        return let(source_depth(f), with_depth)
-    return let(src, body)
+    return let(src, lambda f: let(source_depth(f), lambda d: _repaired(f, d)))
+
+
+def _repaired(f: Column, d: Column) -> Column:
+    ok = (d >= 0) & (d <= 2)
+    # on a line of its own: a comment may end the text
+    repaired = F.concat(f, F.when(d > 0, F.concat(F.lit("\n"), F.array_join(F.array_repeat(F.lit("}"), d), " "))).otherwise(F.lit("")))
+    return F.struct(d.alias("depth"), ok.alias("parse_ok"),
+                    F.when(ok, repaired).otherwise(F.concat(normalize_code_whitespace(f), F.lit(" } } }"))).alias("code"))
 
 
 @built_once
 def source_marker_stream(src: Column) -> Column:
     """A4 with expression markers: struct(parse_ok, tokens) of the repaired
     source; what cannot be repaired is split on white space (A5)."""
-    return let(repair_unclosed_source(src), lambda r: F.struct(
-        r["parse_ok"].alias("parse_ok"),
-        F.when(r["parse_ok"], marker_stream(code_words(r["code"]))).otherwise(py_split(r["code"])).alias("tokens")))
+    # what is walked stands outside of lambdas
+    r = _repaired(src, source_depth(src))
+    stream = marker_stream(F.when(r["parse_ok"], code_words(r["code"])))
+    return let(F.struct(r.alias("r"), stream.alias("s")), lambda z: F.struct(
+        z["r"]["parse_ok"].alias("parse_ok"), F.when(z["r"]["parse_ok"], z["s"]).otherwise(py_split(z["r"]["code"])).alias("tokens")))
 
 
 def source_markers(src: Column) -> Column:
@@ -75,20 +77,12 @@ def split_parsed_sources(df: DataFrame, src: str = "src") -> tuple[DataFrame, Da
     return d.where("reason is null").drop("reason"), d.where("reason is not null")
 
 
-def _parsed(src: Column) -> Column:
-    """struct(p: pieces, b: their blocks, i: pieces that are code, n: tree nodes)."""
-    def body(p):
-        return let(code_indexes(p), lambda i: F.struct(
-            p.alias("p"), blocks(p).alias("b"), i.alias("i"), nodes(F.transform(i, lambda k: F.element_at(p, k + 1))).alias("n")))
-    return let(pieces(src), body)
-
-
-parsed = built_once(_parsed)
+parsed = built_once(parse)
 
 
 def _place(x: Column, j: Column) -> Column:
     """struct(at, line) of code token ``j`` of a parsed source."""
-    return place(x["p"], x["b"], F.element_at(x["i"], j + 1))
+    return F.struct(F.element_at(x["at"], j + 1).alias("at"), F.element_at(x["line"], j + 1).alias("line"))
 
 
 def _tag(n: Column) -> Column:
@@ -118,7 +112,7 @@ def tag_source_lines(lines: Column) -> Column:
         return let(F.map_from_entries(last), lambda m: F.transform(
             lines, lambda ln, i: F.when(i == F.size(lines) - 1, F.lit("MethodDeclaration END"))
                                   .otherwise(F.try_element_at(m, i + 1))))
-    return let(_parsed(F.array_join(lines, "\n")), body)
+    return let(parse(F.array_join(lines, "\n")), body)
 
 
 def _keep_last(acc: Column, x: Column) -> Column:
@@ -131,20 +125,19 @@ def _spans(src: Column, x: Column, picked: Column) -> Column:
     """``picked`` nodes with their place: array<struct<n, start_line, end_line, text>>;
     a node that the text leaves open ends with the text."""
     def span(n):
-        last = F.coalesce(n["end"], F.size(x["i"]) - 1)
+        last = F.coalesce(n["end"], F.size(x["t"]) - 1)
 
         def placed(z):
             return F.struct(n.alias("n"), z["a"]["line"].alias("start_line"), z["z"]["line"].alias("end_line"),
                             F.substring(src, z["a"]["at"] + 1, z["z"]["at"] + F.length(z["t"]) - z["a"]["at"]).alias("text"))
         return let(F.struct(_place(x, n["start"]).alias("a"), _place(x, last).alias("z"),
-                            F.element_at(x["p"], F.element_at(x["i"], last + 1) + 1).alias("t")), placed)
+                            F.element_at(x["t"], last + 1).alias("t")), placed)
     return F.transform(picked, span)
 
 
 def _method_name(x: Column, n: Column) -> Column:
     """The first name before a parenthesis of the head that is no annotation's."""
-    head = F.transform(F.slice(x["i"], n["start"] + 1, F.coalesce(n["open"], n["end"]) - n["start"]),
-                       lambda i: F.element_at(x["p"], i + 1))
+    head = F.slice(x["t"], n["start"] + 1, F.coalesce(n["open"], n["end"]) - n["start"])
 
     def named(h):
         text = lambda k: F.coalesce(F.try_element_at(h, k), F.lit(""))
@@ -154,6 +147,14 @@ def _method_name(x: Column, n: Column) -> Column:
     return let(head, named)
 
 
+def _exploded(found: DataFrame, keep: list[str], number: str) -> DataFrame:
+    """``keep``, ``number`` and ``_m`` for every element of ``_f``.
+
+    An inner explode infers a filter on its input, for which the array would be
+    computed a second time."""
+    return found.select(*keep, F.posexplode_outer("_f").alias(number, "_m")).where(F.col(number).isNotNull())
+
+
 def extract_nested_methods(files: DataFrame, file_col: str = "file_id", src: str = "src") -> DataFrame:
     """One row per method of a file, in inner, local, anonymous, enum and
     record types too: method_no, name, has_body, start_line, end_line, n_lines, text.
@@ -164,7 +165,7 @@ def extract_nested_methods(files: DataFrame, file_col: str = "file_id", src: str
         return F.transform(_spans(F.col(src), x, own), lambda m: F.struct(
             _method_name(x, m["n"]).alias("name"), m["n"]["open"].isNotNull().alias("has_body"),
             m["start_line"].alias("start_line"), m["end_line"].alias("end_line"), m["text"].alias("text")))
-    x = files.select(file_col, F.posexplode(let(parsed(src), found)).alias("_i", "_m"))
+    x = _exploded(files.select(file_col, let(parsed(src), found).alias("_f")), [file_col], "_i")
     return x.select(file_col, (F.col("_i") + 1).cast("long").alias("method_no"), "_m.*") \
             .withColumn("n_lines", (F.col("end_line") - F.col("start_line") + 1).cast("long"))
 
@@ -176,5 +177,5 @@ def explode_body_statements(methods: DataFrame, keep: tuple[str, ...], src: str
         body = F.try_element_at(F.filter(x["n"], lambda n: (n["role"] == "scope") & (n["kind"] == "method")), F.lit(1))["open"]
         own = let(body, lambda b: F.filter(x["n"], lambda n: (n["role"] == "statement") & (n["parent"] == b)))
         return _spans(F.col(src), x, own)
-    x = methods.select(*keep, F.posexplode(let(parsed(src), found)).alias("stmt_no", "_m"))
+    x = _exploded(methods.select(*keep, let(parsed(src), found).alias("_f")), list(keep), "stmt_no")
     return x.select(*keep, "stmt_no", F.col("_m.n.kind").alias("kind"), "_m.start_line", "_m.end_line", "_m.text")

@@ -136,8 +136,8 @@ _TAGS = (
 @query("tag_source_lines", _with(
     f"SELECT file_id, rn, off + 1 AS line_no, tag FROM j_items JOIN ({_values(_TAGS)}) t(tk, off, tag) ON tk = k"))
 def tag_source_lines(spark, sf_dir):
-    x = fx.java_methods(spark, sf_dir).select("file_id", "rn", F.posexplode(S.tag_source_lines("lines")).alias("i", "tag"))
-    return x.select("file_id", "rn", (F.col("i") + 1).cast("int").alias("line_no"), "tag")
+    x = fx.java_methods(spark, sf_dir).select("file_id", "rn", F.posexplode_outer(S.tag_source_lines("lines")).alias("i", "tag"))
+    return x.where("i is not null").select("file_id", "rn", (F.col("i") + 1).cast("int").alias("line_no"), "tag")
 
 
 # Methods in the order in which they begin: member, place, name, has a body,
