@@ -306,3 +306,12 @@ def test_a_source_is_parsed_once_for_its_methods(spark):
     for found in (S.extract_nested_methods(files), S.explode_body_statements(files, ("file_id",))):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
         assert [r["file_id"] for r in found.collect()] == [1]
+
+
+def test_a_file_with_a_null_part_has_no_text(spark, tmp_path):
+    from trylens.plans import catalog
+    spark.createDataFrame([(1, 1, 10, 5, 2.0, 3.0), (2, 1, None, 5, 2.0, 3.0)],
+                          "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, "
+                          "l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["file_id"]: r for r in catalog.QUERIES["lex_source_tokens"](spark, str(tmp_path)).collect()}
+    assert got[1]["n_pieces"] > 0 and got[2]["n_pieces"] == 0 and got[2]["words"] == ""
