@@ -117,3 +117,10 @@ def test_white_space_and_newlines_cost_no_regex_or_table_per_character(spark):
     assert tuple(x.first()) == ("a\n bé", ["a", "bé"], 1)
     plan = x._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "translate" not in plan and "split(" not in plan
+
+
+def test_topk_sorts_its_rows_once(spark):
+    from trylens.operators.ranking import topk_classes
+    x = topk_classes(spark.range(60).selectExpr("id % 6 AS id", "CAST(id AS INT) AS class_id", "CAST(id % 7 AS DOUBLE) AS logit"), 2)
+    assert x._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert [(r["id"], r["rank"], r["class_id"]) for r in x.orderBy("id", "rank").limit(2).collect()] == [(0, 1, 6), (0, 2, 48)]

@@ -19,9 +19,14 @@ def clamp_scores(score: Column) -> Column:
 
 
 def softmax_scores(df: DataFrame, id_col: str = "id", score_col: str = "logit",
-                   out: str = "prob") -> DataFrame:
-    """M1: per-row softmax over the class scores, max-shifted for stability."""
+                   out: str = "prob", order: tuple = ()) -> DataFrame:
+    """M1: per-row softmax over the class scores, max-shifted for stability.
+
+    ``order`` sorts the classes of a row for a later window, so that both share
+    one sort."""
     w = Window.partitionBy(id_col)
+    if order:
+        w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     shifted = F.exp(F.col(score_col) - F.max(score_col).over(w))
     x = df.withColumn("_e", shifted)
     return x.withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_e")
@@ -41,8 +46,10 @@ def topk_classes(df: DataFrame, k: int, id_col: str = "id", score_col: str = "lo
     Rank 1 is the best; equal probabilities rank the lower class id first.
     """
     clamped = df.withColumn("_s", clamp_scores(F.col(score_col)))
-    probs = softmax_scores(clamped, id_col, "_s", "prob")
-    w = Window.partitionBy(id_col).orderBy(F.desc("_s"), F.asc(class_col))
+    order = (F.desc("_s"), F.asc(class_col))
+    # one sort for the softmax and the rank: a task holds its rows once
+    probs = softmax_scores(clamped, id_col, "_s", "prob", order)
+    w = Window.partitionBy(id_col).orderBy(*order)
     ranked = probs.withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k).drop("_s")
 
