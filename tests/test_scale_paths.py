@@ -124,3 +124,27 @@ def test_topk_sorts_its_rows_once(spark):
     x = topk_classes(spark.range(60).selectExpr("id % 6 AS id", "CAST(id AS INT) AS class_id", "CAST(id % 7 AS DOUBLE) AS logit"), 2)
     assert x._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     assert [(r["id"], r["rank"], r["class_id"]) for r in x.orderBy("id", "rank").limit(2).collect()] == [(0, 1, 6), (0, 2, 48)]
+
+
+def test_marker_stream_is_taken_over_arrow_batches(spark):
+    from trylens.operators import structure as A
+    rows = [(0, 'try { Foo x = a . b ( "p q" ) ;'), (1, None), (2, '" { \' } " } } } x'), (3, "")]
+    x = spark.createDataFrame(rows, "i int, s string").coalesce(1)
+    r = x.select("i", A.repair_unclosed_method(F.col("s")).alias("r"))
+    assert "ArrowEvalPython" in r._jdf.queryExecution().executedPlan().toString()
+    got = {q["i"]: q["r"] for q in r.collect()}
+    assert (got[0]["depth"], got[2]["depth"], got[3]["depth"], got[1]["depth"]) == (1, -3, 0, None)
+    assert got[0]["tokens"] == ["TRY", "{", "VarDec", "Foo", "x", "initializer", "qualifier", "a", "METHOD", "INVOCATION", "b",
+                                "arguments", "(", "p", "q", ")", ";", "}"]
+    assert not got[2]["parse_ok"] and got[2]["tokens"][-3:] == ["}", "}", "}"]
+    assert got[3]["tokens"] == [] and got[1]["tokens"] is None
+
+
+def test_front_back_over_arrow_batches(spark):
+    from trylens.operators import structure as A
+    rows = [(0, "a TRY b CatchClause c".split()), (1, 'a " TRY " CatchClause \' x'.split()), (2, None), (3, []), (4, "CatchClause TRY b".split())]
+    x = spark.createDataFrame(rows, "i int, t array<string>").coalesce(1).select("i", A.split_front_back_at_catch(F.col("t")).alias("r"))
+    assert "ArrowEvalPython" in x._jdf.queryExecution().executedPlan().toString()
+    got = {q["i"]: tuple(q["r"]) for q in x.collect()}
+    assert got == {0: (1, 3, ["a"], ["TRY", "b"]), 1: (-1, 4, 'a " TRY " CatchClause \''.split(), []),
+                   2: (None, None, None, None), 3: (-1, -1, [], []), 4: (1, 0, ["CatchClause"], [])}
