@@ -148,3 +148,13 @@ def test_front_back_over_arrow_batches(spark):
     got = {q["i"]: tuple(q["r"]) for q in x.collect()}
     assert got == {0: (1, 3, ["a"], ["TRY", "b"]), 1: (-1, 4, 'a " TRY " CatchClause \''.split(), []),
                    2: (None, None, None, None), 3: (-1, -1, [], []), 4: (1, 0, ["CatchClause"], [])}
+
+
+def test_statement_starts_are_found_once_a_method(spark):
+    from trylens.operators.structure import merge_statement_lines
+    x = spark.range(1).selectExpr("transform(sequence(1, 3000), i -> concat('a', i)) AS l", "transform(sequence(1, 3000), i -> i) AS b",
+                                  "transform(sequence(1, 3000), i -> if(i % 2 = 0, 'T', null)) AS t")
+    m = x.select(merge_statement_lines(F.col("l"), F.col("b"), F.col("t")).alias("m"))
+    assert m._jdf.queryExecution().analyzed().toString().count("filter(") == 1
+    got = m.first()["m"]
+    assert len(got) == 1500 and tuple(got[0]) == ("a2a3T", 2) and tuple(got[-1]) == ("a3000T", 3000)
