@@ -19,6 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .java import QUOTES
+
 # --- fixed values: the lexical grammar of Java ------------------------------
 # Possessive loops: a long literal or comment is matched without recursion.
 _BRANCHES = (
@@ -61,20 +63,23 @@ def is_code(t: Column) -> Column:
 
 class Spread:
     """The pieces of a batch of texts (``lists``), end to end: ``texts``, the first
-    piece of every text in ``offsets``, and per piece its place and kind."""
+    piece of every text in ``offsets``, and per piece its place and kind.  What
+    depends on a piece alone is found once per different piece (``words``, ``code``)."""
 
     def __init__(self, lists: pa.ListArray, letters: frozenset = frozenset()):
         self.texts = lists.flatten()
         counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(counts)))
         self._counts = counts
-        self.at = self._before(pc.utf8_length(self.texts))
-        self.line = self._before(pc.count_substring(self.texts, "\n")) + 1
-        self.kind = _kinds(self.texts, letters)
+        d = self.texts.dictionary_encode()
+        self.words, self.code = d.dictionary, d.indices.to_numpy(zero_copy_only=False)
+        self.at = self._before(pc.utf8_length(self.words))
+        self.line = self._before(pc.count_substring(self.words, "\n")) + 1
+        self.kind = _kinds(self.words, letters)[self.code]
 
     def _before(self, sizes: pa.Array) -> np.ndarray:
-        """The sum of ``sizes`` over the pieces before each one of its text."""
-        total = np.concatenate(([0], np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))))
+        """The sum of ``sizes``, given per word, over the pieces before each one of its text."""
+        total = np.concatenate(([0], np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)[self.code])))
         return total[:-1] - np.repeat(total[self.offsets[:-1]], self._counts)
 
 
@@ -116,3 +121,25 @@ def lex(src: Column) -> Column:
 def code_words(src: Column) -> Column:
     """array<string>: the texts of the code tokens, for the token folds."""
     return F.filter(pieces(src), is_code)
+
+
+@F.arrow_udf(T.IntegerType())
+def depth_of_pieces(p: pa.Array) -> pa.Array:
+    """``folds.brace_depth`` of the code tokens among the pieces."""
+    x = Spread(p)
+    code = (x.kind != _SPACE) & (x.kind != _COMMENT)
+    value = np.array([{"{": 1, "}": -1}.get(w, 0) for w in x.words.to_pylist()] + [0])[:-1][x.code] * code
+    total = np.concatenate(([0], np.cumsum(value)))
+    out = total[x.offsets[1:]] - total[x.offsets[:-1]]
+    quotes = pc.is_in(x.words, pa.array(QUOTES)).to_numpy(zero_copy_only=False)
+    if quotes.any():
+        for row in np.unique(np.searchsorted(x.offsets, np.flatnonzero(quotes[x.code]), side="right") - 1):
+            own = slice(x.offsets[row], x.offsets[row + 1])
+            quote, depth = "", 0
+            for w in x.texts[own].filter(pa.array(code[own])).to_pylist():
+                if w in QUOTES:
+                    quote = w if quote == "" else "" if quote == w else quote
+                elif quote == "":
+                    depth += (w == "{") - (w == "}")
+            out[row] = depth
+    return pa.array(out, pa.int32())
