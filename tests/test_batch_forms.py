@@ -81,3 +81,39 @@ def test_encoding_without_masks(spark):
     df = spark.createDataFrame([(1, ["a b", "[PAD]"])], "k int, lines array<string>")
     vocab = spark.createDataFrame([("a", 4, 1)], "token string, id int, n long")
     assert E.encode_lines(df, ["k"], "lines", vocab, 5, masks=False).collect() == [(1, [[2, 4, 1, 3, 0], [0] * 5])]
+
+
+def test_source_operators_walk_in_batches(spark):
+    from trylens.operators import source_tree as S
+    df = spark.createDataFrame([(1, "class A { void f() { int x = 1; } }", ["void f() {", "g();", "}"])], "file_id int, src string, lines array<string>")
+    found = (S.extract_nested_methods(df), S.explode_body_statements(df, ("file_id",)), df.select(S.tag_source_lines("lines").alias("t")))
+    for x in found:
+        assert "ArrowEvalPython" in plan(x) and "lambda" not in plan(x)
+    assert [x.count() for x in found] == [1, 1, 1]
+
+
+def test_markers_walk_in_batches(spark):
+    from trylens.operators import source_tree as S
+    x = spark.createDataFrame([("void f() { a = b + c; ", )], "src string").select(S.source_marker_stream("src").alias("m"))
+    assert "ArrowEvalPython" in plan(x) and "aggregate(" not in plan(x)
+    assert " ".join(x.first()["m"]["tokens"]) == "MethodDeclaration void f parameters ( ) { Assignment a = value BinaryOperation b + operandr c ; }"
+
+
+def test_methods_of_sources_put_together_by_a_group(spark):
+    from trylens.operators import source_tree as S
+    lines = spark.createDataFrame([(k % 3, k, "void f%d() { }" % k) for k in range(9)], "file_id int, k int, line string")
+    files = lines.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("b")) \
+                 .select("file_id", F.array_join(F.transform("b", lambda s: s["line"]), "\n").alias("src"))
+    assert [(r["file_id"], r["name"], r["text"]) for r in S.extract_nested_methods(files).orderBy("file_id", "method_no").collect()] == [
+        (k, f"f{i}", "void f%d() { }" % i) for k in range(3) for i in range(k, 9, 3)]
+    assert S.explode_body_statements(files, ("file_id",)).count() == 0
+
+
+@pytest.mark.parametrize("text,kind", [
+    ("finàl x = 1 ;", "LocalVariableDeclaration"), ("finàl List x = 1 ;", "Assignment"), ("final List x = 1 ;", "LocalVariableDeclaration"),
+    ("漢 字 , b ;", "LocalVariableDeclaration"), ("a½ b ;", "LocalVariableDeclaration"), ("½a b ;", "StatementExpression"),
+    ("List < é > x ;", "LocalVariableDeclaration"), ("f ( a = b ) ;", "MethodInvocation"), ("x [ f ( 1 ) ] = 2 ;", "Assignment"),
+    ("new A = b ;", "Assignment"), ("return x ;", "ReturnStatement"), ("", "StatementExpression")])
+def test_statement_kinds(text, kind):
+    from trylens.functions.tree import statement_kind
+    assert statement_kind(["{", *text.split()], 1) == kind

@@ -9,15 +9,17 @@ projections of one row; nothing is shuffled.  ``parsed``, ``tag_source_lines`` a
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import built_once, let
 from ..functions.expressions import marker_stream
 from ..functions.folds import brace_depth, last_marker_index, segment_statements
-from ..functions.lexer import code_words
+from ..functions.lexer import code_words, depth_of_pieces, pieces
 from ..functions.text import normalize_code_whitespace, py_split
-from ..functions.tree import parse
+from ..functions.tree import Sources, list_of, parse, statement_kind, walk
 
 # Scopes that are a block of their own, at their brace.
 _BLOCKS = ("if", "for", "while", "else", "do", "block")
@@ -49,10 +51,9 @@ def source_marker_stream(src: Column) -> Column:
     """A4 with expression markers: struct(parse_ok, tokens) of the repaired
     source; what cannot be repaired is split on white space (A5)."""
     # what is walked stands outside of lambdas
-    r = _repaired(src, source_depth(src))
+    r = _repaired(src, depth_of_pieces(pieces(src)))
     stream = marker_stream(F.when(r["parse_ok"], code_words(r["code"])))
-    return let(F.struct(r.alias("r"), stream.alias("s")), lambda z: F.struct(
-        z["r"]["parse_ok"].alias("parse_ok"), F.when(z["r"]["parse_ok"], z["s"]).otherwise(py_split(z["r"]["code"])).alias("tokens")))
+    return F.struct(r["parse_ok"].alias("parse_ok"), F.when(r["parse_ok"], stream).otherwise(py_split(r["code"])).alias("tokens"))
 
 
 def source_markers(src: Column) -> Column:
@@ -80,21 +81,34 @@ def split_parsed_sources(df: DataFrame, src: str = "src") -> tuple[DataFrame, Da
 parsed = built_once(parse)
 
 
-def _place(x: Column, j: Column) -> Column:
-    """struct(at, line) of code token ``j`` of a parsed source."""
-    return F.struct(F.element_at(x["at"], j + 1).alias("at"), F.element_at(x["line"], j + 1).alias("line"))
-
-
-def _tag(n: Column) -> Column:
-    """struct(at: token, tag) of a node that stands on a line, else a null tag."""
-    kind = n["kind"]
-    tag = F.when(n["role"] != "scope", F.when(~kind.isin("field", "method"), kind)) \
-           .when(kind.isin(*_BLOCKS), F.lit("BlockStatement")).when(kind == "catch", F.lit("CatchClause")) \
-           .when(kind == "method", F.lit("MethodDeclaration"))
-    for k, name in _TYPES.items():
-        tag = tag.when(kind == k, F.lit(name))
-    at = F.when((n["role"] == "scope") & kind.isin(*_BLOCKS), n["open"]).otherwise(n["start"])
-    return F.struct(at.alias("at"), n["level"].alias("level"), tag.alias("tag"))
+# the tag of a scope of each kind that stands on a line
+_SCOPE_TAGS = {**dict.fromkeys(_BLOCKS, "BlockStatement"), "catch": "CatchClause", "method": "MethodDeclaration", **_TYPES}
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _line_tags(p: pa.Array, n_lines: pa.Array) -> pa.Array:
+    x = Sources(p)
+    out = []
+    for (lo, t, stops), n in zip(x.rows(), n_lines.to_pylist()):
+        if n is None:
+            out.append(None)
+            continue
+        line = x.line[lo:lo + len(t)].tolist()
+        last: dict[int, tuple] = {}              # per line the last mark by place, level and tag
+        for role, kind, start, opened, _, level, *_ in walk(t, stops):
+            if role != "scope":
+                at, tag = start, None if role == "member" else kind or statement_kind(t, start)
+            else:
+                at, tag = opened if kind in _BLOCKS else start, _SCOPE_TAGS.get(kind)
+            if tag is not None:
+                mark = (at, level, tag)
+                if mark >= last.get(line[at], mark):
+                    last[line[at]] = mark
+        tags = [last[k][2] if k in last else None for k in range(1, n + 1)]
+        if n:
+            tags[-1] = "MethodDeclaration END"
+        out.append(tags)
+    return pa.array(out, pa.list_(pa.string()))
 
 
 @built_once
@@ -102,49 +116,61 @@ def tag_source_lines(lines: Column) -> Column:
     """A1 by the tree: per line of a method the kind of the deepest node that
     begins on it, null for a line that goes on with an earlier one; the last
     line is ``MethodDeclaration END``."""
-    def body(p):
-        marks = F.filter(F.transform(p["n"], _tag), lambda m: m["tag"].isNotNull())
-        placed = F.transform(marks, lambda m: F.struct(
-            _place(p, m["at"])["line"].alias("line"), m["at"].alias("at"), m["level"].alias("level"),
-            m["tag"].alias("tag")))
-        # ascending by line and depth: of equal lines the map keeps the last
-        last = F.aggregate(F.array_sort(placed), F.array().cast("array<struct<line:int,tag:string>>"), _keep_last)
-        return let(F.map_from_entries(last), lambda m: F.transform(
-            lines, lambda ln, i: F.when(i == F.size(lines) - 1, F.lit("MethodDeclaration END"))
-                                  .otherwise(F.try_element_at(m, i + 1))))
-    return let(parse(F.array_join(lines, "\n")), body)
-
-
-def _keep_last(acc: Column, x: Column) -> Column:
-    own = F.struct(x["line"].alias("line"), x["tag"].alias("tag"))
-    same = F.coalesce(F.try_element_at(acc, F.lit(-1))["line"] == x["line"], F.lit(False))
-    return F.concat(F.when(same, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc), F.array(own))
-
-
-def _spans(src: Column, x: Column, picked: Column) -> Column:
-    """``picked`` nodes with their place: array<struct<n, start_line, end_line, text>>;
-    a node that the text leaves open ends with the text."""
-    def span(n):
-        last = F.coalesce(n["end"], F.size(x["t"]) - 1)
-
-        def placed(z):
-            return F.struct(n.alias("n"), z["a"]["line"].alias("start_line"), z["z"]["line"].alias("end_line"),
-                            F.substring(src, z["a"]["at"] + 1, z["z"]["at"] + F.length(z["t"]) - z["a"]["at"]).alias("text"))
-        return let(F.struct(_place(x, n["start"]).alias("a"), _place(x, last).alias("z"),
-                            F.element_at(x["t"], last + 1).alias("t")), placed)
-    return F.transform(picked, span)
-
-
-def _method_name(x: Column, n: Column) -> Column:
-    """The first name before a parenthesis of the head that is no annotation's."""
-    head = F.slice(x["t"], n["start"] + 1, F.coalesce(n["open"], n["end"]) - n["start"])
+    return _line_tags(pieces(F.array_join(lines, "\n")), F.size(lines))
+
 
-    def named(h):
-        text = lambda k: F.coalesce(F.try_element_at(h, k), F.lit(""))
-        k = F.filter(F.sequence(F.lit(2), F.greatest(F.size(h), F.lit(2))), lambda j: (text(j) == "(")
-                     & text(j - 1).rlike(r"^[\p{L}_$]") & ~F.when(j > 2, text(j - 2)).otherwise("").isin("@", "."))
-        return F.try_element_at(h, F.try_element_at(k, F.lit(1)) - 1)
-    return let(head, named)
+_METHOD = T.StructType([T.StructField("name", T.StringType()), T.StructField("has_body", T.BooleanType()),
+                        T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
+                        T.StructField("text", T.StringType())])
+_STATEMENT = T.StructType([T.StructField("kind", T.StringType()), *_METHOD.fields[2:]])
+_METHOD_ROLES, _BODY_ROLES = frozenset(("scope", "member")), frozenset(("scope", "statement"))
+
+
+def _method_name(t: list[str], start: int, stop: int) -> str | None:
+    """The first name before a parenthesis of the head that is no annotation's."""
+    for k in range(start + 1, stop):
+        if t[k] == "(" and (t[k - 1][0] in "_$" or t[k - 1][0].isalpha()) and not (k - 1 > start and t[k - 2] in ("@", ".")):
+            return t[k - 1]
+    return None
+
+
+@F.arrow_udf(T.ArrayType(_METHOD))
+def _methods(p: pa.Array) -> pa.Array:
+    x = Sources(p)
+    sizes, names, bodies, first, last = [], [], [], [], []
+    for lo, t, stops in x.rows():
+        own = [n for n in walk(t, stops, _METHOD_ROLES) if n[1] == "method"]
+        sizes.append(len(own))
+        for _, _, start, opened, end, *_ in own:
+            names.append(_method_name(t, start, end if opened is None else opened))
+            bodies.append(opened is not None)
+            first.append(lo + start)
+            last.append(lo + (len(t) - 1 if end is None else end))
+    return list_of(sizes, [pa.array(names, pa.string()), pa.array(bodies, pa.bool_()), *x.spans(first, last)], _METHOD)
+
+
+@F.arrow_udf(T.ArrayType(_STATEMENT))
+def _body_statements(p: pa.Array) -> pa.Array:
+    x = Sources(p)
+    sizes, kinds, first, last = [], [], [], []
+    for lo, t, stops in x.rows():
+        found = walk(t, stops, _BODY_ROLES)
+        body = next((n[3] for n in found if n[0] == "scope" and n[1] == "method"), None)
+        own = [n for n in found if n[0] == "statement" and n[6] == body]
+        sizes.append(len(own))
+        for _, kind, start, _, end, *_ in own:
+            kinds.append(kind or statement_kind(t, start))
+            first.append(lo + start)
+            last.append(lo + (len(t) - 1 if end is None else end))
+    return list_of(sizes, [pa.array(kinds, pa.string()), *x.spans(first, last)], _STATEMENT)
+
+
+def _of_pieces(step, src: Column) -> Column:
+    """``step`` of the pieces of ``src``; null for a null text.
+
+    ``src`` is read twice: the optimizer would move what is read once into an
+    aggregation below it, and Spark does not take a Python step out of there."""
+    return F.when(F.length(src) >= 0, step(pieces(src)))
 
 
 def _exploded(found: DataFrame, keep: list[str], number: str) -> DataFrame:
@@ -160,12 +186,7 @@ def extract_nested_methods(files: DataFrame, file_col: str = "file_id", src: str
     record types too: method_no, name, has_body, start_line, end_line, n_lines, text.
 
     A method that the text leaves open ends with the text."""
-    def found(x):
-        own = F.filter(x["n"], lambda n: (n["kind"] == "method") & n["role"].isin("scope", "member"))
-        return F.transform(_spans(F.col(src), x, own), lambda m: F.struct(
-            _method_name(x, m["n"]).alias("name"), m["n"]["open"].isNotNull().alias("has_body"),
-            m["start_line"].alias("start_line"), m["end_line"].alias("end_line"), m["text"].alias("text")))
-    x = _exploded(files.select(file_col, let(parsed(src), found).alias("_f")), [file_col], "_i")
+    x = _exploded(files.select(file_col, _of_pieces(_methods, F.col(src)).alias("_f")), [file_col], "_i")
     return x.select(file_col, (F.col("_i") + 1).cast("long").alias("method_no"), "_m.*") \
             .withColumn("n_lines", (F.col("end_line") - F.col("start_line") + 1).cast("long"))
 
@@ -173,9 +194,5 @@ def extract_nested_methods(files: DataFrame, file_col: str = "file_id", src: str
 def explode_body_statements(methods: DataFrame, keep: tuple[str, ...], src: str = "src") -> DataFrame:
     """One row per statement directly in the body of the row's first method:
     stmt_no, kind, start_line, end_line, text; code before, in and after a try."""
-    def found(x):
-        body = F.try_element_at(F.filter(x["n"], lambda n: (n["role"] == "scope") & (n["kind"] == "method")), F.lit(1))["open"]
-        own = let(body, lambda b: F.filter(x["n"], lambda n: (n["role"] == "statement") & (n["parent"] == b)))
-        return _spans(F.col(src), x, own)
-    x = _exploded(methods.select(*keep, let(parsed(src), found).alias("_f")), list(keep), "stmt_no")
-    return x.select(*keep, "stmt_no", F.col("_m.n.kind").alias("kind"), "_m.start_line", "_m.end_line", "_m.text")
+    x = _exploded(methods.select(*keep, _of_pieces(_body_statements, F.col(src)).alias("_f")), list(keep), "stmt_no")
+    return x.select(*keep, "stmt_no", "_m.kind", "_m.start_line", "_m.end_line", "_m.text")
