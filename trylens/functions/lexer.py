@@ -123,9 +123,9 @@ def code_words(src: Column) -> Column:
     return F.filter(pieces(src), is_code)
 
 
-@F.arrow_udf(T.IntegerType())
-def depth_of_pieces(p: pa.Array) -> pa.Array:
-    """``folds.brace_depth`` of the code tokens among the pieces."""
+@F.arrow_udf(T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))]))
+def code_of_pieces(p: pa.Array) -> pa.Array:
+    """struct(depth, words): the code tokens among the pieces and their ``folds.brace_depth``."""
     x = Spread(p)
     code = (x.kind != _SPACE) & (x.kind != _COMMENT)
     value = np.array([{"{": 1, "}": -1}.get(w, 0) for w in x.words.to_pylist()] + [0])[:-1][x.code] * code
@@ -142,4 +142,6 @@ def depth_of_pieces(p: pa.Array) -> pa.Array:
                 elif quote == "":
                     depth += (w == "{") - (w == "}")
             out[row] = depth
-    return pa.array(out, pa.int32())
+    counts = np.concatenate(([0], np.cumsum(code)))[x.offsets]
+    words = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), x.texts.filter(pa.array(code)))
+    return pa.StructArray.from_arrays([pa.array(out, pa.int32()), words], names=["depth", "words"])

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.arrays import built_once, let
 from ..functions.expressions import marker_stream
 from ..functions.folds import brace_depth, last_marker_index, segment_statements
-from ..functions.lexer import code_words, depth_of_pieces, pieces
+from ..functions.lexer import code_of_pieces, code_words, pieces
 from ..functions.text import normalize_code_whitespace, py_split
 from ..functions.tree import Sources, list_of, parse, statement_kind, walk
 
@@ -51,8 +51,10 @@ def source_marker_stream(src: Column) -> Column:
     """A4 with expression markers: struct(parse_ok, tokens) of the repaired
     source; what cannot be repaired is split on white space (A5)."""
     # what is walked stands outside of lambdas
-    r = _repaired(src, depth_of_pieces(pieces(src)))
-    stream = marker_stream(F.when(r["parse_ok"], code_words(r["code"])))
+    code = code_of_pieces(pieces(src))
+    r = _repaired(src, code["depth"])
+    # only what is repaired is cut into pieces again
+    stream = marker_stream(F.when(r["depth"] == 0, code["words"]).when(r["parse_ok"], code_words(r["code"])))
     return F.struct(r["parse_ok"].alias("parse_ok"), F.when(r["parse_ok"], stream).otherwise(py_split(r["code"])).alias("tokens"))
 
 
